@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import token_counts, vocab
+from jobloom.llm import packing, simhash, token_counts, vocab
 from jobloom.sources.tables import table
 
 
@@ -15,8 +15,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocab.vocabulary_path("byte_bpe_50k.json"), 1024).drop("text")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocab.vocabulary_path("word_bpe_49k.json"), 2048, 1)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4, 42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_token_counts": op7_token_counts}
+    return {"op6_packing": op6_packing, "op7_token_counts": op7_token_counts, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
