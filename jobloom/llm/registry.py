@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import packing, simhash, token_counts, vocab
+from jobloom.llm import html_text, licenses, packing, simhash, token_counts, vocab
 from jobloom.sources.tables import table
 
 
@@ -15,6 +15,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocab.vocabulary_path("byte_bpe_50k.json"), 1024).drop("text")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab.vocabulary_path("word_bpe_49k.json"), 2048, 1)
 
@@ -23,8 +27,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4, 42)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op7_token_counts": op7_token_counts, "op9_simhash": op9_simhash}
+    return {
+        "op1_html_extraction": op1_html_extraction,
+        "op6_packing": op6_packing,
+        "op7_token_counts": op7_token_counts,
+        "op9_simhash": op9_simhash,
+        "op10_licenses": op10_licenses,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
