@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import html_text, licenses, packing, simhash, token_counts, vocab
+from jobloom.llm import html_text, licenses, minhash, packing, simhash, token_counts, vocab
 from jobloom.sources.tables import table
 
 
@@ -19,6 +19,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab.vocabulary_path("word_bpe_49k.json"), 2048, 1)
 
@@ -34,6 +38,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_fingerprints": op2_fingerprints,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
         "op9_simhash": op9_simhash,
