@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import html_text, licenses, minhash, packing, simhash, token_counts, vocab
+from jobloom.llm import embedding_dedup, html_text, licenses, minhash, packing, simhash, token_counts, vocab
 from jobloom.sources.tables import table
 
 
@@ -23,6 +23,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab.vocabulary_path("word_bpe_49k.json"), 2048, 1)
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_fingerprints": op2_fingerprints,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
         "op9_simhash": op9_simhash,
