@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import embedding_dedup, html_text, licenses, minhash, packing, simhash, token_counts, vocab
+from jobloom.llm import embedding_dedup, html_text, licenses, minhash, packing, secrets, simhash, token_counts, toxicity, vocab
 from jobloom.sources.tables import table
 
 
@@ -27,10 +27,19 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), path="source")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab.vocabulary_path("word_bpe_49k.json"), 2048, 1)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.predict(docs, table(spark, sf_dir, "labels"), 0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4, 42)
 
@@ -44,8 +53,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": op1_html_extraction,
         "op2_fingerprints": op2_fingerprints,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op5_secrets": op5_secrets,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
         "op10_licenses": op10_licenses,
     }
