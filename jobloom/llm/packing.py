@@ -9,6 +9,7 @@ of documents, so a group stays as large as it is at any size of the input.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,12 +25,17 @@ _WORD = re.compile(r"[^ \t\n\r]+")
 MAX_REMEMBERED = 400_000
 
 
+# fixed values: white space, letters and numbers of Unicode among the first 256 characters
+_BLANKS, _LETTERS, _NUMBERS = r"\t\n\x0b\x0c\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+
+
 class WordEncoder:
     """Token ids of texts under a ``tokenizers`` file whose words never reach over white space.
 
-    The ids of a text are those of its white-space delimited words one after another, so words are encoded once per
-    worker and remembered as bytes of little-endian unsigned 32-bit ids. Words not seen yet are encoded together, with a
-    special token between them; words that hold such a token's string are encoded alone.
+    The ids of a text are those of its words one after another, so words are encoded once per worker and remembered as
+    bytes of little-endian unsigned 32-bit ids. A text of the first 256 characters only, without the start of a special
+    token, is lowered and cut by the file's own pattern here, and its new words go straight to the file's merges.
+    Otherwise the library normalises and cuts the white-space delimited parts that are new, joined by a special token.
     """
 
     def __init__(self, path: str):
@@ -38,6 +44,25 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._special = {t.content: i for i, t in self._tokenizer.get_added_tokens_decoder().items()}
         self._known: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self._own = self._pattern(parts)
+        alphabet = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {b: chr(b) for b in alphabet} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(alphabet)))}
+        self._shown = str.maketrans({chr(b): c for b, c in shown.items()})
+
+    @staticmethod
+    def _pattern(parts: dict) -> re.Pattern | None:
+        """The file's pattern for the first 256 characters, if the file lowers, composes and cuts in the usual way."""
+        kinds = [n["type"] for n in (parts.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if kinds != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or not cuts[0].get("invert") or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+            return None
+        pattern = cuts[0]["pattern"]["Regex"]
+        for name, chars in ((r"\p{L}", _LETTERS), (r"\p{N}", _NUMBERS), (r"\s", _BLANKS)):
+            pattern = pattern.replace(f"[{name}]", f"[{chars}]").replace(name, chars)
+        return re.compile(pattern)
 
     def _alone(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,16 +81,33 @@ class WordEncoder:
             raw = ids.tobytes()
             self._known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(starts, ends))))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its ids, as bytes."""
-        words = [_WORD.findall(t) for t in texts]
-        known = self._known
-        if len(known) > MAX_REMEMBERED:
-            known.clear()
-        if missing := list({w for own in words for w in own if w not in known}):
+    def _slow(self, text: str) -> bytes:
+        words, known = _WORD.findall(text), self._known
+        if missing := list({w for w in words if w not in known}):
             self._learn(missing)
-        for own in words:
-            yield b"".join(map(known.__getitem__, own))
+        return b"".join(map(known.__getitem__, words))
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes."""
+        if len(self._known) > MAX_REMEMBERED:
+            self._known.clear()
+        if len(self._words) > MAX_REMEMBERED:
+            self._words.clear()
+        if self._own is None or "<|" in text:
+            return self._slow(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._slow(text)
+        words, known = self._own.findall(text.lower()), self._words
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            merge = self._tokenizer.model.tokenize
+            for w in set(words).difference(known):
+                shown = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self._shown)
+                known[w] = b"".join(t.id.to_bytes(4, "little") for t in merge(shown))
+            return b"".join(map(known.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -124,12 +166,10 @@ def pieces(docs: DataFrame, path: str, length: int, end_id: int, doc_id: str = "
         own, tail = encoder(path), np.asarray([end_id], "<u4").tobytes()
         for batch in texts:
             out = []
-            filled = [t or "" for t in batch]
-            for k in range(0, len(filled), 512):
-                for raw in own.encode(filled[k : k + 512]):
-                    ids = raw + tail
-                    n = len(ids) // 4
-                    out.append([(i, min(length, n - i), zlib.crc32(ids[4 * i : 4 * (i + length)]), n) for i in range(0, n, length)])
+            for t in batch:
+                ids = own.encode(t or "") + tail
+                n = len(ids) // 4
+                out.append([(i, min(length, n - i), zlib.crc32(ids[4 * i : 4 * (i + length)]), n) for i in range(0, n, length)])
             yield pd.Series(out)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(cut(F.col(text))).alias("p")).select("doc_id", "p.*")

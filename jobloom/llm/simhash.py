@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.llm.components import connected_components
@@ -29,8 +29,11 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64 bits; bit i is 1 if it is set in over half of the hashes of the text's word shingles. No words: 0."""
+def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42, distinct: bool = False) -> int:
+    """64 bits; bit i is 1 if it is set in over half of the hashes of the text's word shingles. No words: 0.
+
+    ``distinct`` counts a shingle that repeats in the text once.
+    """
     import xxhash
 
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
@@ -39,21 +42,24 @@ def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
+    shingles = map(b" ".join, zip(*(itertools.islice(words, j, n + j) for j in range(shingle))))
+    if distinct:
+        n = len(shingles := set(shingles))
+    shingles = iter(shingles)
     count = np.zeros(BITS, np.int64)
-    for k in range(0, n, 1 << 16):
-        parts = zip(*(words[k + j : min(k + j + (1 << 16), n + j)] for j in range(shingle)))
-        hashes = np.fromiter((digest(b" ".join(p), seed) for p in parts), ">u8")
+    for _ in range(0, n, 1 << 16):
+        hashes = np.fromiter((digest(x, seed) for x in itertools.islice(shingles, 1 << 16)), ">u8")
         count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: int = 42, out: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: int = 42, out: str = "fp", distinct: bool = False) -> DataFrame:
     """Every row with its fingerprint as a signed long in ``out``, without the text."""
 
     @F.pandas_udf("long")
     def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series(np.array([text_fingerprint(t, shingle, seed) for t in batch], np.uint64).view(np.int64))
+            yield pd.Series(np.array([text_fingerprint(t, shingle, seed, distinct) for t in batch], np.uint64).view(np.int64))
 
     return docs.withColumn(out, fingerprint(F.col(text))).drop(text)
 
@@ -133,15 +139,20 @@ def _keys(fp: str, errors: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def fingerprint_links(prints: DataFrame, fp: str = "fp", errors: int = 4, blocks: int = 6, block_rows: int = 4096) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that keep all their components: those with ``errors`` bits or fewer."""
-    keyed = prints.select(F.col(fp).alias("fp")).select("fp", F.explode(_keys("fp", errors, blocks)).alias("k")).select("fp", "k.*")
+def fingerprint_links(prints: DataFrame, errors: int = 4, blocks: int = 6, block_rows: int = 1024, check_errors: int | None = None) -> DataFrame:
+    """Links (a, b) that keep all components of the rows (id, fp) whose fingerprints differ in ``errors`` bits or fewer.
+
+    With ``check_errors`` the rows also have a second fingerprint ``check``, which must not differ in more bits than that.
+    Rows are distinct.
+    """
+    extra = ["check"] if check_errors is not None else []
+    keyed = prints.select("id", "fp", *extra, F.explode(_keys("fp", errors, blocks)).alias("k")).select("id", "fp", *extra, "k.*")
     sized = keyed.groupBy("choice", "part").agg(F.count("*").alias("n")).where("n > 1")
     # a row of a large key goes to every pair of blocks that its own salt takes part in; rows alone under a key go nowhere
     with_salts = keyed.join(sized, ["choice", "part"]).withColumn("salts", F.ceil(F.col("n") / block_rows).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.least(s, own).alias("s"), F.greatest(s, own).alias("t")))
-    dealt = with_salts.select("fp", "choice", "part", own.alias("own"), F.explode(pairs).alias("p")).select("fp", "choice", "part", "own", "p.*")
+    dealt = with_salts.select("id", "fp", *extra, "choice", "part", own.alias("own"), F.explode(pairs).alias("p")).select("id", "fp", *extra, "choice", "part", "own", "p.*")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -155,43 +166,55 @@ def fingerprint_links(prints: DataFrame, fp: str = "fp", errors: int = 4, blocks
                 held.append(batch)
                 continue
             cut = int(np.argmax(open_))
-            yield _links_of(pd.concat([*held, batch[:cut]]), errors)
+            yield _links_of(pd.concat([*held, batch[:cut]]), errors, check_errors)
             held = [batch[cut:]]
         if held:
-            yield _links_of(pd.concat(held), errors)
+            yield _links_of(pd.concat(held), errors, check_errors)
 
-    ordered = dealt.repartition("choice", "part", "s", "t").sortWithinPartitions("choice", "part", "s", "t")
+    ordered = dealt.repartition("choice", "part", "s", "t").sortWithinPartitions("choice", "part", "s", "t", "fp")
     return ordered.mapInPandas(walk, "a long, b long")
 
 
-def _links_of(rows: pd.DataFrame, errors: int) -> pd.DataFrame:
-    """Forest links of complete (choice, part, s, t) groups that lie one after another."""
+def _links_of(rows: pd.DataFrame, errors: int, check_errors: int | None) -> pd.DataFrame:
+    """Forest links of complete (choice, part, s, t) groups that lie one after another, each sorted by fingerprint."""
     keys = rows[["choice", "part", "s", "t"]].to_numpy()
-    fp, own = rows["fp"].to_numpy().view(np.uint64), rows["own"].to_numpy()
+    ids, own = rows["id"].to_numpy(), rows["own"].to_numpy()
+    fp = rows["fp"].to_numpy().view(np.int64).view(np.uint64)
+    check = rows["check"].to_numpy().view(np.int64).view(np.uint64) if check_errors is not None else None
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, int)
     ends = np.r_[starts[1:], len(rows)] if len(rows) else starts
     out_a, out_b = [], []
     sizes = ends - starts
+
+    def checked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if check is None:
+            return i, j
+        near = np.bitwise_count(check[i] ^ check[j]) <= check_errors
+        return i[near], j[near]
+
     # groups of two to eight rows, the usual kind, together
     few = (sizes > 1) & (sizes <= 8)
     if few.any():
         i, j = _products(starts[few], ends[few], starts[few], ends[few])
         near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= errors)
-        out_a.append(fp[i[near]])
-        out_b.append(fp[j[near]])
+        i, j = checked(i[near], j[near])
+        out_a.append(ids[i])
+        out_b.append(ids[j])
     for a, b in zip(starts[sizes > 8], ends[sizes > 8]):
         s, t = keys[a, 2], keys[a, 3]
-        left = np.sort(fp[a:b][own[a:b] == s])
-        right = left if s == t else np.sort(fp[a:b][own[a:b] == t])
+        left = a + np.flatnonzero(own[a:b] == s)
+        right = left if s == t else a + np.flatnonzero(own[a:b] == t)
         if not len(left) or not len(right):
             continue
-        i, j = trie_links(left, right, errors)
-        nodes, n = (left, 0) if s == t else (np.concatenate([left, right]), len(left))
-        rest, least = _forest(len(nodes), i, j + n)
-        out_a.append(nodes[rest])
-        out_b.append(nodes[least])
-    none = np.zeros(0, np.uint64)
-    return pd.DataFrame({"a": np.concatenate([none, *out_a]).view(np.int64), "b": np.concatenate([none, *out_b]).view(np.int64)})
+        order = np.argsort(fp[left], kind="stable"), np.argsort(fp[right], kind="stable")  # signed order isn't the trie's
+        left, right = left[order[0]], right[order[1]]
+        i, j = trie_links(fp[left], fp[right], errors)
+        i, j = checked(left[i], right[j])
+        rest, least = _forest(b - a, i - a, j - a)
+        out_a.append(ids[a + rest])
+        out_b.append(ids[a + least])
+    none = np.zeros(0, np.int64)
+    return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
 
 def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,9 +226,29 @@ def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4, seed: in
     """
     prints = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, seed))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = fingerprint_links(distinct, "fp", errors)
+    links = fingerprint_links(distinct.select(F.col("fp").alias("id"), "fp"), errors)
     member = connected_components(links).select(F.col("node").alias("fp"), F.col("component"))
     grouped = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 2, errors: int = 8, blocks: int = 10, check_shingle: int = 5, check_errors: int = 12, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the least doc_id stays.
+
+    For texts that share 0.8 or more of their five-word shingles a fingerprint of four-word shingles may differ in a dozen
+    bits. Two fingerprints of distinct shingles decide here: one of short shingles, which an edited word changes little,
+    joined within ``errors`` bits, and one of five-word shingles, within ``check_errors`` bits (texts that share 0.8 of
+    them differ in ten of 64 on average, unrelated ones in 32). Null and empty texts are copies of each other. Rows that
+    share a doc_id are one document, of which the first stays; rows without doc_id are no copies of anything and stay.
+    """
+    own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(text).alias("u"))
+    prints = fingerprints(fingerprints(own, "t", shingle, seed, "fp", True), "u", check_shingle, seed, "check", True)
+    distinct = materialise(prints.groupBy("fp", "check").agg(F.min("doc_id").alias("id")))
+    # the least doc_id of the documents with these fingerprints names the node
+    member = connected_components(fingerprint_links(distinct, errors, blocks, check_errors=check_errors))
+    kept = distinct.select("id").distinct().join(member.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
+    rows = docs.join(kept.select(F.col("id").alias(doc_id)), doc_id, "left_semi")
+    first = rows.withColumn("_row", F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))).where("_row = 1").drop("_row")
+    return first.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
