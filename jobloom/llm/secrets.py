@@ -19,7 +19,7 @@ from jobloom.sources.tables import materialise
 
 # fixed values: names of credentials, marks of placeholders and of paths that hold examples, provider formats, common words
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential|bearer"
-PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted|123456|abcdef"
+PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted|1234567|abcdefg"
 EXAMPLE_PATH = "test|example|fixture|mock|sample|docs?/|readme"
 FORMATS = (
     "^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^sk_live_[0-9A-Za-z]{16,}$|^AIza[0-9A-Za-z_-]{35}$|"
