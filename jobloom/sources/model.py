@@ -75,12 +75,13 @@ def job(spark: SparkSession, sf_dir: str, latest: bool = True) -> DataFrame:
 def job_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat event log: (ts, event_id) is the log order; the log has no duplicates of it."""
     e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    j = F.floor(i / 12)  # independent of the kind
     kind = F.get(F.array(*map(F.lit, KINDS)), (i % 12).cast("int"))
     return e.select(
         text("ej-", u).alias("job_id"), F.concat(F.lit("er-"), u.cast("string"), F.lit("-"), (i % 5).cast("string")).alias("run_id"), text("queue-", u % 7).alias("queue"), text("js-", u % 20).alias("jobset"), text("user-", u % 9).alias("user"),
-        i.alias("seq"), seconds("ts").alias("created"), kind.alias("kind"), (i % 10).alias("priority"), text("reason-", i % 4).alias("reason"), F.when(i % 3 == 0, text("req-", i % 2)).alias("requestor"),
-        text("cluster-", i % 5).alias("cluster"), text("node-", i % 40).alias("node"), text("pool-", i % 3).alias("pool"), (i % 7 < 5).alias("terminal"), F.get(F.array(*map(F.lit, ["PodError", "LeaseReturned", "LeaseExpired", "JobRunPreemptedError", "MaxRunsExceeded", "JobRejected"])), (i % 6).cast("int")).alias("error_kind"),
-        (i % 4).cast("int").alias("exit_code"), F.length("props").cast("long").alias("bytes"), F.col("event_type"), F.col("value"),
+        i.alias("seq"), seconds("ts").alias("created"), kind.alias("kind"), (i % 10).alias("priority"), text("reason-", j % 4).alias("reason"), F.when(j % 3 == 0, text("req-", i % 2)).alias("requestor"),
+        text("cluster-", i % 5).alias("cluster"), text("node-", i % 40).alias("node"), text("pool-", i % 3).alias("pool"), (i % 7 < 5).alias("terminal"), F.get(F.array(*map(F.lit, ["PodError", "LeaseReturned", "LeaseExpired", "JobRunPreemptedError", "MaxRunsExceeded", "JobRejected"])), (j % 6).cast("int")).alias("error_kind"),
+        (j % 4).cast("int").alias("exit_code"), F.length("props").cast("long").alias("bytes"), F.col("event_type"), F.col("value"),
     )
 
 
@@ -155,8 +156,8 @@ job0 AS (SELECT 'job-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS job_id,
 job AS (SELECT job0.*, latest.latest_run_id FROM job0 LEFT JOIN latest ON job0.job_id = latest.job_id),
 job_event AS (SELECT 'ej-' || user_id AS job_id, 'er-' || user_id || '-' || (event_id % 5) AS run_id, 'queue-' || (user_id % 7) AS queue, 'js-' || (user_id % 20) AS jobset, 'user-' || (user_id % 9) AS usr, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS created,
     CASE event_id % 12 WHEN 0 THEN 'SubmitJob' WHEN 1 THEN 'JobRunLeased' WHEN 2 THEN 'JobRunAssigned' WHEN 3 THEN 'JobRunRunning' WHEN 4 THEN 'JobSucceeded' WHEN 5 THEN 'CancelledJob' WHEN 6 THEN 'ReprioritisedJob' WHEN 7 THEN 'JobErrors' WHEN 8 THEN 'JobRunPreempted' WHEN 9 THEN 'JobRequeued' WHEN 10 THEN 'JobRunErrors' ELSE 'JobRunSucceeded' END AS kind,
-    event_id % 10 AS priority, 'reason-' || (event_id % 4) AS reason, CASE WHEN event_id % 3 = 0 THEN 'req-' || (event_id % 2) END AS requestor, 'cluster-' || (event_id % 5) AS cluster, 'node-' || (event_id % 40) AS node, 'pool-' || (event_id % 3) AS pool, event_id % 7 < 5 AS terminal,
-    CASE event_id % 6 WHEN 0 THEN 'PodError' WHEN 1 THEN 'LeaseReturned' WHEN 2 THEN 'LeaseExpired' WHEN 3 THEN 'JobRunPreemptedError' WHEN 4 THEN 'MaxRunsExceeded' ELSE 'JobRejected' END AS error_kind, CAST(event_id % 4 AS INTEGER) AS exit_code, CAST(length(props) AS BIGINT) AS bytes, event_type, value FROM events),
+    event_id % 10 AS priority, 'reason-' || (event_id // 12 % 4) AS reason, CASE WHEN event_id // 12 % 3 = 0 THEN 'req-' || (event_id % 2) END AS requestor, 'cluster-' || (event_id % 5) AS cluster, 'node-' || (event_id % 40) AS node, 'pool-' || (event_id % 3) AS pool, event_id % 7 < 5 AS terminal,
+    CASE event_id // 12 % 6 WHEN 0 THEN 'PodError' WHEN 1 THEN 'LeaseReturned' WHEN 2 THEN 'LeaseExpired' WHEN 3 THEN 'JobRunPreemptedError' WHEN 4 THEN 'MaxRunsExceeded' ELSE 'JobRejected' END AS error_kind, CAST(event_id // 12 % 4 AS INTEGER) AS exit_code, CAST(length(props) AS BIGINT) AS bytes, event_type, value FROM events),
 sjob AS (SELECT 'job-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS job_id, 'queue-' || (o_custkey % 9) AS queue, 'js-' || (o_custkey % 50) AS job_set, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 AS submitted, o_orderkey % 5 AS priority,
     CASE WHEN o_orderkey % 3 = 0 THEN 'high' ELSE 'low' END AS priority_class, o_orderkey % 9 = 0 AS queued, o_orderkey % 5 <> 0 AS validated, o_orderkey % 9 = 5 AS cancelled, o_orderkey % 9 = 3 AS succeeded, o_orderkey % 9 = 4 AS failed, o_orderkey % 6 AS queued_version, o_orderkey AS serial,
     'pool-' || (o_orderkey % 3) AS pool1, CASE WHEN o_orderkey % 2 = 0 THEN 'pool-' || ((o_orderkey + 1) % 3) END AS pool2, 'band-' || (o_custkey % 4) AS price_band, CASE WHEN o_orderkey % 10 < 3 THEN 'gang-' || (o_orderkey // 30) END AS gang_id, 2 + o_orderkey % 2 AS gang_cardinality,
