@@ -1 +1,231 @@
-"""Queries."""
+"""Queries of maintenance, health reports, normalisation and the event log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from jobloom.functions import scalars
+from jobloom.jobs.metric_queries import _ACT
+from jobloom.jobs.registry import query
+from jobloom.operators import events as e
+from jobloom.operators import health as h
+from jobloom.operators import maintain as p
+from jobloom.operators import metrics as x
+from jobloom.operators import selectors as sel
+from jobloom.sources import model as m
+from jobloom.sources.model import NOW
+
+LIFETIME = 100_000_000
+_GONE = f", gone AS (SELECT job_id FROM job WHERE state IN (4, 5, 6, 7, 9) AND last_transition_time < {NOW - LIFETIME})"
+
+
+def _jr(spark, d):
+    return m.scheduler_jobs(spark, d), m.scheduler_runs(spark, d)
+
+
+def _short(df):
+    return df.withColumns({c: F.col(c).cast("long") for c in ("state", "old_state", "new_state") if c in df.columns})
+
+
+@query("p1_prune_jobs", _GONE + " SELECT job_id, state FROM job WHERE job_id NOT IN (SELECT job_id FROM gone)")
+def p1(spark, d):
+    return _short(p.prune_jobs({"job": m.job(spark, d, False)}, NOW, LIFETIME)["job"].select("job_id", "state"))
+
+
+@query("p1_prune_runs", _GONE + " SELECT run_id FROM job_run LEFT JOIN gone ON gone.job_id = job_run.job_id WHERE gone.job_id IS NULL")
+def p1_runs(spark, d):
+    return p.prune_jobs({"job": m.job(spark, d, False), "job_run": m.job_run(spark, d)}, NOW, LIFETIME)["job_run"].select("run_id")
+
+
+@query("p2_expire_dedup", f"SELECT queue || ':c' || CAST(priority AS VARCHAR) || owner AS deduplication_id, submitted AS inserted FROM job WHERE submitted > {NOW - LIFETIME}")
+def p2(spark, d):
+    dedup = m.job(spark, d, False).select(F.concat("queue", F.lit(":c"), F.col("priority").cast("string"), "owner").alias("deduplication_id"), F.col("submitted").alias("inserted"))
+    return p.expire_dedup(dedup, NOW, LIFETIME)
+
+
+_Z = f", z AS (SELECT job.job_id, queue, jobset, state AS old_state, CASE job_run_state WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 12 THEN 6 ELSE 7 END AS new_state, run_id, finished FROM job JOIN job_run ON run_id = latest_run_id WHERE state IN (1, 2, 3, 8) AND job_run_state IN (3, 4, 12, 6) AND finished < {NOW} - 3600)"
+
+
+@query("p3_zombie_report", _Z + " SELECT * FROM z")
+def p3(spark, d):
+    return _short(p.repair_zombies(m.job(spark, d), m.job_run(spark, d), NOW, 3600)[1])
+
+
+@query("p3_repaired_jobs", _Z + " SELECT job.job_id, coalesce(new_state, state) AS state, coalesce(finished, last_transition_time) AS last_transition_time FROM job LEFT JOIN z ON z.job_id = job.job_id")
+def p3_jobs(spark, d):
+    return _short(p.repair_zombies(m.job(spark, d), m.job_run(spark, d), NOW, 3600)[0].select("job_id", "state", "last_transition_time"))
+
+
+@query("p4_unrepairable_zombies", "SELECT count(*) AS jobs FROM job JOIN job_run ON run_id = latest_run_id WHERE state IN (1, 2, 3, 8) AND job_run_state IN (3, 4, 12, 6) AND CASE WHEN CAST(substr(job.job_id, 5, 10) AS BIGINT) % 2 = 0 THEN NULL ELSE finished END IS NULL")
+def p4(spark, d):
+    runs = m.job_run(spark, d).withColumn("finished", F.when(F.substring("job_id", 5, 10).cast("long") % 2 != 0, F.col("finished")))
+    return p.count_unrepairable_zombies(m.job(spark, d), runs)
+
+
+@query("p5_prune_scheduler", f"SELECT srun.run_id FROM srun JOIN sjob ON sjob.job_id = srun.job_id WHERE NOT (submitted + 1000 < {NOW - LIFETIME} AND (sjob.succeeded OR sjob.failed OR sjob.cancelled))")
+def p5(spark, d):
+    jobs, runs = _jr(spark, d)
+    return p.prune_scheduler(jobs.withColumn("last_modified", F.col("submitted") + 1000), {"runs": runs}, NOW, LIFETIME)["runs"].select("run_id")
+
+
+@query("p6_move_terminal", ", u AS (SELECT job_id, 6 AS st, CASE WHEN CAST(substr(job_id, 5, 10) AS BIGINT) % 4 = 0 THEN 'moved' END AS r FROM job WHERE CAST(substr(job_id, 5, 10) AS BIGINT) % 2 = 0) SELECT job.job_id, coalesce(st, state) AS state, coalesce(r, cancel_reason) AS cancel_reason FROM job LEFT JOIN u ON u.job_id = job.job_id")
+def p6(spark, d):
+    job, k = m.job(spark, d, False), F.substring("job_id", 5, 10).cast("long")
+    updates = job.where(k % 2 == 0).select("job_id", F.lit(6).cast("short").alias("state"), F.when(k % 4 == 0, "moved").alias("cancel_reason"))
+    return _short(p.move_terminal(job, updates).select("job_id", "state", "cancel_reason"))
+
+
+@query("h1_jobs_to_expire", _ACT + f" SELECT job_id, run_id, executor, 'internal' AS category, 'lease expired' AS reason FROM act WHERE executor IN (SELECT executor FROM executors WHERE last_updated < {NOW} - 600)")
+def h1(spark, d):
+    return h.jobs_to_expire(*_jr(spark, d), h.stale_executors(m.executors(spark), NOW, 600))
+
+
+@query("h2_lagging_executors", _ACT + " SELECT executor, count(*) AS unreported, count(*) > 40 AS lagging FROM act WHERE CAST(substr(run_id, 5, 10) AS BIGINT) % 4 = 0 GROUP BY executor")
+def h2(spark, d):
+    jobs, runs = _jr(spark, d)
+    return h.lagging_executors(jobs, runs, runs.where(F.substring("run_id", 5, 10).cast("long") % 4 != 0).select("run_id"), 40)
+
+
+@query("h3_reconcile_runs", _ACT + ", r AS (SELECT act.*, n.pool AS np, reservation FROM act LEFT JOIN node n ON n.node = act.node), q AS (SELECT job_id, run_id, node, pool, CASE WHEN np IS NULL AND gang_id IS NOT NULL THEN 'node of gang job no longer exists' WHEN np <> pool AND NOT (pool = 'pool-0' AND np = 'pool-2') THEN 'node is now in pool ' || np WHEN reservation IS NOT NULL AND priority_class <> 'high' THEN 'node is reserved for ' || reservation END AS reason FROM r) SELECT * FROM q WHERE reason IS NOT NULL")
+def h3(spark, d):
+    away = spark.createDataFrame([("pool-0", "pool-2")], "pool string, away_pool string")
+    return h.reconcile_runs(*_jr(spark, d), m.nodes(spark, d), away)
+
+
+@query("h4_invalid_gangs", ", g AS (SELECT queue, gang_id, bool_and(queued) AS q, count(DISTINCT priority_class) AS c, count(DISTINCT gang_cardinality) AS i, max(gang_cardinality) AS s, count(*) AS n FROM sjob WHERE gang_id IS NOT NULL GROUP BY queue, gang_id), b AS (SELECT queue, gang_id, CASE WHEN NOT q THEN 'not all members are queued' WHEN c > 1 THEN 'members differ in priority class' WHEN i > 1 THEN 'members differ in gang information' WHEN n > s THEN 'more members than the cardinality' END AS reason FROM g) SELECT sjob.queue, sjob.gang_id, job_id, reason FROM sjob JOIN b ON b.queue = sjob.queue AND b.gang_id = sjob.gang_id WHERE reason IS NOT NULL")
+def h4(spark, d):
+    return h.invalid_gangs(m.scheduler_jobs(spark, d))
+
+
+_FAILED = ", fr AS (SELECT run_id, queue, 'policy-' || (CAST(substr(job_run.job_id, 5, 10) AS BIGINT) % 3) AS policy, CASE WHEN exit_code > 0 THEN failure_category END AS category, failure_subcategory AS subcategory, CAST(substr(job_run.job_id, 5, 10) AS BIGINT) % 6 AS failures FROM job_run JOIN job ON job.job_id = job_run.job_id WHERE job_run_state = 4 AND CAST(substr(job_run.job_id, 5, 10) AS BIGINT) % 10 <> 0)"
+_DECIDED = _FAILED + ", ru AS (SELECT 'policy-0' AS policy, 0 AS o, 'cat-1' AS c, 'sub-1' AS s, 'Retry' AS a UNION ALL SELECT 'policy-0', 1, 'cat-1', NULL, 'Fail' UNION ALL SELECT 'policy-1', 0, 'cat-0', NULL, 'Retry'), fi AS (SELECT run_id, arg_min(a, o) AS rule FROM fr JOIN ru ON ru.policy = fr.policy AND ru.c = fr.category AND (ru.s IS NULL OR ru.s = fr.subcategory) GROUP BY run_id), de AS (SELECT fr.run_id, queue, policy, CASE WHEN category IS NULL THEN 'no_error' WHEN greatest(failures - 1, 0) >= 4 THEN 'fail_global_limit' WHEN rule = 'Fail' THEN 'fail_rule' WHEN rule IS NULL AND policy <> 'policy-1' THEN 'fail_default' WHEN greatest(failures - 1, 0) >= CASE policy WHEN 'policy-0' THEN 3 WHEN 'policy-1' THEN 2 ELSE 0 END THEN 'fail_policy_limit' ELSE 'retry' END AS decision FROM fr LEFT JOIN fi ON fi.run_id = fr.run_id)"
+
+
+def _decisions(spark, d):
+    k = F.substring("job_id", 5, 10).cast("long")
+    failed = m.job_run(spark, d).where("job_run_state = 4").join(m.job(spark, d, False).select("job_id", "queue"), "job_id")
+    failed = failed.select("run_id", "queue", m.text("policy-", k % 3).alias("policy"), F.when(F.col("exit_code") > 0, F.col("failure_category")).alias("category"), F.col("failure_subcategory").alias("subcategory"), (k % 6).alias("failures"), F.when(k % 10 == 0, "g").alias("gang_id"), F.lit(False).alias("returned"))
+    policies = spark.createDataFrame([("policy-0", 3, "Fail"), ("policy-1", 2, "Retry")], "policy string, retry_limit int, default_action string")
+    rules = spark.createDataFrame([("policy-0", 0, "cat-1", "sub-1", "Retry"), ("policy-0", 1, "cat-1", None, "Fail"), ("policy-1", 0, "cat-0", None, "Retry")], "policy string, ordinal int, on_category string, on_subcategory string, action string")
+    return h.retry_decisions(failed, policies, rules, 4)
+
+
+@query("h5_retry_decisions", _DECIDED + " SELECT * FROM de")
+def h5(spark, d):
+    return _decisions(spark, d)
+
+
+@query("t8_retry_decision_counts", _DECIDED + " SELECT queue, policy, decision, count(*) AS n FROM de GROUP BY queue, policy, decision")
+def t8(spark, d):
+    return x.counts_by(_decisions(spark, d), "queue", "policy", "decision")
+
+
+@query("h6_failure_counts", "SELECT job_id, CAST(sum(CASE WHEN failed AND NOT preempted AND NOT returned THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM srun GROUP BY job_id")
+def h6(spark, d):
+    return h.failure_counts(m.scheduler_runs(spark, d))
+
+
+RULES = [h.Rule("oom", ("OOMKilled",)), h.Rule("evicted", ("Evicted", "DeadlineExceeded")), h.Rule("exit", exit_codes=(1,), container="main"), h.Rule("message", termination_message="(?i)disk full"), h.Rule("pull", pod_error="image .* not found"), h.Rule("mount", event_type="Warning", event_reason="FailedMount", event_message="^timeout")]
+
+
+@query("h7_categorise_failures", ", r AS (SELECT run_id, exit_code, CAST(substr(job_id, 5, 10) AS BIGINT) AS k FROM job_run WHERE job_run_state = 4) SELECT run_id, CASE WHEN exit_code <> 0 AND k % 7 = 0 THEN 'oom' WHEN k % 11 = 0 THEN 'evicted' WHEN exit_code = 1 AND k % 2 = 0 THEN 'exit' WHEN exit_code <> 0 AND k % 5 = 0 THEN 'message' WHEN k % 13 = 0 THEN 'pull' WHEN k % 3 = 0 THEN 'mount' ELSE 'other' END AS category FROM r")
+def h7(spark, d):
+    k = F.substring("job_id", 5, 10).cast("long")
+    container = F.struct(F.when(k % 2 == 0, "main").otherwise("side").alias("name"), "exit_code", F.when(k % 7 == 0, "OOMKilled").otherwise("Error").alias("reason"), F.when(k % 5 == 0, "Disk full on /").otherwise("").alias("termination_message"))
+    event = F.struct(F.lit("Warning").alias("type"), F.when(k % 3 == 0, "FailedMount").otherwise("BackOff").alias("reason"), F.lit("timeout of volume").alias("message"))
+    failed = m.job_run(spark, d).where("job_run_state = 4").select("run_id", F.when(k % 11 == 0, "Evicted").otherwise("").alias("pod_reason"), F.when(k % 13 == 0, "image x:1 not found").otherwise("").alias("pod_error"), F.array(container).alias("containers"), F.array(event).alias("pod_events"))
+    return h.categorise_failures(failed, RULES, "other")
+
+
+@query("h8_audit_submissions", " UNION ALL ".join(["SELECT job_id, 'missing namespace' AS rule FROM job WHERE namespace IS NULL", "SELECT job_id, 'client id too long' FROM job WHERE length(owner) > 8", "SELECT job_id, 'unknown priority class' FROM job WHERE priority_class = 'low'", "SELECT job_id, 'cpu limit out of range' FROM job WHERE priority = 2", "SELECT job_id, 'memory is missing' FROM job WHERE gpu = 1", "SELECT job_id, 'cpu is negative' FROM job WHERE cpu = 16000"]))
+def h8(spark, d):
+    job = m.job(spark, d, False)
+    cpu = F.when(F.col("cpu") == 16000, F.lit(-1.0)).otherwise(F.col("cpu").cast("double"))
+    subs = job.select("job_id", "queue", "jobset", "namespace", F.col("owner").alias("client_id"), "priority_class", F.lit(None).cast("string").alias("price_band"), cpu.alias("request_cpu"), F.when(F.col("priority") == 2, cpu + 1).otherwise(cpu).alias("limit_cpu"), F.when(F.col("gpu") == 0, F.col("memory").cast("double")).alias("request_memory"), F.col("memory").cast("double").alias("limit_memory"))
+    return h.audit_submissions(subs, h.AuditConfig(classes=("high",), longest_id=8))
+
+
+@query("h9_processing_delay", ", a AS (SELECT i AS part, CASE WHEN i = 3 THEN 1000000000 ELSE 4000 + i * 10 END AS done FROM (SELECT unnest(range(4)) AS i) r) SELECT job_event.seq % 5 AS \"partition\", coalesce(greatest(1706700000 - min(CASE WHEN done IS NULL OR job_event.seq > done THEN created END), 0), 0) AS delay FROM job_event LEFT JOIN a ON a.part = job_event.seq % 5 GROUP BY 1")
+def h9(spark, d):
+    messages = m.job_event(spark, d).select((F.col("seq") % 5).alias("partition"), "seq", F.col("created").alias("published"))
+    acked = spark.range(4).select(F.col("id").alias("partition"), F.when(F.col("id") == 3, 1_000_000_000).otherwise(4000 + F.col("id") * 10).alias("seq"))
+    return h.processing_delay(messages, acked, 1_706_700_000)
+
+
+@query("i18_active_jobs_on_executor", _ACT + " SELECT queue, job_set, count(*) AS jobs FROM act JOIN (SELECT job_id, job_set FROM sjob) s USING (job_id) WHERE executor = 'executor-2' AND queue IN ('queue-1', 'queue-2', 'queue-5') AND pool IN ('pool-0', 'pool-1') AND priority_class = 'low' GROUP BY queue, job_set")
+def i18(spark, d):
+    found = sel.select_active_jobs(*_jr(spark, d), executor="executor-2", queues=["queue-1", "queue-2", "queue-5"], pools=["pool-0", "pool-1"], priority_classes=["low"])
+    return sel.by_job_set(found).select("queue", "job_set", F.size("job_ids").cast("long").alias("jobs"))
+
+
+@query("i18_queued_jobs", "SELECT queue, job_set, count(*) AS jobs FROM sjob WHERE queued AND queue = 'queue-3' AND (pool1 = 'pool-2' OR pool2 = 'pool-2') GROUP BY queue, job_set")
+def i18_queued(spark, d):
+    found = sel.select_active_jobs(*_jr(spark, d), queues=["queue-3"], pools=["pool-2"], states=["queued"])
+    return sel.by_job_set(found).select("queue", "job_set", F.size("job_ids").cast("long").alias("jobs"))
+
+
+@query("i19_changes_since", "SELECT job_id, serial FROM sjob WHERE serial > 100 ORDER BY serial LIMIT 500")
+def i19(spark, d):
+    return sel.changes_since(m.scheduler_jobs(spark, d), 100, 500).select("job_id", "serial")
+
+
+@query("i19_initial_jobs", "SELECT job_id, serial FROM sjob WHERE NOT (cancelled OR succeeded OR failed)")
+def i19_initial(spark, d):
+    return sel.initial_jobs(m.scheduler_jobs(spark, d)).select("job_id", "serial")
+
+
+@query("i20_marker_group_counts", "SELECT 'g' || (seq // 50) AS group_id, count(DISTINCT seq % 8) AS partitions, count(DISTINCT seq % 8) = 8 AS complete FROM job_event WHERE seq % 9 < 7 GROUP BY 1")
+def i20(spark, d):
+    markers = m.job_event(spark, d).where("seq % 9 < 7").select(m.text("g", F.floor(F.col("seq") / 50)).alias("group_id"), (F.col("seq") % 8).alias("partition_id"))
+    return sel.marker_group_counts(markers, 8)
+
+
+@query("s4_finished_runs", ", en AS (SELECT job_id, CASE kind WHEN 'CancelledJob' THEN 'CANCELLED' WHEN 'JobSucceeded' THEN 'SUCCEEDED' ELSE 'PREEMPTED' END AS state, created AS finished FROM job_event WHERE kind IN ('CancelledJob', 'JobSucceeded', 'JobRunPreempted')), sc AS (SELECT job_id, max(created) AS scheduled FROM job_event WHERE kind = 'JobRunLeased' GROUP BY job_id), jb AS (SELECT job_id, min(created) AS submitted, arg_min(queue, seq) AS queue FROM job_event WHERE kind = 'SubmitJob' GROUP BY job_id) SELECT en.job_id, en.state, finished, scheduled, submitted, queue FROM en JOIN jb ON jb.job_id = en.job_id LEFT JOIN sc ON sc.job_id = en.job_id")
+def s4(spark, d):
+    log = m.job_event(spark, d)
+    job = log.where("kind = 'SubmitJob'").groupBy("job_id").agg(F.min("created").alias("submitted"), F.min_by("queue", "seq").alias("queue"))
+    return e.finished_runs(job, log)
+
+
+@query("s6_event_store", "SELECT queue, jobset, seq, kind, CASE WHEN kind = 'CancelledJob' THEN '' ELSE reason END AS reason FROM job_event")
+def s6(spark, d):
+    return e.to_event_store(m.job_event(spark, d)).select("queue", "jobset", "seq", "kind", "reason")
+
+
+@query("s7_quantities", "SELECT job_id, CAST(cpu AS BIGINT) AS cpu, memory FROM job")
+def s7(spark, d):
+    job = m.job(spark, d, False)
+    half = F.create_map(F.lit("cpu"), F.concat((F.col("cpu") / 2).cast("long").cast("string"), F.lit("m")), F.lit("memory"), F.concat((F.col("memory") / (1 << 20)).cast("long").cast("string"), F.lit("Mi")))
+    other = F.create_map(F.lit("cpu"), (F.col("cpu") / 2000).cast("string"))
+    return job.select("job_id", scalars.job_resources(F.array(half, other), "cpu", True).alias("cpu"), scalars.job_resources(F.array(half, other), "memory").alias("memory"))
+
+
+@query("s8_clean_annotations", "SELECT job_id, team, ticket FROM job")
+def s8(spark, d):
+    job = m.job(spark, d, False)
+    raw = F.map_concat(F.transform_keys("annotations", lambda k, v: F.when(k == "team", F.lit("example.org/team")).otherwise(k)), F.create_map(F.lit("Internal-Secret"), F.lit("x")))
+    clean = scalars.clean_annotations(raw, "example.org/", ["internal-secret"])
+    return job.select("job_id", clean.alias("a")).select("job_id", F.try_element_at("a", F.lit("team")).alias("team"), F.try_element_at("a", F.lit("ticket")).alias("ticket"))
+
+
+_API = ", api AS (" + " UNION ALL ".join(["SELECT queue, jobset, job_id, created, seq, 0 AS subseq, 'submitted' AS api_kind, CAST(NULL AS BOOLEAN) AS retryable FROM job_event WHERE kind = 'SubmitJob'", "SELECT queue, jobset, job_id, created, seq, 1, 'queued', NULL FROM job_event WHERE kind = 'SubmitJob'", "SELECT queue, jobset, job_id, created, seq, 0, CASE kind WHEN 'JobRunLeased' THEN 'leased' WHEN 'JobRunAssigned' THEN 'pending' WHEN 'JobRunRunning' THEN 'running' WHEN 'JobSucceeded' THEN 'succeeded' WHEN 'CancelledJob' THEN 'cancelled' WHEN 'ReprioritisedJob' THEN 'reprioritized' WHEN 'JobRunPreempted' THEN 'preempted' WHEN 'JobRunErrors' THEN CASE error_kind WHEN 'LeaseExpired' THEN 'lease_expired' ELSE 'lease_returned' END ELSE CASE WHEN error_kind = 'JobRunPreemptedError' THEN 'preempted' ELSE 'failed' END END, CASE WHEN kind = 'JobErrors' AND error_kind <> 'JobRunPreemptedError' THEN NOT terminal END FROM job_event WHERE kind IN ('JobRunLeased', 'JobRunAssigned', 'JobRunRunning', 'JobSucceeded', 'CancelledJob', 'ReprioritisedJob', 'JobRunPreempted', 'JobErrors') OR (kind = 'JobRunErrors' AND error_kind IN ('LeaseExpired', 'LeaseReturned'))"]) + ")"
+
+
+@query("w3_api_events", _API + " SELECT job_id, created, seq, subseq, api_kind, retryable FROM api")
+def w3(spark, d):
+    return e.to_api_events(m.job_event(spark, d)).select("job_id", "created", "seq", "subseq", "api_kind", "retryable")
+
+
+@query("w4_read_after", _API + " SELECT created || ':' || seq || ':' || subseq || ':' || CASE WHEN api_kind = 'submitted' THEN 0 ELSE 1 END AS id, api_kind FROM api WHERE queue = 'queue-1' AND jobset = 'js-1' AND (created > 1704400000 OR (created = 1704400000 AND seq > 0)) ORDER BY created, seq, subseq LIMIT 40")
+def w4(spark, d):
+    return e.read_after(e.to_api_events(m.job_event(spark, d)), "queue-1", "js-1", "1704400000:0:0:1", 40).select("id", "api_kind")
+
+
+@query("w5_watch_summary", _API + ", st AS (SELECT *, CASE WHEN api_kind IN ('submitted', 'queued', 'lease_returned', 'lease_expired') OR (api_kind = 'failed' AND retryable) THEN 'queued' WHEN api_kind <> 'reprioritized' THEN api_kind END AS status FROM api) SELECT queue, jobset, job_id, status, created AS updated FROM (SELECT *, row_number() OVER (PARTITION BY queue, jobset, job_id ORDER BY created DESC, seq DESC, subseq DESC) AS rn FROM st WHERE status IS NOT NULL) t WHERE rn = 1")
+def w5(spark, d):
+    return e.watch_summary(e.to_api_events(m.job_event(spark, d)))
+
+
+@query("w6_event_gap_stats", ", ga AS (SELECT kind, lead(created) OVER (PARTITION BY job_id ORDER BY seq) - created AS gap FROM job_event) SELECT kind, count(*) AS n, min(gap) AS min, max(gap) AS max, avg(gap) AS mean, coalesce(var_samp(gap), 0) AS variance, coalesce(stddev_samp(gap), 0) AS stddev FROM ga WHERE gap IS NOT NULL GROUP BY kind")
+def w6(spark, d):
+    return e.event_gap_stats(m.job_event(spark, d))
