@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,5 +80,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _as_regex(markup: str) -> str:
+    """A license template as a regular expression over words that each follow a space."""
+    out = []
+    for part in re.split(r"(<<.*?>>)", markup):
+        if not part.startswith("<<"):
+            out += [f" {w}" for w in part.split()]
+        elif (kind := part[2:-2]) == "optional":
+            out.append("(?:")
+        elif kind == "end":
+            out.append(")?")
+        elif kind.startswith("var"):
+            least, most = kind.split("=")[1].split("-")
+            out.append(f"(?: [^ ]+){{{least},{most}}}")
+        else:
+            out.append("(?:" + "|".join("".join(f" {w}" for w in c.split()) for c in kind[4:].split("|")) + ")")
+    return "".join(out) + " "
+
+
+def _license_sql() -> str:
+    places = {label: " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split())) for phrase, label in licenses.PHRASES.items()}
+    found = ", ".join(f"list_filter(range(len(ws)), lambda i: {cond}) AS {label}" for label, cond in places.items())
+    every = f"list_concat({', '.join(list(places)[:2])})"
+    for label in list(places)[2:]:
+        every = f"list_concat({every}, {label})"
+    base = [f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in places]
+    method = [f"CASE WHEN regexp_matches(s, '{_as_regex(markup)}') THEN '{name}' END" for name, markup in licenses.TEMPLATES.items()]
+    joined = lambda xs: f"array_to_string(list_sort(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL)), ',')"
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, ' ' || array_to_string(ws, ' ') || ' ' AS s, {found} FROM w),
+q AS (SELECT *, {every} AS places, {joined(base)} AS base_labels, {joined(base + method)} AS labels, list_filter([{', '.join(method)}], lambda x: x IS NOT NULL) AS hits FROM p)
+SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word, base_labels, labels, CAST(CASE WHEN len(hits) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM q"""
+
+
+_EMBEDDING_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Learned scores, fingerprints of seeded hashes, byte-pair tokens and HTML parsing have no SQL; tests hold those."""
+    return {"op3_embedding_dedup": _EMBEDDING_SQL, "op10_licenses": _license_sql()}
