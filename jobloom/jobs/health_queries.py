@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.functions import scalars
+from jobloom.jobs.fold_queries import _CONFLATED, _CREATED
 from jobloom.jobs.metric_queries import _ACT
 from jobloom.jobs.registry import query
 from jobloom.operators import events as e
@@ -14,6 +15,8 @@ from jobloom.operators import metrics as x
 from jobloom.operators import selectors as sel
 from jobloom.sources import model as m
 from jobloom.sources.model import NOW
+from jobloom.sources.tables import shared_folder
+from jobloom.streaming import ingest
 
 LIFETIME = 100_000_000
 _GONE = f", gone AS (SELECT job_id FROM job WHERE state IN (4, 5, 6, 7, 9) AND last_transition_time < {NOW - LIFETIME})"
@@ -229,3 +232,33 @@ def w5(spark, d):
 @query("w6_event_gap_stats", ", ga AS (SELECT kind, lead(created) OVER (PARTITION BY job_id ORDER BY seq) - created AS gap FROM job_event) SELECT kind, count(*) AS n, min(gap) AS min, max(gap) AS max, avg(gap) AS mean, coalesce(var_samp(gap), 0) AS variance, coalesce(stddev_samp(gap), 0) AS stddev FROM ga WHERE gap IS NOT NULL GROUP BY kind")
 def w6(spark, d):
     return e.event_gap_stats(m.job_event(spark, d))
+
+
+@query("p6_hot_partition", "SELECT job_id, state FROM job WHERE state IN (1, 2, 3, 8)")
+def p6_hot(spark, d):
+    path = shared_folder(spark, "jobs")
+    p.write_hot_cold(m.job(spark, d, False).select("job_id", "state"), path)
+    return _short(p.read_hot_cold(spark, path, True))
+
+
+@query("p7_submitted_days", "SELECT CAST(submitted // 86400 AS BIGINT) AS day, count(*) AS jobs FROM job WHERE submitted >= 900000000 AND submitted < 910000000 GROUP BY 1")
+def p7(spark, d):
+    path = shared_folder(spark, "jobs")
+    p.write_by_submitted_day(m.job(spark, d, False).where("submitted >= 900000000 and submitted < 910000000").select("job_id", "submitted"), path)
+    return spark.read.parquet(path).groupBy(F.unix_date("day").cast("long").alias("day")).agg(F.count("*").alias("jobs"))
+
+
+@query("s1_s2_explode_events", "SELECT queue, jobset, seq, kind, CASE WHEN seq % 4 = 0 THEN 1706800000 ELSE created END AS created FROM job_event")
+def s1(spark, d):
+    log = m.job_event(spark, d)
+    event = F.struct(F.when(F.col("seq") % 4 != 0, F.timestamp_seconds("created")).alias("created"), "kind", "job_id", "run_id", F.col("seq").cast("string").alias("reason"), "priority")
+    seqs = log.groupBy("queue", "jobset", "user").agg(F.min("seq").alias("seq"), F.collect_list(event).alias("events")).withColumn("publish_time", F.timestamp_seconds(F.lit(1_706_800_000)))
+    return e.explode_events(e.fill_created(seqs)).select("queue", "jobset", F.col("reason").cast("long").alias("seq"), "kind", F.unix_timestamp("created").alias("created"))
+
+
+@query("w1_w2_ingest_stream", _CONFLATED + _CREATED + " SELECT cre.job_id, owner, coalesce(conf.priority, cre.priority) AS priority, coalesce(conf.state, 1) AS state, coalesce(conf.last_transition_time, submitted) AS last_transition_time, latest_run_id FROM cre LEFT JOIN conf ON cre.job_id = conf.job_id")
+def w2(spark, d):
+    tables = shared_folder(spark, "tables")
+    ingest.run_ingest_stream(m.job_event(spark, d, True), tables, shared_folder(spark, "offsets"), available_now=True).awaitTermination()
+    jobs = ingest.TableStore(tables).latest(spark, "job")
+    return _short(jobs.select("job_id", "owner", "priority", "state", "last_transition_time", "latest_run_id"))

@@ -72,9 +72,13 @@ def job(spark: SparkSession, sf_dir: str, latest: bool = True) -> DataFrame:
     return rows.join(runs, "job_id", "left")
 
 
-def job_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat event log: (ts, event_id) is the log order; the log has no duplicates of it."""
-    e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+def job_event(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Flat event log in the order of event_id, as a table or as a stream of its files."""
+    e = table(spark, sf_dir, "events")
+    if stream:
+        # a pattern, since a stream's plain path has to be a folder
+        e = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parque[t]")
+    i, u = F.col("event_id"), F.col("user_id")
     j = F.floor(i / 12)  # independent of the kind
     kind = F.get(F.array(*map(F.lit, KINDS)), (i % 12).cast("int"))
     return e.select(
