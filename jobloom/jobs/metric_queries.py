@@ -227,6 +227,9 @@ def r4(spark, d):
     return x.queue_stream_totals(_streams(spark, d))
 
 
-@query("w7_latency_percentiles")
+_INSIDE = ", ".join(f"max(CASE WHEN cum >= total * {p / 100} AND cum - n < total * {p / 100} THEN low + (high - low) * (total * {p / 100} - (cum - n)) / n END) AS p{p}" for p in (50, 95, 99))
+
+
+@query("w7_latency_percentiles", f", b AS (SELECT event_type, CASE WHEN value < 0.5 THEN 0 ELSE floor(log2(value / 0.5)) + 1 END AS k, count(*) AS n, max(value) AS top FROM job_event GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type) AS total, sum(n) OVER (PARTITION BY event_type ORDER BY k) AS cum, max(top) OVER (PARTITION BY event_type) AS most FROM b), e AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE 0.5 * power(2, k - 1) END AS low, least(0.5 * power(2, k), most) AS high FROM c) SELECT event_type, {_INSIDE} FROM e GROUP BY event_type")
 def w7(spark, d):
     return x.latency_percentiles(m.job_event(spark, d), "value", 0.5, ["event_type"])

@@ -322,7 +322,7 @@ def queue_stream_totals(stats: DataFrame) -> DataFrame:
 
 def latency_percentiles(df: DataFrame, value: str, base: float, by: Sequence[str], percents: Sequence[int] = (50, 95, 99)) -> DataFrame:
     """Percentiles by linear interpolation inside doubling buckets, the last one capped at the maximum."""
-    k = F.when(F.col(value) <= base, 0).otherwise(F.ceil(F.log2(F.col(value) / base))).cast("long")
+    k = F.when(F.col(value) < base, 0).otherwise(F.floor(F.log2(F.col(value) / base)) + 1).cast("long")
     counts = df.groupBy(*by, k.alias("k")).agg(F.count("*").alias("n"), F.max(value).alias("top"))
     w = Window.partitionBy(*by)
     upto = w.orderBy("k")
