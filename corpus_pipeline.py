@@ -17,9 +17,15 @@ from jobloom.sources.tables import materialise, table
 MIXTURE = mixing.Mixture(registry.MIXTURE.weights, budget_share=0.9, max_epochs=1.0)
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows as one struct beside the columns that a stage needs, so that no other column can clash with its own."""
+    return docs.select(F.struct("*").alias("_row"), *columns)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold stay."""
-    return toxicity.predict(docs, table(spark, sf_dir, "labels"), 0.3).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.predict(_packed(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), 0.3)
+    return scored.where("predicted = 0").select("_row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +36,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are replaced by a mark."""
     masked = secrets.redact(docs, path="source")
-    return masked.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else masked
+    return masked.withColumn("n_chars", F.when(F.contains("text", F.lit("[SECRET]")), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else masked
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their leaf's budget stay: nine tenths of the tokens, by the target weights."""
     levels = {"domain": registry.source_domain(), "lang": "lang", "source": "source"}
-    return mixing.mix(docs, levels, MIXTURE).select(*docs.columns)
+    return mixing.mix(_packed(docs, "doc_id", "text", "lang", "source"), levels, MIXTURE, keep=["_row"]).select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

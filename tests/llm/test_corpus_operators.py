@@ -236,6 +236,19 @@ def test_pipeline(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() == packed.count()
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    extra = {c: F.lit("own") for c in ("score", "predicted", "held_out", "tokens", "epoch", "fp", "check", "id", "start", "length", "value", "k", "rest", "range")}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns(extra)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes}))
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns, name
+        assert {r.score for r in after.select("score").distinct().collect()} <= {"own", None}, name
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir):
     import corpus_pipeline as pipeline
 
