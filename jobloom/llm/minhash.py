@@ -112,7 +112,8 @@ def with_next(docs: DataFrame, share: int = 4, doc_id: str = "doc_id", text: str
 
     once = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("k", "k2").orderBy("k"))).where("_r = 1").drop("_r")
     linked = once.join(order, ["k", "k2"])
-    heads = linked.select(F.col("before_k").alias("k"), F.col("before_k2").alias("k2"), F.expr(f"substring(text, 1, int(before_n div {share}))").alias("head"))
+    # the same columns as the other side of the join below, so that the texts are shuffled once for both
+    heads = linked.select(F.col("before_k").alias("k"), F.col("before_k2").alias("k2"), F.col("doc_id").alias("next_doc_id"), F.expr(f"substring(text, 1, int(before_n div {share}))").alias("head"))
     cut = F.expr(f"substring(text, 1, char_length(text) - int(char_length(text) div {share}))")
     return linked.drop("before_n").join(heads, ["k", "k2"]).withColumn("edited", F.concat(cut, "head")).drop("head")
 
@@ -120,15 +121,15 @@ def with_next(docs: DataFrame, share: int = 4, doc_id: str = "doc_id", text: str
 def fingerprint_edits(docs: DataFrame, share: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document.
 
-    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A row that repeats
+    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id. A row that repeats
     another's doc_id and text is the same document. Texts without words have the empty fingerprint. An empty table gives
     an empty result; other columns are ignored.
     """
     rows = with_next(docs, share, doc_id, text)
     rows = with_signature(with_signature(rows, "text", "own"), "edited", "changed")
-    rows = materialise(rows.select("k", "k2", "before_k", "before_k2", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "own", "changed"))
+    rows = materialise(rows.select("k", "k2", "before_k", "before_k2", "doc_id", "next_doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "own", "changed"))
     after = rows.select(F.col("before_k").alias("k"), F.col("before_k2").alias("k2"), F.col("own").alias("next"))
     return rows.join(after, ["k", "k2"]).select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), "next_doc_id",
     )
