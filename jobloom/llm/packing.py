@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 _WORD = re.compile(r"[^ \t\n\r]+")
 #: Words that a worker remembers before it starts anew.
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 250_000
 
 
 # fixed values: white space, letters and numbers of Unicode among the first 256 characters
