@@ -161,9 +161,9 @@ def i18(spark, d):
     return sel.by_job_set(found).select("queue", "job_set", F.size("job_ids").cast("long").alias("jobs"))
 
 
-@query("i18_queued_jobs", "SELECT queue, job_set, count(*) AS jobs FROM sjob WHERE queued AND queue = 'queue-3' AND (pool1 = 'pool-2' OR pool2 = 'pool-2') GROUP BY queue, job_set")
+@query("i18_queued_jobs", "SELECT queue, job_set, count(*) AS jobs FROM sjob WHERE queued AND queue = 'queue-3' AND (pool1 = 'pool-1' OR pool2 = 'pool-1') GROUP BY queue, job_set")
 def i18_queued(spark, d):
-    found = sel.select_active_jobs(*_jr(spark, d), queues=["queue-3"], pools=["pool-2"], states=["queued"])
+    found = sel.select_active_jobs(*_jr(spark, d), queues=["queue-3"], pools=["pool-1"], states=["queued"])
     return sel.by_job_set(found).select("queue", "job_set", F.size("job_ids").cast("long").alias("jobs"))
 
 

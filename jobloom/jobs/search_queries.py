@@ -126,9 +126,9 @@ def q19_by_run(spark, d):
     return s.by_ids(m.job_run(spark, d), "run_id", ids(m.job(spark, d), 13, "latest_run_id")).select("job_id", "run_id", "node")
 
 
-@query("q19_states_by_uri", "SELECT job_id, CAST(state AS INTEGER) AS state FROM job WHERE queue = 'queue-1' AND jobset = 'js-8' AND external_job_uri = 'uri-60'")
+@query("q19_states_by_uri", "SELECT job_id, CAST(state AS INTEGER) AS state FROM job WHERE queue = 'queue-3' AND jobset = 'js-49' AND external_job_uri = 'uri-0'")
 def q19_uri(spark, d):
-    return s.states_by_uri(m.job(spark, d, False), "queue-1", "js-8", "uri-60").withColumn("state", F.col("state").cast("int"))
+    return s.states_by_uri(m.job(spark, d, False), "queue-3", "js-49", "uri-0").withColumn("state", F.col("state").cast("int"))
 
 
 @query("q19_job_details", "SELECT job_id, CASE WHEN CAST(substr(job_id, 5, 10) AS BIGINT) % 2 = 0 THEN 'side-' || owner ELSE 'inline-' || owner END AS job_spec FROM job WHERE CAST(substr(job_id, 5, 10) AS BIGINT) % 19 = 0")
