@@ -155,26 +155,31 @@ def fingerprint_links(prints: DataFrame, errors: int = 4, blocks: int = 6, block
     dealt = with_salts.select("id", "fp", *extra, "choice", "part", own.alias("own"), F.explode(pairs).alias("p")).select("id", "fp", *extra, "choice", "part", "own", "p.*")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        cols = ["choice", "part", "s", "t"]
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = batch[cols].iloc[-1]
-            open_ = (batch[cols] == last).all(axis=1).to_numpy()
-            if open_.all() and held and (held[-1][cols].iloc[-1] == last).all():
-                held.append(batch)
-                continue
-            cut = int(np.argmax(open_))
-            yield _links_of(pd.concat([*held, batch[:cut]]), errors, check_errors)
-            held = [batch[cut:]]
-        if held:
-            yield _links_of(pd.concat(held), errors, check_errors)
+        for rows in _whole_groups(batches, ["choice", "part", "s", "t"]):
+            yield _links_of(rows, errors, check_errors)
 
     ordered = dealt.repartition("choice", "part", "s", "t").sortWithinPartitions("choice", "part", "s", "t", "fp")
     return ordered.mapInPandas(walk, "a long, b long")
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of batches sorted by ``cols``, cut between groups only."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch[cols].iloc[-1]
+        open_ = (batch[cols] == last).all(axis=1).to_numpy()
+        if open_.all() and held and (held[-1][cols].iloc[-1] == last).all():
+            held.append(batch)
+            continue
+        cut = int(np.argmax(open_))
+        yield pd.concat([*held, batch[:cut]])
+        held = [batch[cut:]]
+    if held:
+        yield pd.concat(held)
+
+
 def _links_of(rows: pd.DataFrame, errors: int, check_errors: int | None) -> pd.DataFrame:
     """Forest links of complete (choice, part, s, t) groups that lie one after another, each sorted by fingerprint."""
     keys = rows[["choice", "part", "s", "t"]].to_numpy()
@@ -234,21 +239,142 @@ def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4, seed: in
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 2, errors: int = 8, blocks: int = 10, check_shingle: int = 5, check_errors: int = 12, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; a shorter text is one shingle, no words are none."""
+    import xxhash
+
+    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+    shingles = {b" ".join(words)} if n == 1 else set(map(b" ".join, zip(*(itertools.islice(words, j, n + j) for j in range(shingle)))))
+    return np.unique(np.fromiter((digest(x, seed) for x in shingles), np.uint64, len(shingles)))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of distinct shingles from their hashes."""
+    count = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        count += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 0)
+
+
+def _sketches(docs: DataFrame, shingle: int, check_shingle: int, seed: int) -> DataFrame:
+    """``docs`` with fp, check (fingerprints of distinct shingles) and key (hash of the set of check shingles), without the text."""
+
+    @F.pandas_udf("fp long, check long, key long")
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            out = np.zeros((3, len(batch)), np.uint64)
+            for k, t in enumerate(batch):
+                hashes = shingle_set(t, check_shingle, seed)
+                out[:, k] = text_fingerprint(t, shingle, seed, True), _majority(hashes), _set_key(hashes)
+            yield pd.DataFrame(dict(zip(("fp", "check", "key"), out.view(np.int64))))
+
+    return docs.withColumn("_s", sketch("text")).select(*[c for c in docs.columns if c != "text"], "_s.*")
+
+
+def _set_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that keep all components of the sets whose Jaccard similarity is at least ``similarity``.
+
+    A set that has been reached is compared with those that haven't; what is linked already needs no more comparisons.
+    """
+    some = np.array([k for k, x in enumerate(sets) if len(x)], np.int64)
+    none = np.zeros(0, np.int64)
+    if len(some) < 2:
+        return none, none
+    size = np.array([len(sets[k]) for k in some])
+    values, codes = np.unique(np.concatenate([sets[k] for k in some]), return_inverse=True)
+    ends = np.cumsum(size)
+    mark = np.zeros(len(values), bool)
+    left, left_codes, left_size = np.arange(len(some)), codes, size
+    reached: list[int] = []
+    out_a, out_b = [], []
+    while len(left):
+        if reached:
+            u = reached.pop()
+        else:
+            u, left, left_codes, left_size = left[0], left[1:], left_codes[left_size[0] :], left_size[1:]
+        if not len(left):
+            break
+        own = codes[ends[u] - size[u] : ends[u]]
+        mark[own] = True
+        both = np.add.reduceat(mark[left_codes], np.cumsum(left_size) - left_size, dtype=np.int64)
+        mark[own] = False
+        near = both / (size[u] + left_size - both) >= similarity
+        if near.any():
+            reached.extend(left[near])
+            out_a.append(np.full(near.sum(), ids[some[u]]))
+            out_b.append(ids[some[left[near]]])
+            left, left_codes, left_size = left[~near], left_codes[np.repeat(~near, left_size)], left_size[~near]
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def _similar_links(texts: DataFrame, shingle: int, similarity: float, seed: int, block_rows: int) -> DataFrame:
+    """Links (a, b) of the rows (key, text, component, n) that keep all components of texts alike within their ``component``.
+
+    ``n`` is the number of keys of the component; a row counts only if ``key`` is its text's own. Every two texts of a
+    component are compared by their sets of shingles; components of more than ``block_rows`` are cut into salted blocks,
+    of which each pair is a group of its own.
+    """
+
+    def with_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle, seed) for t in batch["text"]]
+            own = np.array([_set_key(x) for x in sets], np.uint64).view(np.int64) == batch["key"].to_numpy()
+            yield batch.drop(columns="text").assign(shingles=[x.tobytes() for x in sets])[own]
+
+    sets = materialise(texts.select("key", "component", "n", "text").mapInPandas(with_set, "key long, component long, n long, shingles binary").dropDuplicates(["key"]))
+    salts = F.ceil(F.col("n") / block_rows).cast("int")
+    own = F.pmod(F.xxhash64("key"), salts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), salts - 1), lambda s: F.struct(F.least(s, own).alias("s"), F.greatest(s, own).alias("t")))
+    dealt = sets.select("key", "component", "shingles", F.explode(pairs).alias("p")).select("key", "component", "shingles", "p.*")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["component", "s", "t"]
+        for rows in _whole_groups(batches, cols):
+            groups = rows[cols].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, int)
+            ids, sets = rows["key"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+            for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
+                i, j = _set_links(ids[a:b], sets[a:b], similarity)
+                if len(i):
+                    yield pd.DataFrame({"a": i, "b": j})
+
+    return dealt.repartition("component", "s", "t").sortWithinPartitions("component", "s", "t").mapInPandas(compare, "a long, b long")
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 2, errors: int = 10, blocks: int = 12, check_shingle: int = 5, check_errors: int = 18, similarity: float = 0.8, seed: int = 42, doc_id: str = "doc_id", text: str = "text", block_rows: int = 512
+) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the least doc_id stays.
 
-    For texts that share 0.8 or more of their five-word shingles a fingerprint of four-word shingles may differ in a dozen
-    bits. Two fingerprints of distinct shingles decide here: one of short shingles, which an edited word changes little,
-    joined within ``errors`` bits, and one of five-word shingles, within ``check_errors`` bits (texts that share 0.8 of
-    them differ in ten of 64 on average, unrelated ones in 32). Null and empty texts are copies of each other. Rows that
-    share a doc_id are one document, of which the first stays; rows without doc_id are no copies of anything and stay.
+    Two texts are linked if they share ``similarity`` of their ``check_shingle``-word shingles (Jaccard, of the distinct
+    ones). Fingerprints only search: candidates are texts whose fingerprints of short shingles, which an edited word
+    changes little, differ in ``errors`` bits or fewer and those of the longer ones in ``check_errors`` or fewer (texts
+    that share 0.8 of them differ in ten of 64 on average, unrelated ones in 32). Within each component of candidates all
+    texts are compared by their shingles; a group is a component of these exact links, so that its ends may share less.
+    Null and empty texts are copies of each other. Rows that share a doc_id are one document, of which the first stays;
+    rows without doc_id are no copies of anything and stay.
     """
-    own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(text).alias("u"))
-    prints = fingerprints(fingerprints(own, "t", shingle, seed, "fp", True), "u", check_shingle, seed, "check", True)
-    distinct = materialise(prints.groupBy("fp", "check").agg(F.min("doc_id").alias("id")))
-    # the least doc_id of the documents with these fingerprints names the node
-    member = connected_components(fingerprint_links(distinct, errors, blocks, check_errors=check_errors))
-    kept = distinct.select("id").distinct().join(member.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
+    own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints = _sketches(own, shingle, check_shingle, seed)
+    # texts of equal shingles are one node
+    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("check").alias("check")))
+    found = materialise(connected_components(fingerprint_links(nodes.select(F.col("key").alias("id"), "fp", "check"), errors, blocks, check_errors=check_errors)))
+    sized = materialise(found.groupBy("component").agg(F.count("*").alias("n")))
+    suspects = found.join(sized, "component").join(nodes.select(F.col("key").alias("node"), F.col("id").alias("doc_id")), "node")
+    texts = own.join(suspects.select("doc_id", F.col("node").alias("key"), "component", "n"), "doc_id")
+    member = connected_components(_similar_links(texts, check_shingle, similarity, seed, block_rows)).select(F.col("node").alias("key"), "component")
+    named = nodes.select("id", "key").join(materialise(member), "key", "left")
+    best = named.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("best"))
+    kept = named.where("component is null").select("id").unionByName(best.select("best.id")).distinct()
     rows = docs.join(kept.select(F.col("id").alias(doc_id)), doc_id, "left_semi")
     first = rows.withColumn("_row", F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))).where("_row = 1").drop("_row")
     return first.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -101,6 +101,31 @@ def test_one_of_each(spark):
     assert got.where("doc_id is null").count() == 1
 
 
+def plain_shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 8}])
+def test_one_of_each_is_exact_at_the_threshold(spark, blocks):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        words = [f"{rng.choice('alpha beta gamma delta rho sigma tau'.split())}{rng.randrange(300)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for edits in (2, 4, 5, 6, 7, 9):  # each takes about five shingles from both sides
+            copy = list(words)
+            for at in rng.sample(range(10, 190), edits):
+                copy[at] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [plain_shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = sorted(set(components(len(texts), links)))
+    assert 25 < len(want) < len(texts)
+    got = simhash.one_of_each(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS), **blocks)
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16))
