@@ -1,9 +1,10 @@
 """Embedding near-dedup (operator 3): spherical k-means cells, blocked cosine products within them.
 
 Equal vectors are one row with a weight. The centres are fitted on a bounded sample; every vector is then assigned to the
-cell of its nearest centre, its home, and visits the cells whose border it lies near: a difference between two vectors at
-the threshold has length sqrt(2 - 2 threshold), and its part across a border is a ``1/sqrt(dimension)`` of that on
-average; cells within ``reach`` of these are visited. A vector's links are counted in its home cell against all that live
+cell of its nearest centre, its home, and visits the cells whose border it lies near: two vectors at the threshold lie
+sqrt(2 - 2 threshold) apart, so that a vector further than that from a border has no links beyond it. No link is lost,
+whatever the number of cells; vectors without clusters visit nearly all cells, and then nearly all pairs are compared.
+Cells are few and large, since each visit is a row. A vector's links are counted in its home cell against all that live
 there or visit it. Cells are cut into blocks of rows, and each pair of blocks is a task of its own, so that no cell's size
 bounds anything; a task returns counts and a spanning forest of its links, never the pairs.
 """
@@ -42,10 +43,11 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 5)
     return centres
 
 
-def _cells(reps: DataFrame, centres: np.ndarray, reach: float) -> DataFrame:
+def _cells(reps: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
     """Rows (cell, home, id, weight, v): each vector once at home and once in every cell that it visits."""
     dimension = centres.shape[1]
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-12))
+    apart = np.stack([np.sqrt(((centres - c) ** 2).sum(axis=1)) for c in centres])
+    furthest = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -58,8 +60,8 @@ def _cells(reps: DataFrame, centres: np.ndarray, reach: float) -> DataFrame:
                 part = own[i : i + 2048].reset_index(drop=True)
                 near = unit(list(part["v"])) @ centres.T
                 home = near.argmax(axis=1)
-                margin = (near.max(axis=1, keepdims=True) - near) / apart[home]
-                row, cell = np.nonzero((margin <= reach) | (np.arange(len(centres)) == home[:, None]))
+                # the distance from the border, times that of the centres; the last term is far above rounding
+                row, cell = np.nonzero(near.max(axis=1, keepdims=True) - near <= furthest * apart[home] + 1e-9)
                 out = part.iloc[row].reset_index(drop=True)
                 yield out.assign(cell=cell, home=cell == home[row])[["cell", "home", "id", "weight", "v"]]
 
@@ -80,13 +82,16 @@ def _compare(cells: DataFrame, threshold: float, block_rows: int) -> DataFrame:
         left, right = rows[rows["left"]], rows[~rows["left"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        linked = unit(list(left["v"])) @ unit(list(right["v"])).T >= threshold
+        x, y, weight = unit(list(left["v"])), unit(list(right["v"])).T, right["weight"].to_numpy()
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        linked &= a[:, None] != b[None, :]
-        counts = linked @ right["weight"].to_numpy()
-        i, j = np.nonzero(linked)
         ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        rest, least = _forest(len(ids), at[i], at[len(a) + j])
+        counts, rest, least = np.zeros(len(a), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for k in range(0, len(a), 512):
+            linked = x[k : k + 512] @ y >= threshold
+            linked &= a[k : k + 512, None] != b[None, :]
+            counts[k : k + 512] = linked @ weight
+            i, j = np.nonzero(linked)
+            rest, least = _forest(len(ids), np.concatenate([rest, at[k + i]]), np.concatenate([least, at[len(a) + j]]))
         some = counts > 0
         return pd.concat([pd.DataFrame({"a": a[some], "b": None, "n": counts[some]}), pd.DataFrame({"a": ids[rest], "b": ids[least], "n": None})])
 
@@ -94,7 +99,7 @@ def _compare(cells: DataFrame, threshold: float, block_rows: int) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 512, max_cells: int = 2048, sample_rows: int = 20_000, reach: float = 2.0, block_rows: int = 1024, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 8192, max_cells: int = 2048, sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (the least vec_id reachable), kept (vec_id = component_id).
 
@@ -114,7 +119,7 @@ def near_duplicates(
     if found.n:
         sample = reps.where(F.size("v") == found.d).orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample_rows).select("v").toPandas()
         centres = spherical_kmeans(unit(list(sample["v"])), min(max_cells, -(-found.n // cell_rows)), seed=seed)
-        cells = materialise(_cells(reps, centres, reach * float(np.sqrt(max(0.0, 2 - 2 * threshold) / found.d))))
+        cells = materialise(_cells(reps, centres, threshold))
         out = materialise(_compare(cells, threshold, block_rows))
         counts = out.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
         member = connected_components(out.where("b is not null")).select(F.col("node").alias("id"), "component")

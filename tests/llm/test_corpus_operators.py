@@ -144,6 +144,20 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i].kept == (got[i].component_id == i) for i in range(len(x)))
 
 
+@pytest.mark.parametrize("rank", [3, 8, 64])
+def test_embeddings_lose_no_link_at_borders(spark, rank):
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(400, rank))
+    pairs = base / np.linalg.norm(base, axis=1, keepdims=True)
+    x = np.concatenate([pairs, pairs + 0.4 * rng.normal(size=pairs.shape) / np.sqrt(rank)]) @ np.linalg.qr(rng.normal(size=(64, 64)))[0][:rank]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9, cell_rows=50, block_rows=64).collect()}
+    u = embedding_dedup.unit(list(x))
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked.any() and [got[i].n_links for i in range(len(x))] == linked.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == components(len(x), np.argwhere(linked))
+
+
 def test_embeddings_of_the_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     u = embedding_dedup.unit([r.embedding for r in rows])
