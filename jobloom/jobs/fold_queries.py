@@ -166,8 +166,8 @@ def i25(spark, d):
 
 @query("i26_limit_by_count", ", o AS (SELECT queue, jobset, seq, (row_number() OVER (PARTITION BY queue, jobset ORDER BY seq) - 1) // 8 AS part FROM job_event) SELECT queue, jobset, CAST(part AS INTEGER) AS part, count(*) AS events, min(seq) AS first_seq FROM o GROUP BY queue, jobset, part")
 def i26(spark, d):
-    seqs = m.job_event(spark, d).groupBy("queue", "jobset").agg(F.sort_array(F.collect_list("seq")).alias("events"))
-    return f.limit_by_count(seqs, 8).select("queue", "jobset", "part", F.size("events").cast("long").alias("events"), F.get("events", F.lit(0)).alias("first_seq"))
+    parts = f.parts_by_count(m.job_event(spark, d).select("queue", "jobset", "seq"), 8, ["queue", "jobset"])
+    return parts.groupBy("queue", "jobset", "part").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
 
 
 @query("i26_limit_by_bytes")

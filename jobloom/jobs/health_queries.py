@@ -158,13 +158,13 @@ def h9(spark, d):
 @query("i18_active_jobs_on_executor", _ACT + " SELECT queue, job_set, count(*) AS jobs FROM act JOIN (SELECT job_id, job_set FROM sjob) s USING (job_id) WHERE executor = 'executor-2' AND queue IN ('queue-1', 'queue-2', 'queue-5') AND pool IN ('pool-0', 'pool-1') AND priority_class = 'low' GROUP BY queue, job_set")
 def i18(spark, d):
     found = sel.select_active_jobs(*_jr(spark, d), executor="executor-2", queues=["queue-1", "queue-2", "queue-5"], pools=["pool-0", "pool-1"], priority_classes=["low"])
-    return sel.by_job_set(found).select("queue", "job_set", F.size("job_ids").cast("long").alias("jobs"))
+    return found.groupBy("queue", "job_set").agg(F.count("*").alias("jobs"))
 
 
 @query("i18_queued_jobs", "SELECT queue, job_set, count(*) AS jobs FROM sjob WHERE queued AND queue = 'queue-3' AND (pool1 = 'pool-1' OR pool2 = 'pool-1') GROUP BY queue, job_set")
 def i18_queued(spark, d):
     found = sel.select_active_jobs(*_jr(spark, d), queues=["queue-3"], pools=["pool-1"], states=["queued"])
-    return sel.by_job_set(found).select("queue", "job_set", F.size("job_ids").cast("long").alias("jobs"))
+    return found.groupBy("queue", "job_set").agg(F.count("*").alias("jobs"))
 
 
 @query("i19_changes_since", "SELECT job_id, serial FROM sjob WHERE serial > 100 ORDER BY serial LIMIT 500")

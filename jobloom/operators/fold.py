@@ -7,13 +7,17 @@ a preemption of a job that ended otherwise.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobloom.functions.ordering import with_position
 from jobloom.sources.model import TERMINAL_STATES
+from jobloom.sources.tables import materialise
 
 PREEMPTED, REJECTED = 7, 9
 #: Terminal states that a later preemption replaces.
@@ -263,20 +267,111 @@ def limit_by_count(seqs: DataFrame, most: int) -> DataFrame:
     return seqs.select(*[c for c in seqs.columns if c != "events"], F.posexplode(parts).alias("part", "events"))
 
 
+def parts_by_count(events: DataFrame, most: int, key: Sequence[str], order: str = "seq") -> DataFrame:
+    """Events with the part of their sequence that they fall into, ``most`` events each, for sequences of any length."""
+    placed = with_position(events, *key, order, position="_place")
+    # written first, so that adaptive execution can split the join where one sequence is very long
+    first = materialise(placed.groupBy(*key).agg(F.min("_place").alias("_first")))
+    return placed.join(first, list(key)).withColumn("part", F.floor((F.col("_place") - F.col("_first")) / most).cast("int")).drop("_place", "_first")
+
+
+def _walk(sizes: Iterable[int], most: int, part: int = 0, filled: int = 0) -> tuple[list[int], int, int]:
+    """The part of each event, the last part and its bytes, going on from a part that is filled already."""
+    parts = []
+    for n in sizes:
+        if filled and filled + n > most:
+            part, filled = part + 1, 0
+        filled += n
+        parts.append(part)
+    return parts, part, filled
+
+
+def _cuts_from(sizes: np.ndarray, most: int) -> tuple[list[int], list[int], list[int]]:
+    """For each place at which the first cut can fall: bytes up to it, cuts after it, and bytes of the last part."""
+    ends, m = np.cumsum(sizes), len(sizes)
+    some = np.append(np.flatnonzero(sizes > 0), m)
+    known: dict[int, tuple[int, int]] = {}
+    last = min(int(np.searchsorted(ends, most, side="right")), m - 1)
+    for j in range(last + 1):
+        way = []
+        while j not in known:
+            base = int(ends[j] - sizes[j])
+            after = max(int(np.searchsorted(ends, base + most, side="right")), int(some[np.searchsorted(some, j)]) + 1)
+            if after >= m:
+                known[j] = 0, int(ends[-1]) - base
+            else:
+                way.append(j)
+                j = after
+        for k in reversed(way):
+            known[k] = known[j][0] + 1, known[j][1]
+            j = k
+    return ends[: last + 1].tolist(), [known[j][0] for j in range(last + 1)], [known[j][1] for j in range(last + 1)]
+
+
 def limit_by_bytes(events: DataFrame, most: int, key: Sequence[str], order: str = "seq", size: str = "bytes") -> DataFrame:
     """Events with the part of their sequence that they fall into: parts are filled greedily up to ``most`` bytes.
 
-    An event larger than that is a part of its own. The greedy cut depends on all cuts before it, so each sequence, which
-    is one message and bounded by its size, is walked by a helper.
+    An event larger than that is a part of its own. The greedy cut depends on all cuts before it, so a sequence, however
+    long, is walked in ranges: each range first tells what it makes of any fill that it may be handed, which depends only
+    on where its first cut falls; the driver passes the fill along these tables; and each range is walked from its own.
     """
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, part, filled, parts = rows.sort_values(order), 0, 0, []
-        for n in rows[size]:
-            if filled and filled + n > most:
-                part, filled = part + 1, 0
-            filled += n
-            parts.append(part)
-        return rows.assign(part=parts)[[f.name for f in schema]]
+    named = events.withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    placed = materialise(named.repartitionByRange(*key, order).sortWithinPartitions(*key, order).withColumn("_range", F.spark_partition_id()))
+    ranged = placed.repartition("_range").sortWithinPartitions("_range", *key, order)
+
+    def pieces(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                change = (batch["_range"] != batch["_range"].shift()) | (batch["_key"] != batch["_key"].shift())
+                yield from (g for _, g in batch.groupby(change.cumsum(), sort=False))
+
+    def tell(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        def told() -> pd.DataFrame:
+            ends, cuts, fills = _cuts_from(np.concatenate(first), most)
+            _, part, filled = _walk(np.concatenate(last).tolist(), most) if last else ([], 0, 0)
+            return pd.DataFrame([{"range": place, "first": names[0], "last": names[1], "total": int(sum(x.sum() for x in first)), "ends": ends, "cuts": cuts, "fills": fills, "part": part, "filled": filled}])
+
+        place, names, first, last = None, ["", ""], [], []
+        for piece in pieces(batches):
+            r, k, sizes = int(piece["_range"].iloc[0]), piece["_key"].iloc[0], piece[size].to_numpy(np.int64)
+            if r != place:
+                if place is not None:
+                    yield told()
+                place, names, first, last = r, [k, k], [sizes], []
+            elif k == names[0]:
+                first.append(sizes)
+            else:
+                last = [*last, sizes] if k == names[1] else [sizes]
+                names[1] = k
+        if place is not None:
+            yield told()
+
+    table = ranged.select("_range", "_key", *key, order, size).mapInPandas(tell, "range int, first string, last string, total long, ends array<long>, cuts array<long>, fills array<long>, part long, filled long")
+    start, name, part, filled = {}, None, 0, 0
+    for r in sorted(table.collect(), key=lambda r: r["range"]):  # one row per range
+        if r["first"] != name:
+            part, filled = 0, 0
+        start[r["range"]] = part, filled
+        j = bisect.bisect_right(r["ends"], most - filled) if filled else 0
+        if filled and j == len(r["ends"]):
+            filled += r["total"]
+        else:
+            part, filled = part + r["cuts"][j] + (1 if filled else 0), r["fills"][j]
+        if r["last"] != r["first"]:
+            part, filled = r["part"], r["filled"]
+        name = r["last"]
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        at, part, filled = None, 0, 0
+        for piece in pieces(batches):
+            r, k = int(piece["_range"].iloc[0]), piece["_key"].iloc[0]
+            if at is None or at[0] != r:
+                part, filled = start[r]
+            elif at[1] != k:
+                part, filled = 0, 0
+            at = r, k
+            parts, part, filled = _walk(piece[size].tolist(), most, part, filled)
+            yield piece.assign(part=parts)[[f.name for f in schema]]
 
     schema = events.withColumn("part", F.lit(0).cast("long")).schema
-    return events.groupBy(*key).applyInPandas(walk, schema)
+    return ranged.mapInPandas(walk, schema)

@@ -153,3 +153,31 @@ def test_bytes_are_cut_greedily(spark):
     df = spark.createDataFrame([("s", i, n) for i, n in enumerate([5, 5, 5, 20, 1, 9, 1])], "key string, seq long, bytes long")
     got = [r.part for r in fold.limit_by_bytes(df, 10, ["key"]).orderBy("seq").collect()]
     assert got == [0, 0, 1, 2, 3, 3, 4]
+
+
+@pytest.mark.parametrize("name", ["i26_limit_by_bytes", "i26_limit_by_count", "i18_active_jobs_on_executor", "i18_queued_jobs"])
+def test_no_group_is_gathered(spark, sf_dir, name):
+    from jobloom.jobs import registry
+
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 5, 20, 10_000])
+def test_bytes_are_cut_greedily_across_ranges(spark, most):
+    import random
+
+    rng = random.Random(most)
+    rows = [("q", "hot" if i % 8 else rng.choice(["a", "z", None]), i, rng.choice([0, 0, 1, 2, 3, 7, 30])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "queue string, jobset string, seq long, bytes long").repartition(5)
+    want, state = {}, {}
+    for _, jobset, i, n in rows:
+        part, filled = state.get(jobset, (0, 0))
+        if filled and filled + n > most:
+            part, filled = part + 1, 0
+        state[jobset] = part, filled + n
+        want[i] = part
+    out = fold.limit_by_bytes(df, most, ["queue", "jobset"])
+    assert {r.seq: r.part for r in out.collect()} == want and out.columns == [*df.columns, "part"]
+    counts = fold.parts_by_count(df.where("jobset is not null"), 8, ["queue", "jobset"])
+    assert counts.where("jobset = 'hot'").groupBy("part").count().where("count = 8").count() == sum(j == "hot" for _, j, _, _ in rows) // 8
