@@ -6,8 +6,9 @@ them together can't give is left to the level above, because a node never gets m
 
 A leaf with tokens S and budget T gives T div S whole epochs and of the next the longest prefix that fits into the rest.
 An epoch's order is a seeded hash of its documents. To find a prefix no leaf is ever sorted: hashes are cut into equal
-ranges, ranges are summed, and only the one range in which the budget ends is walked, so a source that holds a third of
-all rows is no longer a task than another. A prefix is then a greatest hash, and taking it is a filter.
+ranges, ranges are summed, the one in which the budget ends is cut and summed again, and only what is left of it (one
+part in 16 million) is walked, so a source that holds a third of all rows is no longer a task than another. A prefix is
+then a border that lies below it or a greatest hash within it, and taking it is a filter.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from jobloom.sources.tables import materialise
 
-#: Equal ranges that a leaf's hashes are cut into, as a power of two.
-RANGE_BITS = 10
+#: Equal ranges that a leaf's hashes are cut into, as a power of two, and how often the range of the border is cut anew.
+RANGE_BITS = 12
+RANGE_LEVELS = 2
 #: Leaves are a catalogue of sources: their budgets are planned on the driver, and more than this are refused.
 MAX_LEAVES = 50_000
 MISSING = "(none)"
@@ -84,9 +86,10 @@ def _key(seed: int, *columns: str) -> Column:
 
 
 def plan(stats: DataFrame, levels: list[str], mixture: Mixture) -> DataFrame:
-    """One row per leaf: the level columns, whole_epochs, and last_hash, up to which the epoch after them is taken.
+    """One row per leaf: the level columns, whole_epochs, and of the epoch after them ``below`` and ``upto``.
 
-    ``stats`` has the level columns, ``key`` and ``tokens``.
+    Of that epoch the hashes less than ``below`` are taken, and those not greater than ``upto``; both are null where the
+    budget is whole epochs. ``stats`` has the level columns, ``key`` and ``tokens``.
     """
     spark = stats.sparkSession
     supply = stats.groupBy(*levels).agg(F.sum("tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
@@ -96,30 +99,29 @@ def plan(stats: DataFrame, levels: list[str], mixture: Mixture) -> DataFrame:
     budgets = leaf_budgets(own, mixture)
     rows = [(*leaf, t // own[leaf] if own[leaf] else 0, t % own[leaf] if own[leaf] else 0) for leaf, t in budgets.items()]
     leaves = F.broadcast(spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in levels) + ", whole_epochs long, rest long"))
-    # the order of the epoch that is cut; the range of a hash is the top of it, shifted to begin at 0
-    hashed = stats.join(leaves, levels).where("rest > 0").select(*levels, "whole_epochs", "rest", "tokens", F.xxhash64("key", "whole_epochs").alias("h"))
-    hashed = hashed.withColumn("range", F.shiftright("h", 64 - RANGE_BITS))
-    ranges = hashed.groupBy(*levels, "rest", "range").agg(F.sum("tokens").alias("n"))
-    upto = Window.partitionBy(*levels).orderBy("range")
-    ranges = ranges.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    # where every range fits, all is taken: the rest is less than the leaf has, so a range that doesn't always exists
-    cut = ranges.where("before <= rest and before + n > rest").select(*levels, "range", "before")
-    inside = hashed.join(F.broadcast(cut), [*levels, "range"])
-    peers = Window.partitionBy(*levels).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fitting = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(peers)).where("upto <= rest")
-    last = fitting.groupBy(*levels).agg(F.max("h").alias("within"))
-    # nothing of the cut range fits: all ranges before it
-    border = cut.select(*levels, (F.shiftleft(F.col("range").cast("long"), 64 - RANGE_BITS) - 1).alias("border"), F.col("range").alias("cut_range"))
-    full = leaves.join(border, levels, "left").join(last, levels, "left")
-    first = -(1 << (RANGE_BITS - 1))
-    taken = F.coalesce("within", F.when(F.col("cut_range") > first, F.col("border")))
-    return full.select(*levels, "whole_epochs", F.when(F.col("rest") > 0, taken).alias("last_hash"))
+    # the order of the epoch that is cut
+    inside = stats.join(leaves, levels).where("rest > 0").select(*levels, "rest", F.lit(0).cast("long").alias("before"), "tokens", F.xxhash64("key", "whole_epochs").alias("h"))
+    for level in range(1, RANGE_LEVELS + 1):
+        inside = inside.withColumn("range", F.shiftright("h", 64 - level * RANGE_BITS))
+        ranges = inside.groupBy(*levels, "rest", "before", "range").agg(F.sum("tokens").alias("n"))
+        upto = Window.partitionBy(*levels).orderBy("range")
+        ranges = ranges.withColumn("before", F.col("before") + F.sum("n").over(upto) - F.col("n"))
+        # the rest is less than the leaf has, so exactly one range doesn't fit
+        cut = materialise(ranges.where("before <= rest and before + n > rest").select(*levels, "range", "before"))
+        # one row per leaf, at most MAX_LEAVES
+        inside = inside.drop("before").join(F.broadcast(cut), [*levels, "range"])
+    places = inside.groupBy(*levels, "rest", "before", "h").agg(F.sum("tokens").alias("tokens"))
+    fitting = places.withColumn("total", F.col("before") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("h"))).where("total <= rest")
+    last = fitting.groupBy(*levels).agg(F.max("h").alias("upto"))
+    # the least hash of the cut range is the border, and not itself taken with what is below it
+    border = cut.select(*levels, F.shiftleft("range", 64 - RANGE_LEVELS * RANGE_BITS).alias("below"))
+    return leaves.join(border, levels, "left").join(last, levels, "left").select(*levels, "whole_epochs", "below", "upto")
 
 
 def with_leaf(docs: DataFrame, levels: Mapping[str, Column | str], seed: int, doc_id: str, text: str) -> DataFrame:
-    """``docs`` with the level columns as ``_level_n`` (null as "(none)"), ``_key`` and ``_tokens``."""
-    named = {f"_level_{k}": F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(MISSING)) for k, c in enumerate(levels.values())}
-    return docs.withColumns({**named, "_key": _key(seed, doc_id, text), "_tokens": word_tokens(text)})
+    """Each row as the struct ``_row``, with the level columns as ``_level_n`` (null as "(none)"), ``_key`` and ``_tokens``."""
+    named = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(MISSING)).alias(f"_level_{k}") for k, c in enumerate(levels.values())]
+    return docs.select(F.struct("*").alias("_row"), *named, _key(seed, doc_id, text).alias("_key"), word_tokens(text).alias("_tokens"))
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column | str], mixture: Mixture, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -128,15 +130,17 @@ def mix(docs: DataFrame, levels: Mapping[str, Column | str], mixture: Mixture, d
     ``levels`` names the tree from the root down, each by a column or an expression. Null levels are a sibling of their
     own. Texts without words cost nothing and are taken with the whole epochs of their leaf, or if their hash lies in the
     prefix. Repeated rows share a hash and are taken or left together. A leaf of weight 0 gives nothing. An empty table
-    gives an empty result.
+    gives an empty result. Columns of the input that are named tokens or epoch are replaced, others may have any name.
     """
     names = [f"_level_{k}" for k in range(len(levels))]
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", "epoch")]
     rows = with_leaf(docs, levels, mixture.seed, doc_id, text)
     stats = materialise(rows.select(*names, F.col("_key").alias("key"), F.col("_tokens").alias("tokens")))
     leaves = materialise(plan(stats, names, mixture))
-    epochs = F.when(F.xxhash64("_key", "whole_epochs") <= F.col("last_hash"), F.col("whole_epochs") + 1).otherwise(F.col("whole_epochs"))
+    h = F.xxhash64("_key", "whole_epochs")
+    epochs = F.when((h < F.col("below")) | (h <= F.col("upto")), F.col("whole_epochs") + 1).otherwise(F.col("whole_epochs"))
     # one row per leaf, at most MAX_LEAVES
     taken = rows.join(F.broadcast(leaves), names).withColumn("_epochs", epochs).where("_epochs > 0")
+    own = [F.col(f"_row.`{c}`").alias(c) for c in keep]
     out = [F.col(n).alias(c) for n, c in zip(names, levels) if c not in keep]
-    return taken.select(*keep, *out, F.col("_tokens").alias("tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)).alias("epoch"))
+    return taken.select(*own, *out, F.col("_tokens").alias("tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)).alias("epoch"))

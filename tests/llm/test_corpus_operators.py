@@ -193,7 +193,7 @@ def test_mixing_takes_seeded_prefixes(spark, share, epochs):
     docs, rows = docs_for_mixing(spark)
     mixture = mixing.Mixture({("en",): 4.0}, share, epochs)
     got = mixing.mix(docs, {"lang": "lang", "source": "source"}, mixture, keep=["doc_id"]).collect()
-    hashes = {r.doc_id: r for r in mixing.with_leaf(docs, {"lang": "lang", "source": "source"}, mixture.seed, "doc_id", "text").select("doc_id", "_level_0", "_level_1", "_tokens", *[F.xxhash64("_key", F.lit(e).cast("long")).alias(f"e{e}") for e in range(4)]).collect()}
+    hashes = {r.doc_id: r for r in mixing.with_leaf(docs, {"lang": "lang", "source": "source"}, mixture.seed, "doc_id", "text").select("_row.doc_id", "_level_0", "_level_1", "_tokens", *[F.xxhash64("_key", F.lit(e).cast("long")).alias(f"e{e}") for e in range(4)]).collect()}
     leaves: dict = {}
     for r in hashes.values():
         leaves.setdefault((r._level_0, r._level_1), []).append(r)
@@ -217,10 +217,47 @@ def test_mixing_takes_seeded_prefixes(spark, share, epochs):
     assert count == {d: n for d, n in want.items() if n}
 
 
+def plain_prefix(rows, rest):
+    """Whether each of (key, hash, tokens) is in the longest prefix by hash that has at most ``rest`` tokens."""
+    return {k for k, h, _ in rows if sum(t for _, g, t in rows if g <= h) <= rest}
+
+
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_mixing_plan_is_the_longest_prefix(spark, bits, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+    rng = random.Random(bits)
+    rows = [("leaf", k // 2, rng.randint(0, 4)) for k in range(80)]  # every key twice
+    keyed = spark.createDataFrame(rows, "l string, key long, tokens long")
+    hashes = {r.key: r.h for r in keyed.select("key", F.xxhash64("key", F.lit(0).cast("long")).alias("h")).collect()}
+    total = sum(t for *_, t in rows)
+    for rest in (1, total // 3, total - 1):
+        got = mixing.plan(keyed, ["l"], mixing.Mixture({}, (rest + 0.5) / total, 1.0)).first()
+        want = plain_prefix([(k, hashes[k], t) for _, k, t in rows], rest)
+        assert {k for k, h in hashes.items() if (got.below is not None and h < got.below) or (got.upto is not None and h <= got.upto)} == want
+
+
+@pytest.mark.parametrize("share", [0.00002, 0.0004, 0.5, 0.9999])
+def test_mixing_cut_in_the_first_and_last_ranges(spark, share):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(" ".join(["w"] * 30)).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(docs.limit(40))  # repeated rows share a hash
+    got = mixing.mix(docs, {"lang": "lang"}, mixing.Mixture({}, share, 1.0), keep=["doc_id"])
+    rows = mixing.with_leaf(docs, {"lang": "lang"}, 23, "doc_id", "text").select("_row.doc_id", F.xxhash64("_key", F.lit(0).cast("long")).alias("h"), "_tokens").collect()
+    budget = int(share * sum(r._tokens for r in rows) + 1e-6)
+    total, want = 0, []
+    for h in sorted({r.h for r in rows}):
+        same = [r for r in rows if r.h == h]
+        total += sum(r._tokens for r in same)
+        if total > budget:
+            break
+        want += [r.doc_id for r in same]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, "x y", "en", "a", 0), (3, "x y", "en", "a", 0)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("tokens", F.lit("clash")).drop("tokens")
-    assert mixing.mix(docs, {"lang": "lang", "source": "source"}, mixing.Mixture({}, 1.0, 1.0)).count() >= 2
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"tokens": F.lit("clash"), "epoch": F.lit("clash"), "_key": F.lit("k"), "_row": F.lit("r"), "range": F.lit(1), "below": F.lit(1)})
+    got = mixing.mix(docs, {"lang": "lang", "source": "source"}, mixing.Mixture({}, 1.0, 1.0))
+    assert sorted((r.doc_id, r.tokens, r.epoch, r._key, r._row) for r in got.collect()) == [(1, 0, 0, "k", "r"), (3, 2, 0, "k", "r"), (3, 2, 0, "k", "r")]
     assert mixing.mix(spark.createDataFrame([], DOCS), {"lang": "lang"}, mixing.Mixture({})).count() == 0
 
 
