@@ -2,9 +2,15 @@
 
 Everything is DataFrame work: candidates are cut out of the text with one regular expression, their features (length,
 character transitions, dictionary coverage, path, neighbouring words) are column expressions, and the forest is Spark's
-own. It is trained on labelled findings: a bounded sample of the corpus's own candidates that carry a safe label (a
-provider's format or an assignment to a credential's name; or plain words, numbers, identifiers, placeholders), and a
-fixed number of findings made up in the same forms, so that a corpus without any secret still has both classes.
+own.
+
+It is trained on labelled findings. Given tables without any, labels come from evidence that the forest never sees: among
+a bounded sample of the corpus's own candidates those in a provider's format are secrets and those that are identifiers,
+plain numbers or hold a placeholder's mark are not, whatever stands around them; and a fixed number of made-up findings, in
+many forms and neighbourhoods, is labelled by how it was made. Labels of one's own can be given to ``train``.
+
+The pattern is linear in the text: no group repeats without bound, and an identifier or a run of characters is tried once,
+from its start.
 """
 
 from __future__ import annotations
@@ -30,22 +36,42 @@ COMMON = (
     "para|por|con|los|las|name|user|data|file|test|type|value|index|class|http|www|com|org|net|html|version|number|date|time|page|image|text"
 )
 
+#: An identifier that holds a credential's name, and the sign of assignment after it.
+_NAMED = f"(?<![a-z0-9_-])(?=[a-z0-9_-]*?(?:{NAMES})(?![a-z]))[a-z0-9_-]++[\"']?\\s{{0,3}}(?::=|=>|:|=)\\s{{0,3}}[\"']?"
 CANDIDATE = (
-    "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s:,-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    f"|(?i:\\b(?:[a-z0-9]+[_-])*(?:{NAMES})(?:[_-][a-z0-9]+)*[\"']?\\s{{0,3}}(?::=|=>|:|=)\\s{{0,3}}[\"']?[^\\s\"',;<>]{{6,}})"
-    "|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,}(?:\\.[A-Za-z0-9_-]{10,}){0,2}"
+    # the body of a key block has single dashes in its headers only
+    "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s:,]*+(?:-[A-Za-z0-9+/=\\s:,]++){0,32}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    f"|(?i:{_NAMED}[^\\s\"',;<>]{{6,}}+)"
+    "|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+(?:\\.[A-Za-z0-9_-]{10,}+){0,2}"
 )
-_VALUE = f"^(?i:(?:[a-z0-9]+[_-])*(?:{NAMES})(?:[_-][a-z0-9]+)*[\"']?\\s{{0,3}}(?::=|=>|:|=)\\s{{0,3}}[\"']?)(?=[^\\s\"',;<>]{{6,}}$)"
+_VALUE = f"^(?i:{_NAMED})(?=[^\\s\"',;<>]{{6,}}+$)"
 
+#: What the forest sees.
 FEATURES = [
-    "length", "digits", "uppers", "marks", "transitions", "case_switches", "pairs", "distinct", "entropy", "coverage", "is_hex", "is_number", "is_uuid",
-    "named", "assigned", "quoted", "in_path", "example_path", "placeholder", "format",
+    "length", "digits", "uppers", "marks", "transitions", "case_switches", "pairs", "distinct", "entropy", "coverage",
+    "named", "assigned", "quoted", "in_path", "example_path", "example_near",
 ]
+#: What labels are taken from; never inputs of the forest.
+EVIDENCE = ["format", "placeholder", "is_number", "is_uuid"]
+_PRINTABLE = "".join(map(chr, range(33, 127)))
+_RUN = 256
+
+
+def running_sums(values: Column) -> Column:
+    """For each item of an array of longs the sum of those before it.
+
+    Runs of 256 are summed each on their own and then shifted, so that the work isn't the square of the length.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
 
+    def before(xs: Column) -> Column:
+        state = F.struct(zero.alias("sum"), none.alias("out"))
+        return F.aggregate(xs, state, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")), lambda acc: acc["out"])
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(values)), F.lit(_RUN))
+    runs = F.transform(starts, lambda i: F.slice(values, i, _RUN))
+    shifts = before(F.transform(runs, lambda r: F.aggregate(r, zero, lambda acc, x: acc + x)))
+    return F.flatten(F.zip_with(runs, shifts, lambda r, shift: F.transform(before(r), lambda x: x + shift)))
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",), window: int = 48) -> DataFrame:
@@ -53,16 +79,8 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None, kee
     value, before and after (its neighbourhood) and path."""
     rows = docs.select(*keep, F.col(text).alias("_text"), (F.col(path) if path else F.lit(None)).cast("string").alias("_path")).where(F.col("_text").rlike(CANDIDATE))
     found = rows.withColumns({"_m": F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)), "_p": F.split("_text", CANDIDATE, -1)})
-    lengths = F.transform("_m", lambda m, i: F.struct(m.alias("m"), F.get("_p", i).alias("p"), F.get("_p", i + 1).alias("q")))
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string,before:string,after:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["p"])).alias("start"), x["m"].alias("m"), F.right(x["p"], F.lit(window)).alias("before"), F.left(x["q"], F.lit(window // 2)).alias("after")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    found = found.withColumn("_at", running_sums(F.transform("_m", lambda m, i: (F.char_length(F.get("_p", i)) + F.char_length(m)).cast("long"))))
+    spans = F.transform("_m", lambda m, i: F.struct(m.alias("m"), (F.get("_at", i) + F.char_length(F.get("_p", i))).alias("start"), F.right(F.get("_p", i), F.lit(window)).alias("before"), F.left(F.get("_p", i + 1), F.lit(window // 2)).alias("after")))
     each = found.select(*keep, "_path", F.posexplode(spans).alias("finding", "c"))
     name = F.regexp_extract("c.m", _VALUE, 0)
     return each.select(
@@ -71,49 +89,80 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None, kee
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """``found`` with the columns FEATURES, all doubles."""
+    """``found`` with the columns FEATURES and EVIDENCE, all doubles, each over the whole value.
+
+    Characters are counted one by one for those that print in ASCII, all others count as one more.
+    """
     v, n = F.col("value"), F.char_length("value")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    # the first 512 characters of a key block have its statistics; its length is a feature of its own
-    chars = F.split(F.left(v, F.lit(512)), "")
-    m = F.size(chars)
-    entropy = _let(chars, lambda cs: F.aggregate(F.array_distinct(cs), F.lit(0.0), lambda acc, c: _let(F.size(F.filter(cs, lambda x: x == c)) / F.size(cs), lambda p: acc - p * F.log2(p))))
+    counts = F.transform(F.split(F.lit(_PRINTABLE), ""), lambda c: n - F.char_length(F.replace(v, c, F.lit(""))))
+    found = found.withColumn("_counts", counts)
+    found = found.withColumn("_counts", F.filter(F.concat("_counts", F.array(n - F.aggregate("_counts", F.lit(0), lambda acc, x: acc + x))), lambda x: x > 0))
     low = F.lower(v)
-    named = f"(?i)(?:{NAMES})[^\\n]{{0,12}}$"
+    named = f"(?i)(?:{NAMES})(?![a-z])[^\\n]{{0,12}}$"
     return found.withColumns({
-        "length": F.least(n, F.lit(256)).cast("double"), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "marks": share("[^A-Za-z0-9]"),
+        "length": F.log2(F.greatest(n, F.lit(1))), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "marks": share("[^A-Za-z0-9]"),
         "transitions": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), "case_switches": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
-        "pairs": share("(?i)(?=[aeiouy][b-df-hj-np-tv-xz]|[b-df-hj-np-tv-xz][aeiouy])"), "distinct": F.size(F.array_distinct(chars)) / m, "entropy": entropy,
-        "coverage": F.lit(1.0) - F.char_length(F.regexp_replace(low, COMMON, "")) / n, "is_hex": flag(v.rlike("^[0-9a-fA-F]+$")), "is_number": flag(v.rlike("^[0-9+=/_-]+$")),
-        "is_uuid": flag(low.rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")), "named": flag(F.col("before").rlike(named)), "assigned": flag(F.col("before").rlike("[:=]\\s{0,3}[\"']?$")),
+        "pairs": share("(?i)(?=[aeiouy][b-df-hj-np-tv-xz]|[b-df-hj-np-tv-xz][aeiouy])"), "distinct": F.size("_counts") / n,
+        "entropy": F.aggregate("_counts", F.lit(0.0), lambda acc, x: acc - x / n * F.log2(x / n)),
+        "coverage": F.lit(1.0) - F.char_length(F.regexp_replace(low, COMMON, "")) / n, "named": flag(F.col("before").rlike(named)), "assigned": flag(F.col("before").rlike("[:=]\\s{0,3}[\"']?$")),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")), "in_path": flag(F.col("before").rlike("(?:/|\\\\|www\\.|\\w\\.)$") | F.col("after").rlike("^(?:/|\\\\|\\.\\w)")),
-        "example_path": flag(F.lower("path").rlike(EXAMPLE_PATH)), "placeholder": flag(low.rlike(PLACEHOLDER) | F.lower("before").rlike("example|placeholder|dummy")), "format": flag(v.rlike(FORMATS)),
-    })
-
-
-def safe_label(found: DataFrame) -> Column:
-    """1 or 0 where a finding's label is beyond doubt, else null."""
-    random_like = (F.col("entropy") >= 3.0) & (F.col("digits") > 0.05) & (F.col("pairs") < 0.45)
-    secret = (F.col("placeholder") == 0) & (F.col("is_number") == 0) & ((F.col("format") == 1) | ((F.col("named") == 1) & (F.col("assigned") == 1) & random_like & (F.col("length") >= 16)))
-    harmless = (F.col("placeholder") == 1) | (F.col("is_number") == 1) | ((F.col("named") == 0) & (F.col("format") == 0) & ((F.col("is_uuid") == 1) | (F.col("in_path") == 1) | (F.col("entropy") < 3.0) | (F.col("digits") < 0.05)))
-    return F.when(secret, 1.0).when(harmless, 0.0)
-
-
-def made_up_findings(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """Labelled findings in the usual forms, from hashes of row numbers."""
-    ids = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512))
-    b64 = F.regexp_replace(F.base64(F.unhex(F.left("h", F.lit(60)))), "[=]", "")
-    up = F.upper(F.left(F.regexp_replace(F.base64(F.unhex("h")), "[^A-Za-z0-9]", ""), F.lit(16)))
-    forms = [
-        (1, F.concat(F.lit("AKIA"), up), 'aws_access_key_id = "', '"'), (1, F.concat(F.lit("ghp_"), F.left(F.regexp_replace(F.base64(F.unhex("h")), "[^A-Za-z0-9]", "x"), F.lit(36))), "git token: ", ""),
-        (1, F.left("h", F.lit(40)), 'token = "', '"'), (1, F.left("h", F.lit(32)), "api_key=", "\n"), (1, b64, "secret: '", "'"), (1, F.concat(F.left(b64, F.lit(9)), F.lit("!7")), 'password = "', '"'),
-        (0, F.left("h", F.lit(40)), "commit ", " fixed"), (0, F.left("h", F.lit(32)), "md5 of the file ", "."), (0, F.concat(F.lit("your_"), F.left("h", F.lit(4)), F.lit("_token_here_123456")), 'token = "', '"'),
-        (0, F.regexp_replace(F.left("h", F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), "https://example.org/item/", "/view"), (0, F.translate(F.left("h", F.lit(16)), "abcdef", "123456"), "call ", " now"),
-        (0, F.concat(F.lit("release-notes-version-number-"), F.left("h", F.lit(2)), F.lit("-2024")), "see ", ".html"), (0, F.lit("xxxxxxxxxxxxxxxx1234"), "password: ", ""), (0, F.concat(F.lit("Informationstechnologie"), (F.col("id") % 97).cast("string")), "der ", " und"),
+        "example_path": flag(F.lower("path").rlike(EXAMPLE_PATH)), "example_near": flag(F.lower("before").rlike("example|placeholder|dummy")),
+        "format": flag(v.rlike(FORMATS)), "placeholder": flag(low.rlike(PLACEHOLDER)), "is_number": flag(v.rlike("^[0-9+=/_-]+$")), "is_uuid": flag(low.rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")),
+    }).drop("_counts")
+
+
+def safe_label() -> Column:
+    """1 or 0 where the evidence on a finding is beyond doubt, else null."""
+    harmless = (F.col("placeholder") == 1) | (F.col("is_number") == 1) | (F.col("is_uuid") == 1)
+    return F.when(harmless, 0.0).when(F.col("format") == 1, 1.0)
+
+
+def made_up_findings(spark: SparkSession, n: int = 4000, seed: str = "finding") -> DataFrame:
+    """Labelled findings (label, value, before, after, path) in many forms, from hashes of row numbers."""
+    ids = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 512))
+    part = lambda k: F.conv(F.substring("h", 100 + 2 * k, 5), 16, 10).cast("int")
+    one_of = lambda k, *xs: F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), F.pmod(part(k), F.lit(len(xs))))
+    cut = lambda x, least, most, k=5: F.left(x, F.pmod(part(k), F.lit(most - least + 1)) + least)
+    words = "river stone market yellow printer garden window paper member status energy bridge travel number config letter planet report Haus Zeit maison tiempo".split()
+    word, other = one_of(1, *words), one_of(2, *words)
+    digits = F.translate("h", "abcdef", "135790")
+    base64 = F.regexp_replace(F.base64(F.unhex("h")), "[=]", "")
+    letters = F.regexp_replace(base64, "[^A-Za-z0-9]", "q")
+    lower36 = F.lower(letters)
+    password = F.concat(F.initcap(word), F.left(digits, F.lit(3)), one_of(3, "!", "#", "&", "$", "_", "-"), F.left(letters, F.lit(4)))
+    key = one_of(4, "password", "db_password", "PASSWORD", "api_key", "apikey", "API-KEY", "token", "access_token", "secret", "client_secret", "SECRET_KEY", "auth_key", "aws_access_key_id", "private_key", "credential", "user_pwd")
+    sign = one_of(5, " = ", "=", ": ", ":", " := ", " => ")
+    mark = one_of(6, "", "", '"', "'")
+    lead = F.concat(one_of(7, "", "see ", "\n", "export ", "und ", "{ "), key, sign, mark)
+    tail = F.concat(mark, one_of(8, "\n", "", " end", ";", ", "))
+    prose = one_of(9, "commit ", "md5 of the file ", "sha256 ", "revision ", "checksum is ", "in ", "hash ", "the ", "blob ", "etag ", "tree ", "merged at ")
+    stop = one_of(10, " fixed", ".", " and more", "\n", ")", "")
+    web = one_of(11, "https://site.org/item/", "www.site.com/", "/usr/lib/", "src/main/", "docs/", "cdn.site.net/img/")
+    plain = one_of(12, "call ", "nr. ", "page ", "see ", "id ", "order ", "version ", "")
+    secret = [
+        cut("h", 32, 64), F.left("h", F.lit(40)), cut(base64, 20, 64), cut(letters, 16, 40), cut(lower36, 16, 40), F.upper(cut("h", 24, 48)), password, F.concat(F.lit("AKIA"), F.upper(F.left(letters, F.lit(16)))),
+    ]
+    bare = [
+        F.concat(F.lit("AKIA"), F.upper(F.left(letters, F.lit(16)))), F.concat(F.lit("ghp_"), F.left(letters, F.lit(36))), F.concat(F.lit("sk_live_"), cut(letters, 20, 28)), F.concat(F.lit("AIza"), F.left(letters, F.lit(35))),
+        F.concat(F.lit("eyJ"), F.left(letters, F.lit(30)), F.lit("."), F.left(F.reverse(letters), F.lit(40)), F.lit("."), F.left(F.md5("h"), F.lit(27))),
     ]
-    pick = F.array(*[F.struct(F.lit(float(y)).alias("label"), v.alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after")) for y, v, b, a in forms])
-    return ids.select(F.get(pick, (F.col("id") % len(forms)).cast("int")).alias("f")).select("f.*", F.lit("").alias("path"))
+    harmless_named = [
+        F.concat(F.lit("your_"), word, F.lit("_token_here_1")), F.concat(F.lit("xxxxxxxxxxxxxxxx"), F.left(digits, F.lit(3))), F.concat(F.lit("changeme"), F.left(digits, F.lit(4))), F.concat(F.lit("${"), F.upper(word), F.lit("_"), F.upper(other), F.lit("_1}")),
+        F.concat(word, F.lit("-"), other, F.lit("-"), word), F.concat(F.lit("get"), F.initcap(word), F.lit("("), other, F.lit(")")), cut(digits, 8, 16), F.concat(other, F.lit("."), word, F.lit(".value")), F.concat(F.lit("required"), other),
+    ]
+    uuid = F.regexp_replace(F.left("h", F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    harmless = [
+        (F.left("h", F.lit(40)), prose, stop), (cut("h", 32, 64), prose, stop), (cut(base64, 20, 60), web, F.lit(".png")), (cut("h", 32, 40), web, F.lit("/view")), (uuid, F.concat(plain, web), F.lit("/")), (uuid, plain, stop),
+        (cut(digits, 16, 24), plain, stop), (F.concat(word, F.lit("-"), other, F.lit("-number-"), F.left(digits, F.lit(3))), plain, stop), (F.concat(F.initcap(word), F.initcap(other), F.lit("Factory"), F.left(digits, F.lit(1))), plain, stop),
+        (F.concat(F.lit("2024-01-0"), F.left(digits, F.lit(1)), F.lit("_"), other, F.lit("_"), word), web, F.lit(".html")), (F.concat(word, other, word, F.left(digits, F.lit(2))), prose, stop), (F.concat(word, F.lit("_"), other, F.lit("_id_"), F.left(digits, F.lit(4))), F.concat(other, F.lit(" = ")), stop),
+        (F.concat(cut(digits, 4, 6), F.lit("-"), F.left(F.reverse(digits), F.lit(4)), F.lit("-"), F.left("h", F.lit(0)), cut(digits, 4, 8)), plain, stop), (F.concat(F.lit("lib"), word, F.lit("-"), other, F.lit("-1-2-"), F.left(digits, F.lit(2))), web, F.lit(".so")),
+    ]
+    row = lambda y, v, b, a: F.struct(F.lit(float(y)).alias("label"), v.alias("value"), b.alias("before"), a.alias("after"))
+    forms = [row(1, v, lead, tail) for v in secret] + [row(1, v, one_of(13, lead, prose, plain, F.lit("key ")), one_of(14, tail, stop)) for v in bare]
+    forms += [row(0, v, lead, tail) for v in harmless_named] + [row(0, v, b, a) for v, b, a in harmless]
+    return ids.select(F.get(F.array(*forms), F.pmod("id", F.lit(len(forms))).cast("int")).alias("f")).select("f.*", F.lit("").alias("path"))
 
 
 def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
@@ -124,7 +173,7 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 11)
 
 def fit(found: DataFrame, sample_rows: int = 20_000) -> RandomForestClassificationModel:
     """Train on at most ``sample_rows`` safely labelled findings (the first by hash) and the made-up ones."""
-    own = found.withColumn("label", safe_label(found)).where("label is not null")
+    own = found.withColumn("label", safe_label()).where("label is not null")
     own = own.orderBy(F.xxhash64("value", "before"), "value", "before").limit(sample_rows).select("label", *FEATURES)
     made = with_features(made_up_findings(found.sparkSession)).select("label", *FEATURES)
     return train(materialise(own.unionByName(made)))
@@ -150,16 +199,17 @@ def scan(docs: DataFrame, threshold: float = 0.5, text: str = "text", path: str
 def redact(docs: DataFrame, threshold: float = 0.5, mark: str = "[SECRET]", text: str = "text", path: str | None = None) -> DataFrame:
     """Every row with the secrets in its text replaced by ``mark``; other texts, null ones too, stay as they are.
 
-    Findings depend on the text and the path alone, so they are found once per distinct pair and joined by its hashes.
+    Findings depend on the text and the path alone, and are joined by the hashes of the two.
+    A text with secrets is cut once more by the pattern and put together again. Columns may have any name.
     """
-    keys = {"_k": F.xxhash64(text, *([path] if path else [])), "_k2": F.xxhash64(F.lit(1), *([path] if path else []), text)}
-    keyed = docs.withColumns(keys)
-    found = scan(keyed, threshold, text, path, ("_k", "_k2")).where("is_secret").select("_k", "_k2", "start", "length").distinct()
-    spans = found.groupBy("_k", "_k2").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    cut = F.aggregate(
-        "_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.char_length(text))),
-    )
-    joined = keyed.join(spans, ["_k", "_k2"], "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)
+    place = F.col(path) if path else F.lit(None)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), place.cast("string").alias("_path"))
+    keyed = rows.withColumns({"_k": F.xxhash64("_text", "_path"), "_k2": F.xxhash64(F.lit(1), "_path", "_text")})
+    found = scan(keyed.select("_k", "_k2", "_text", "_path"), threshold, "_text", "_path", ("_k", "_k2")).where("is_secret")
+    # findings of one text: as many as it has; copies of it have the same
+    hits = found.select("_k", "_k2", "finding").distinct().groupBy("_k", "_k2").agg(F.collect_list("finding").alias("_hits"))
+    m, p = F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)), F.split("_text", CANDIDATE, -1)
+    masked = F.transform(m, lambda x, i: F.when(F.array_contains("_hits", i.cast("long")), F.concat(F.regexp_extract(x, _VALUE, 0), F.lit(mark))).otherwise(x))
+    again = F.array_join(F.flatten(F.zip_with(p, masked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    joined = keyed.join(hits, ["_k", "_k2"], "left").withColumn("_text", F.when(F.col("_hits").isNull(), F.col("_text")).otherwise(again))
+    return joined.select(*[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
