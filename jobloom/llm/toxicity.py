@@ -206,8 +206,9 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     """One document of each group of near copies in the bounded sample: copied words are no evidence of their own."""
     rows = sample.select("doc_id", "fp").distinct().toPandas().drop_duplicates("fp").sort_values("fp")
     prints = np.sort(rows["fp"].to_numpy().view(np.uint64))
-    copies, _ = simhash._forest(len(prints), *simhash.trie_links(prints, prints, 4))
-    drop = set(prints[copies].view(np.int64).tolist())
+    forest, every = simhash.Forest(len(prints)), np.arange(len(prints))
+    simhash.trie_join(prints, every, every, 4, forest)
+    drop = set(prints[forest.links()[0]].view(np.int64).tolist())
     kept = [int(d) for d, f in zip(rows["doc_id"], rows["fp"]) if int(f) not in drop]
     return sample.join(F.broadcast(sample.sparkSession.createDataFrame([(d,) for d in kept], "doc_id long")), "doc_id")
 

@@ -35,15 +35,20 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("errors", [0, 4, 9])
-def test_trie_walk_is_brute_force(errors):
+@pytest.mark.parametrize("errors", [0, 4, 9, 22])
+@pytest.mark.parametrize("most_pairs", [3, 2048])
+def test_trie_walk_is_brute_force(errors, most_pairs):
     rng = np.random.default_rng(errors)
-    x = rng.integers(0, 2**63, 400, dtype=np.int64).view(np.uint64)
-    y = x[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    left, right = np.sort(np.concatenate([x, y, y[:5]])), np.sort(np.concatenate([y, x[:50]]))
-    got = set(zip(*map(list, simhash.trie_links(left, right, errors))))
-    want = set(map(tuple, np.argwhere(np.bitwise_count(left[:, None] ^ right[None, :]) <= errors)))
-    assert got == want
+    x = rng.integers(0, 2**63, 200, dtype=np.int64).view(np.uint64)
+    y = x[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
+    values = np.concatenate([x, y, y[:5], np.repeat(x[:1], 30)])
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= errors
+    every, half = np.arange(len(values)), rng.random(len(values)) < 0.5
+    for left, right in ((every, every), (every[half], every[~half])):
+        forest = simhash.Forest(len(values))
+        simhash.trie_join(values, left, right, errors, forest, most_pairs)
+        pairs = [(i, j) for i, j in np.argwhere(near) if left is right or half[i] != half[j]]
+        assert forest.root.tolist() == components(len(values), pairs)
 
 
 def plain_fingerprint(text):
@@ -72,7 +77,7 @@ def test_simhash_large_keys_are_cut_into_blocks(spark):
     prints = sorted({(1 << 40) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     rows = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "id long, fp long")
-    links = [(r.a, r.b) for r in simhash.fingerprint_links(rows, 4, block_rows=16).collect()]
+    links = [(r.a, r.b) for r in simhash.fingerprint_links(rows, simhash.pigeonhole_keys("fp", 4, 6), 4, block_rows=16).collect()]
     want = components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
     assert components(len(prints), links) == want
     assert len(links) < 15 * 300 * 20
@@ -95,9 +100,10 @@ def test_one_of_each(spark):
         words[50], words[200] = "changed", "words"
         rows += [(100 + k, base[k], "en", "s", 0), (200 + k, " ".join(words), "en", "s", 0)]
     rows += [(300, "", "en", "s", 0), (301, None, "en", "s", 0), (None, base[0], "en", "s", 0), (11, base[11], "en", "s", 0)]
-    got = simhash.one_of_each(spark.createDataFrame(rows, DOCS))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [*range(12), 300]
+    rows += [(8, base[9], "en", "s", 0), (8, " ".join(reversed(base[10].split())), "en", "s", 0)]  # one id, a copy and a text of its own
+    got = simhash.one_of_each(spark.createDataFrame(rows, DOCS).withColumns({"k": F.lit("own"), "key": F.lit("own"), "_row": F.lit("own")}))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "k", "key", "_row"]
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [*range(9), 8, 8, 10, 11, 300][:9] + [8, 8, 10, 11, 300]
     assert got.where("doc_id is null").count() == 1
 
 
@@ -106,7 +112,7 @@ def plain_shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block_rows": 8}])
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 8}, {"block_bytes": 3000}])
 def test_one_of_each_is_exact_at_the_threshold(spark, blocks):
     rng = random.Random(12)
     texts = []
