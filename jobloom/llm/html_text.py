@@ -1,11 +1,15 @@
 """HTML extraction (operator 1): the main text of pages by the text-to-tag ratio of their lines.
 
-The standard library's parser is read as a stream of events. Block elements cut a page into lines; for each the ratio of
-text characters to tags is taken, the ratios are smoothed with a Gaussian kernel over neighbouring lines, and lines at or
-above a threshold (a multiple of the standard deviation) are the content cluster. The cluster selects the content region:
-the article or main element that holds most of it, else the smallest container that holds nearly all of it. The text is
-that region without its menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments; inside
-the region a short paragraph is kept whatever its ratio.
+The standard library's parser is read as a stream of events. Block elements cut a page into lines; what lies in furniture
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, told by element, role or
+class) is left out piece by piece, also in the middle of a line. For each line the ratio of unlinked characters to tags is
+taken, the ratios are smoothed with a Gaussian kernel over neighbouring lines, and lines at or above a threshold (a
+multiple of the standard deviation) are the content cluster.
+
+The cluster selects the regions: the articles that hold lines of it, the main element, or else the smallest container that
+holds nearly all of it. Within a region it also decides what tags leave open: blocks whose class or id is like a mark of
+furniture without being one, lists of links, and text that stands in no element for text. Paragraphs, headings, items and
+cells of a region stay, however short.
 """
 
 from __future__ import annotations
@@ -22,52 +26,96 @@ from pyspark.sql import functions as F
 # fixed values: HTML elements by role, and the words in class, id and role attributes that mark page furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 FURNITURE = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label map math menu meter nav "
+    "aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header iframe input label menu meter nav "
     "noscript object optgroup option output progress script search select style svg template textarea title video".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = HEADINGS | frozenset("p li blockquote pre tr td th dd dt figcaption caption summary".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tooltip".split())
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertisements advertising banner sponsor sponsored promo promos promoted promotion "
     "cookie cookies consent gdpr notice notices alert alerts notification sidebar sidebars aside comment comments commentlist disqus "
-    "discussion replies reply respond share sharing social related recommended recommendations newsletter subscribe subscription signup "
+    "replies reply respond share sharing social related recommended recommendations newsletter subscribe subscription signup "
     "login signin menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead popup modal overlay toolbar "
     "widget widgets skip search contentinfo complementary teaser teasers outbrain taboola".split()
 )
-READERS = frozenset("comment comments commentlist disqus discussion replies reply respond related recommended recommendations".split())
+#: Words that mark furniture at either end of a compound class, such as site-footer.
+ENDS = frozenset(
+    "ad ads advert adverts advertisement sponsored promo cookie cookies consent gdpr sidebar comment comments disqus newsletter nav navbar navigation menu footer "
+    "breadcrumb breadcrumbs pagination popup modal toolbar outbrain taboola".split()
+)
+READERS = frozenset("comment comments commentlist disqus replies reply respond related recommended recommendations".split())
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TOKEN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Why text is left out: not at all, as the header of its region (whose headings stay), for good.
+_SHOWN, _HEADER, _OUT = 0, 1, 2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "readers", "region")
+    __slots__ = ("tag", "parent", "dropped", "readers", "region", "doubt")
+
+    def __init__(self, tag, parent, dropped, readers, region, doubt):
+        self.tag, self.parent, self.dropped, self.readers, self.region, self.doubt = tag, parent, dropped, readers, region, doubt
+
+    def above(self) -> Iterator[_Node]:
+        node = self
+        while node is not None:
+            yield node
+            node = node.parent
 
-    def __init__(self, tag, parent, dropped, readers, region):
-        self.tag, self.parent, self.dropped, self.readers, self.region = tag, parent, dropped, readers, region
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]], region: bool) -> tuple[int, bool]:
+    """How surely the attributes mark furniture (0 not, 1 doubtful, 2 surely), and whether they name reader comments.
+
+    Whole classes and roles are sure, and whole ids of containers outside of an article. Parts of compounds are doubtful,
+    but for classes of containers that begin or end with a mark. Ids of headings and paragraphs are titles and say nothing.
+    """
+    sure, readers, text = 0, False, tag in TEXT
+    for name, value in attrs:
+        if not value:
+            continue
+        if name == "role" and value.strip().lower() in ROLES:
+            sure = 2
+        elif name == "class":
+            for word in value.split():
+                if (whole := word.lower()) in MARKS:
+                    sure, readers = 2, readers or whole in READERS
+                    continue
+                parts = [x.lower() for x in _PART.findall(word)]
+                if len(parts) > 1 and (parts[0] in ENDS or parts[-1] in ENDS):
+                    sure, readers = max(sure, 1 if text else 2), readers or bool(READERS.intersection(parts) and not text)
+                elif MARKS.intersection(parts):
+                    sure = max(sure, 1)
+        elif name == "id" and not text:
+            if (whole := value.strip().lower()) in MARKS:
+                sure = max(sure, 1 if region or tag in ("section", "article") else 2)
+                readers = readers or (whole in READERS and sure == 2)
+            elif len(parts := [x.lower() for x in _PART.findall(value)]) > 1 and (parts[0] in ENDS or parts[-1] in ENDS):
+                sure = max(sure, 1)
+    return sure, readers
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, number of tags, characters in links, the element they lie in, whether they are furniture."""
+    """Lines of a page without furniture: text, number of tags, characters in links, the element they lie in, the doubtful one."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self._top = _Node("", None, False, False, False)
+        self._top = _Node("", None, _SHOWN, False, False, None)
         self._parts: list[str] = []
         self._tags = self._linked = self._in_link = 0
 
     def _flush(self) -> None:
         if self._parts:
             if text := " ".join("".join(self._parts).split()):
-                node = self._top
-                while node.tag and node.tag not in BLOCK:
-                    node = node.parent
-                self.lines.append([text, max(1, self._tags), self._linked, node, self._top.dropped])
+                node = next(n for n in self._top.above() if n.tag in BLOCK or not n.tag)
+                self.lines.append([text, max(1, self._tags), self._linked, node, node.doubt])
             self._parts = []
         elif self.lines and self._tags:
             self.lines[-1][1] += self._tags
@@ -80,59 +128,59 @@ class _Lines(HTMLParser):
             self._top = self._top.parent
 
     def _open(self, tag: str, within: tuple[str, ...]) -> _Node | None:
-        node = self._top
-        while node.tag and node.tag not in within:
+        for node in self._top.above():
+            if not node.tag or node.tag in within:
+                return None
             if node.tag == tag:
                 return node
-            node = node.parent
         return None
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
-            self._flush()
-            if (p := self._open("p", ("article", "main", "section", "div", "td", "th", "li", "button", "body"))) is not None:
+            p = self._open("p", ("article", "main", "section", "div", "td", "th", "li", "button", "select", "object", "svg", "body"))
+            if p is not None or not self._top.dropped or tag in ("article", "main"):
+                self._flush()
+            if p is not None:
                 self._close_to(p.parent)
         if tag in CLOSES and (old := self._open(tag, CLOSES[tag])) is not None:
             self._close_to(old.parent)
-        self._tags += 1
-        if tag == "br" or tag in ("td", "th"):
+        up = self._top
+        if tag in ("br", "td", "th") and not up.dropped:
             self._parts.append(" ")
         if tag in VOID:
+            self._tags += not up.dropped
             return
-        up, marks, hidden = self._top, (), tag in FURNITURE
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                marks = [*marks, *(t.lower() for t in _TOKEN.findall(value))]
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and _HIDDEN.search(value)):
-                hidden = True
-        dropped, readers, region = up.dropped, up.readers, up.region
+        dropped, readers, region, doubt = up.dropped, up.readers, up.region, up.doubt
+        marked, of_readers = _marked(tag, attrs, region)
+        hidden = any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and _HIDDEN.search(value)) for name, value in attrs)
         if tag in ("html", "body"):
-            hidden = False
-        elif tag in ("article", "main") and not READERS.intersection(marks) and not (readers and tag == "article"):
-            dropped, hidden = (dropped and region), False  # an element left open before the region doesn't hide it
+            pass
+        elif tag == "main" or (tag == "article" and marked < 2 and not readers):
+            if dropped and not region:
+                dropped = _SHOWN  # an element left open before the region doesn't hide it
             region = True
         else:
-            if marks and MARKS.intersection(marks):
-                hidden = True
-            if tag == "header" or (tag in HEADINGS and up.tag in ("header", "hgroup") and region):
-                hidden = tag == "header"
-            readers = readers or bool(READERS.intersection(marks)) or tag == "aside"
-        dropped = dropped or hidden
-        if tag in HEADINGS and region and up.tag == "header" and up.parent is not None and not up.parent.dropped:
-            dropped = False  # the heading of the article itself
+            readers = readers or of_readers or tag == "aside"
+            if tag in HEADINGS and dropped == _HEADER and not hidden and marked < 2:
+                dropped = _SHOWN  # the heading of the article itself
+            elif hidden or marked == 2 or tag in FURNITURE:
+                dropped = _HEADER if tag == "header" and region and dropped < _OUT and not hidden and marked < 2 else _OUT
+        self._tags += not dropped
         if tag == "a":
             self._in_link += 1
-        self._top = _Node(tag, up, dropped, readers, region)
+        self._top = _Node(tag, up, dropped, readers, region, doubt)
+        if marked == 1 and doubt is None and tag in BLOCK and tag not in ("html", "body", "main", "article"):
+            self._top.doubt = self._top
 
     def handle_endtag(self, tag):
-        self._tags += 1
-        if tag in BLOCK:
-            self._flush()
         if tag in VOID:
             return
         # an inline element's end doesn't reach over the block around it
         node = self._open(tag, () if tag in BLOCK else ("article", "main", "section", "div", "body", "table", "td"))
+        if tag in BLOCK and not (self._top if node is None else node).dropped:
+            self._flush()
         if node is not None:
+            self._tags += not node.dropped
             self._close_to(node.parent)
 
     def handle_startendtag(self, tag, attrs):
@@ -141,7 +189,7 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if self._top.dropped and self._top.tag in ("script", "style"):
+        if self._top.dropped:
             return
         self._parts.append(data)
         if self._in_link:
@@ -149,12 +197,42 @@ class _Lines(HTMLParser):
 
 
 def content_lines(ratios: np.ndarray, sigma: float = 1.0, strength: float = 0.5) -> np.ndarray:
-    """The content cluster: smoothed ratios at or above ``strength`` standard deviations, or the largest."""
+    """The content cluster: 1 where the smoothed ratio is at or above ``strength`` standard deviations, or is the largest; 2
+    where the line's own ratio is so too, without its neighbours; else 0."""
     radius = max(1, int(np.ceil(2 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(ratios)), kernel)[radius:-radius]
     smooth = np.convolve(ratios, kernel)[radius:-radius] / weight
-    return smooth >= min(strength * smooth.std(), smooth.max())
+    limit = min(strength * smooth.std(), smooth.max())
+    return np.where(smooth >= limit, np.where(ratios >= limit, 2, 1), 0)
+
+
+def _regions(lines: list[list], chosen: np.ndarray) -> set[_Node]:
+    """The elements whose lines are the article: those marked as one that hold content, else the smallest container of it."""
+    held: dict[_Node, int] = {}
+    size: dict[_Node, list[int]] = {}
+    for (text, _, linked, node, _), is_content in zip(lines, chosen):
+        for up in node.above():
+            held[up] = held.get(up, 0) + (len(text) if is_content > 0 else 0)
+            whole = size.setdefault(up, [0, 0])
+            whole[0] += len(text)
+            whole[1] += linked
+    total = held[lines[0][3] if lines[0][3].parent is None else list(lines[0][3].above())[-1]]
+    outer = lambda tag: [n for n in held if n.tag == tag and n.region and not any(u.tag == tag for u in n.above() if u is not n)]
+    # teasers are articles of links
+    articles = [n for n in outer("article") if held[n] > 0 and size[n][1] <= 0.5 * size[n][0]]
+    mains = [n for n in outer("main") if held[n] > 0]
+    in_main = [n for n in articles if any(u in mains for u in n.above())]
+    if articles and (not mains or sum(held[n] for n in in_main) >= 0.8 * sum(held[n] for n in mains)):
+        return set(articles)
+    if mains or articles:
+        return set(mains or articles)
+    best, deepest = None, -1
+    for node, n in held.items():
+        depth = sum(1 for _ in node.above())
+        if n >= 0.8 * total and node.tag not in TEXT and depth > deepest:
+            best, deepest = node, depth
+    return {best}
 
 
 def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> str:
@@ -165,45 +243,27 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
     parser.feed(html)
     parser.close()
     parser._flush()
-    own = [line for line in parser.lines if not line[4]]
-    if not own:
+    lines = parser.lines
+    if not lines:
         return ""
-    ratios = np.array([(len(text) - linked) / tags if linked < len(text) else 0.0 for text, tags, linked, _, _ in own])
-    chosen = content_lines(ratios, sigma, strength)
-    held: dict[_Node, int] = {}
-    for (text, _, _, node, _), is_content in zip(own, chosen):
-        while node is not None:
-            held[node] = held.get(node, 0) + (len(text) if is_content else 0)
-            node = node.parent
-    total = sum(len(line[0]) for line, c in zip(own, chosen) if c)
-    regions = [n for n in held if n.region and not (n.parent is not None and n.parent.region)]
-    if regions and sum(held[n] for n in regions) > 0:
-        most = max(held[n] for n in regions)
-        inside = {n for n in regions if held[n] >= 0.5 * most}
-        whole = True
-    else:
-        best, size = None, None
-        for node, n in held.items():
-            depth = 0
-            up = node
-            while up is not None:
-                depth, up = depth + 1, up.parent
-            if n >= 0.8 * total and node.tag not in ("p", "li", *HEADINGS) and (size is None or depth > size):
-                best, size = node, depth
-        inside, whole = {best}, False
-
-    def within(node: _Node) -> bool:
-        while node is not None:
-            if node in inside:
-                return True
-            node = node.parent
-        return False
-
-    kept = [(line, c) for line, c in zip(own, chosen) if within(line[3])]
-    if not whole:  # no element says where the article ends: lists of links at the borders aren't part of it
-        keep = [c or line[2] <= 0.5 * len(line[0]) for line, c in kept]
-        kept = [x for x, k in zip(kept, keep) if k]
-    return "\n".join(line[0] for line, _ in kept)
+    chosen = content_lines(np.array([max(0, len(text) - linked) / tags for text, tags, linked, _, _ in lines]), sigma, strength)
+    regions = _regions(lines, chosen)
+    # a doubtful block is content if the cluster holds most of its text
+    doubtful: dict[_Node, int] = {}
+    for (text, _, linked, _, doubt), is_content in zip(lines, chosen):
+        if doubt is not None:
+            doubtful[doubt] = doubtful.get(doubt, 0) + (2 * max(0, len(text) - linked) if is_content == 2 else 0) - len(text)
+    first = next((k for k, line in enumerate(lines) if any(n in regions for n in line[3].above())), len(lines))
+    kept = []
+    for k, ((text, _, linked, node, doubt), is_content) in enumerate(zip(lines, chosen)):
+        inside = any(n in regions for n in node.above())
+        if not inside and k < first and node.tag == "h1" and node.region:
+            kept.append(text)  # the title stands before the article, in the main element
+        elif inside and (doubt is None or doubtful[doubt] >= 0):
+            in_text = node.tag in TEXT and linked <= 0.8 * len(text)
+            if is_content == 2 or in_text or (node.tag in TEXT and node.tag != "li"):
+                kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, sigma: float = 1.0, strength: float = 0.5, html: str = "html") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on single texts, held against plain Python and the tokenizer library."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -133,6 +134,22 @@ def test_first_fit_decreasing_is_first_fit():
         ("<article><p>Body</p><aside>no</aside><form><input>x</form><script>var a = '<p>';</script><div class='comments'><p>reader</p></div></article>", "Body"),
         ("<div id='cookie-notice'>We use cookies</div><div class='post'><p>A long paragraph of the main text stands here.</p><p>And one more of them follows.</p></div><div class='sidebar'>side</div>", "A long paragraph of the main text stands here.\nAnd one more of them follows."),
         ("<main><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></main>", "a\nb\n1 2"),
+        # furniture in the middle of a line goes, what stands around it stays
+        ("<article><p>Text <button>Share</button> more</p></article>", "Text more"),
+        ("<article><p>One <span class='advert'>BUY NOW</span>two <textarea>x</textarea><noscript>y</noscript><svg><text>z</text></svg>three</p></article>", "One two three"),
+        ("<article><p>a <select><option>1<option>2</select> b</p></article>", "a b"),
+        # an element left open ends with the block around it
+        ("<article><p>Kept text <span class='ad'>Buy</p><p>next</article>", "Kept text\nnext"),
+        ("<article><p>Kept <span class='ad'>Buy<p>next</article>", "Kept\nnext"),
+        # ids of headings and sections are titles
+        ("<article><h2 id='discussion'>Discussion</h2><section id='related-work'><p>Before us.</p></section><section id='search-results'><h2 id='social-effects'>Effects</h2><p id='ad-hoc'>Ad hoc.</p></section></article>", "Discussion\nBefore us.\nEffects\nAd hoc."),
+        # of an article's header its headings stay
+        ("<article><header><h1>Title</h1><p>By someone</p></header><p>Body.</p><footer>Tags</footer></article>", "Title\nBody."),
+        ("<article><h1 class='article-header'>Title</h1><p>Body</p><div class='site-footer'>x</div><div class='article-comments'><p>me too</p></div></article>", "Title\nBody"),
+        ("<article><p>First part.</p></article><article><p>Second, short.</p></article>", "First part.\nSecond, short."),
+        ("<main><h1>Title</h1><article><p>A paragraph of some length stands in here.</p></article><div class='more'><a href='/'>Other</a></div></main>", "Title\nA paragraph of some length stands in here."),
+        ("<article><p>&lt;b&gt; &#233;&nbsp;x&notanentity;</p><p hidden>no</p><p style='display: none'>no</p></article>", "<b> é x¬anentity;"),
+        ("<article><p>" + "long " * 200000 + "</p></article>", "long " * 199999 + "long"),
     ],
 )
 def test_main_text(html, text):
@@ -150,6 +167,54 @@ def test_extraction_query(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+PARAGRAPHS = ["The first paragraph of this page is long enough to be told from what stands around it.", "It goes on with a second one, which says as much as the first did and a little more.", "Short end."]
+LINKS = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("Home", "News", "About", "Contact", "Archive"))
+
+
+def page_without_article(paragraphs):
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f"<html><head><title>t</title></head><body><div><ul>{LINKS}</ul></div><div><div><h1>Heading of it</h1>{body}</div></div><div><ul>{LINKS}</ul><div><a>Imprint</a> <a>Terms</a></div></div></body></html>"
+
+
+def page_with_open_questions(paragraphs):
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f"<article><h1>Heading of it</h1>{body}<div class='text-related-note'><p>{paragraphs[1]}</p></div><div class='post-share-row'><b>Tell</b> <b>us</b> <i>now</i></div><div><b>x</b><i>y</i><b>z</b></div><ul>{LINKS}</ul></article>"
+
+
+def test_the_cluster_decides_where_tags_do_not(monkeypatch):
+    without = "\n".join(["Heading of it", *PARAGRAPHS])
+    open_ = "\n".join(["Heading of it", *PARAGRAPHS, PARAGRAPHS[1]])
+    assert html_text.main_text(page_without_article(PARAGRAPHS)) == without
+    assert html_text.main_text(page_with_open_questions(PARAGRAPHS)) == open_
+    monkeypatch.setattr(html_text, "content_lines", lambda ratios, *_: np.full(len(ratios), 2))
+    assert html_text.main_text(page_without_article(PARAGRAPHS)) != without
+    assert html_text.main_text(page_with_open_questions(PARAGRAPHS)) != open_
+
+
+def plain_cluster(ratios, sigma, strength):
+    """Each ratio as the Gaussian mean of those up to two sigma away, one by one."""
+    radius = max(1, math.ceil(2 * sigma))
+    smooth = []
+    for i in range(len(ratios)):
+        near = [(math.exp(-0.5 * ((i - j) / sigma) ** 2), ratios[j]) for j in range(max(0, i - radius), min(len(ratios), i + radius + 1))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    std = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    return [(x >= limit) + (x >= limit and r >= limit) for limit in [min(strength * std, max(smooth)) - 1e-12] for x, r in zip(smooth, ratios)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 400).map(float), min_size=1, max_size=40), st.sampled_from([0.7, 1.0, 2.0]))
+def test_content_lines_are_brute_force(ratios, sigma):
+    got = html_text.content_lines(np.array(ratios), sigma, 0.5)
+    want = plain_cluster(ratios, sigma, 0.5)
+    assert len(got) == len(ratios) and sum(a != b for a, b in zip(got, want)) == 0
+
+
+def test_extraction_of_an_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_extraction_columns_clash(spark):
     pages = spark.createDataFrame([(1, "<p>x</p>", "old", "t"), (2, None, "old", "t")], "page_id long, html string, text string, n_chars string")
     assert [(r.text, r.n_chars) for r in html_text.extract(pages).orderBy("page_id").collect()] == [("x", 1), ("", 0)]
