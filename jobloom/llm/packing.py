@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORD = re.compile(r"[^ \t\n\r]+")
-#: Words that a worker remembers before it starts anew.
-MAX_REMEMBERED = 250_000
+from jobloom.llm.token_counts import LONGEST_REMEMBERED, forget
 
+_WORD, _LATIN = re.compile(r"[^ \t\n\r]+"), re.compile(r"[\x00-\xff]*")
 
 # fixed values: white space, letters and numbers of Unicode among the first 256 characters
 _BLANKS, _LETTERS, _NUMBERS = r"\t\n\x0b\x0c\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -32,8 +31,8 @@ _BLANKS, _LETTERS, _NUMBERS = r"\t\n\x0b\x0c\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-
 class WordEncoder:
     """Token ids of texts under a ``tokenizers`` file whose words never reach over white space.
 
-    The ids of a text are those of its words one after another, so words are encoded once per worker and remembered as
-    bytes of little-endian unsigned 32-bit ids. A text of the first 256 characters only, without the start of a special
+    The ids of a text are those of its words one after another, so words are encoded once per worker and, if they are
+    short, remembered as bytes of little-endian unsigned 32-bit ids; the oldest half is forgotten at a bound. A text of the first 256 characters only, without the start of a special
     token, is lowered and cut by the file's own pattern here, and its new words go straight to the file's merges.
     Otherwise the library normalises and cuts the white-space delimited parts that are new, joined by a special token.
     """
@@ -67,11 +66,11 @@ class WordEncoder:
     def _alone(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of white-space delimited parts, by the library."""
         border, border_id = next(iter(self._special.items()), (None, None))
         joint = [w for w in words if not any(s in w for s in self._special)] if border else []
-        for w in set(words).difference(joint):
-            self._known[w] = self._alone(w)
+        out = {w: self._alone(w) for w in words.difference(joint)}
         for i in range(0, len(joint), 4096):
             part = joint[i : i + 4096]
             ids = np.asarray(self._tokenizer.encode_batch_fast([border.join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -79,35 +78,33 @@ class WordEncoder:
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             assert len(starts) == len(part)
             raw = ids.tobytes()
-            self._known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(starts, ends))))
+            out.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(starts, ends))))
+        return out
 
-    def _slow(self, text: str) -> bytes:
-        words, known = _WORD.findall(text), self._known
-        if missing := list({w for w in words if w not in known}):
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, words))
+    def _merged(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the file's own pattern cut, by its merges."""
+        merge, out = self._tokenizer.model.tokenize, {}
+        for w in words:
+            shown = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self._shown)
+            out[w] = b"".join(t.id.to_bytes(4, "little") for t in merge(shown))
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as bytes."""
-        if len(self._known) > MAX_REMEMBERED:
-            self._known.clear()
-        if len(self._words) > MAX_REMEMBERED:
-            self._words.clear()
-        if self._own is None or "<|" in text:
-            return self._slow(text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._slow(text)
-        words, known = self._own.findall(text.lower()), self._words
+    @staticmethod
+    def _ids(words: list[str], known: dict[str, bytes], learn: Callable[[set[str]], dict[str, bytes]]) -> bytes:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            merge = self._tokenizer.model.tokenize
-            for w in set(words).difference(known):
-                shown = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self._shown)
-                known[w] = b"".join(t.id.to_bytes(4, "little") for t in merge(shown))
-            return b"".join(map(known.__getitem__, words))
+            forget(known)
+            new = learn(set(words).difference(known))
+            out = b"".join([known[w] if w in known else new[w] for w in words])
+            known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_REMEMBERED)
+            return out
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes."""
+        if self._own is not None and "<|" not in text and _LATIN.fullmatch(text):
+            return self._ids(self._own.findall(text.lower()), self._words, self._merged)
+        return self._ids(_WORD.findall(text), self._known, self._learn)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

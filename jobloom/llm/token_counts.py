@@ -6,12 +6,15 @@ So for every prefix of a word exactly one token ends it: the vocabulary entry th
 the last token of what stands before. One pass from left to right stores, at every prefix, the last token and the count;
 truncation and budget questions are then look-ups, without encoding again.
 
-Words are those of the tokenizer's own pre-tokenizer, taken over white-space delimited pieces of the text; pieces are
-remembered per Python worker in a bounded dictionary, because natural text repeats them.
+Words are those of the tokenizer's own pre-tokenizer, taken over white-space delimited pieces of the text. Counts of short
+pieces are remembered per Python worker, because natural text repeats them; the number and the length of what is remembered
+are bounded, and the oldest half is forgotten at once. The new pieces of many texts are sorted, so that a word goes on from
+the prefix that it shares with the word before.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -24,11 +27,22 @@ from pyspark.sql import types as T
 #: A piece: white space and the word after it, or white space at the end. Only characters that every definition of white
 #: space has end a piece; others stay inside, where the tokenizer's own pre-tokenizer sees them.
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Pieces that a worker remembers before it starts anew.
-MAX_REMEMBERED = 400_000
+#: A piece of one word and perhaps a mark of punctuation, with letters of the first 256 characters only.
+_SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: Entries of each dictionary that a worker keeps, and characters of a piece that is remembered: some 60 MB each at most.
+MAX_REMEMBERED, LONGEST_REMEMBERED = 400_000, 32
+#: Characters of texts whose new pieces are sorted together.
+PORTION = 1 << 20
 _NEVER = float("inf")
 
 
+def forget(known: dict, most: int = MAX_REMEMBERED) -> None:
+    """Drop the older half of a dictionary that has reached its bound."""
+    if len(known) >= most:
+        for key in list(itertools.islice(known, most // 2)):
+            del known[key]
+
+
 class PrefixCounter:
     """Token counts of texts and of all their prefixes under one byte-level BPE file of the ``tokenizers`` library."""
 
@@ -41,31 +55,35 @@ class PrefixCounter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         self._rank = {pair: i for i, pair in enumerate(merges)}
         self._spines: dict[tuple[str, bool], list[tuple[str, float, float]]] = {}
-        self._vocab = {t for t in model["model"]["vocab"] if len(t) == 1 or self._spine(t, True)}
-        self._longest = max(map(len, self._vocab))
+        alphabet = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self._byte = {chr(b): b for b in alphabet} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(alphabet)))}
+        self._names = [t for t in model["model"]["vocab"] if len(t) == 1 or self._merge(t, True)]
+        self._ids = {bytes(self._byte[c] for c in name): k for k, name in enumerate(self._names)}
+        self._longest = max(map(len, self._ids))
         self._special = [t["content"] for t in model["added_tokens"]]
         self._cut = re.compile("|".join(map(re.escape, self._special))) if self._special else None
-        self._valid: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, int] = {}
+        self._valid: dict[int, bool] = {}
         self._pieces: dict[str, int] = {}
 
-    def _spine(self, token: str, right: bool) -> list[tuple[str, float, float]]:
+    def _merge(self, token: str, right: bool) -> list[tuple[str, float, float]]:
         """The parts at one end of a token while it is merged: each with the ranks at which it arises and is merged on."""
+        parts = list(token)
+        ends = [(parts[-right], -1.0)]
+        while len(parts) > 1:
+            ranks = [self._rank.get(p, _NEVER) for p in zip(parts, parts[1:])]
+            if (best := min(ranks)) == _NEVER:
+                return []  # merging never yields this entry of the vocabulary
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if parts[-right] != ends[-1][0]:
+                ends.append((parts[-right], best))
+        return [(part, made, after) for (part, made), (_, after) in zip(ends, [*ends[1:], ("", _NEVER)])]
+
+    def _spine(self, token: str, right: bool) -> list[tuple[str, float, float]]:
         known = self._spines.get((token, right))
         if known is None:
-            parts = list(token)
-            ends = [(parts[-right], -1.0)]
-            while len(parts) > 1:
-                ranks = [self._rank.get(p, _NEVER) for p in zip(parts, parts[1:])]
-                if (best := min(ranks)) == _NEVER:
-                    ends = []  # merging never yields this entry of the vocabulary
-                    break
-                i = ranks.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                if parts[-right] != ends[-1][0]:
-                    ends.append((parts[-right], best))
-            known = [(part, made, after) for (part, made), (_, after) in zip(ends, [*ends[1:], ("", _NEVER)])]
-            self._spines[token, right] = known
+            forget(self._spines, MAX_REMEMBERED // 4)
+            known = self._spines[token, right] = self._merge(token, right)
         return known
 
     def _pair(self, before: str, token: str) -> bool:
@@ -81,18 +99,17 @@ class PrefixCounter:
                     return False
         return True
 
-    def word_prefixes(self, word: str) -> list[int]:
-        """Counts of the first 0, 1, 2, ... characters of a word in the vocabulary's byte alphabet."""
-        last, count, tokens, valid = [""], [0], self._vocab, self._valid
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self._longest), end):
-                if (token := word[start:end]) in tokens:
+    def _extend(self, word: bytes, last: list[int], count: list[int]) -> None:
+        """Go on with the last tokens and the counts of all prefixes, from where the lists end to the end of the word."""
+        ids, valid, names, longest = self._ids.get, self._valid, len(self._names), self._longest
+        for end in range(len(count), len(word) + 1):
+            for start in range(max(0, end - longest), end):
+                if (token := ids(word[start:end])) is not None:
                     if start:
-                        known = valid.get(key := (last[start], token))
+                        known = valid.get(key := last[start] * names + token)
                         if known is None:
-                            if len(valid) > MAX_REMEMBERED:
-                                valid.clear()
-                            known = valid[key] = self._pair(*key)
+                            forget(valid)
+                            known = valid[key] = self._pair(self._names[last[start]], self._names[token])
                         if not known:
                             continue
                     last.append(token)
@@ -100,21 +117,47 @@ class PrefixCounter:
                     break
             else:
                 raise ValueError(f"no token of the vocabulary ends {word[:end]!r}")
+
+    def byte_prefixes(self, word: bytes) -> list[int]:
+        """Counts of the first 0, 1, 2, ... bytes of a word."""
+        count = [0]
+        self._extend(word, [-1], count)
         return count
 
+    def word_prefixes(self, word: str) -> list[int]:
+        """The same for a word in the vocabulary's byte alphabet."""
+        return self.byte_prefixes(bytes(map(self._byte.__getitem__, word)))
+
     def _word(self, word: str) -> int:
-        known = self._words.get(word)
-        if known is None:
-            if len(self._words) > MAX_REMEMBERED:
-                self._words.clear()
-            known = self._words[word] = self.word_prefixes(word)[-1]
-        return known
+        return self.word_prefixes(word)[-1]
 
     def _piece(self, piece: str) -> int:
-        if len(self._pieces) > MAX_REMEMBERED:
-            self._pieces.clear()
-        known = self._pieces[piece] = sum(self._word(w) for w, _ in self._split(piece))
-        return known
+        simple = _SIMPLE.fullmatch(piece)
+        n = self.byte_prefixes(simple[1].encode())[-1] + bool(simple[2]) if simple else sum(self._word(w) for w, _ in self._split(piece))
+        if len(piece) <= LONGEST_REMEMBERED:
+            forget(self._pieces)
+            self._pieces[piece] = n
+        return n
+
+    def learn(self, texts: list[str]) -> None:
+        """Remember the new short pieces of texts, each word in the order of all."""
+        new: set[str] = set()
+        for text in texts:
+            for segment in self._segments(text):
+                new.update(p for p in _PIECE.findall(segment) if len(p) <= LONGEST_REMEMBERED and p not in self._pieces)
+        words: dict[bytes, list[tuple[str, int]]] = {}
+        for piece in new:
+            if simple := _SIMPLE.fullmatch(piece):
+                words.setdefault(simple[1].encode(), []).append((piece, len(simple[2])))
+        before, last, count = b"", [-1], [0]
+        for word in sorted(words):
+            same = next((k for k, (a, b) in enumerate(zip(before, word)) if a != b), min(len(before), len(word)))
+            del last[same + 1 :], count[same + 1 :]
+            self._extend(word, last, count)
+            before = word
+            forget(self._pieces)
+            for piece, marks in words[word]:
+                self._pieces[piece] = count[-1] + marks
 
     def _segments(self, text: str) -> list[str]:
         return self._cut.split(text) if self._cut and any(s in text for s in self._special) else [text]
@@ -209,7 +252,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = counter(path)
         for batch in texts:
-            yield pd.DataFrame([own.cut_at(t, limit) if t else (0, 0) for t in batch], columns=["n", "cut"])
+            out, portion, size = [], [], 0
+            for k, t in enumerate(batch):
+                portion.append(t or "")
+                size += len(portion[-1])
+                if size >= PORTION or k == len(batch) - 1:
+                    own.learn(portion)
+                    out += [own.cut_at(t, limit) if t else (0, 0) for t in portion]
+                    portion, size = [], 0
+            yield pd.DataFrame(out, columns=["n", "cut"])
 
     out = docs.withColumn("_counts", counts(F.col(text)))
     return out.withColumns({
