@@ -51,9 +51,9 @@ def i3(spark, d):
     return _numbers(f.conflate_job_updates(f.job_updates(m.job_event(spark, d))))
 
 
-@query("i4_drop_updates_to_terminal", _UPDATES + ", sto AS (SELECT 'ej-' || o_orderkey AS job_id, o_orderkey % 9 + 1 AS st FROM orders WHERE o_orderkey < 150) SELECT upd.job_id, upd.seq, upd.state FROM upd LEFT JOIN sto ON upd.job_id = sto.job_id WHERE sto.st IS NULL OR sto.st IN (1, 2, 3, 8) OR (sto.st IN (4, 5, 6) AND upd.state = 7)")
+@query("i4_drop_updates_to_terminal", _UPDATES + ", sto AS (SELECT 'ej-' || o_orderkey AS job_id, o_orderkey % 9 + 1 AS st FROM orders) SELECT upd.job_id, upd.seq, upd.state FROM upd LEFT JOIN sto ON upd.job_id = sto.job_id WHERE sto.st IS NULL OR sto.st IN (1, 2, 3, 8) OR (sto.st IN (4, 5, 6) AND upd.state = 7)")
 def i4(spark, d):
-    stored = m.table(spark, d, "orders").where("o_orderkey < 150").select(F.concat(F.lit("ej-"), F.col("o_orderkey").cast("string")).alias("job_id"), (F.col("o_orderkey") % 9 + 1).alias("state"))
+    stored = m.table(spark, d, "orders").select(F.concat(F.lit("ej-"), F.col("o_orderkey").cast("string")).alias("job_id"), (F.col("o_orderkey") % 9 + 1).alias("state"))
     return _numbers(f.drop_updates_to_terminal(f.job_updates(m.job_event(spark, d)), stored).select("job_id", "seq", "state"))
 
 
@@ -99,7 +99,7 @@ def i14(spark, d):
 
 @query("i15_scheduler_job_flags", "SELECT job_id, bool_or(kind = 'CancelledJob') AS cancelled, bool_or(kind = 'JobSucceeded') AS succeeded, bool_or(kind = 'JobErrors' AND terminal) AS failed, bool_or(kind = 'SubmitJob') AS validated FROM job_event GROUP BY job_id")
 def i15(spark, d):
-    return f.fold_scheduler_flags(m.job_event(spark, d))[0]
+    return f.fold_scheduler_flags(m.job_event(spark, d), "SubmitJob")[0]
 
 
 @query("i15_scheduler_run_flags", "SELECT run_id, bool_or(kind = 'JobRunAssigned') AS pending, bool_or(kind = 'JobRunRunning') AS running, bool_or(kind = 'JobRunSucceeded') AS succeeded, bool_or(kind = 'JobRunErrors' AND terminal) AS failed, bool_or(kind = 'JobRunErrors' AND terminal AND error_kind = 'LeaseReturned') AS returned, bool_or(kind = 'JobRunPreempted') AS preempted, arg_max(created, seq) FILTER (WHERE kind = 'JobRunAssigned') AS pending_at, arg_max(created, seq) FILTER (WHERE kind = 'JobRunRunning') AS running_at, arg_max(created, seq) FILTER (WHERE kind IN ('CancelledJob', 'JobRunSucceeded') OR (kind = 'JobRunErrors' AND terminal)) AS terminated_at, arg_max(created, seq) FILTER (WHERE kind = 'JobRunPreempted') AS preempted_at FROM job_event GROUP BY run_id")
@@ -170,6 +170,71 @@ def i26(spark, d):
     return parts.groupBy("queue", "jobset", "part").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
 
 
-@query("i26_limit_by_bytes")
+_GREEDY = """, o AS (SELECT queue, jobset, seq, bytes, row_number() OVER (PARTITION BY queue, jobset ORDER BY seq) AS rn FROM job_event),
+g AS (SELECT queue, jobset, seq, bytes, rn, CAST(0 AS BIGINT) AS part, bytes AS filled FROM o WHERE rn = 1
+UNION ALL SELECT o.queue, o.jobset, o.seq, o.bytes, o.rn, CASE WHEN g.filled > 0 AND g.filled + o.bytes > 64 THEN g.part + 1 ELSE g.part END, CASE WHEN g.filled > 0 AND g.filled + o.bytes > 64 THEN o.bytes ELSE g.filled + o.bytes END FROM g JOIN o ON o.queue = g.queue AND o.jobset = g.jobset AND o.rn = g.rn + 1)
+SELECT queue, jobset, seq, bytes, part FROM g"""
+
+
+@query("i26_limit_by_bytes", _GREEDY, recursive=True)
 def i26_bytes(spark, d):
     return f.limit_by_bytes(m.job_event(spark, d).select("queue", "jobset", "seq", "bytes"), 64, ["queue", "jobset"])
+
+
+@query("i25_sequence_islands", ", o AS (SELECT *, CASE WHEN lag(g) OVER w = g THEN 0 ELSE 1 END AS ch FROM (SELECT *, seq // 300 AS g FROM job_event) x WINDOW w AS (PARTITION BY queue, jobset ORDER BY seq)) SELECT queue, jobset, seq, CAST(sum(ch) OVER (PARTITION BY queue, jobset ORDER BY seq) AS BIGINT) AS island FROM o")
+def i25_islands(spark, d):
+    seqs = m.job_event(spark, d).select("queue", "jobset", "seq", m.text("u", F.floor(F.col("seq") / 300)).alias("user"), F.array(F.lit("g")).alias("groups"))
+    return f.sequence_islands(seqs).select("queue", "jobset", "seq", "island")
+
+
+@query("i1_external_uri", "SELECT job_id, coalesce(CASE WHEN seq % 36 <> 0 THEN 'uri-' || (seq % 50) END, CASE WHEN seq % 24 = 0 THEN 'noted-' || (seq % 70) END) AS external_job_uri FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM job_event WHERE kind = 'SubmitJob') t WHERE rn = 1")
+def i1_uri(spark, d):
+    seq = F.col("seq")
+    log = m.job_event(spark, d).withColumns({"external_job_uri": F.when(seq % 36 != 0, m.text("uri-", seq % 50)).otherwise(""), "uri_annotation": F.when(seq % 24 == 0, m.text("noted-", seq % 70))})
+    return f.create_jobs(log).select("job_id", "external_job_uri")
+
+
+@query("i7_ingress_and_debug", ", e AS (SELECT *, CASE WHEN seq % 24 = 3 THEN 'ingress' WHEN seq % 24 = 10 THEN 'debug' ELSE kind END AS k2 FROM job_event) SELECT run_id, arg_max('host-' || (seq % 17), seq) FILTER (WHERE k2 = 'ingress') AS address, arg_max(CASE WHEN k2 = 'debug' THEN 'pod ended ' || seq ELSE 'debug of ' || run_id END, seq) FILTER (WHERE k2 = 'debug' OR (k2 = 'JobRunErrors' AND error_kind = 'PodError')) AS debug, max(CASE WHEN k2 = 'JobRunRunning' THEN 1 ELSE 0 END) = 1 AS started FROM e WHERE k2 IN ('ingress', 'debug', 'JobRunAssigned', 'JobRunRunning', 'JobRunSucceeded', 'CancelledJob', 'JobRunPreempted') OR (k2 = 'JobRunErrors' AND error_kind <> 'JobRunPreemptedError') GROUP BY run_id")
+def i7_extra(spark, d):
+    seq = F.col("seq")
+    log = m.job_event(spark, d).withColumn("kind", F.when(seq % 24 == 3, "StandaloneIngressInfo").when(seq % 24 == 10, "JobRunTerminatedDebugInfo").otherwise(F.col("kind")))
+    log = log.withColumns({"addresses": F.create_map(F.lit(8080), m.text("host-", seq % 17)), "debug_info": m.text("pod ended ", seq)})
+    rows = f.conflate_run_updates(f.run_updates(log))
+    return rows.select("run_id", F.try_element_at("ingress_addresses", F.lit(8080)).alias("address"), "debug", F.col("started").isNotNull().alias("started"))
+
+
+@query("i11_rows_changed", _CONFLATED + _CREATED + _RUN_UPDATES + ", le AS (SELECT DISTINCT run_id FROM job_event WHERE kind = 'JobRunLeased') SELECT 'job' AS \"table\", 'insert' AS operation, count(*) AS rows FROM cre UNION ALL SELECT 'job', 'update', count(*) FROM conf JOIN cre ON cre.job_id = conf.job_id UNION ALL SELECT 'job_run', 'insert', count(*) FROM le UNION ALL SELECT 'job_run', 'update', count(DISTINCT rupd.run_id) FROM rupd JOIN le ON le.run_id = rupd.run_id UNION ALL SELECT 'job_error', 'insert', count(DISTINCT job_id) FROM job_event WHERE kind = 'JobErrors' AND terminal AND error_kind = 'JobRejected'")
+def i11_rows(spark, d):
+    return f.rows_changed(m.job_event(spark, d))
+
+
+@query("i15_validated_pools", ", e AS (SELECT *, CASE WHEN seq % 24 = 0 THEN 'JobValidated' ELSE kind END AS k2 FROM job_event) SELECT job_id, bool_or(k2 = 'JobValidated') AS validated, arg_max(pool, seq) FILTER (WHERE k2 = 'JobValidated') AS pool FROM e GROUP BY job_id")
+def i15_pools(spark, d):
+    log = m.job_event(spark, d).withColumns({"kind": F.when(F.col("seq") % 24 == 0, "JobValidated").otherwise(F.col("kind")), "pools": F.array("pool")})
+    return f.fold_scheduler_flags(log)[0].select("job_id", "validated", F.get("pools", F.lit(0)).alias("pool"))
+
+
+@query("i15_run_attempted", "SELECT run_id, coalesce(bool_or(kind = 'JobRunErrors' AND terminal AND error_kind = 'LeaseReturned' AND exit_code % 2 = 0), FALSE) AS run_attempted FROM job_event GROUP BY run_id")
+def i15_attempted(spark, d):
+    log = m.job_event(spark, d).withColumn("run_attempted", F.col("exit_code") % 2 == 0)
+    return f.fold_scheduler_flags(log)[1].select("run_id", "run_attempted")
+
+
+_LISTED = """, rq AS (SELECT sjob.queue, sjob.job_set, sjob.job_id, event_id AS seq, event_id % 2 = 0 AS re, event_id % 13 AS priority, CASE WHEN event_id % 3 <> 0 THEN 'u-' || (event_id % 6) END AS usr, CASE WHEN event_id % 4 <> 1 THEN 'r-' || (event_id % 4) END AS reason, event_id % 7 = 0 AS whole FROM events JOIN sjob ON CAST(substr(sjob.job_id, 5, 10) AS BIGINT) = event_id % 3000),
+op AS (SELECT rq.* FROM rq JOIN sjob ON sjob.job_id = rq.job_id WHERE NOT whole AND NOT (cancelled OR succeeded OR failed)
+UNION ALL SELECT rq.queue, rq.job_set, sjob.job_id, seq, re, rq.priority, usr, reason, whole FROM rq JOIN sjob ON sjob.queue = rq.queue AND sjob.job_set = rq.job_set WHERE whole AND NOT (cancelled OR succeeded OR failed)),
+a AS (SELECT job_id, arg_max(priority, seq) AS priority, max(seq) AS s FROM op WHERE re GROUP BY job_id), au AS (SELECT DISTINCT a.job_id, a.priority, op.usr FROM a JOIN op ON op.job_id = a.job_id AND op.seq = a.s),
+c AS (SELECT job_id, arg_min(usr, seq) FILTER (WHERE usr IS NOT NULL) AS usr, arg_min(reason, seq) FILTER (WHERE reason IS NOT NULL) AS reason, bool_or(whole) AS by_set FROM op WHERE NOT re GROUP BY job_id)
+SELECT sjob.job_id, coalesce(au.priority, sjob.priority) AS priority, au.usr AS reprioritise_user, c.job_id IS NOT NULL AS cancel_requested, coalesce(c.by_set, FALSE) AS cancel_by_jobset_requested, c.usr AS cancel_user, c.reason AS cancel_reason FROM sjob LEFT JOIN au ON au.job_id = sjob.job_id LEFT JOIN c ON c.job_id = sjob.job_id"""
+
+
+@query("i16_job_lists", _LISTED)
+def i16_lists(spark, d):
+    e = F.col("event_id")
+    jobs = m.scheduler_jobs(spark, d)
+    named = m.table(spark, d, "events").withColumn("job_id", F.concat(F.lit("job-"), F.lpad((e % 3000).cast("string"), 10, "0"))).join(jobs.select("job_id", "queue", "job_set"), "job_id")
+    requests = named.select(
+        "queue", "job_set", e.alias("seq"), F.when(e % 2 == 0, "reprioritise").otherwise("cancel").alias("action"), (e % 13).alias("priority"), F.when(e % 3 != 0, m.text("u-", e % 6)).alias("user"), F.when(e % 4 != 1, m.text("r-", e % 4)).alias("reason"),
+        F.lit(None).cast("string").alias("states"), F.when(e % 7 != 0, F.array("job_id")).alias("job_ids"),
+    )
+    return f.apply_jobset_updates(jobs, requests).select("job_id", "priority", "reprioritise_user", "cancel_requested", "cancel_by_jobset_requested", "cancel_user", "cancel_reason")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.functions import scalars
-from jobloom.jobs.fold_queries import _CONFLATED, _CREATED
+from jobloom.jobs.fold_queries import _CONFLATED, _CREATED, _RUN_LAST, _RUN_UPDATES
 from jobloom.jobs.metric_queries import _ACT
 from jobloom.jobs.registry import query
 from jobloom.operators import events as e
@@ -13,6 +13,7 @@ from jobloom.operators import health as h
 from jobloom.operators import maintain as p
 from jobloom.operators import metrics as x
 from jobloom.operators import selectors as sel
+from jobloom.sources import job_tables
 from jobloom.sources import model as m
 from jobloom.sources.model import NOW
 from jobloom.sources.tables import shared_folder
@@ -71,6 +72,22 @@ def p5(spark, d):
     return p.prune_scheduler(jobs.withColumn("last_modified", F.col("submitted") + 1000), {"runs": runs}, NOW, LIFETIME)["runs"].select("run_id")
 
 
+_OLD = f", old AS (SELECT job_id FROM sjob WHERE submitted + 1000 < {NOW - LIFETIME} AND (succeeded OR failed OR cancelled))"
+
+
+@query("p5_prune_scheduler_children", _OLD + ", ch AS (SELECT 'metadata' AS child, job_id, 'm-' || job_id AS id FROM sjob UNION ALL SELECT 'errors', job_id, 'e-' || run_id FROM srun WHERE failed) SELECT child, id FROM ch WHERE job_id NOT IN (SELECT job_id FROM old)")
+def p5_children(spark, d):
+    jobs, runs = _jr(spark, d)
+    children = {"metadata": jobs.select("job_id", F.concat(F.lit("m-"), "job_id").alias("id")), "errors": runs.where("failed").select("job_id", F.concat(F.lit("e-"), "run_id").alias("id"))}
+    kept = p.prune_scheduler(jobs.withColumn("last_modified", F.col("submitted") + 1000), children, NOW, LIFETIME)
+    return kept["metadata"].select(F.lit("metadata").alias("child"), "id").unionByName(kept["errors"].select(F.lit("errors").alias("child"), "id"))
+
+
+@query("p5_prune_markers", "SELECT seq FROM job_event WHERE created >= 1706000000 - 3600")
+def p5_markers(spark, d):
+    return p.prune_markers(m.job_event(spark, d).select("seq", "created"), 1_706_000_000, 3600).select("seq")
+
+
 @query("p6_move_terminal", ", u AS (SELECT job_id, 6 AS st, CASE WHEN CAST(substr(job_id, 5, 10) AS BIGINT) % 4 = 0 THEN 'moved' END AS r FROM job WHERE CAST(substr(job_id, 5, 10) AS BIGINT) % 2 = 0) SELECT job.job_id, coalesce(st, state) AS state, coalesce(r, cancel_reason) AS cancel_reason FROM job LEFT JOIN u ON u.job_id = job.job_id")
 def p6(spark, d):
     job, k = m.job(spark, d, False), F.substring("job_id", 5, 10).cast("long")
@@ -95,6 +112,37 @@ def h3(spark, d):
     return h.reconcile_runs(*_jr(spark, d), m.nodes(spark, d), away)
 
 
+@query("h3_reconcile_enabled_pools", _ACT + ", r AS (SELECT act.*, n.node AS found, n.pool AS np, coalesce(reservation, '') AS rs, CAST(substr(act.job_id, 5, 10) AS BIGINT) % 2 AS own FROM act LEFT JOIN node n ON n.node = act.node WHERE act.pool IN ('pool-0', 'pool-1')), q AS (SELECT job_id, run_id, node, pool, CASE WHEN found IS NULL AND gang_id IS NOT NULL THEN 'node of gang job no longer exists' WHEN np <> pool AND NOT (pool = 'pool-0' AND np = 'pool-2') THEN 'node is now in pool ' || np WHEN found IS NOT NULL AND pool = 'pool-0' AND rs NOT IN ('', 'res-' || own) THEN 'node is reserved for ' || rs WHEN found IS NOT NULL AND pool = 'pool-1' AND rs IN ('', 'res-' || own) THEN 'away on a node of its own reservation ' || rs END AS reason FROM r) SELECT * FROM q WHERE reason IS NOT NULL")
+def h3_pools(spark, d):
+    jobs, runs = _jr(spark, d)
+    jobs = jobs.withColumn("reservations", F.array(F.lit(""), m.text("res-", F.substring("job_id", 5, 10).cast("long") % 2)))
+    away = spark.createDataFrame([("pool-0", "pool-2")], "pool string, away_pool string")
+    pools = spark.createDataFrame([("pool-0", True, False), ("pool-1", False, True)], "pool string, match boolean, no_match boolean")
+    return h.reconcile_runs(jobs, runs, m.nodes(spark, d), away, pools)
+
+
+_GANG = ", k AS (SELECT *, CAST(substr(job_id, 5, 10) AS BIGINT) AS n FROM sjob), an AS (SELECT *, CASE WHEN gang_id IS NULL THEN NULL WHEN n % 40 = 1 THEN '' ELSE gang_id END AS gid, CASE n % 50 WHEN 2 THEN NULL WHEN 11 THEN 'two' WHEN 21 THEN '0' WHEN 32 THEN '1' ELSE '2' END AS size, CASE WHEN n % 6 <> 0 THEN 'zone-' || (n // 100 % 2 + CASE WHEN n % 70 = 1 THEN 1 ELSE 0 END) END AS label FROM k), gi AS (SELECT *, CASE WHEN gid IS NULL THEN NULL WHEN gid = '' THEN 'gang id is empty' WHEN size IS NULL THEN 'gang cardinality is missing' WHEN size = 'two' THEN 'gang cardinality is not a number' WHEN size = '0' THEN 'gang cardinality is not positive' END AS err FROM an), ok AS (SELECT *, coalesce(label, '') AS lab FROM gi WHERE gid IS NOT NULL AND err IS NULL AND size = '2')"
+
+
+def _annotated(spark, d):
+    n = F.substring("job_id", 5, 10).cast("long")
+    size = F.when(n % 50 == 2, None).when(n % 50 == 11, "two").when(n % 50 == 21, "0").when(n % 50 == 32, "1").otherwise("2")
+    label = F.when(n % 6 != 0, m.text("zone-", F.floor(n / 100) % 2 + F.when(n % 70 == 1, 1).otherwise(0)))
+    pairs = [F.struct(F.lit(key).alias("k"), v.alias("v")) for key, v in ((h.GANG_ID, F.when(F.col("gang_id").isNotNull(), F.when(n % 40 == 1, "").otherwise(F.col("gang_id")))), (h.GANG_CARDINALITY, size), (h.GANG_UNIFORMITY, label))]
+    jobs = m.scheduler_jobs(spark, d).withColumn("annotations", F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["v"].isNotNull())))
+    return h.gang_info(jobs.drop("gang_id", "gang_cardinality"))
+
+
+@query("h4_gang_info", _GANG + " SELECT gi.job_id, gi.err AS gang_error, ok.gid AS gang_id, CASE WHEN ok.gid IS NOT NULL THEN 2 END AS gang_cardinality, ok.lab AS gang_uniformity FROM gi LEFT JOIN ok ON ok.job_id = gi.job_id")
+def h4_info(spark, d):
+    return _annotated(spark, d).select("job_id", "gang_error", "gang_id", "gang_cardinality", "gang_uniformity")
+
+
+@query("h4_invalid_gangs_uniformity", _GANG + ", g AS (SELECT queue, gid, bool_and(queued) AS q, count(DISTINCT priority_class) AS c, count(DISTINCT lab) AS i, count(*) AS n FROM ok GROUP BY queue, gid), b AS (SELECT queue, gid, CASE WHEN NOT q THEN 'not all members are queued' WHEN c > 1 THEN 'members differ in priority class' WHEN i > 1 THEN 'members differ in gang information' WHEN n > 2 THEN 'more members than the cardinality' END AS reason FROM g) SELECT ok.queue, ok.gid AS gang_id, job_id, reason FROM ok JOIN b ON b.queue = ok.queue AND b.gid = ok.gid WHERE reason IS NOT NULL")
+def h4_uniformity(spark, d):
+    return h.invalid_gangs(_annotated(spark, d))
+
+
 @query("h4_invalid_gangs", ", g AS (SELECT queue, gang_id, bool_and(queued) AS q, count(DISTINCT priority_class) AS c, count(DISTINCT gang_cardinality) AS i, max(gang_cardinality) AS s, count(*) AS n FROM sjob WHERE gang_id IS NOT NULL GROUP BY queue, gang_id), b AS (SELECT queue, gang_id, CASE WHEN NOT q THEN 'not all members are queued' WHEN c > 1 THEN 'members differ in priority class' WHEN i > 1 THEN 'members differ in gang information' WHEN n > s THEN 'more members than the cardinality' END AS reason FROM g) SELECT sjob.queue, sjob.gang_id, job_id, reason FROM sjob JOIN b ON b.queue = sjob.queue AND b.gang_id = sjob.gang_id WHERE reason IS NOT NULL")
 def h4(spark, d):
     return h.invalid_gangs(m.scheduler_jobs(spark, d))
@@ -104,13 +152,17 @@ _FAILED = ", fr AS (SELECT run_id, queue, 'policy-' || (CAST(substr(job_run.job_
 _DECIDED = _FAILED + ", ru AS (SELECT 'policy-0' AS policy, 0 AS o, 'cat-1' AS c, 'sub-1' AS s, 'Retry' AS a UNION ALL SELECT 'policy-0', 1, 'cat-1', NULL, 'Fail' UNION ALL SELECT 'policy-1', 0, 'cat-0', NULL, 'Retry'), fi AS (SELECT run_id, arg_min(a, o) AS rule FROM fr JOIN ru ON ru.policy = fr.policy AND ru.c = fr.category AND (ru.s IS NULL OR ru.s = fr.subcategory) GROUP BY run_id), de AS (SELECT fr.run_id, queue, policy, CASE WHEN category IS NULL THEN 'no_error' WHEN greatest(failures - 1, 0) >= 4 THEN 'fail_global_limit' WHEN rule = 'Fail' THEN 'fail_rule' WHEN rule IS NULL AND policy <> 'policy-1' THEN 'fail_default' WHEN greatest(failures - 1, 0) >= CASE policy WHEN 'policy-0' THEN 3 WHEN 'policy-1' THEN 2 ELSE 0 END THEN 'fail_policy_limit' ELSE 'retry' END AS decision FROM fr LEFT JOIN fi ON fi.run_id = fr.run_id)"
 
 
-def _decisions(spark, d):
+def _retry_inputs(spark, d):
     k = F.substring("job_id", 5, 10).cast("long")
     failed = m.job_run(spark, d).where("job_run_state = 4").join(m.job(spark, d, False).select("job_id", "queue"), "job_id")
-    failed = failed.select("run_id", "queue", m.text("policy-", k % 3).alias("policy"), F.when(F.col("exit_code") > 0, F.col("failure_category")).alias("category"), F.col("failure_subcategory").alias("subcategory"), (k % 6).alias("failures"), F.when(k % 10 == 0, "g").alias("gang_id"), F.lit(False).alias("returned"))
+    failed = failed.select("run_id", "job_id", "queue", m.text("policy-", k % 3).alias("policy"), F.when(F.col("exit_code") > 0, F.col("failure_category")).alias("category"), F.col("failure_subcategory").alias("subcategory"), (k % 6).alias("failures"), F.when(k % 10 == 0, "g").alias("gang_id"), F.lit(False).alias("returned"))
     policies = spark.createDataFrame([("policy-0", 3, "Fail"), ("policy-1", 2, "Retry")], "policy string, retry_limit int, default_action string")
     rules = spark.createDataFrame([("policy-0", 0, "cat-1", "sub-1", "Retry"), ("policy-0", 1, "cat-1", None, "Fail"), ("policy-1", 0, "cat-0", None, "Retry")], "policy string, ordinal int, on_category string, on_subcategory string, action string")
-    return h.retry_decisions(failed, policies, rules, 4)
+    return failed, policies, rules
+
+
+def _decisions(spark, d):
+    return h.retry_decisions(*_retry_inputs(spark, d), 4)
 
 
 @query("h5_retry_decisions", _DECIDED + " SELECT * FROM de")
@@ -118,6 +170,14 @@ def h5(spark, d):
     return _decisions(spark, d)
 
 
+@query("h5_default_policy", _FAILED.replace("'policy-' || (CAST(substr(job_run.job_id, 5, 10) AS BIGINT) % 3)", "CASE CAST(substr(job_run.job_id, 5, 10) AS BIGINT) % 5 WHEN 0 THEN 'policy-0' WHEN 1 THEN 'policy-1' WHEN 2 THEN 'gone' WHEN 3 THEN '' END").replace("AS failures FROM", "AS failures, CAST(substr(job_run.job_id, 5, 10) AS BIGINT) % 4 = 3 AS ff FROM") + _DECIDED[len(_FAILED):].replace("FROM fr JOIN ru", "FROM fq fr JOIN ru").replace("FROM fr LEFT JOIN fi", "FROM fq fr LEFT JOIN fi").replace(", ru AS (", ", fq AS (SELECT * EXCLUDE (policy), coalesce(nullif(policy, ''), 'policy-1') AS policy FROM fr WHERE NOT ff AND coalesce(policy, '') <> 'gone'), ru AS (", 1) + " SELECT * FROM de")
+def h5_default(spark, d):
+    k = F.substring("job_id", 5, 10).cast("long")
+    policy = F.when(k % 5 == 0, "policy-0").when(k % 5 == 1, "policy-1").when(k % 5 == 2, "gone").when(k % 5 == 3, "")
+    failed, policies, rules = _retry_inputs(spark, d)
+    return h.retry_decisions(failed.withColumns({"policy": policy, "fail_fast": k % 4 == 3}), policies, rules, 4, "policy-1")
+
+
 @query("t8_retry_decision_counts", _DECIDED + " SELECT queue, policy, decision, count(*) AS n FROM de GROUP BY queue, policy, decision")
 def t8(spark, d):
     return x.counts_by(_decisions(spark, d), "queue", "policy", "decision")
@@ -177,6 +237,11 @@ def i19_initial(spark, d):
     return sel.initial_jobs(m.scheduler_jobs(spark, d)).select("job_id", "serial")
 
 
+@query("i19_initial_runs", "SELECT srun.run_id, srun.job_id FROM srun JOIN sjob ON sjob.job_id = srun.job_id WHERE NOT (sjob.cancelled OR sjob.succeeded OR sjob.failed)")
+def i19_runs(spark, d):
+    return sel.initial_runs(*_jr(spark, d)).select("run_id", "job_id")
+
+
 @query("i20_marker_group_counts", "SELECT 'g' || (seq // 50) AS group_id, count(DISTINCT seq % 8) AS partitions, count(DISTINCT seq % 8) = 8 AS complete FROM job_event WHERE seq % 9 < 7 GROUP BY 1")
 def i20(spark, d):
     markers = m.job_event(spark, d).where("seq % 9 < 7").select(m.text("g", F.floor(F.col("seq") / 50)).alias("group_id"), (F.col("seq") % 8).alias("partition_id"))
@@ -241,10 +306,10 @@ def p6_hot(spark, d):
     return _short(p.read_hot_cold(spark, path, True))
 
 
-@query("p7_submitted_days", "SELECT CAST(submitted // 86400 AS BIGINT) AS day, count(*) AS jobs FROM job WHERE submitted >= 900000000 AND submitted < 910000000 GROUP BY 1")
+@query("p7_submitted_days", "SELECT CAST(submitted // 86400 AS BIGINT) AS day, count(*) AS jobs FROM job GROUP BY 1")
 def p7(spark, d):
     path = shared_folder(spark, "jobs")
-    p.write_by_submitted_day(m.job(spark, d, False).where("submitted >= 900000000 and submitted < 910000000").select("job_id", "submitted"), path)
+    p.write_by_submitted_day(m.job(spark, d, False).select("job_id", "submitted"), path)
     return spark.read.parquet(path).groupBy(F.unix_date("day").cast("long").alias("day")).agg(F.count("*").alias("jobs"))
 
 
@@ -256,9 +321,42 @@ def s1(spark, d):
     return e.explode_events(e.fill_created(seqs)).select("queue", "jobset", F.col("reason").cast("long").alias("seq"), "kind", F.unix_timestamp("created").alias("created"))
 
 
+@query("s3_job_tables", "SELECT job.job_id, job.state, job.queue, job.latest_run_id, job_run.job_run_state, job_run.finished, job_run.node, 'spec of ' || job.job_id AS spec, CASE WHEN job.state = 5 THEN 'error of ' || job.job_id END AS error FROM job LEFT JOIN job_run ON job_run.run_id = job.latest_run_id WHERE job.state IN (4, 5, 6, 7, 9)")
+def s3(spark, d):
+    path, jobs = shared_folder(spark, "jobs"), m.job(spark, d)
+    specs = jobs.select("job_id", F.encode(F.concat(F.lit("spec of "), "job_id"), "UTF-8").alias("job_spec"))
+    job_tables.write_tables({"job": jobs, "job_run": m.job_run(spark, d), "job_spec": specs, "job_error": jobs.where("state = 5").select("job_id", F.concat(F.lit("error of "), "job_id").alias("error"))}, path)
+    jobs = job_tables.read_tables(spark, path, active=False, names=("job",))["job"]
+    rest = job_tables.read_tables(spark, path)
+    rows = jobs.join(rest["job_run"].select(F.col("run_id").alias("latest_run_id"), "job_run_state", "finished", "node"), "latest_run_id", "left").join(rest["job_spec"], "job_id").join(rest["job_error"], "job_id", "left")
+    return _short(rows.select("job_id", "state", "queue", "latest_run_id", "job_run_state", "finished", "node", F.decode("job_spec", "UTF-8").alias("spec"), "error"))
+
+
+def _feed(spark, d, files: int) -> str:
+    """The log as so many files that follow each other."""
+    log, folder = m.job_event(spark, d), shared_folder(spark, "feed")
+    ends = log.agg(F.min("seq").alias("a"), (F.max("seq") + 1).alias("b")).first()
+    for k in range(files):
+        part = log.where((F.col("seq") >= ends.a + (ends.b - ends.a) * k // files) & (F.col("seq") < ends.a + (ends.b - ends.a) * (k + 1) // files))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _ingested(spark, d, files: int = 6):
+    tables, feed = shared_folder(spark, "tables"), _feed(spark, d, files)
+    stream = ingest.stream_batches(spark, feed, m.job_event(spark, d).schema, 1)
+    ingest.run_ingest_stream(stream, tables, shared_folder(spark, "offsets"), available_now=True).awaitTermination()
+    store = ingest.FoldStore(tables)
+    if store.last_batch(spark) != files - 1:
+        raise ValueError("a file is a batch")
+    return store.tables(spark)
+
+
 @query("w1_w2_ingest_stream", _CONFLATED + _CREATED + " SELECT cre.job_id, owner, coalesce(conf.priority, cre.priority) AS priority, coalesce(conf.state, 1) AS state, coalesce(conf.last_transition_time, submitted) AS last_transition_time, latest_run_id FROM cre LEFT JOIN conf ON cre.job_id = conf.job_id")
 def w2(spark, d):
-    tables = shared_folder(spark, "tables")
-    ingest.run_ingest_stream(m.job_event(spark, d, True), tables, shared_folder(spark, "offsets"), available_now=True).awaitTermination()
-    jobs = ingest.TableStore(tables).latest(spark, "job")
-    return _short(jobs.select("job_id", "owner", "priority", "state", "last_transition_time", "latest_run_id"))
+    return _short(_ingested(spark, d)["job"].select("job_id", "owner", "priority", "state", "last_transition_time", "latest_run_id"))
+
+
+@query("w1_w2_ingest_runs", _RUN_UPDATES + f", rc AS (SELECT run_id, {_RUN_LAST} FROM rupd GROUP BY run_id), lea AS (SELECT run_id, job_id, cluster, node, pool, created AS leased FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM job_event WHERE kind = 'JobRunLeased') t WHERE rn = 1) SELECT lea.run_id, lea.job_id, cluster, coalesce(rc.node, lea.node) AS node, leased, pending, started, finished, coalesce(rc.job_run_state, 11) AS job_run_state, exit_code, error FROM lea LEFT JOIN rc ON lea.run_id = rc.run_id")
+def w2_runs(spark, d):
+    return _short(_ingested(spark, d)["job_run"].select("run_id", "job_id", "cluster", "node", "leased", "pending", "started", "finished", "job_run_state", "exit_code", "error"))

@@ -8,6 +8,8 @@ from jobloom.jobs.registry import query
 from jobloom.operators import metrics as x
 from jobloom.sources import model as m
 from jobloom.sources.model import NOW
+from jobloom.sources.tables import shared_folder
+from jobloom.streaming import ingest
 
 ORDER = ("pool-1", "pool-0")
 _QP = ", qp AS (SELECT *, CASE WHEN pool = CASE WHEN pool2 IS NULL THEN pool1 WHEN 'pool-1' IN (pool1, pool2) THEN 'pool-1' WHEN 'pool-0' IN (pool1, pool2) THEN 'pool-0' ELSE pool1 END THEN 'primary' ELSE 'secondary' END AS role FROM sjob_pool WHERE queued AND validated)"
@@ -58,6 +60,11 @@ def m7(spark, d):
     return x.bid_price_stats(m.scheduler_jobs(spark, d), m.bids(spark), ORDER)
 
 
+@query("m7_m10_running_bid_price_stats", _ACT + ", z AS (SELECT act.*, CASE WHEN priority_class = 'low' THEN coalesce(amount, 0) ELSE 1000000 END AS bid FROM act LEFT JOIN bids ON bids.queue = act.queue AND bids.pool = act.pool AND band = price_band AND phase = 'running') SELECT pool, priority_class, queue, CAST(min(bid) AS DOUBLE) AS min, CAST(max(bid) AS DOUBLE) AS max, CAST(median(bid) AS DOUBLE) AS median FROM z GROUP BY pool, priority_class, queue")
+def m7_running(spark, d):
+    return x.running_bid_price_stats(*_jr(spark, d), m.bids(spark), ["low"])
+
+
 @query("m9_price_band_grid", ", p AS (SELECT DISTINCT pool FROM srun), b AS (SELECT DISTINCT price_band AS band FROM sjob), f AS (SELECT DISTINCT phase FROM bids) SELECT queues.queue, p.pool, b.band, f.phase, coalesce(amount, CAST(0 AS DOUBLE)) AS amount FROM queues CROSS JOIN p CROSS JOIN b CROSS JOIN f LEFT JOIN bids ON bids.queue = queues.queue AND bids.pool = p.pool AND bids.band = b.band AND bids.phase = f.phase")
 def m9(spark, d):
     jobs, runs = _jr(spark, d)
@@ -78,6 +85,32 @@ def c2(spark, d):
     return x.deduct_home_usage(m.nodes(spark, d), *_jr(spark, d))
 
 
+_FULL = _ACT + """, n AS (SELECT node.*, CAST(substr(node.node, 6) AS BIGINT) AS k, NOT (unschedulable OR coalesce(e.cordoned, FALSE)) AS sch FROM node LEFT JOIN executors e ON e.executor = node.executor),
+n2 AS (SELECT n.*, 'unit-' || (k % 2) AS scalable_unit, 1000.0 * (k % 3) AS ucpu FROM n), us AS (SELECT node, pool, sum(cpu) AS cpu, sum(memory) AS memory, sum(gpu) AS gpu FROM act GROUP BY node, pool),
+h AS (""" + " UNION ALL ".join(f"SELECT n2.executor AS cluster, n2.pool, node_type, coalesce(reservation, '') AS reservation, n2.pool AS physical_pool, scalable_unit, '{c}' AS resource, n2.{c} AS total, n2.{c}{' - ucpu' if c == 'cpu' else ''} AS farm, CASE WHEN sch THEN n2.{c}{' - ucpu' if c == 'cpu' else ''} ELSE 0 END AS available, coalesce(us.{c}, 0) AS used, CASE WHEN sch THEN coalesce(us.{c}, 0) ELSE 0 END AS used_on FROM n2 LEFT JOIN us ON us.node = n2.node AND us.pool = n2.pool" for c in x.RESOURCES) + """),
+aw AS (SELECT 'pool-0' AS pfor, 'pool-2' AS pown UNION ALL SELECT 'pool-1', 'pool-2')
+SELECT cluster, pool, node_type, reservation, physical_pool, 'dedicated' AS capacity_class, scalable_unit, resource, sum(total) AS total, sum(farm) AS farm, sum(available) AS available FROM h GROUP BY ALL
+UNION ALL SELECT cluster, pfor, node_type, reservation, physical_pool, 'shared', scalable_unit, resource, greatest(sum(total) - sum(used), 0), sum(farm), greatest(sum(available) - sum(used_on), 0) FROM h JOIN aw ON pown = h.pool GROUP BY ALL
+UNION ALL SELECT 'floating', 'pool-0', '', '', '', '', '', 'gpu', 12.0, 0.0, 12.0 UNION ALL SELECT 'floating', 'pool-3', '', '', '', '', '', 'cpu', 500.0, 0.0, 500.0"""
+
+
+def _detailed_nodes(spark, d):
+    k = F.substring("node", 6, 12).cast("long")
+    return m.nodes(spark, d).withColumns({"scalable_unit": m.text("unit-", k % 2), "unmanaged_cpu": (1000 * (k % 3)).cast("double")})
+
+
+@query("c1_c2_capacity_by_resource", _FULL)
+def c1_full(spark, d):
+    away = spark.createDataFrame([("pool-0", "pool-2"), ("pool-1", "pool-2")], "pool string, away_pool string")
+    floating = spark.createDataFrame([("pool-0", 0.0, 0.0, 12.0), ("pool-3", 500.0, 0.0, 0.0)], "pool string, cpu double, memory double, gpu double")
+    return x.capacity_by_resource(_detailed_nodes(spark, d), m.executors(spark), *_jr(spark, d), away, floating)
+
+
+@query("c5_allocated_by_unit", _ACT + _NODE.replace("node_type, reservation,", "node_type, reservation, node.pool AS physical_pool, 'unit-' || (CAST(substr(node.node, 6) AS BIGINT) % 2) AS scalable_unit,") + ", z AS (" + " UNION ALL ".join(f"SELECT queue, cluster, pool, priority_class, price_band, node_type, reservation, physical_pool, scalable_unit, '{c}' AS resource, {c} AS value FROM onn" for c in x.RESOURCES) + ") SELECT queue, cluster, pool, priority_class, price_band, node_type, reservation, physical_pool, scalable_unit, resource, sum(value) AS value FROM z GROUP BY ALL")
+def c5_units(spark, d):
+    return x.allocated_by_queue(_detailed_nodes(spark, d), *_jr(spark, d), ("physical_pool", "scalable_unit"))
+
+
 @query("c4_leased_pod_counts", _ACT + _NODE + " SELECT cluster, pool, queue, phase, node_type, reservation, count(*) AS pods FROM onn GROUP BY ALL")
 def c4(spark, d):
     return x.leased_pod_counts(m.nodes(spark, d), *_jr(spark, d))
@@ -171,11 +204,22 @@ def x1(spark, d):
 
 @query("x2_pod_phase_metrics", _POD + ", p AS (SELECT queue, CASE WHEN pod.node IS NULL THEN 'unassigned' ELSE coalesce(node_type, 'unknown') END AS node_type, CASE WHEN phase = '' THEN 'Leased' ELSE phase END AS phase, pod.cpu FROM pod LEFT JOIN node ON node.node = pod.node), g AS (SELECT DISTINCT queue, node_type FROM p), ph AS (SELECT unnest(['Pending', 'Running', 'Succeeded', 'Failed', 'Unknown', 'Leased']) AS phase) SELECT g.queue, g.node_type, ph.phase, count(p.cpu) AS pods, coalesce(sum(p.cpu), 0) AS cpu FROM g CROSS JOIN ph LEFT JOIN p ON p.queue = g.queue AND p.node_type = g.node_type AND p.phase = ph.phase GROUP BY g.queue, g.node_type, ph.phase")
 def x2(spark, d):
-    return x.pod_phase_metrics(_pods(spark, d), m.nodes(spark, d))
+    return x.pod_phase_metrics(_pods(spark, d), m.nodes(spark, d)).select("queue", "node_type", "phase", "pods", "cpu")
+
+
+@query("x2_pod_resources", _POD + ", p AS (SELECT queue, CASE WHEN pod.node IS NULL THEN 'unassigned' ELSE coalesce(node_type, 'unknown') END AS node_type, CASE WHEN phase = '' THEN 'Leased' ELSE phase END AS phase, pod.cpu, pod.memory, pod.gpu FROM pod LEFT JOIN node ON node.node = pod.node), g AS (SELECT DISTINCT queue, node_type FROM p), ph AS (SELECT unnest(['Pending', 'Running', 'Succeeded', 'Failed', 'Unknown', 'Leased']) AS phase) SELECT g.queue, g.node_type, ph.phase, count(p.cpu) AS pods, coalesce(sum(p.cpu), 0) AS cpu, coalesce(sum(p.memory), 0) AS memory, coalesce(sum(p.gpu), 0) AS gpu, coalesce(sum(p.cpu / 2), 0) AS usage_cpu, coalesce(sum(p.memory / 4), 0) AS usage_memory FROM g CROSS JOIN ph LEFT JOIN p ON p.queue = g.queue AND p.node_type = g.node_type AND p.phase = ph.phase GROUP BY g.queue, g.node_type, ph.phase")
+def x2_resources(spark, d):
+    pods = _pods(spark, d).withColumns({"usage_cpu": F.col("cpu") / 2, "usage_memory": F.col("memory") / 4})
+    return x.pod_phase_metrics(pods, m.nodes(spark, d))
 
 
 @query("x3_node_group_capacity", _POD + ", r AS (SELECT node, sum(CASE WHEN NOT managed THEN cpu ELSE 0 END) AS o, sum(cpu) AS a FROM pod WHERE phase = 'Running' GROUP BY node) SELECT node_type, sum(cpu) AS total_cpu, sum(CASE WHEN unschedulable THEN 0 ELSE cpu - coalesce(o, 0) END) AS allocatable_cpu, sum(CASE WHEN unschedulable THEN coalesce(a, 0) ELSE 0 END) AS cordoned_cpu FROM node LEFT JOIN r ON r.node = node.node GROUP BY node_type")
 def x3(spark, d):
+    return x.node_group_capacity(m.nodes(spark, d), _pods(spark, d)).select("node_type", "total_cpu", "allocatable_cpu", "cordoned_cpu")
+
+
+@query("x3_node_group_resources", _POD + ", r AS (SELECT node, " + ", ".join(f"sum(CASE WHEN NOT managed THEN {c} ELSE 0 END) AS o_{c}, sum({c}) AS a_{c}" for c in x.RESOURCES) + " FROM pod WHERE phase = 'Running' GROUP BY node) SELECT node_type, " + ", ".join(f"sum({c}) AS total_{c}, sum(CASE WHEN unschedulable THEN 0 ELSE {c} - coalesce(o_{c}, 0) END) AS allocatable_{c}, sum(CASE WHEN unschedulable THEN coalesce(a_{c}, 0) ELSE 0 END) AS cordoned_{c}" for c in x.RESOURCES) + " FROM node LEFT JOIN r ON r.node = node.node GROUP BY node_type")
+def x3_resources(spark, d):
     return x.node_group_capacity(m.nodes(spark, d), _pods(spark, d))
 
 
@@ -186,7 +230,12 @@ def x4(spark, d):
 
 @query("x5_unmanaged_by_priority", _POD + ", u AS (SELECT node, coalesce(priority, 0) AS priority, sum(cpu) AS cpu FROM pod WHERE NOT managed AND phase NOT IN ('Succeeded', 'Failed') GROUP BY 1, 2), t AS (SELECT node.node, 1 AS priority, greatest(2000 - coalesce(s, 0), 0) AS cpu FROM node LEFT JOIN (SELECT node, sum(cpu) AS s FROM u GROUP BY node) q ON q.node = node.node), al AS (SELECT * FROM u UNION ALL SELECT * FROM t WHERE cpu > 0) SELECT node, priority, sum(cpu) AS cpu FROM al GROUP BY node, priority")
 def x5(spark, d):
-    return x.unmanaged_by_priority(_pods(spark, d), m.nodes(spark, d), 2000.0, 1)
+    return x.unmanaged_by_priority(_pods(spark, d), m.nodes(spark, d), {"cpu": 2000.0}, 1).select("node", "priority", "cpu")
+
+
+@query("x5_unmanaged_resources", _POD + ", u AS (SELECT node, coalesce(priority, 0) AS priority, sum(cpu) AS cpu, sum(memory) AS memory, sum(gpu) AS gpu FROM pod WHERE NOT managed AND phase NOT IN ('Succeeded', 'Failed') GROUP BY 1, 2), t AS (SELECT node.node, 2 AS priority, greatest(1500 - coalesce(s, 0), 0) AS cpu, greatest(9 - coalesce(q.me, 0), 0) AS memory, CAST(0 AS DOUBLE) AS gpu FROM node LEFT JOIN (SELECT node, sum(cpu) AS s, sum(memory) AS me FROM u GROUP BY node) q ON q.node = node.node), al AS (SELECT * FROM u UNION ALL SELECT * FROM t WHERE cpu > 0 OR memory > 0) SELECT node, priority, sum(cpu) AS cpu, sum(memory) AS memory, sum(gpu) AS gpu FROM al GROUP BY node, priority")
+def x5_resources(spark, d):
+    return x.unmanaged_by_priority(_pods(spark, d), m.nodes(spark, d), {"cpu": 1500.0, "memory": 9.0}, 2)
 
 
 @query("x6_aggregate_samples", ", sp AS (SELECT 'view' AS metric, 'sum' AS a, 2.0 AS mu UNION ALL SELECT 'click', 'mean', 0.0 UNION ALL SELECT 'purchase', 'mean', 10.0) SELECT event_type AS metric, job_id AS pod, CASE WHEN a = 'sum' THEN sum(value) ELSE avg(value) END * CASE WHEN mu > 0 THEN mu ELSE 1 END AS value FROM job_event JOIN sp ON sp.metric = event_type GROUP BY event_type, job_id, a, mu")
@@ -233,3 +282,19 @@ _INSIDE = ", ".join(f"max(CASE WHEN cum >= total * {p / 100} AND cum - n < total
 @query("w7_latency_percentiles", f", b AS (SELECT event_type, CASE WHEN value < 0.5 THEN 0 ELSE floor(log2(value / 0.5)) + 1 END AS k, count(*) AS n, max(value) AS top FROM job_event GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type) AS total, sum(n) OVER (PARTITION BY event_type ORDER BY k) AS cum, max(top) OVER (PARTITION BY event_type) AS most FROM b), e AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE 0.5 * power(2, k - 1) END AS low, least(0.5 * power(2, k), most) AS high FROM c) SELECT event_type, {_INSIDE} FROM e GROUP BY event_type")
 def w7(spark, d):
     return x.latency_percentiles(m.job_event(spark, d), "value", 0.5, ["event_type"])
+
+
+@query("w8_short_jobs", _TR + ", sj AS (SELECT queue, pool, running_at // 3600 * 3600 AS start, cpu, memory, gpu FROM rd WHERE running_at IS NOT NULL AND state IN ('succeeded', 'failed', 'cancelled') AND duration < 2000) SELECT queue, pool, start, count(*) AS jobs, sum(cpu) AS cpu, sum(memory) AS memory, sum(gpu) AS gpu FROM sj GROUP BY queue, pool, start")
+def w8_short(spark, d):
+    done = x.run_durations(_transitions(spark, d)).where("running_at is not null and state in ('succeeded', 'failed', 'cancelled')")
+    rows = done.select("queue", "pool", F.timestamp_seconds("running_at").alias("started_at"), F.col("duration").alias("seconds"), *x.RESOURCES)
+    return ingest.recent_short_jobs(rows, 2000, "1 hour").withColumn("start", F.unix_timestamp("start"))
+
+
+@query("w8_first_submissions", "SELECT 'c-' || (seq // 12 % 400) AS deduplication_id FROM job_event WHERE kind = 'SubmitJob' GROUP BY 1")
+def w8_first(spark, d):
+    subs = m.job_event(spark, d, True).where("kind = 'SubmitJob'").select(m.text("c-", F.floor(F.col("seq") / 12) % 400).alias("deduplication_id"), F.timestamp_seconds("created").alias("at"))
+    out = shared_folder(spark, "first")
+    writer = ingest.first_submissions(subs, "30 days").writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "offsets"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("deduplication_id")

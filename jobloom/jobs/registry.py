@@ -15,13 +15,13 @@ _SQL: dict[str, str] = {}
 _MODULES = ("search_queries", "fold_queries", "metric_queries", "fairshare_queries", "health_queries")
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
     """Register a query; ``sql`` continues the common table expressions of the derived tables."""
 
     def add(f: Query) -> Query:
         _QUERIES[name] = f
         if sql is not None:
-            _SQL[name] = VIEWS + sql
+            _SQL[name] = (VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else VIEWS) + sql
         return f
 
     return add

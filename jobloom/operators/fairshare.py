@@ -11,18 +11,31 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.ordering import with_position, with_running_sum
 from jobloom.operators.metrics import RESOURCES, active_runs
+from jobloom.sources.tables import materialise
 
 #: Rounds of sharing out spare capacity, and the unallocated share at which they end.
 ROUNDS, ENOUGH = 10, 0.01
 
 
 def dominant_cost(totals: Mapping[str, Column] | None = None, multipliers: Mapping[str, float] | None = None, prefix: str = "", total_prefix: str = "total_") -> Column:
-    """Largest share of any resource times its multiplier; shares of nothing are 0 (F1)."""
+    """Largest share of any resource times its multiplier; shares of nothing are 0 (F1).
+
+    With ``multipliers`` only the resources named there count, those without a positive number once.
+    """
     shares = []
     for c in RESOURCES:
+        if multipliers is not None and c not in multipliers:
+            continue
         total = totals[c] if totals else F.col(f"{total_prefix}{c}")
-        shares.append(F.when(F.coalesce(total, F.lit(0.0)) > 0, F.col(f"{prefix}{c}") / total * (multipliers or {}).get(c, 1.0)).otherwise(0.0))
-    return F.greatest(F.lit(0.0), *shares)
+        times = 1.0 if multipliers is None or not multipliers[c] > 0 else float(multipliers[c])
+        shares.append(F.when(F.coalesce(total, F.lit(0.0)) > 0, F.col(f"{prefix}{c}") / total * times).otherwise(0.0))
+    return F.greatest(F.lit(0.0), F.lit(0.0), *shares)
+
+
+def weighted_cost(cost: Column | str, weight: Column | str) -> Column:
+    """Cost per weight, by which queues are compared (F1); of no weight it is 0 for no cost, else endless."""
+    c, w = (F.col(x) if isinstance(x, str) else x for x in (cost, weight))
+    return F.when(w > 0, c / w).when(c == 0, 0.0).otherwise(float("inf"))
 
 
 def pool_totals(nodes: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def constrained_demand(limited: DataFrame) -> DataFrame:
 
 def queue_weights(queues: DataFrame, pools: DataFrame, overrides: DataFrame) -> DataFrame:
     """1 over the priority factor, 1 if that isn't positive; a positive override of (pool, queue) comes first."""
-    rows = queues.join(F.broadcast(pools.select("pool")), F.lit(True)).join(F.broadcast(overrides.select("pool", "queue", F.col("priority_factor").alias("_o"))), ["pool", "queue"], "left")
+    rows = queues.join(pools.select("pool"), F.lit(True)).join(overrides.select("pool", "queue", F.col("priority_factor").alias("_o")), ["pool", "queue"], "left")
     own = F.when(F.col("priority_factor") > 0, 1 / F.col("priority_factor")).otherwise(1.0)
     return rows.select("pool", "queue", F.when(F.col("_o") > 0, 1 / F.col("_o")).otherwise(own).alias("weight"))
 
@@ -143,8 +156,9 @@ def _ranked(rows: DataFrame, group: str, order: list[Column], rank: str) -> Data
     """Exact places from 1 within groups of any size: places in the whole order less those before the group."""
     keys = [f"_k{i}" for i in range(len(order))]
     placed = with_position(rows.withColumns(dict(zip(keys, order))), group, *keys, position="_at")
-    first = placed.groupBy(group).agg(F.min("_at").alias("_first"))
-    return placed.join(F.broadcast(first), group).withColumn(rank, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *keys)
+    # written first: its size is known when the join is planned, and a large side is split where one group is
+    first = materialise(placed.groupBy(group).agg(F.min("_at").alias("_first")))
+    return placed.join(first, group).withColumn(rank, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *keys)
 
 
 def scheduling_order(jobs: DataFrame, runs: DataFrame, class_priority: Mapping[str, int]) -> DataFrame:
@@ -180,9 +194,7 @@ def clearing_price(ordered: DataFrame, totals: DataFrame, cutoff: float) -> Data
     ``ordered`` has pool, place, bid, gang_id and requests. The first job whose running dominant cost is above the cutoff
     sets the price: the least bid of its gang, or its own; 0 where all fit.
     """
-    rows = ordered
-    for c in RESOURCES:
-        rows = with_running_sum(rows, c, "place", running=f"run_{c}", within=("pool",))
+    rows = with_running_sum(ordered, {c: f"run_{c}" for c in RESOURCES}, "place", within=("pool",))
     rows = rows.join(F.broadcast(totals), "pool")
     over = rows.where(dominant_cost(prefix="run_") > cutoff)
     first = over.groupBy("pool").agg(F.min_by(F.struct("job_id", "bid", "gang_id"), "place").alias("f")).select("pool", "f.*")

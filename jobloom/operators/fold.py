@@ -1,13 +1,16 @@
 """Folding the event log into job and job-run tables.
 
-The log is flat: one row per event with its place ``seq`` in log order, which alone decides between events. Results don't
-depend on how the log is cut into batches: updates are accepted up to the first terminal state of a job, and after it only
-a preemption of a job that ended otherwise.
+The log is flat: one row per event with its place ``seq`` in log order, which alone decides between events. Updates are
+accepted up to the first terminal state of a job, and after it only a preemption of a job that ended otherwise. An update
+may stand before the create of its job; it counts as soon as the job is there. Stored as reduced rows (``reduce_log``), of
+which there are a few per key, the fold of a log doesn't depend on how it was cut into batches, as long as these follow
+each other in log order. ``fold_log`` with given tables updates known keys only, as the platform's own tables do.
 """
 
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -15,13 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.functions.ordering import with_position
+from jobloom.functions.ordering import with_position, with_running_sum
 from jobloom.sources.model import TERMINAL_STATES
 from jobloom.sources.tables import materialise
 
 PREEMPTED, REJECTED = 7, 9
 #: Terminal states that a later preemption replaces.
 PREEMPT_OVERRIDES = (4, 5, 6)
+#: Characters of an external URI that are stored.
+LONGEST_URI = 1024
 JOB_COLUMNS = ("priority", "state", "cancelled", "last_transition_time", "latest_run_id", "cancel_reason", "cancel_user")
 RUN_COLUMNS = ("pending", "started", "finished", "job_run_state", "node", "exit_code", "error", "debug", "termination_reason")
 
@@ -39,8 +44,13 @@ def first_rows(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
 
 
 def create_jobs(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One queued job per submitted job_id; the first write wins, known jobs are ignored."""
-    new = events.where("kind = 'SubmitJob'").select("job_id", "queue", "jobset", F.col("user").alias("owner"), "priority", F.col("created").alias("submitted"), F.lit(1).cast("short").alias("state"), F.col("created").alias("last_transition_time"), "seq")
+    """One queued job per submitted job_id; the first write wins, known jobs are ignored.
+
+    Where events have ``external_job_uri`` or ``uri_annotation``, the first comes before the second, and empty ones are none.
+    """
+    given = [F.when(F.col(c) != "", F.substring(c, 1, LONGEST_URI)) for c in ("external_job_uri", "uri_annotation") if c in events.columns]
+    uri = [F.coalesce(*given).alias("external_job_uri")] if given else []
+    new = events.where("kind = 'SubmitJob'").select(*uri, "job_id", "queue", "jobset", F.col("user").alias("owner"), "priority", F.col("created").alias("submitted"), F.lit(1).cast("short").alias("state"), F.col("created").alias("last_transition_time"), "seq")
     new = first_rows(new, "job_id")
     return new.join(existing.select("job_id"), "job_id", "left_anti") if existing is not None else new
 
@@ -64,10 +74,11 @@ def job_updates(events: DataFrame) -> DataFrame:
 def accepted_updates(updates: DataFrame, preempt_overrides: Iterable[int] = PREEMPT_OVERRIDES) -> DataFrame:
     """Updates up to each job's first terminal state, and after it the first preemption if that state gives way."""
     terminal = F.col("state").isin(*TERMINAL_STATES)
-    preempted = F.col("state") == PREEMPTED
+    # of reduced rows only those of a single event can come after the end
+    preempted = (F.col("state") == PREEMPTED) & (F.col("single") if "single" in updates.columns else F.lit(True))
     ends = updates.where(terminal).groupBy("job_id").agg(F.min("seq").alias("_end"), F.min_by("state", "seq").alias("_final"), F.min(F.when(preempted, F.col("seq"))).alias("_preempted"))
     rows = updates.join(ends, "job_id", "left")
-    late = (F.col("seq") == F.col("_preempted")) & F.col("_final").isin(*preempt_overrides)
+    late = preempted & (F.col("seq") == F.col("_preempted")) & F.col("_final").isin(*preempt_overrides)
     return rows.where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")) | late).drop("_end", "_final", "_preempted")
 
 
@@ -99,24 +110,36 @@ def create_runs(events: DataFrame, existing: DataFrame | None = None) -> DataFra
 
 
 def run_updates(events: DataFrame) -> DataFrame:
-    """Events as column updates of runs (I7), run errors classified by their kind (I8)."""
+    """Events as column updates of runs (I7), run errors classified by their kind (I8).
+
+    Events of stand-alone ingress have ``addresses`` (port to address) and those of terminated pods ``debug_info``, where the
+    log has these columns; they change nothing else.
+    """
     kind, error = F.col("kind"), F.col("error_kind")
     failed = (kind == "JobRunErrors") & (error != "JobRunPreemptedError")
     error_state = F.when(error == "LeaseReturned", 8).when(error == "LeaseExpired", 9).otherwise(4)
     state = F.when(kind == "JobRunAssigned", 1).when(kind == "JobRunRunning", 2).when(kind == "JobRunSucceeded", 3).when(kind == "CancelledJob", 12).when(kind == "JobRunPreempted", 6).when(failed, error_state)
     ended = kind.isin("JobRunSucceeded", "CancelledJob", "JobRunPreempted") | (failed & F.col("terminal"))
     message = F.when(kind == "JobRunPreempted", F.lit("preempted")).when(failed, F.when(error == "PodError", F.concat(F.lit("pod error on "), "node")).when(error == "LeaseExpired", "Lease expired").when(error == "LeaseReturned", "Lease returned").otherwise("Unknown error"))
-    rows = events.withColumn("_state", state.cast("short")).where("_state is not null")
+    addresses, info = "addresses" in events.columns, "debug_info" in events.columns
+    extra = [F.when(kind == "StandaloneIngressInfo", F.col("addresses")).alias("ingress_addresses")] if addresses else []
+    debug = F.when(failed & (error == "PodError"), F.concat(F.lit("debug of "), "run_id"))
+    debug = F.when(kind == "JobRunTerminatedDebugInfo", F.col("debug_info")).otherwise(debug) if info else debug
+    rows = events.withColumn("_state", state.cast("short")).where(F.col("_state").isNotNull() | kind.isin("StandaloneIngressInfo", "JobRunTerminatedDebugInfo"))
     return rows.select(
-        "run_id", "seq", F.when(kind == "JobRunAssigned", F.col("created")).alias("pending"), F.when(kind == "JobRunRunning", F.col("created")).alias("started"), F.when(ended, F.col("created")).alias("finished"), F.col("_state").alias("job_run_state"),
+        *extra, "run_id", "seq", F.when(kind == "JobRunAssigned", F.col("created")).alias("pending"), F.when(kind == "JobRunRunning", F.col("created")).alias("started"), F.when(ended, F.col("created")).alias("finished"), F.col("_state").alias("job_run_state"),
         F.when(kind == "JobRunRunning", F.coalesce("node", F.lit("UNKNOWN"))).when(failed & (error == "PodError"), F.col("node")).alias("node"), F.when(kind == "JobRunSucceeded", 0).when(failed & (error == "PodError"), F.col("exit_code")).alias("exit_code"),
-        message.alias("error"), F.when(failed & (error == "PodError"), F.concat(F.lit("debug of "), "run_id")).alias("debug"), F.when(kind == "JobRunPreempted", F.col("reason")).when(kind == "CancelledJob", F.coalesce("reason", F.lit("cancelled"))).alias("termination_reason"),
+        message.alias("error"), debug.alias("debug"), F.when(kind == "JobRunPreempted", F.col("reason")).when(kind == "CancelledJob", F.coalesce("reason", F.lit("cancelled"))).alias("termination_reason"),
     )
 
 
 def conflate_run_updates(updates: DataFrame) -> DataFrame:
     """One row per run: the last non-null value of each column."""
-    return updates.groupBy("run_id").agg(*[last_value(c).alias(c) for c in RUN_COLUMNS])
+    return updates.groupBy("run_id").agg(*[last_value(c).alias(c) for c in _run_columns(updates)])
+
+
+def _run_columns(updates: DataFrame) -> list[str]:
+    return [*RUN_COLUMNS, *[c for c in ("ingress_addresses",) if c in updates.columns]]
 
 
 def job_errors(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -130,6 +153,18 @@ def state_update_counts(updates: DataFrame) -> DataFrame:
     return updates.where("state is not null").groupBy("state").agg(F.count("*").alias("updates"))
 
 
+def rows_changed(events: DataFrame, jobs: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Rows inserted and updated by (table, operation) when the log is folded into the given tables."""
+    open_updates = job_updates(events) if jobs is None else drop_updates_to_terminal(job_updates(events), jobs)
+    parts = {}
+    for table, created, stored, updated, key in (("job", create_jobs(events, jobs), jobs, conflate_job_updates(open_updates), "job_id"), ("job_run", create_runs(events, runs), runs, conflate_run_updates(run_updates(events)), "run_id")):
+        known = created.select(key) if stored is None else created.select(key).unionByName(stored.select(key))
+        parts |= {(table, "insert"): created.select(key), (table, "update"): updated.join(known, key, "left_semi")}
+    parts["job_error", "insert"] = job_errors(events)
+    counted = [df.agg(F.count("*").alias("rows")).select(F.lit(table).alias("table"), F.lit(operation).alias("operation"), "rows") for (table, operation), df in parts.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def event_counts(events: DataFrame) -> DataFrame:
     """Events and bytes by queue and kind."""
     return events.groupBy("queue", "kind").agg(F.count("*").alias("events"), F.sum("bytes").alias("bytes"))
@@ -150,6 +185,50 @@ def fold_log(events: DataFrame, jobs: DataFrame | None = None, runs: DataFrame |
     return all_jobs, apply_updates(all_runs, conflate_run_updates(run_news), "run_id", RUN_COLUMNS)
 
 
+def reduce_job_updates(updates: DataFrame) -> DataFrame:
+    """At most two rows per job that say as much as all of ``updates``: what is accepted up to its first terminal state as one
+    row, and its first preemption as a ``single`` one. Reducing reduced parts that follow each other is reducing all."""
+    rows = updates if "single" in updates.columns else updates.withColumn("single", F.lit(True))
+    end = rows.where(F.col("state").isin(*TERMINAL_STATES)).groupBy("job_id").agg(F.min("seq").alias("_end"))
+    until = rows.join(end, "job_id", "left").where("_end is null or seq <= _end").groupBy("job_id").agg(F.max("seq").alias("seq"), *[last_value(c).alias(c) for c in JOB_COLUMNS])
+    preempted = first_rows(rows.where(F.col("single") & (F.col("state") == PREEMPTED)).drop("single"), "job_id")
+    return until.withColumn("single", F.lit(False)).unionByName(preempted.withColumn("single", F.lit(True)).select(*until.columns, "single"))
+
+
+def reduce_run_updates(updates: DataFrame) -> DataFrame:
+    """One row per run that says as much as all of ``updates``."""
+    return updates.groupBy("run_id").agg(F.max("seq").alias("seq"), *[last_value(c).alias(c) for c in _run_columns(updates)])
+
+
+def first_of(key: str):
+    return lambda rows: first_rows(rows, key)
+
+
+#: The reduced parts of a log, each with what reduces a union of such parts.
+REDUCED = {"job_create": first_of("job_id"), "job_update": reduce_job_updates, "run_create": first_of("run_id"), "run_update": reduce_run_updates, "job_error": first_of("job_id")}
+
+
+def reduce_log(events: DataFrame) -> dict[str, DataFrame]:
+    """The log, or a part of it, as reduced rows."""
+    errors = events.where("kind = 'JobErrors' and terminal and error_kind = 'JobRejected'").select("job_id", F.concat(F.lit("rejected: "), "reason").alias("error"), "seq")
+    return {
+        "job_create": create_jobs(events), "job_update": reduce_job_updates(job_updates(events)), "run_create": create_runs(events), "run_update": reduce_run_updates(run_updates(events)),
+        "job_error": first_rows(errors, "job_id"),
+    }
+
+
+def tables_of(reduced: dict[str, DataFrame], preempt_overrides: Iterable[int] = PREEMPT_OVERRIDES) -> dict[str, DataFrame]:
+    """job, job_run and job_error from reduced parts of a log, however many."""
+    created = first_rows(reduced["job_create"], "job_id")
+    jobs = created.select(*[c for c in created.columns if c not in ("seq", "state", "priority", "last_transition_time")], F.col("priority").alias("_priority"))
+    jobs = jobs.join(conflate_job_updates(reduced["job_update"], preempt_overrides), "job_id", "left").withColumns({
+        "priority": F.coalesce("priority", "_priority"), "state": F.coalesce("state", F.lit(1).cast("short")), "last_transition_time": F.coalesce("last_transition_time", "submitted"),
+    }).drop("_priority")
+    leased = first_rows(reduced["run_create"], "run_id").drop("seq", "job_run_state").withColumnRenamed("node", "_node")
+    runs = leased.join(conflate_run_updates(reduced["run_update"]), "run_id", "left").withColumns({"node": F.coalesce("node", "_node"), "job_run_state": F.coalesce("job_run_state", F.lit(11).cast("short"))}).drop("_node")
+    return {"job": jobs, "job_run": runs, "job_error": first_rows(reduced["job_error"], "job_id").drop("seq")}
+
+
 def upsert(target: DataFrame, source: DataFrame, key: str, order: str) -> DataFrame:
     """Last write wins by key; rows of ``target`` come before those of ``source``."""
     rest = [c for c in target.columns if c != key]
@@ -166,37 +245,68 @@ def apply_versioned(target: DataFrame, updates: DataFrame, key: str, value: str,
     return rows.withColumns({value: F.when(newer, F.col("_b._value")).otherwise(F.col(value)), version: F.when(newer, F.col("_b._version")).otherwise(F.col(version))}).select(*target.columns)
 
 
-def fold_scheduler_flags(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flags per job and per run with their times."""
+def fold_scheduler_flags(events: DataFrame, validated: str = "JobValidated") -> tuple[DataFrame, DataFrame]:
+    """Flags per job and per run with their times.
+
+    ``validated`` is the kind that marks a job so. Where the log has ``pools``, a job takes those of its last validation;
+    where it has ``run_attempted``, a run whose lease was returned tells whether it was tried.
+    """
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
     at = lambda cond: F.max_by(F.col("created"), F.when(cond, F.col("seq")))
     fatal = (F.col("kind") == "JobErrors") & F.col("terminal")
-    jobs = events.groupBy("job_id").agg(F.bool_or(is_("CancelledJob")).alias("cancelled"), F.bool_or(is_("JobSucceeded")).alias("succeeded"), F.bool_or(fatal).alias("failed"), F.bool_or(is_("SubmitJob")).alias("validated"))
+    pools = [F.max_by("pools", F.when(is_(validated) & F.col("pools").isNotNull(), F.col("seq"))).alias("pools")] if "pools" in events.columns else []
+    jobs = events.groupBy("job_id").agg(F.bool_or(is_("CancelledJob")).alias("cancelled"), F.bool_or(is_("JobSucceeded")).alias("succeeded"), F.bool_or(fatal).alias("failed"), F.bool_or(is_(validated)).alias("validated"), *pools)
     run_failed = (F.col("kind") == "JobRunErrors") & F.col("terminal")
     returned = run_failed & (F.col("error_kind") == "LeaseReturned")
     ended = is_("CancelledJob", "JobRunSucceeded") | run_failed
+    attempted = [F.bool_or(returned & F.col("run_attempted")).alias("run_attempted")] if "run_attempted" in events.columns else []
     runs = events.groupBy("run_id").agg(
-        F.bool_or(is_("JobRunAssigned")).alias("pending"), F.bool_or(is_("JobRunRunning")).alias("running"), F.bool_or(is_("JobRunSucceeded")).alias("succeeded"), F.bool_or(run_failed).alias("failed"), F.bool_or(returned).alias("returned"), F.bool_or(is_("JobRunPreempted")).alias("preempted"),
+        *attempted, F.bool_or(is_("JobRunAssigned")).alias("pending"), F.bool_or(is_("JobRunRunning")).alias("running"), F.bool_or(is_("JobRunSucceeded")).alias("succeeded"), F.bool_or(run_failed).alias("failed"), F.bool_or(returned).alias("returned"), F.bool_or(is_("JobRunPreempted")).alias("preempted"),
         at(is_("JobRunAssigned")).alias("pending_at"), at(is_("JobRunRunning")).alias("running_at"), at(ended).alias("terminated_at"), at(is_("JobRunPreempted")).alias("preempted_at"),
     )
     return jobs, runs
 
 
 def apply_jobset_updates(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Reprioritise and cancel whole job sets (I16).
+    """Reprioritise and cancel whole job sets, or lists of their jobs (I16).
 
     ``requests``: queue, job_set, seq, action ("reprioritise" or "cancel"), priority, user, reason, states ("queued",
-    "leased" or null for both). Ended jobs stay; of reprioritisations the last writes, of cancellations the first.
+    "leased" or null for both) and, if any request is a list, job_ids (null for a whole set). Ended jobs stay; of
+    reprioritisations the last writes, of cancellations the first that has a user, and the first that has a reason.
     """
     ended = F.col("cancelled") | F.col("succeeded") | F.col("failed")
     kind = F.when(F.col("queued"), "queued").otherwise("leased")
-    rows = jobs.where(~ended).select("job_id", "queue", "job_set", kind.alias("_kind")).join(requests, ["queue", "job_set"])
-    again = rows.where("action = 'reprioritise'").groupBy("job_id").agg(F.max_by(F.struct("priority", "user"), "seq").alias("_p"))
-    stop = rows.where("action = 'cancel'").where(F.col("states").isNull() | (F.col("states") == F.col("_kind"))).groupBy("job_id").agg(F.min_by(F.struct("user", "reason"), "seq").alias("_c"))
-    out = jobs.join(again, "job_id", "left").join(stop, "job_id", "left")
+    open_ = jobs.where(~ended).select("job_id", "queue", "job_set", kind.alias("_kind"))
+    whole, lists = requests, None
+    if "job_ids" in requests.columns:
+        whole = requests.where("job_ids is null").drop("job_ids")
+        lists = requests.where("job_ids is not null").withColumn("job_id", F.explode(F.array_distinct("job_ids"))).drop("job_ids")
+    # requests of one set are reduced before they meet its jobs: the last priority, the first cancellations of each kind
+    first = lambda c, cond: F.min_by(c, F.when(cond & F.col(c).isNotNull(), F.col("seq")))
+    cancel = F.col("action") == "cancel"
+
+    def reduced(rows: DataFrame, *by: str) -> DataFrame:
+        out = [F.max_by(F.struct("priority", "user", "seq"), F.when(F.col("action") == "reprioritise", F.col("seq"))).alias("_p")]
+        for name, states in (("queued", F.col("states").isNull() | (F.col("states") == "queued")), ("leased", F.col("states").isNull() | (F.col("states") == "leased"))):
+            wanted = cancel & states
+            who, why = (F.struct(F.min(F.when(wanted & F.col(c).isNotNull(), F.col("seq"))).alias("seq"), first(c, wanted).alias("value")).alias(c) for c in ("user", "reason"))
+            out.append(F.struct(F.coalesce(F.bool_or(wanted), F.lit(False)).alias("hit"), who, why).alias(f"_{name}"))
+        return rows.groupBy(*by).agg(*out)
+
+    own = lambda: F.when(F.col("_kind") == "queued", F.col("_queued")).otherwise(F.col("_leased"))
+    found = open_.join(reduced(whole, "queue", "job_set"), ["queue", "job_set"]).select("job_id", "_p", own().alias("_c"), F.lit(True).alias("_set"))
+    if lists is not None:
+        listed = open_.join(reduced(lists, "queue", "job_set", "job_id"), ["queue", "job_set", "job_id"]).select("job_id", "_p", own().alias("_c"), F.lit(False).alias("_set"))
+        found = found.unionByName(listed)
+    earliest = lambda c: F.min_by(f"_c.{c}.value", F.when(F.col(f"_c.{c}.value").isNotNull(), F.col(f"_c.{c}.seq")))
+    best = found.groupBy("job_id").agg(
+        F.max_by("_p", "_p.seq").alias("_p"), F.bool_or(F.col("_c.hit") & ~F.col("_set")).alias("_listed"), F.bool_or(F.col("_c.hit") & F.col("_set")).alias("_by_set"), earliest("user").alias("_user"), earliest("reason").alias("_reason"),
+    )
+    out = jobs.join(best, "job_id", "left")
+    by_set, listed = (F.coalesce(c, F.lit(False)) for c in ("_by_set", "_listed"))
     return out.withColumns({
-        "priority": F.coalesce("_p.priority", "priority"), "reprioritise_user": F.col("_p.user"), "cancel_requested": F.col("_c").isNotNull(), "cancel_user": F.col("_c.user"), "cancel_reason": F.col("_c.reason"),
-    }).drop("_p", "_c")
+        "priority": F.coalesce("_p.priority", "priority"), "reprioritise_user": F.col("_p.user"), "cancel_requested": by_set | listed, "cancel_by_jobset_requested": by_set, "cancel_user": F.col("_user"), "cancel_reason": F.col("_reason"),
+    }).drop("_p", "_listed", "_by_set", "_user", "_reason")
 
 
 def apply_preempt_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -253,12 +363,32 @@ def find_duplicates(submissions: DataFrame, dedup: DataFrame) -> DataFrame:
     return rows.select("job_id", original.alias("original_job_id"), (original != F.col("job_id")).alias("is_duplicate"))
 
 
+def sequence_islands(seqs: DataFrame) -> DataFrame:
+    """``seqs`` with ``island``, which counts the changes of user or groups within a job set up to each row.
+
+    Job sets may be of any length: the rows are dealt into ranges of the order, and a range only has to know the last row
+    before it.
+    """
+    keys, group = ["queue", "jobset"], ["user", "groups"]
+    placed = materialise(seqs.repartitionByRange(*keys, "seq").sortWithinPartitions(*keys, "seq").withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_id", 33))
+    # one row per range: the last row of each, moved on to the next range that has rows
+    lasts = placed.groupBy("_range").agg(F.max_by(F.struct(*keys, *group), "_id").alias("_last"))
+    lasts = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_last"))
+    own = Window.partitionBy("_range").orderBy("_id")
+    here, before = F.struct(*keys, *group), F.coalesce(F.lag(F.struct(*keys, *group)).over(own), F.col("_last"))
+    rows = placed.join(F.broadcast(lasts), "_range").withColumn("_change", F.when(here.eqNullSafe(before), 0).otherwise(1))
+    return with_running_sum(rows.drop("_id", "_range", "_last"), "_change", "seq", running="island", within=("queue", "jobset")).drop("_change")
+
+
 def compact_sequences(seqs: DataFrame) -> DataFrame:
-    """Adjacent sequences of a job set with equal queue, user and groups become one, in order."""
-    order = Window.partitionBy("queue", "jobset").orderBy("seq")
-    change = F.coalesce(~(F.col("user").eqNullSafe(F.lag("user").over(order)) & F.col("groups").eqNullSafe(F.lag("groups").over(order))), F.lit(True)) | (F.row_number().over(order) == 1)
-    rows = seqs.withColumn("_island", F.sum(change.cast("int")).over(order))
-    return rows.groupBy("queue", "jobset", "_island").agg(F.first("user").alias("user"), F.min("seq").alias("seq"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "events"))), lambda s: s["events"])).alias("events")).drop("_island")
+    """Adjacent sequences of a job set with equal queue, user and groups become one, in order.
+
+    One row holds all events of a run of such sequences: meant for the messages of a batch. ``sequence_islands`` tells the
+    runs of a whole log without gathering any.
+    """
+    rows = sequence_islands(seqs)
+    return rows.groupBy("queue", "jobset", "island").agg(F.min_by("user", "seq").alias("user"), F.min("seq").alias("seq"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "events"))), lambda s: s["events"])).alias("events")).drop("island")
 
 
 def limit_by_count(seqs: DataFrame, most: int) -> DataFrame:

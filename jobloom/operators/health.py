@@ -26,34 +26,78 @@ def lagging_executors(jobs: DataFrame, runs: DataFrame, reported: DataFrame, lim
     return waiting.groupBy("executor").agg(F.count("*").alias("unreported")).withColumn("lagging", F.col("unreported") > limit)
 
 
-def reconcile_runs(jobs: DataFrame, runs: DataFrame, nodes: DataFrame, away: DataFrame) -> DataFrame:
-    """Active runs that no longer fit their node, with the reason (H3). ``away``: pool, away_pool."""
-    on = nodes.select("node", F.col("pool").alias("node_pool"), "reservation")
+def reconcile_runs(jobs: DataFrame, runs: DataFrame, nodes: DataFrame, away: DataFrame, pools: DataFrame | None = None) -> DataFrame:
+    """Active runs that no longer fit their node, with the reason (H3). ``away``: pool, away_pool.
+
+    ``pools`` (pool, match, no_match) are the enabled ones, and whether their jobs have to match a node's reservation or
+    must not; without it every pool is enabled and has to match. A job matches the reservations of its column
+    ``reservations``; without that column high-priority jobs match all and others only nodes without one.
+    """
+    on = nodes.select("node", F.col("pool").alias("node_pool"), F.coalesce("reservation", F.lit("")).alias("reservation"))
     lent = away.select("pool", F.col("away_pool").alias("node_pool"), F.lit(True).alias("_away"))
     rows = active_runs(jobs, runs).join(on, "node", "left").join(F.broadcast(lent), ["pool", "node_pool"], "left")
+    if pools is None:
+        rows = rows.withColumns({"match": F.lit(True), "no_match": F.lit(False)})
+    else:
+        rows = rows.join(F.broadcast(pools), "pool")
+    if "reservations" in jobs.columns:
+        rows = rows.join(jobs.select("job_id", "reservations"), "job_id")
+        matches = F.array_contains("reservations", F.col("reservation"))
+    else:
+        matches = (F.col("reservation") == "") | (F.col("priority_class") == "high")
     vanished = F.col("node_pool").isNull() & F.col("gang_id").isNotNull()
-    moved = F.col("node_pool").isNotNull() & (F.col("node_pool") != F.col("pool")) & F.col("_away").isNull()
-    reserved = F.col("reservation").isNotNull() & (F.col("priority_class") != "high")
-    reason = F.when(vanished, F.lit("node of gang job no longer exists")).when(moved, F.concat(F.lit("node is now in pool "), "node_pool")).when(reserved, F.concat(F.lit("node is reserved for "), "reservation"))
+    there = F.col("node_pool").isNotNull()
+    moved = there & (F.col("node_pool") != F.col("pool")) & F.col("_away").isNull()
+    reason = F.when(vanished, F.lit("node of gang job no longer exists")).when(moved, F.concat(F.lit("node is now in pool "), "node_pool"))
+    reason = reason.when(there & F.col("match") & ~matches, F.concat(F.lit("node is reserved for "), "reservation")).when(there & F.col("no_match") & matches, F.concat(F.lit("away on a node of its own reservation "), "reservation"))
     return rows.withColumn("reason", reason).where("reason is not null").select("job_id", "run_id", "node", "pool", "reason")
 
 
+# fixed values: annotations that make a job a member of a gang
+GANG_ID, GANG_CARDINALITY, GANG_UNIFORMITY = "gangId", "gangCardinality", "gangNodeUniformityLabel"
+
+
+def gang_info(jobs: DataFrame, annotations: str = "annotations") -> DataFrame:
+    """``jobs`` with gang_id, gang_cardinality, gang_uniformity and gang_error from annotations (H4).
+
+    A cardinality of 1 is no gang. Where the annotations can't be read, gang_error tells why and the others are null.
+    """
+    get = lambda key: F.try_element_at(F.col(annotations), F.lit(key))
+    name, size = get(GANG_ID), get(GANG_CARDINALITY)
+    number = F.when(size.rlike("^[+-]?[0-9]+$"), size.try_cast("long"))
+    error = F.when(name == "", "gang id is empty").when(size.isNull(), "gang cardinality is missing").when(number.isNull(), "gang cardinality is not a number").when(number <= 0, "gang cardinality is not positive")
+    error = F.when(name.isNotNull(), error)
+    gang = name.isNotNull() & error.isNull() & (number >= 2)
+    return jobs.withColumns({"gang_error": error, "gang_id": F.when(gang, name), "gang_cardinality": F.when(gang, number), "gang_uniformity": F.when(gang, F.coalesce(get(GANG_UNIFORMITY), F.lit("")))})
+
+
 def invalid_gangs(jobs: DataFrame) -> DataFrame:
-    """Members of inconsistent gangs with the first failing reason (H4); a cardinality below 2 is no gang."""
+    """Members of inconsistent gangs with the first failing reason (H4); a cardinality below 2 is no gang.
+
+    Gang information is the cardinality and, where there is such a column, gang_uniformity.
+    """
     members = jobs.where("gang_id is not null and gang_cardinality >= 2")
-    gangs = members.groupBy("queue", "gang_id").agg(F.bool_and("queued").alias("queued"), F.count_distinct("priority_class").alias("classes"), F.count_distinct("gang_cardinality").alias("infos"), F.max("gang_cardinality").alias("size"), F.count("*").alias("members"))
+    info = F.struct("gang_cardinality", *[F.col(c) for c in ("gang_uniformity",) if c in jobs.columns])
+    gangs = members.groupBy("queue", "gang_id").agg(F.bool_and("queued").alias("queued"), F.count_distinct("priority_class").alias("classes"), F.count_distinct(info).alias("infos"), F.max("gang_cardinality").alias("size"), F.count("*").alias("members"))
     reason = F.when(~F.col("queued"), "not all members are queued").when(F.col("classes") > 1, "members differ in priority class").when(F.col("infos") > 1, "members differ in gang information").when(F.col("members") > F.col("size"), "more members than the cardinality")
     bad = gangs.withColumn("reason", reason).where("reason is not null").select("queue", "gang_id", "reason")
     return members.join(bad, ["queue", "gang_id"]).select("queue", "gang_id", "job_id", "reason")
 
 
-def retry_decisions(failed: DataFrame, policies: DataFrame, rules: DataFrame, global_max: int) -> DataFrame:
+def retry_decisions(failed: DataFrame, policies: DataFrame, rules: DataFrame, global_max: int, default_policy: str | None = None) -> DataFrame:
     """Decision per failed run (H5).
 
-    ``failed``: run_id, queue, policy, category, subcategory, failures, gang_id, returned. ``policies``: policy,
-    retry_limit, default_action. ``rules``: policy, ordinal, on_category, on_subcategory (null for any), action.
+    ``failed``: run_id, queue, policy, category, subcategory, failures, gang_id, returned, and fail_fast if any job is so.
+    ``policies``: policy, retry_limit, default_action. ``rules``: policy, ordinal, on_category, on_subcategory (null for
+    any), action. A queue without a policy takes ``default_policy``; without one, and for gangs, returned leases and
+    fail-fast jobs, there is no decision. With a default policy, an unknown policy isn't decided either.
     """
-    rows = failed.where("gang_id is null and not returned").withColumn("used", F.greatest(F.col("failures") - 1, F.lit(0)))
+    rows = failed.where("gang_id is null and not returned")
+    if "fail_fast" in failed.columns:
+        rows = rows.where("not coalesce(fail_fast, false)")
+    if default_policy is not None:
+        rows = rows.withColumn("policy", F.coalesce(F.when(F.col("policy") != "", F.col("policy")), F.lit(default_policy))).join(F.broadcast(policies.select("policy")), "policy", "left_semi")
+    rows = rows.withColumn("used", F.greatest(F.col("failures") - 1, F.lit(0)))
     fits = rows.select("run_id", "policy", "category", "subcategory").join(F.broadcast(rules), "policy").where("on_category = category and (on_subcategory is null or on_subcategory = subcategory)")
     first = fits.groupBy("run_id").agg(F.min_by("action", "ordinal").alias("rule"))
     rows = rows.join(F.broadcast(policies), "policy", "left").join(first, "run_id", "left")

@@ -55,6 +55,11 @@ def prune_scheduler(jobs: DataFrame, children: Mapping[str, DataFrame], now: int
     return {"jobs": jobs.join(gone, "job_id", "left_anti")} | {n: df.join(gone, "job_id", "left_anti") for n, df in children.items()}
 
 
+def prune_markers(markers: DataFrame, now: int, keep: int) -> DataFrame:
+    """Without markers created before ``now - keep`` (P5)."""
+    return markers.where(F.col("created") >= now - keep)
+
+
 def write_hot_cold(job: DataFrame, path: str) -> None:
     """Active and terminal jobs in partitions of their own; the file count follows the data, not the tasks."""
     job.withColumn("active", F.col("state").isin(*ACTIVE_STATES)).repartition("active", F.pmod(F.xxhash64("job_id"), F.lit(max(1, job.sparkSession.sparkContext.defaultParallelism)))).write.partitionBy("active").parquet(path)

@@ -1,12 +1,12 @@
 """Queue, state and capacity metrics.
 
 Resources are columns (cpu, memory, gpu) where jobs and nodes are joined and become rows only after aggregation. Medians
-are exact: ``percentile`` keeps a count per distinct value, and partial aggregation runs before the shuffle.
+are exact: values are counted first, which is reduced before the shuffle, and medians are read from the counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,13 +15,22 @@ RESOURCES = ("cpu", "memory", "gpu")
 # fixed values: histogram bounds in seconds
 DURATION_BUCKETS = (60, 600, 1800, 3600, 10800, 43200, 86400, 172800, 604800)
 RUN_BUCKETS = tuple(2 * 2**i for i in range(20))
+# fixed value: the bid of running jobs that can't be preempted
+NOT_PREEMPTIBLE_BID = 1_000_000.0
 
 
-def statistics(value: str, buckets: Sequence[float] = (), prefix: str = "") -> list[Column]:
-    """count, sum, min, max, exact median, and cumulative bucket counts of a column."""
-    c = F.col(value)
-    out = [F.count(c).alias(f"{prefix}count"), F.sum(c).alias(f"{prefix}sum"), F.min(c).alias(f"{prefix}min"), F.max(c).alias(f"{prefix}max"), F.percentile(c, 0.5).alias(f"{prefix}median")]
-    return out + [F.count_if(c <= b).alias(f"{prefix}le_{b}") for b in buckets]
+def statistics(rows: DataFrame, by: Sequence[str], value: str, buckets: Sequence[float] = ()) -> DataFrame:
+    """count, sum, min, max, exact median, and cumulative bucket counts of a column per group.
+
+    The rows of a group are counted per value, and only distinct values are ordered; no group is gathered.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    placed = counted.withColumns({"_upto": F.sum("_n").over(group.orderBy("_v")), "_all": F.sum("_n").over(group)})
+    v, n, half = F.col("_v"), F.col("_n"), (F.col("_all") + 1) / 2
+    low, high = (F.min(F.when(F.col("_upto") >= place, v)) for place in (F.floor(half), F.ceil(half)))
+    out = [F.sum(n).alias("count"), F.sum(v * n).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), ((low + high) / 2).cast("double").alias("median")]
+    return placed.groupBy(*by).agg(*out, *[F.coalesce(F.sum(F.when(v <= b, n)), F.lit(0)).alias(f"le_{b}") for b in buckets])
 
 
 def as_rows(df: DataFrame, columns: Sequence[str], value: str = "value", key: str = "resource") -> DataFrame:
@@ -57,7 +66,7 @@ def queued_durations(jobs: DataFrame, runs: DataFrame, now: int, order: Sequence
     """Time since the later of creation and the end of the latest run (M3)."""
     ends = runs.groupBy("job_id").agg(F.max("terminated_at").alias("ended"))
     rows = queued_by_pool(jobs, order).join(ends, "job_id", "left").withColumn("seconds", F.lit(now) - F.greatest("submitted", F.coalesce("ended", "submitted")))
-    return rows.groupBy("pool", "priority_class", "queue", "role").agg(*statistics("seconds", DURATION_BUCKETS))
+    return statistics(rows, ("pool", "priority_class", "queue", "role"), "seconds", DURATION_BUCKETS)
 
 
 def active_runs(jobs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -70,19 +79,19 @@ def active_runs(jobs: DataFrame, runs: DataFrame) -> DataFrame:
 def running_durations(jobs: DataFrame, runs: DataFrame, now: int) -> DataFrame:
     """Time since an active run was created (M4)."""
     rows = active_runs(jobs, runs).withColumn("seconds", F.lit(now) - F.col("created"))
-    return rows.groupBy("pool", "priority_class", "queue").agg(*statistics("seconds", DURATION_BUCKETS))
+    return statistics(rows, ("pool", "priority_class", "queue"), "seconds", DURATION_BUCKETS)
 
 
 def queued_resources(jobs: DataFrame, order: Sequence[str]) -> DataFrame:
     """Requests of queued jobs by pool, class, queue, band, role and resource (M5)."""
     rows = as_rows(queued_by_pool(jobs, order).select("pool", "priority_class", "queue", "price_band", "role", *RESOURCES), RESOURCES)
-    return rows.groupBy("pool", "priority_class", "queue", "price_band", "role", "resource").agg(*statistics("value"))
+    return statistics(rows, ("pool", "priority_class", "queue", "price_band", "role", "resource"), "value")
 
 
 def running_resources(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     """Requests of running jobs (M6)."""
     rows = as_rows(active_runs(jobs, runs).select("pool", "priority_class", "queue", "price_band", *RESOURCES), RESOURCES)
-    return rows.groupBy("pool", "priority_class", "queue", "price_band", "resource").agg(*statistics("value"))
+    return statistics(rows, ("pool", "priority_class", "queue", "price_band", "resource"), "value")
 
 
 def resolve_bids(rows: DataFrame, bids: DataFrame, phase: str) -> DataFrame:
@@ -96,13 +105,24 @@ def resolve_bids(rows: DataFrame, bids: DataFrame, phase: str) -> DataFrame:
 def bid_price_stats(jobs: DataFrame, bids: DataFrame, order: Sequence[str]) -> DataFrame:
     """Bids of queued jobs by pool, class, queue and role (M7)."""
     rows = resolve_bids(queued_by_pool(jobs, order), bids, "queued")
-    return rows.groupBy("pool", "priority_class", "queue", "role").agg(F.min("bid").alias("min"), F.max("bid").alias("max"), F.percentile("bid", 0.5).alias("median"))
+    return statistics(rows, ("pool", "priority_class", "queue", "role"), "bid").drop("count", "sum")
+
+
+def running_bids(jobs: DataFrame, runs: DataFrame, bids: DataFrame, preemptible: Sequence[str]) -> DataFrame:
+    """Active runs with their bid; those of classes that can't be preempted have the fixed one."""
+    rows = resolve_bids(active_runs(jobs, runs), bids, "running")
+    return rows.withColumn("bid", F.when(F.col("priority_class").isin(*preemptible), F.col("bid")).otherwise(NOT_PREEMPTIBLE_BID))
+
+
+def running_bid_price_stats(jobs: DataFrame, runs: DataFrame, bids: DataFrame, preemptible: Sequence[str]) -> DataFrame:
+    """Bids of running jobs by pool, class and queue (M7)."""
+    return statistics(running_bids(jobs, runs, bids, preemptible), ("pool", "priority_class", "queue"), "bid").drop("count", "sum")
 
 
 def price_band_grid(queues: DataFrame, pools: DataFrame, bands: DataFrame, phases: DataFrame, bids: DataFrame) -> DataFrame:
     """Every queue, band, pool and phase with its bid, 0 where there is none (M9). The sides are small catalogues."""
     every = F.lit(True)
-    grid = queues.select("queue").join(F.broadcast(pools), every).join(F.broadcast(bands), every).join(F.broadcast(phases), every)
+    grid = queues.select("queue").join(pools, every).join(bands, every).join(phases, every)
     return grid.join(bids, ["queue", "pool", "band", "phase"], "left").withColumn("amount", F.coalesce("amount", F.lit(0.0)))
 
 
@@ -132,13 +152,46 @@ def deduct_home_usage(nodes: DataFrame, jobs: DataFrame, runs: DataFrame) -> Dat
     return rows.select("node", "pool", *[F.greatest(F.col(c) - F.coalesce(f"_{c}", F.lit(0.0)), F.lit(0.0)).alias(c) for c in RESOURCES])
 
 
+#: What a row of capacity is told by.
+CAPACITY_KEYS = ("cluster", "pool", "node_type", "reservation", "physical_pool", "capacity_class", "scalable_unit")
+
+
+def capacity_by_resource(nodes: DataFrame, executors: DataFrame, jobs: DataFrame, runs: DataFrame, away: DataFrame, floating: DataFrame | None = None) -> DataFrame:
+    """total, farm and available per CAPACITY_KEYS and resource (C1, with C2 on its shared rows).
+
+    Farm is what the platform may use of a node (``unmanaged_`` columns, where nodes have them, tell what others use), also
+    on nodes that aren't schedulable; available is that of schedulable ones. Rows of class "shared" are for pools that list
+    the node's own pool as away pool: from their total and available goes what jobs on their home pool use, and never
+    below zero. ``floating`` (pool and resources) belongs to no node and is a cluster of that name.
+    """
+    own = lambda c: F.col(c) - F.coalesce(F.col(f"unmanaged_{c}"), F.lit(0.0)) if f"unmanaged_{c}" in nodes.columns else F.col(c)
+    unit = F.coalesce("scalable_unit", F.lit("")) if "scalable_unit" in nodes.columns else F.lit("")
+    settings = executors.select("executor", F.col("cordoned").alias("_cordoned"))
+    used = active_runs(jobs, runs).groupBy("node", "pool").agg(*[F.sum(c).alias(f"used_{c}") for c in RESOURCES])
+    rows = nodes.join(settings, "executor", "left").join(used, ["node", "pool"], "left")
+    on = ~(F.col("unschedulable") | F.coalesce("_cordoned", F.lit(False)))
+    amounts = F.array(*[F.struct(F.lit(c).alias("resource"), F.col(c).alias("total"), own(c).alias("farm"), F.when(on, own(c)).otherwise(0.0).alias("available"), F.coalesce(f"used_{c}", F.lit(0.0)).alias("used"), F.when(on, F.coalesce(f"used_{c}", F.lit(0.0))).otherwise(0.0).alias("used_on")) for c in RESOURCES])
+    rows = rows.select(F.col("executor").alias("cluster"), "pool", "node_type", F.coalesce("reservation", F.lit("")).alias("reservation"), F.col("pool").alias("physical_pool"), unit.alias("scalable_unit"), F.explode(amounts).alias("a")).select("*", "a.*").drop("a")
+    shared = rows.join(away.select(F.col("pool").alias("_for"), F.col("away_pool").alias("pool")), "pool").drop("pool").withColumnRenamed("_for", "pool")
+    sums = lambda df, kind: df.withColumn("capacity_class", F.lit(kind)).groupBy(*CAPACITY_KEYS, "resource").agg(*[F.sum(c).alias(c) for c in ("total", "farm", "available", "used", "used_on")])
+    keep = [*CAPACITY_KEYS, "resource", "total", "farm", "available"]
+    lent = sums(shared, "shared").withColumns({"total": F.greatest(F.col("total") - F.col("used"), F.lit(0.0)), "available": F.greatest(F.col("available") - F.col("used_on"), F.lit(0.0))})
+    out = sums(rows, "dedicated").select(*keep).unionByName(lent.select(*keep))
+    if floating is None:
+        return out
+    loose = as_rows(floating.select("pool", *RESOURCES), RESOURCES).where("value > 0")
+    blank = {c: F.lit("") for c in CAPACITY_KEYS if c not in ("cluster", "pool")}
+    return out.unionByName(loose.withColumns(blank | {"cluster": F.lit("floating"), "total": F.col("value"), "farm": F.lit(0.0), "available": F.col("value")}).select(*keep))
+
+
 def _phase() -> Column:
     return F.when(F.col("running"), "Running").when(F.col("pending"), "Pending").otherwise("Leased")
 
 
 def on_nodes(nodes: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
     """Active runs with the attributes of the node that they are on."""
-    attributes = nodes.select("node", F.col("executor").alias("cluster"), "node_type", "reservation")
+    unit = F.coalesce("scalable_unit", F.lit("")) if "scalable_unit" in nodes.columns else F.lit("")
+    attributes = nodes.select("node", F.col("executor").alias("cluster"), "node_type", "reservation", F.col("pool").alias("physical_pool"), unit.alias("scalable_unit"))
     return active_runs(jobs, runs).join(attributes, "node").withColumn("phase", _phase())
 
 
@@ -147,9 +200,9 @@ def leased_pod_counts(nodes: DataFrame, jobs: DataFrame, runs: DataFrame) -> Dat
     return on_nodes(nodes, jobs, runs).groupBy("cluster", "pool", "queue", "phase", "node_type", "reservation").agg(F.count("*").alias("pods"))
 
 
-def allocated_by_queue(nodes: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Resources of runs on nodes by queue, cluster, pool, class, band and type."""
-    sums = on_nodes(nodes, jobs, runs).groupBy("queue", "cluster", "pool", "priority_class", "price_band", "node_type", "reservation").agg(*[F.sum(c).alias(c) for c in RESOURCES])
+def allocated_by_queue(nodes: DataFrame, jobs: DataFrame, runs: DataFrame, also_by: Sequence[str] = ()) -> DataFrame:
+    """Resources of runs on nodes by queue, cluster, pool, class, band and type (C5), and by physical_pool and scalable_unit if wanted."""
+    sums = on_nodes(nodes, jobs, runs).groupBy("queue", "cluster", "pool", "priority_class", "price_band", "node_type", "reservation", *also_by).agg(*[F.sum(c).alias(c) for c in RESOURCES])
     return as_rows(sums, RESOURCES)
 
 
@@ -246,24 +299,27 @@ PHASES = ("Pending", "Running", "Succeeded", "Failed", "Unknown", "Leased")
 
 
 def pod_phase_metrics(pods: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pods and requests by queue, node type and phase, zero where a phase has none."""
+    """Pods and requests by queue, node type and phase, zero where a phase has none (X2); usage where pods have usage_ columns."""
+    measures = [*RESOURCES, *[f"usage_{c}" for c in RESOURCES if f"usage_{c}" in pods.columns]]
     types = nodes.select("node", "node_type")
     kind = F.when(F.col("node").isNull(), "unassigned").otherwise(F.coalesce("node_type", F.lit("unknown")))
     rows = pods.join(types, "node", "left").withColumns({"node_type": kind, "phase": F.when(F.coalesce("phase", F.lit("")) == "", "Leased").otherwise(F.col("phase"))})
-    sums = rows.groupBy("queue", "node_type", "phase").agg(F.count("*").alias("pods"), F.sum("cpu").alias("cpu"))
-    dense = sums.groupBy("queue", "node_type").agg(F.map_from_entries(F.collect_list(F.struct("phase", F.struct("pods", "cpu")))).alias("m"))
+    sums = rows.groupBy("queue", "node_type", "phase").agg(F.count("*").alias("pods"), *[F.sum(c).alias(c) for c in measures])
+    dense = sums.groupBy("queue", "node_type").agg(F.map_from_entries(F.collect_list(F.struct("phase", F.struct("pods", *measures)))).alias("m"))
     each = dense.select("queue", "node_type", "m", F.explode(F.array(*map(F.lit, PHASES))).alias("phase"))
     got = F.try_element_at("m", F.col("phase"))
-    return each.select("queue", "node_type", "phase", F.coalesce(got["pods"], F.lit(0)).alias("pods"), F.coalesce(got["cpu"], F.lit(0.0)).alias("cpu"))
+    return each.select("queue", "node_type", "phase", F.coalesce(got["pods"], F.lit(0)).alias("pods"), *[F.coalesce(got[c], F.lit(0.0)).alias(c) for c in measures])
 
 
 def node_group_capacity(nodes: DataFrame, pods: DataFrame) -> DataFrame:
-    """Per node type: total, allocatable (without running unmanaged pods), and in use on cordoned nodes."""
-    running = pods.where("phase = 'Running'").groupBy("node").agg(F.sum(F.when(~F.col("managed"), F.col("cpu")).otherwise(0.0)).alias("_other"), F.sum("cpu").alias("_all"))
-    rows = nodes.join(running, "node", "left")
-    return rows.groupBy("node_type").agg(
-        F.sum("cpu").alias("total_cpu"), F.sum(F.when(F.col("unschedulable"), 0.0).otherwise(F.col("cpu") - F.coalesce("_other", F.lit(0.0)))).alias("allocatable_cpu"), F.sum(F.when(F.col("unschedulable"), F.coalesce("_all", F.lit(0.0))).otherwise(0.0)).alias("cordoned_cpu"),
-    )
+    """Per node type and resource: total, allocatable (without running unmanaged pods), and in use on cordoned nodes."""
+    sums = [F.sum(F.when(~F.col("managed"), F.col(c)).otherwise(0.0)).alias(f"_other_{c}") for c in RESOURCES] + [F.sum(c).alias(f"_all_{c}") for c in RESOURCES]
+    rows = nodes.join(pods.where("phase = 'Running'").groupBy("node").agg(*sums), "node", "left")
+    out = []
+    for c in RESOURCES:
+        left, used = F.col(c) - F.coalesce(f"_other_{c}", F.lit(0.0)), F.coalesce(f"_all_{c}", F.lit(0.0))
+        out += [F.sum(c).alias(f"total_{c}"), F.sum(F.when(F.col("unschedulable"), 0.0).otherwise(left)).alias(f"allocatable_{c}"), F.sum(F.when(F.col("unschedulable"), used).otherwise(0.0)).alias(f"cordoned_{c}")]
+    return rows.groupBy("node_type").agg(*out)
 
 
 def usage_by_queue_pool(pods: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -272,12 +328,13 @@ def usage_by_queue_pool(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("node", "queue", "pool").agg(*[F.sum(c).alias(c) for c in RESOURCES])
 
 
-def unmanaged_by_priority(pods: DataFrame, nodes: DataFrame, minimum: float, priority: int) -> DataFrame:
-    """CPU of unmanaged pods per node and priority, topped up at one priority to a least sum per node."""
-    used = pods.where("not managed and phase not in ('Succeeded', 'Failed')").groupBy("node", F.coalesce("priority", F.lit(0)).alias("priority")).agg(F.sum("cpu").alias("cpu"))
-    total = used.groupBy("node").agg(F.sum("cpu").alias("_total"))
-    top = nodes.select("node").join(total, "node", "left").select("node", F.lit(priority).cast("long").alias("priority"), F.greatest(F.lit(minimum) - F.coalesce("_total", F.lit(0.0)), F.lit(0.0)).alias("cpu")).where("cpu > 0")
-    return used.unionByName(top).groupBy("node", "priority").agg(F.sum("cpu").alias("cpu"))
+def unmanaged_by_priority(pods: DataFrame, nodes: DataFrame, minimum: Mapping[str, float], priority: int) -> DataFrame:
+    """Requests of unmanaged pods per node and priority, topped up at one priority to a least sum of each resource per node."""
+    used = pods.where("not managed and phase not in ('Succeeded', 'Failed')").groupBy("node", F.coalesce("priority", F.lit(0)).alias("priority")).agg(*[F.sum(c).alias(c) for c in RESOURCES])
+    total = used.groupBy("node").agg(*[F.sum(c).alias(f"_{c}") for c in RESOURCES])
+    lack = lambda c: F.greatest(F.lit(float(minimum.get(c, 0.0))) - F.coalesce(f"_{c}", F.lit(0.0)), F.lit(0.0))
+    top = nodes.select("node").join(total, "node", "left").select("node", F.lit(priority).cast("long").alias("priority"), *[lack(c).alias(c) for c in RESOURCES])
+    return used.unionByName(top.where(" or ".join(f"{c} > 0" for c in RESOURCES))).groupBy("node", "priority").agg(*[F.sum(c).alias(c) for c in RESOURCES])
 
 
 def aggregate_samples(samples: DataFrame, specs: DataFrame) -> DataFrame:

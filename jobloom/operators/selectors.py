@@ -32,6 +32,7 @@ def select_active_jobs(jobs: DataFrame, runs: DataFrame, executor: str | None =
 
 
 def by_job_set(found: DataFrame) -> DataFrame:
+    """Job ids per job set in one row each, for sets that fit one request; see the row-wise result otherwise."""
     return found.groupBy("queue", "job_set").agg(F.sort_array(F.collect_list("job_id")).alias("job_ids"))
 
 
@@ -45,6 +46,11 @@ def initial_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.where("not (cancelled or succeeded or failed)")
 
 
+def initial_runs(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs of the jobs of the initial load."""
+    return runs.join(initial_jobs(jobs).select("job_id"), "job_id", "left_semi")
+
+
 def marker_group_counts(markers: DataFrame, partitions: int) -> DataFrame:
     """Distinct partitions per marker group, and whether all have written theirs."""
     return markers.groupBy("group_id").agg(F.count_distinct("partition_id").alias("partitions")).withColumn("complete", F.col("partitions") == partitions)

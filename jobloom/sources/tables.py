@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; only where none is set, a temporary one (tests, one machine)."""
+    """The shared folder that the session names. Where none is set, a temporary one, but only on one machine."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not conf and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -26,13 +28,28 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but columnar and compressed, and what is read again prunes columns. The files
-    live in the folder of this application that Spark made for its checkpoints.
+    live in the folder of this application that Spark made for its checkpoints, until ``discard`` or its end.
     """
     spark = df.sparkSession
     path = shared_folder(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing will read again."""
+    for df in tables:
+        fs, path = file_system(df.sparkSession, df.written_to)
+        fs.delete(path, True)
