@@ -14,6 +14,7 @@ the prefix that it shares with the word before.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import json
 import re
@@ -139,12 +140,10 @@ class PrefixCounter:
             self._pieces[piece] = n
         return n
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """Remember the new short pieces of texts, each word in the order of all."""
-        new: set[str] = set()
-        for text in texts:
-            for segment in self._segments(text):
-                new.update(p for p in _PIECE.findall(segment) if len(p) <= LONGEST_REMEMBERED and p not in self._pieces)
+        known = self._pieces
+        new = {p for p in set(itertools.chain.from_iterable(texts)) if p not in known and len(p) <= LONGEST_REMEMBERED}
         words: dict[bytes, list[tuple[str, int]]] = {}
         for piece in new:
             if simple := _SIMPLE.fullmatch(piece):
@@ -155,9 +154,30 @@ class PrefixCounter:
             del last[same + 1 :], count[same + 1 :]
             self._extend(word, last, count)
             before = word
-            forget(self._pieces)
+            forget(known)
             for piece, marks in words[word]:
-                self._pieces[piece] = count[-1] + marks
+                known[piece] = count[-1] + marks
+
+    def _cut_pieces(self, pieces: list[str], limit: int) -> tuple[int, int]:
+        """``cut_at`` for the pieces of a text without special strings."""
+        known = self._pieces
+        try:
+            counts = [known[p] for p in pieces]
+        except KeyError:
+            counts = [self._count(p) for p in pieces]
+        ends = list(itertools.accumulate(counts))
+        if not pieces or ends[-1] <= limit:
+            return (ends[-1] if pieces else 0), sum(map(len, pieces))
+        k = bisect.bisect_right(ends, limit)
+        base, at = ends[k] - counts[k], sum(map(len, pieces[:k]))
+        return ends[-1], at + max(i for i, c in enumerate(self._inside(False, pieces[k], "")) if base + c <= limit)
+
+    def cut_all(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
+        """``cut_at`` for many texts, whose new words are learnt together."""
+        special = [self._cut is not None and any(s in t for s in self._special) for t in texts]
+        pieces = [[] if own else _PIECE.findall(t) for t, own in zip(texts, special)]
+        self.learn(pieces)
+        return [self.cut_at(t, limit) if own else self._cut_pieces(p, limit) for t, own, p in zip(texts, special, pieces)]
 
     def _segments(self, text: str) -> list[str]:
         return self._cut.split(text) if self._cut and any(s in text for s in self._special) else [text]
@@ -257,8 +277,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
                 portion.append(t or "")
                 size += len(portion[-1])
                 if size >= PORTION or k == len(batch) - 1:
-                    own.learn(portion)
-                    out += [own.cut_at(t, limit) if t else (0, 0) for t in portion]
+                    out += own.cut_all(portion, limit)
                     portion, size = [], 0
             yield pd.DataFrame(out, columns=["n", "cut"])
 

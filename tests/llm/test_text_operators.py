@@ -35,6 +35,7 @@ def test_prefix_counts_are_the_librarys(text):
     assert own.count(text) == want[-1]
     for limit in (0, 1, 3):
         assert want[own.cut_at(text, limit)[1]] <= limit
+        assert own.cut_all([text, "", text], limit) == [own.cut_at(text, limit), (0, 0), own.cut_at(text, limit)]
 
 
 _LIB = {}
