@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.sources.tables import materialise
+from jobloom.sources.tables import discard, materialise
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,21 +15,22 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ones only; the number of rounds grows with the logarithm of the longest path. A node's neighbours are only ever
     aggregated (``min``), never listed. Every round is written to the shared folder, so a lost executor costs one round.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = materialise(edges)
+    edges = materialise(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of u go to the least of u and its neighbours
         # written first, so that adaptive execution can split the join where one node has very many neighbours
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nearest = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.where("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u <> v").distinct())
         # small star: u and its smaller neighbours go to the least of them
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = materialise(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = materialise(small.select("e.*").where("u <> v").distinct())
-        if _same(edges, small):
+        done = _same(edges, small)
+        discard(edges, nearest, large, least)
+        if done:
             return small.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         edges = small
 

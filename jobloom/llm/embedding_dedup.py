@@ -1,9 +1,9 @@
 """Embedding near-dedup (operator 3): spherical k-means cells, blocked cosine products within them.
 
 Equal vectors are one row with a weight. The centres are fitted on a bounded sample; every vector is then assigned to the
-cell of its nearest centre, its home, and visits the cells whose border it lies near: two vectors at the threshold lie
-sqrt(2 - 2 threshold) apart, so that a vector further than that from a border has no links beyond it. No link is lost,
-whatever the number of cells; vectors without clusters visit nearly all cells, and then nearly all pairs are compared.
+cell of its nearest centre, its home, and visits the cells whose border it lies near: no vector within the threshold's
+angle of it can lie beyond a border that it is further from than the sine of that angle. No link is lost, whatever the
+number of cells; vectors without clusters visit nearly all cells, and then nearly all pairs are compared.
 Cells are few and large, since each visit is a row. A vector's links are counted in its home cell against all that live
 there or visit it. Cells are cut into blocks of rows, and each pair of blocks is a task of its own, so that no cell's size
 bounds anything; a task returns counts and a spanning forest of its links, never the pairs.
@@ -47,7 +47,8 @@ def _cells(reps: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
     """Rows (cell, home, id, weight, v): each vector once at home and once in every cell that it visits."""
     dimension = centres.shape[1]
     apart = np.stack([np.sqrt(((centres - c) ** 2).sum(axis=1)) for c in centres])
-    furthest = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    # a linked vector's angle to this one is at most the threshold's; beyond a right angle nothing is spared
+    furthest = float(np.sqrt(1 - threshold * threshold)) if threshold > 0 else np.inf
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,7 +70,7 @@ def _cells(reps: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
 
 
 def _compare(cells: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """Per block pair: (a, null, n) the weight linked to home vector a; (a, b, null) links that keep all components."""
+    """Compare the cells by blocks. Per block pair: (a, null, n) the weight linked to home vector a; (a, b, null) links that keep all components."""
     sizes = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / block_rows).cast("int").alias("homes"), F.ceil(F.count("*") / block_rows).cast("int").alias("alls"))
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -86,10 +87,10 @@ def _compare(cells: DataFrame, threshold: float, block_rows: int) -> DataFrame:
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         counts, rest, least = np.zeros(len(a), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k in range(0, len(a), 512):
-            linked = x[k : k + 512] @ y >= threshold
-            linked &= a[k : k + 512, None] != b[None, :]
-            counts[k : k + 512] = linked @ weight
+        for k in range(0, len(a), 256):
+            linked = x[k : k + 256] @ y >= threshold
+            linked &= a[k : k + 256, None] != b[None, :]
+            counts[k : k + 256] = linked @ weight
             i, j = np.nonzero(linked)
             rest, least = _forest(len(ids), np.concatenate([rest, at[k + i]]), np.concatenate([least, at[len(a) + j]]))
         some = counts > 0
@@ -99,7 +100,7 @@ def _compare(cells: DataFrame, threshold: float, block_rows: int) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 8192, max_cells: int = 2048, sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 8192, max_cells: int = 2048, sample_rows: int = 20_000, block_bytes: int = 6 << 20, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (the least vec_id reachable), kept (vec_id = component_id).
 
@@ -120,7 +121,8 @@ def near_duplicates(
         sample = reps.where(F.size("v") == found.d).orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample_rows).select("v").toPandas()
         centres = spherical_kmeans(unit(list(sample["v"])), min(max_cells, -(-found.n // cell_rows)), seed=seed)
         cells = materialise(_cells(reps, centres, threshold))
-        out = materialise(_compare(cells, threshold, block_rows))
+        # larger blocks, fewer copies of each vector: as many rows as fit the bytes, whatever their dimension
+        out = materialise(_compare(cells, threshold, max(16, block_bytes // (8 * max(1, found.d)))))
         counts = out.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
         member = connected_components(out.where("b is not null")).select(F.col("node").alias("id"), "component")
         info = info.join(counts, "id", "left").join(member, "id", "left")

@@ -1,10 +1,10 @@
 """Packing (operator 6): first-fit decreasing with a tournament tree of bin capacities, in randomised groups.
 
 Documents are encoded where they lie and leave Python only as pieces (offset, length, checksum), never as token ids or
-text. Pieces of a full sequence need no company; the others are dealt by a seeded hash into groups of about
-``group_pieces``, and each group packs itself: pieces by falling length, each into the first open sequence that has room,
-found by walking down a tree whose inner nodes hold the largest room below them. The number of groups follows the number
-of documents, so a group stays as large as it is at any size of the input.
+text. The pieces are written, counted, and dealt at random into groups of about ``group_pieces``, whatever the documents
+they come from. Each group packs itself: pieces by falling length, full ones first, each into the first open sequence that
+has room, found by walking down a tree whose inner nodes hold the largest room below them. The number of groups follows
+the number of pieces, so a group stays as large as it is at any size of the input and of its documents.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobloom.llm.token_counts import LONGEST_REMEMBERED, forget
+from jobloom.sources.tables import materialise
 
 _WORD, _LATIN = re.compile(r"[^ \t\n\r]+"), re.compile(r"[\x00-\xff]*")
 
@@ -177,17 +178,22 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, group_
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is a document of its
     end id alone. Repeated rows are packed as often as they come. Within a sequence pieces lie without a gap from 0. An
-    empty table gives an empty result. Other columns of the input are ignored, whatever their names.
+    empty table gives an empty result. Other columns of the input are ignored, whatever their names. doc_id may be null and
+    of any type that text can be cast back to.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    groups = max(1, -(-docs.count() // group_pieces))
-    dealt = pieces(docs, path, length, end_id).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
-    out = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    kind = docs.schema["doc_id"].dataType
+    # ids go through Python as text, so that those of any type come back as they were
+    cut = materialise(pieces(docs, path, length, end_id).withColumn("doc_id", F.col("doc_id").cast("string")))
+    groups = max(1, -(-cut.count() // group_pieces))
+    # with the place of a row in what was written, repeated rows are dealt apart
+    dealt = cut.withColumn("row", F.monotonically_increasing_id()).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)))
+    out = T.StructType([T.StructField(n, T.StringType() if n == "doc_id" else T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def pack_group(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["ids_crc32", "doc_id", "start"], kind="stable", ignore_index=True)
+        rows = group.sort_values("row", ignore_index=True)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), length)
         rows["sequence_id"], rows["offset"] = rows["group"].to_numpy() * (1 << 32) + bins, offsets
         return rows[[f.name for f in out]]
 
-    return dealt.groupBy("group").applyInPandas(pack_group, out)
+    return dealt.groupBy("group").applyInPandas(pack_group, out).withColumn("doc_id", F.col("doc_id").cast(kind))

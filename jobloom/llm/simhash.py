@@ -93,6 +93,8 @@ def trie_join(values: np.ndarray, left: np.ndarray, right: np.ndarray, errors: i
     before unequal ones, so that memory is bounded however many rows are linked; a pair of nodes whose rows are in one tree
     already is dropped with all below it.
     """
+    if not len(left) or not len(right):
+        return
     own = left is right
     left = left[np.argsort(values[left], kind="stable")]
     right = left if own else right[np.argsort(values[right], kind="stable")]
@@ -102,7 +104,7 @@ def trie_join(values: np.ndarray, left: np.ndarray, right: np.ndarray, errors: i
         depth, pairs = todo.pop()
         a0, a1, b0, b1, spent = pairs
         tree_a, tree_b = forest.root[left], forest.root[right]
-        turns_a, turns_b = (np.r_[0, np.cumsum(t[1:] != t[:-1])] if len(t) else t for t in (tree_a, tree_b))
+        turns_a, turns_b = (np.r_[0, np.cumsum(t[1:] != t[:-1])] for t in (tree_a, tree_b))
         joined = (turns_a[a1 - 1] == turns_a[a0]) & (turns_b[b1 - 1] == turns_b[b0]) & (tree_a[a0] == tree_b[b0])
         a0, a1, b0, b1, spent = (p[~joined] for p in (a0, a1, b0, b1, spent))
         small = (a1 - a0) * (b1 - b0) <= leaf  # few enough to count the bits of each
@@ -420,7 +422,8 @@ def _similar_links(texts: DataFrame, shingle: int, similarity: float, seed: int,
         for batch in batches:
             sets = [shingle_set(t, shingle, seed) for t in batch["text"]]
             own = np.array([_set_key(x) for x in sets], np.uint64).view(np.int64) == batch["key"].to_numpy()
-            yield batch.drop(columns="text").assign(shingles=[x.tobytes() for x in sets])[own]
+            if own.any():
+                yield batch.drop(columns="text").assign(shingles=[x.tobytes() for x in sets])[own]
 
     sets = materialise(texts.select("key", "component", "fp", "text").mapInPandas(with_set, "key long, component long, fp long, shingles binary").dropDuplicates(["key"]))
     sizes = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("shingles")) / block_bytes)).cast("int").alias("parts"))

@@ -30,6 +30,9 @@ from pyspark.sql import types as T
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: A piece of one word and perhaps a mark of punctuation, with letters of the first 256 characters only.
 _SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+# fixed values: the white space and the contractions of the pre-tokenizer's pattern
+_WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
 #: Entries of each dictionary that a worker keeps, and characters of a piece that is remembered: some 60 MB each at most.
 MAX_REMEMBERED, LONGEST_REMEMBERED = 400_000, 32
 #: Characters of texts whose new pieces are sorted together.
@@ -60,7 +63,9 @@ class PrefixCounter:
         self._byte = {chr(b): b for b in alphabet} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(alphabet)))}
         self._names = [t for t in model["model"]["vocab"] if len(t) == 1 or self._merge(t, True)]
         self._ids = {bytes(self._byte[c] for c in name): k for k, name in enumerate(self._names)}
-        self._longest = max(map(len, self._ids))
+        self._longest = [0] * 256  # of the tokens that end with a byte
+        for token in self._ids:
+            self._longest[token[-1]] = max(self._longest[token[-1]], len(token))
         self._special = [t["content"] for t in model["added_tokens"]]
         self._cut = re.compile("|".join(map(re.escape, self._special))) if self._special else None
         self._valid: dict[int, bool] = {}
@@ -104,7 +109,7 @@ class PrefixCounter:
         """Go on with the last tokens and the counts of all prefixes, from where the lists end to the end of the word."""
         ids, valid, names, longest = self._ids.get, self._valid, len(self._names), self._longest
         for end in range(len(count), len(word) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - longest[word[end - 1]]), end):
                 if (token := ids(word[start:end])) is not None:
                     if start:
                         known = valid.get(key := last[start] * names + token)
@@ -186,23 +191,33 @@ class PrefixCounter:
         return sum(self._word(w) for w, _ in self._split(text))
 
     def _piece_prefixes(self, piece: str, before: str = "") -> list[int]:
-        """Counts of a piece's first 0, 1, 2, ... characters.
+        """Counts of a piece's first 0, 1, 2, ... characters, in one pass over its words.
 
-        Inside a word the word's own prefix counts answer. Where cutting changes the words (white space, apostrophes, the
-        string of a special token that is not yet whole after ``before``) the prefix is split anew.
+        A prefix that ends in white space has all white space at its end as one word; one that ends inside a word has the
+        word's own prefix count, but for contractions, which are split anew. After ``before``, the text in front of the
+        string of a special token (``piece``) that is not yet whole, all is split anew.
         """
-        blank, out, base = len(piece) - len(piece.lstrip(" \t\n\r")), [0], 0
-        if before or "'" in piece or any(c.isspace() for c in piece[blank:]):
-            blank = len(piece)
-        known = self._split_count(before) if before else 0
-        out += [self._split_count(before + piece[:end]) - known for end in range(1, blank + 1)]
+        if before:
+            known = self._split_count(before)
+            return [0, *(self._split_count(before + piece[:end]) - known for end in range(1, len(piece) + 1))]
+        out, base = [0], 0
+        blank_start, blank_base, blanks = 0, 0, [0]  # the white space at the end so far, and the count before it
         for word, (start, end) in self._split(piece):
-            if end > blank:
-                counts, at = self.word_prefixes(word), len(piece[start : max(start, blank)].encode())
-                for k in range(max(start, blank), end):
-                    at += len(piece[k].encode())
-                    out.append(base + counts[at])
-            base += self._word(word)
+            inside, at, contraction = self.word_prefixes(word), 0, piece[start:end] in _CONTRACTIONS
+            for k in range(start, end):
+                at += len(piece[k].encode())
+                if piece[k] in _WHITE:
+                    if k == 0 or piece[k - 1] not in _WHITE:
+                        run = k
+                        while run < len(piece) and piece[run] in _WHITE:
+                            run += 1
+                        blank_start, blank_base, blanks = k, out[-1], self.byte_prefixes(piece[k:run].encode())
+                    out.append(blank_base + blanks[len(piece[blank_start : k + 1].encode())])
+                elif contraction:
+                    out.append(base + self._split_count(piece[start : k + 1]))
+                else:
+                    out.append(base + inside[at])
+            base += inside[-1]
         return out
 
     def _walk(self, text: str) -> Iterator[tuple[int, bool, str, str]]:

@@ -158,28 +158,33 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30)))
 
 
-def _tally(sample: DataFrame, wanted: set[str] | None) -> DataFrame:
+def _tally(sample: DataFrame) -> DataFrame:
     """(pattern, n): pattern counts over the sample, each text's capped; tasks add up before anything is shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                own = Counter(p for w in words_of(text) for p in beginnings(w) if wanted is None or p in wanted)
+                own = Counter(p for w in words_of(text) for p in beginnings(w))
                 tally.update({p: min(n, MOST_PER_TEXT) for p, n in own.items()})
-        yield pd.DataFrame({"pattern": list(tally.keys()), "n": list(tally.values())}, columns=["pattern", "n"]).astype({"n": "int64"})
+        if tally:  # an empty column of strings has no Arrow form of its own
+            yield pd.DataFrame({"pattern": list(tally.keys()), "n": list(tally.values())}, columns=["pattern", "n"]).astype({"n": "int64"})
 
     return sample.select("text").mapInPandas(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-def mine_patterns(toxic: DataFrame, other: DataFrame, most: int = 64, least_count: int = 8, candidates: int = 20_000) -> Patterns:
-    """The patterns whose rate per word is raised most surely in toxic texts; of nested ones the surest."""
+def mine_patterns(toxic: DataFrame, other: DataFrame, most: int = 64, least_count: int = 8, least_ratio: float = 4.0) -> Patterns:
+    """The patterns whose rate per word is raised most surely in toxic texts; of nested ones the surest, ``most`` in all.
+
+    Every pattern with ``least_count`` occurrences in toxic texts is tested; only those that pass reach the driver.
+    """
     words = F.size(F.split("text", r"\s+"))
     n1, n0 = (max(1, df.agg(F.sum(words)).first()[0] or 0) for df in (toxic, other))
-    seen = _tally(toxic, None).where(F.col("n") >= least_count).orderBy(F.desc("n"), "pattern").limit(candidates).collect()
-    a = {r.pattern: r.n for r in seen}
-    b = {r.pattern: r.n for r in _tally(other, set(a)).collect()} if a else {}
-    return choose_patterns(a, b, n1, n0, most)
+    both = _tally(toxic).where(F.col("n") >= least_count).join(_tally(other).withColumnRenamed("n", "k"), "pattern", "left").na.fill(0, ["k"])
+    a, b = F.col("n") + 0.5, F.col("k") + 0.5
+    surely = F.log(a / n1) - F.log(b / n0) - 2 * F.sqrt(1 / a + 1 / b) >= math.log(least_ratio) - 1e-9
+    seen = both.where(surely).collect()
+    return choose_patterns({r.pattern: r.n for r in seen}, {r.pattern: r.k for r in seen}, n1, n0, most, least_ratio)
 
 
 def choose_patterns(a: dict[str, int], b: dict[str, int], n1: int, n0: int, most: int, least_ratio: float = 4.0) -> Patterns:
@@ -204,13 +209,13 @@ def choose_patterns(a: dict[str, int], b: dict[str, int], n1: int, n0: int, most
 
 def _without_copies(sample: DataFrame) -> DataFrame:
     """One document of each group of near copies in the bounded sample: copied words are no evidence of their own."""
-    rows = sample.select("doc_id", "fp").distinct().toPandas().drop_duplicates("fp").sort_values("fp")
-    prints = np.sort(rows["fp"].to_numpy().view(np.uint64))
+    prints = np.sort(sample.select("fp").distinct().toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
     forest, every = simhash.Forest(len(prints)), np.arange(len(prints))
     simhash.trie_join(prints, every, every, 4, forest)
-    drop = set(prints[forest.links()[0]].view(np.int64).tolist())
-    kept = [int(d) for d, f in zip(rows["doc_id"], rows["fp"]) if int(f) not in drop]
-    return sample.join(F.broadcast(sample.sparkSession.createDataFrame([(d,) for d in kept], "doc_id long")), "doc_id")
+    kept = np.delete(prints, forest.links()[0]).view(np.int64).tolist()
+    # as many as the sample has rows at most: broadcast
+    rows = sample.join(F.broadcast(sample.sparkSession.createDataFrame([(f,) for f in kept], "fp long")), "fp")
+    return rows.groupBy("fp").agg(F.min_by(F.struct("doc_id", "toxic", "text"), "doc_id").alias("r")).select("r.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:

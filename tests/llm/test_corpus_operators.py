@@ -138,7 +138,7 @@ def test_embeddings_against_brute_force(spark):
     x = np.concatenate([centres[rng.integers(0, 40, 500)] + 0.25 * rng.normal(size=(500, 16)), rng.normal(size=(300, 16))])
     x = np.concatenate([x, x[:20], 3 * x[20:30]])
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(rows, 0.9, cell_rows=100, block_rows=32).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(rows, 0.9, cell_rows=100, block_bytes=32 * 16 * 8).collect()}
     u = embedding_dedup.unit(list(x))
     linked = u @ u.T >= 0.9
     np.fill_diagonal(linked, False)
@@ -156,7 +156,7 @@ def test_embeddings_lose_no_link_at_borders(spark, rank):
     base = rng.normal(size=(400, rank))
     pairs = base / np.linalg.norm(base, axis=1, keepdims=True)
     x = np.concatenate([pairs, pairs + 0.4 * rng.normal(size=pairs.shape) / np.sqrt(rank)]) @ np.linalg.qr(rng.normal(size=(64, 64)))[0][:rank]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9, cell_rows=50, block_rows=64).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9, cell_rows=50, block_bytes=64 * 64 * 8).collect()}
     u = embedding_dedup.unit(list(x))
     linked = u @ u.T >= 0.9
     np.fill_diagonal(linked, False)
@@ -188,6 +188,23 @@ def test_shortages_go_to_siblings_first():
     assert got == {("a", "x"): 100, ("a", "y"): 100, ("b", "z"): 400}
 
 
+def test_planted_links_of_64_dimensions_are_found(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.93, (1500, 1))
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos * cos) * other])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(rows, 0.9, cell_rows=60).collect()}
+    u = embedding_dedup.unit(list(x))
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 2900 and [got[i].n_links for i in range(len(x))] == linked.sum(axis=1).tolist()
+
+
 def docs_for_mixing(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)) + f" {i}", rng.choice(["en", "de", None]), "big" if i % 3 else f"s{i % 4}", 0) for i in range(1500)]

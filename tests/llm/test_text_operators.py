@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -303,3 +304,165 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 0 for r in toxicity.predict(docs, none).collect())
+
+
+# a second implementation of the fingerprints, in plain Python
+
+
+def mixed(value, seed):
+    """Spark's xxhash64 of one value on top of a seed."""
+    import struct
+
+    import xxhash
+
+    data = value.encode() if isinstance(value, str) else struct.pack("<i" if isinstance(value, np.int32) else "<q", int(value))
+    h = xxhash.xxh64_intdigest(data, seed % (1 << 64))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def hashed(*values):
+    h = 42
+    for v in values:
+        h = mixed(v, h)
+    return h
+
+
+def plain_signature(text, seed=7):
+    words = [hashed(w) for w in re.findall(r"[^ \t\n\r\x0b\x0c]+", (text or "").lower())]
+    if not words:
+        return None
+    hashes = [hashed(*words[i : i + 5]) for i in range(len(words) - 4)] or [hashed(*words)]
+    least = {}
+    for h in hashes:
+        u = h % (1 << 64)
+        least[u >> 56] = min(least.get(u >> 56, u), u)
+    rng = random.Random(seed)
+    tries = [[rng.randrange(256) for _ in range(8)] for _ in range(256)]
+    least = {(b + 128) % 256: u for b, u in least.items()}  # by place in the order of signed numbers
+    bins = []
+    for place in range(256):
+        donor = place if place in least else next((d for d in tries[place] if d in least), None)
+        if donor is None:
+            donor = min(least, key=lambda d: hashed(np.int32(place), (d + 128) % 256))
+        bins.append(least[donor] >> (place % 10 * 4) & 15)
+    return "".join(f"{x:x}" for x in bins)
+
+
+def plain_likeness(a, b):
+    if a is None or b is None:
+        return float(a is b)
+    missed = sum(x != y for x, y in zip(a, b)) / 256
+    return max(0.0, (1 - missed - 1 / 16) / (1 - 1 / 16))
+
+
+def test_fingerprints_are_a_second_implementations(spark, sf_dir):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in registry.op2_fingerprints(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    prints = [plain_signature(t) for _, t in docs]
+    for k, (d, text) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        n = len(text) // 4
+        edited = text[: len(text) - n] + after[:n]
+        changed = plain_signature(edited)
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (prints[k] or "", changed or "")
+        assert r.near_edited == pytest.approx(plain_likeness(prints[k], changed)) and r.near_next == pytest.approx(plain_likeness(prints[k], prints[(k + 1) % len(docs)]))
+
+
+def plain_label_model(given, prior, weight, rounds, shares):
+    """Expectation maximisation, row by row, with voters' weights from the middle on."""
+    post = [min(0.999, max(0.001, 0.5 + 0.25 * (g[-3] + g[-2] + 2 * g[-1]))) for g in given]
+    m = len(given[0])
+    weights = [1.0] * m
+    for k in range(rounds):
+        rate = {(v, c, x): 0.1 for v in range(m) for c in (0, 1) for x in (-1, 0, 1)}
+        total = [0.3, 0.3]
+        for g, p, w in zip(given, post, weight):
+            for c, q in ((0, 1 - p), (1, p)):
+                total[c] += q * w
+                for v in range(m):
+                    rate[v, c, g[v]] += q * w
+        if k == rounds // 2:
+            weights = shares(post)
+        post = []
+        for g in given:
+            e = math.log(prior / (1 - prior)) + sum(weights[v] * (math.log(rate[v, 1, g[v]] / total[1]) - math.log(rate[v, 0, g[v]] / total[0])) for v in range(m) if g[v])
+            post.append(1 / (1 + math.exp(-min(30, max(-30, e)))))
+    return post
+
+
+def test_label_model_is_brute_force():
+    rng = np.random.default_rng(4)
+    truth = rng.random(120) < 0.4
+    voters = [np.where(rng.random(120) < 0.15, 0, np.where(rng.random(120) < right, np.where(truth, 1, -1), np.where(truth, -1, 1))) for right in (0.9, 0.8, 0.7, 0.95)]
+    voters.insert(1, voters[0].copy())  # two that always agree
+    given = np.column_stack(voters)
+    weight = np.where(truth, 2.0, 0.5)
+    got, rates = toxicity.label_model(given, 0.4, weight)
+    want = plain_label_model(given.tolist(), 0.4, weight, 20, lambda post: toxicity._shares(given, np.array(post), weight))
+    assert np.allclose(got, want)
+    assert np.allclose(rates.sum(axis=2), 1) and ((got > 0.5) == truth).mean() >= 0.85
+    shares = toxicity._shares(given, got, weight)
+    assert shares[0] == shares[1] < shares[4]  # voters that go together count as one together
+
+
+def test_logistic_is_at_its_optimum():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(200, 3)), np.ones(200)])
+    y, weight = 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.0, 0.5]))), rng.random(200) + 0.5
+    beta = toxicity.logistic(x, y, weight)
+    scale = np.r_[x[:, :3].std(axis=0), 1.0]
+
+    def loss(b):
+        z = x @ b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (np.array([1, 1, 1, 1e-6]) * (b * scale) ** 2).sum()
+
+    assert all(loss(beta) <= loss(beta + d) for d in np.vstack([np.eye(4), -np.eye(4)]) * 1e-3)
+
+
+def test_toxicity_of_any_id_and_length(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("mer", "tol", "sin", "kar", "ven") for b in ("ando", "illa", "ost", "erum", "ipe", "uno")]
+    rows = [(f"id-{i}", " ".join([rng.choice(words) for _ in range(60)] + ["grunzdorf"] * (4 if i % 5 == 0 else 0)), i % 5 == 0) for i in range(300)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [("long", "漢" * 100_000), ("grown", "grunzdorf " * 10_000), (None, None)], "doc_id string, text string")
+    got = {r.doc_id: r for r in toxicity.predict(docs, spark.createDataFrame([(d, int(y)) for d, _, y in rows], "doc_id string, toxic int")).collect()}
+    assert got["grown"].predicted == 1 and got["long"].predicted == 0 and got[None].predicted == 0
+
+
+HOSTILE = ["漢字" * 10_000, "QUJDREVGR0hJSktM" * 5_000, "a" * 30_000, "ab" * 20_000 + " " + "1" * 20_000, " " * 40_000, "<|endoftext|>" * 2_000, "'re" * 5_000, "\xa0x" * 10_000]
+
+
+def test_long_texts_without_white_space(spark):
+    lib, own, words = library_of(BYTES), token_counts.counter(BYTES), packing.encoder(WORDS)
+    for text in HOSTILE:
+        assert own.cut_all([text], 1024)[0][0] == len(lib.encode(text, add_special_tokens=False).ids)
+        assert words.encode(text) == np.asarray(library_of(WORDS).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(map(len, own._pieces), default=0) <= token_counts.LONGEST_REMEMBERED and max(map(len, words._known), default=0) <= token_counts.LONGEST_REMEMBERED
+    assert licenses.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(HOSTILE)], "doc_id long, text string")).where("n_base > 0").count() == 0
+    assert html_text.main_text("<article><p>" + HOSTILE[0] + "</p></article>") == HOSTILE[0]
+
+
+def test_dictionaries_forget_their_older_half():
+    known = dict.fromkeys(range(10))
+    token_counts.forget(known, 10)
+    assert list(known) == [5, 6, 7, 8, 9]
+
+
+def test_packing_of_any_ids_and_repeated_rows(spark):
+    rows = [("a", "same text in every row"), (None, "same text in every row")] * 300 + [("long", "word " * 9000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id string, text string"), WORDS, 2048, 1, group_pieces=50).collect()
+    assert {r.doc_id for r in got} == {"a", None, "long"} and len(got) == 600 + len([r for r in got if r.doc_id == "long"])
+    assert [r.start for r in sorted((r for r in got if r.doc_id == "long"), key=lambda r: r.start)] == [0, 2048, 4096, 6144, 8192]
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == "a"}) > 5  # repeated rows are dealt to many groups
+    held_sequences(got)
+
+
+def held_sequences(rows):
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 2048
