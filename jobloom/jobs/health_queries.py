@@ -221,6 +221,11 @@ def i18(spark, d):
     return found.groupBy("queue", "job_set").agg(F.count("*").alias("jobs"))
 
 
+@query("i18_active_jobs_on_node", _ACT + " SELECT job_id, act.queue, s.job_set FROM act JOIN (SELECT job_id, job_set FROM sjob) s USING (job_id) WHERE node IN ('node-1', 'node-10') AND node = 'node-10' AND CASE WHEN running THEN 'running' WHEN pending THEN 'pending' ELSE 'leased' END IN ('running', 'leased')")
+def i18_node(spark, d):
+    return sel.select_active_jobs(*_jr(spark, d), node="node-10", states=["running", "leased"])
+
+
 @query("i18_queued_jobs", "SELECT queue, job_set, count(*) AS jobs FROM sjob WHERE queued AND queue = 'queue-3' AND (pool1 = 'pool-1' OR pool2 = 'pool-1') GROUP BY queue, job_set")
 def i18_queued(spark, d):
     found = sel.select_active_jobs(*_jr(spark, d), queues=["queue-3"], pools=["pool-1"], states=["queued"])
@@ -352,6 +357,24 @@ def _ingested(spark, d, files: int = 6):
     return store.tables(spark)
 
 
+@query("s1_read_event_log", "SELECT queue, jobset, seq, kind, CASE WHEN seq % 4 = 0 THEN 1706800000 ELSE created END AS created FROM job_event")
+def s1_read(spark, d):
+    """Messages of a few events each, written as files and read as the log."""
+    log, path = m.job_event(spark, d), shared_folder(spark, "log")
+    event = F.struct(F.when(F.col("seq") % 4 != 0, F.timestamp_seconds("created")).alias("created"), "kind", "job_id", "run_id", F.col("seq").cast("string").alias("reason"), "priority")
+    seqs = log.groupBy("queue", "jobset", "user", F.floor(F.col("seq") / 50).alias("message")).agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(event)).alias("events"))
+    seqs.select("queue", "jobset", "user", F.array(F.lit("g")).alias("groups"), F.timestamp_seconds(F.lit(1_706_800_000)).alias("publish_time"), F.lit(0).alias("partition"), "seq", "events").write.parquet(path)
+    rows = e.explode_events(e.read_event_log(spark, path))
+    return rows.select("queue", "jobset", F.col("reason").cast("long").alias("seq"), "kind", F.unix_timestamp("created").alias("created"))
+
+
+@query("s6_event_store", "SELECT queue, jobset, seq, kind, CASE WHEN kind = 'CancelledJob' THEN '' ELSE reason END AS reason FROM job_event")
+def s6_store(spark, d):
+    path = shared_folder(spark, "store")
+    e.write_event_store(m.job_event(spark, d).select("queue", "jobset", "seq", "kind", "reason", F.array(F.lit("g")).alias("groups")), path)
+    return spark.read.parquet(path).select("queue", "jobset", "seq", "kind", "reason")
+
+
 @query("w1_w2_ingest_stream", _CONFLATED + _CREATED + " SELECT cre.job_id, owner, coalesce(conf.priority, cre.priority) AS priority, coalesce(conf.state, 1) AS state, coalesce(conf.last_transition_time, submitted) AS last_transition_time, latest_run_id FROM cre LEFT JOIN conf ON cre.job_id = conf.job_id")
 def w2(spark, d):
     return _short(_ingested(spark, d)["job"].select("job_id", "owner", "priority", "state", "last_transition_time", "latest_run_id"))

@@ -176,6 +176,11 @@ def t6(spark, d):
     return x.error_counts(m.job_run(spark, d).where("job_run_state = 4").join(m.job(spark, d, False).select("job_id", "queue"), "job_id"), ["queue", "pool"])
 
 
+@query("t6_error_counts_by_node", "SELECT cluster, node, failure_category, failure_subcategory, count(*) AS failures FROM job_run WHERE job_run_state = 4 GROUP BY ALL")
+def t6_nodes(spark, d):
+    return x.error_counts(m.job_run(spark, d).where("job_run_state = 4"), ["cluster", "node"])
+
+
 @query("t7_preemption_loss", _TR + ", ck AS (SELECT 'none' AS checkpoint, 1000000000000 AS c UNION ALL SELECT '600', 600 UNION ALL SELECT '3600', 3600) SELECT queue, pool, checkpoint, sum(least(duration, c) * cpu / 1000) AS lost_cpu, sum(least(duration, c) * memory) AS lost_memory, sum(least(duration, c) * gpu) AS lost_gpu FROM rd CROSS JOIN ck WHERE state = 'preempted' AND duration > 0 GROUP BY queue, pool, checkpoint")
 def t7(spark, d):
     return x.preemption_loss(_transitions(spark, d), (600, 3600))

@@ -16,9 +16,12 @@ _BASE = ", ".join(BASE)
 _STATES = ", ".join(f"CAST(sum(CASE WHEN state = {JOB_STATES[x]} THEN 1 ELSE 0 END) AS BIGINT) AS {x.lower()}" for x in DISPLAY_ORDER)
 
 
-def ids(job, modulus: int, column: str = "job_id"):
-    """Every ``modulus``-th job as a given list of ids to look up."""
-    return job.where(F.substring("job_id", 5, 10).cast("long") % modulus == 0).select(F.col(column))
+_ASKED = "job_id IN (SELECT job_id FROM job_run WHERE job_run_state = 4)"
+
+
+def asked(spark, d):
+    """The ids that a user looks up: those of all jobs with a failed run."""
+    return m.job_run(spark, d).where("job_run_state = 4").select("job_id")
 
 
 @query("q1_filter_columns", f"SELECT {_BASE} FROM job WHERE queue LIKE 'queue-%' AND jobset LIKE '%s-1%' AND cpu >= 4000 AND cpu < 12000 AND priority > 1 AND memory <= 4294967296 AND owner LIKE 'user-1%'")
@@ -118,20 +121,19 @@ def q18(spark, d):
     return g.job_set_overview(m.job(spark, d, False), "queue-2", True)
 
 
-@query("q19_job_states", "SELECT job_id, CAST(state AS INTEGER) AS state FROM job WHERE CAST(substr(job_id, 5, 10) AS BIGINT) % 17 = 0")
+@query("q19_job_states", "SELECT job_id, CAST(state AS INTEGER) AS state FROM job WHERE " + _ASKED)
 def q19(spark, d):
-    job = m.job(spark, d, False)
-    return s.by_ids(job, "job_id", ids(job, 17)).select("job_id", F.col("state").cast("int").alias("state"))
+    return s.by_ids(m.job(spark, d, False), "job_id", asked(spark, d)).select("job_id", F.col("state").cast("int").alias("state"))
 
 
-@query("q19_runs_by_job_ids", "SELECT job_id, run_id, leased FROM job_run WHERE CAST(substr(job_id, 5, 10) AS BIGINT) % 17 = 0 ORDER BY leased DESC, run_id")
+@query("q19_runs_by_job_ids", "SELECT job_id, run_id, leased FROM job_run WHERE " + _ASKED + " ORDER BY leased DESC, run_id")
 def q19_runs(spark, d):
-    return s.by_ids(m.job_run(spark, d), "job_id", ids(m.job(spark, d, False), 17)).select("job_id", "run_id", "leased").orderBy(F.desc("leased"), "run_id")
+    return s.by_ids(m.job_run(spark, d), "job_id", asked(spark, d)).select("job_id", "run_id", "leased").orderBy(F.desc("leased"), "run_id")
 
 
-@query("q19_runs_by_run_ids", "SELECT job_run.job_id, run_id, node FROM job_run JOIN job ON run_id = latest_run_id WHERE CAST(substr(job.job_id, 5, 10) AS BIGINT) % 13 = 0")
+@query("q19_runs_by_run_ids", "SELECT job_run.job_id, run_id, node FROM job_run JOIN job ON run_id = latest_run_id WHERE job." + _ASKED)
 def q19_by_run(spark, d):
-    return s.by_ids(m.job_run(spark, d), "run_id", ids(m.job(spark, d), 13, "latest_run_id")).select("job_id", "run_id", "node")
+    return s.by_ids(m.job_run(spark, d), "run_id", s.by_ids(m.job(spark, d), "job_id", asked(spark, d)).select("latest_run_id")).select("job_id", "run_id", "node")
 
 
 @query("q19_states_by_uri", "SELECT job_id, CAST(state AS INTEGER) AS state FROM job WHERE queue = 'queue-3' AND jobset = 'js-49' AND external_job_uri = 'uri-0'")
@@ -139,19 +141,18 @@ def q19_uri(spark, d):
     return s.states_by_uri(m.job(spark, d, False), "queue-3", "js-49", "uri-0").withColumn("state", F.col("state").cast("int"))
 
 
-@query("q19_job_details", "SELECT job_id, CASE WHEN CAST(substr(job_id, 5, 10) AS BIGINT) % 2 = 0 THEN 'side-' || owner ELSE 'inline-' || owner END AS job_spec FROM job WHERE CAST(substr(job_id, 5, 10) AS BIGINT) % 19 = 0")
+@query("q19_job_details", "SELECT job_id, CASE WHEN CAST(substr(job_id, 5, 10) AS BIGINT) % 2 = 0 THEN 'side-' || owner ELSE 'inline-' || owner END AS job_spec FROM job WHERE " + _ASKED)
 def q19_details(spark, d):
     job = m.job(spark, d, False).withColumn("job_spec", F.concat(F.lit("inline-"), "owner"))
     side = job.where(F.substring("job_id", 5, 10).cast("long") % 2 == 0).select("job_id", F.concat(F.lit("side-"), "owner").alias("job_spec"))
-    return s.job_details(job, side, ids(job, 19)).select("job_id", "job_spec")
+    return s.job_details(job, side, asked(spark, d)).select("job_id", "job_spec")
 
 
-@query("q20_job_errors", ", e AS (SELECT job_id, 'rejected-' || owner AS error FROM job WHERE state = 9) SELECT job.job_id, coalesce(e.error, r.error) AS error FROM job LEFT JOIN e ON e.job_id = job.job_id LEFT JOIN job_run r ON r.run_id = latest_run_id WHERE CAST(substr(job.job_id, 5, 10) AS BIGINT) % 3 = 2 AND coalesce(e.error, r.error) IS NOT NULL")
+@query("q20_job_errors", ", e AS (SELECT job_id, 'rejected-' || owner AS error FROM job WHERE state = 9) SELECT job.job_id, coalesce(e.error, r.error) AS error FROM job LEFT JOIN e ON e.job_id = job.job_id LEFT JOIN job_run r ON r.run_id = latest_run_id WHERE coalesce(e.error, r.error) IS NOT NULL")
 def q20(spark, d):
     job = m.job(spark, d)
     side = job.where("state = 9").select("job_id", F.concat(F.lit("rejected-"), "owner").alias("error"))
-    chosen = job.where(F.substring("job_id", 5, 10).cast("long") % 3 == 2).select("job_id")
-    return s.job_errors_for(job, m.job_run(spark, d), side, chosen)
+    return s.job_errors_for(job, m.job_run(spark, d), side, job.select("job_id"))
 
 
 @query("q20_run_errors", "SELECT run_id, error, debug, termination_reason FROM (SELECT run_id, error, debug, termination_reason FROM job_run WHERE error IS NOT NULL) t")

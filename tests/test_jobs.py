@@ -7,6 +7,7 @@ from jobloom.functions.ordering import with_position, with_running_sum
 from jobloom.functions.scalars import clean_annotations, parse_quantity
 from jobloom.operators import fairshare, fold, grouping, health, maintain, search
 from jobloom.operators.search import Filter
+from jobloom.sources import job_tables
 from jobloom.streaming import ingest
 
 
@@ -48,17 +49,74 @@ def test_replay_changes_nothing(spark):
     assert sorted(map(str, runs.collect())) == sorted(map(str, runs_again.collect()))
 
 
+def mixed_log(spark, seed, n=90):
+    """Events of any kind in any order: updates before creates, several ends, preemptions after them."""
+    import random
+
+    rng = random.Random(seed)
+    kinds = ["SubmitJob", "JobRunLeased", "JobRunAssigned", "JobRunRunning", "ReprioritisedJob", "JobSucceeded", "JobRunPreempted", "CancelledJob", "JobErrors", "JobRequeued"]
+    rows = [(f"j{rng.randrange(6)}", f"r{rng.randrange(9)}", "q", "s", "u", i, 1000 + i, rng.choice(kinds), rng.randrange(9), "why", None, "c", "n", "p", rng.random() < 0.5, rng.choice(["PodError", "JobRejected", "JobRunPreemptedError"]), 1, 3) for i in range(n)]
+    return spark.createDataFrame(rows, log(spark, 1).schema)
+
+
+def shown(tables):
+    return {name: sorted(map(str, df.select(*sorted(df.columns)).collect())) for name, df in tables.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reduced_parts_do_not_depend_on_cuts(spark, seed):
+    events = mixed_log(spark, seed).cache()
+    whole = shown(fold.tables_of(fold.reduce_log(events)))
+    jobs, runs = fold.fold_log(events)
+    assert whole["job"] == shown({"job": jobs})["job"] and whole["job_run"] == shown({"job_run": runs})["job_run"]
+    for cuts in ((1,), (17, 18, 50), (5, 30, 44, 80)):
+        parts = [fold.reduce_log(events.where((F.col("seq") >= a) & (F.col("seq") < b))) for a, b in zip((0, *cuts), (*cuts, 90))]
+        joined = parts[0]
+        for part in parts[1:]:  # parts are joined and reduced again, as the store does
+            joined = {name: spark.createDataFrame(again.collect(), again.schema) for name, df in joined.items() for again in [fold.REDUCED[name](df.unionByName(part[name]))]}
+        assert shown(fold.tables_of(joined)) == whole
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    events = log(spark)
-    events.where("seq < 30").coalesce(1).write.parquet(str(tmp_path / "in"))
-    events.where("seq >= 30").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    import glob
+
+    events = mixed_log(spark, 4)
+    for a, b in ((0, 20), (20, 30), (30, 70), (70, 90)):
+        events.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.stream_batches(spark, str(tmp_path / "in"), events.schema, 1)
     query = ingest.run_ingest_stream(stream, str(tmp_path / "tables"), str(tmp_path / "offsets"), available_now=True)
-    assert query.awaitTermination(120)
-    got = ingest.TableStore(str(tmp_path / "tables")).latest(spark, "job")
-    want = fold.fold_log(events)[0]
-    key = lambda df: sorted((r.job_id, r.state, r.priority, r.latest_run_id) for r in df.collect())
-    assert key(got) == key(want)
+    assert query.awaitTermination(300)
+    store = ingest.FoldStore(str(tmp_path / "tables"))
+    assert store.last_batch(spark) == 3
+    got = shown(store.tables(spark))
+    assert got == shown(fold.tables_of(fold.reduce_log(events)))
+    store.add(events.where("seq < 5"), 3)  # a replayed batch finds its list
+    assert shown(store.tables(spark)) == got
+    assert len(glob.glob(str(tmp_path / "tables" / "_batches" / "*.json"))) == 2  # older lists go
+
+
+def test_job_tables_round_trip(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", 3, 5), ("b", 4, 6)], "job_id string, state int, priority long")
+    runs = spark.createDataFrame([("r", "a", None), ("s", "b", 9)], "run_id string, job_id string, finished long")
+    job_tables.write_tables({"job": jobs, "job_run": runs}, str(tmp_path))
+    both = job_tables.read_tables(spark, str(tmp_path), names=("job", "job_run"))
+    assert {name: set(df.columns) for name, df in both.items()} == {name: set(job_tables.SCHEMAS[name]) for name in both}
+    ended = job_tables.read_tables(spark, str(tmp_path), active=False, names=("job", "job_run"))
+    assert [r.job_id for r in ended["job"].collect()] == ["b"] and [r.run_id for r in ended["job_run"].collect()] == ["s"]
+    assert "active=false" in "".join(ended["job"].inputFiles()) or "PartitionFilters" in ended["job"]._jdf.queryExecution().toString()
+
+
+def test_weighted_cost(spark):
+    rows = spark.createDataFrame([(0.5, 2.0), (0.0, 0.0), (0.5, 0.0)], "cost double, weight double")
+    assert [r[0] for r in rows.select(fairshare.weighted_cost("cost", "weight")).collect()] == [0.25, 0.0, float("inf")]
+
+
+def test_statistics_are_exact(spark):
+    from jobloom.operators.metrics import statistics
+
+    rows = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 3), ("b", None), (None, 2)], "k string, v long")
+    got = {r.k: (r["count"], r.sum, r.min, r.max, r.median, r.le_3) for r in statistics(rows, ("k",), "v", (3,)).collect()}
+    assert got == {"a": (4, 16, 1, 9, 3.0, 2), "b": (1, 3, 3, 3, 3.0, 1), None: (1, 2, 2, 2, 2.0, 1)}
 
 
 def test_windows_of_event_time(spark, tmp_path):
