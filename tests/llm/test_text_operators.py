@@ -466,3 +466,9 @@ def held_sequences(rows):
     for own in by.values():
         own.sort()
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 2048
+
+
+def test_license_scan_of_an_empty_table_and_clashing_columns(spark):
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    row = licenses.scan_licenses(spark.createDataFrame([(1, "the MIT License", "own", "own")], "doc_id long, text string, labels string, other string")).first()
+    assert row.base_labels == "mit" and row.other == "own"
