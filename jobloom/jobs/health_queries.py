@@ -347,7 +347,7 @@ def _feed(spark, d, files: int) -> str:
     return folder
 
 
-def _ingested(spark, d, files: int = 6):
+def _ingested(spark, d, files: int = 5):
     tables, feed = shared_folder(spark, "tables"), _feed(spark, d, files)
     stream = ingest.stream_batches(spark, feed, m.job_event(spark, d).schema, 1)
     ingest.run_ingest_stream(stream, tables, shared_folder(spark, "offsets"), available_now=True).awaitTermination()

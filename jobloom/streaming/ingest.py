@@ -19,7 +19,7 @@ class FoldStore:
     """The reduced log below a path: a base and the parts that came after it, and a list of these for each batch.
 
     A batch adds its own reduced rows and reads nothing of what is stored, so that its work follows its size. Parts are
-    merged into the base once they have half as many rows, so that a row is rewritten a few times in all. The list of a
+    merged into the base once they have more rows than it, so that a row is rewritten a few times in all. The list of a
     batch is written last and in one step; a batch that is replayed finds its list and does nothing, or its folders
     without a list and writes them anew. Folders that the last two lists don't name are deleted.
     """
@@ -45,10 +45,10 @@ class FoldStore:
         out.close()
         fs.rename(draft, there)
 
-    def _write(self, df: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    def _write(self, df: DataFrame, folder: str) -> int:
+        """Write a folder; the number of its rows, from the files' footers."""
         df.write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        out = df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{folder}")
-        return out, out.count()
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{folder}").count()
 
     def add(self, events: DataFrame, batch: int) -> None:
         """Store one micro-batch of flat events."""
@@ -59,12 +59,13 @@ class FoldStore:
         after = {}
         events.persist()
         for name, rows in reduce_log(events).items():
+            if before[name]["base"] is None:
+                after[name] = {"base": f"{name}/base-{batch}", "base_rows": self._write(rows, f"{name}/base-{batch}"), "parts": [], "part_rows": 0}
+                continue
             state = before[name] | {"parts": [*before[name]["parts"], f"{name}/part-{batch}"]}
-            _, n = self._write(rows, state["parts"][-1])
-            state["part_rows"] = before[name]["part_rows"] + n
-            if state["base"] is None or 2 * state["part_rows"] > state["base_rows"]:
-                everything = self._read(spark, state)
-                _, n = self._write(REDUCED[name](everything), f"{name}/base-{batch}")
+            state["part_rows"] = before[name]["part_rows"] + self._write(rows, state["parts"][-1])
+            if state["part_rows"] > state["base_rows"]:
+                n = self._write(REDUCED[name](self._read(spark, state)), f"{name}/base-{batch}")
                 state = {"base": f"{name}/base-{batch}", "base_rows": n, "parts": [], "part_rows": 0}
             after[name] = state
         events.unpersist()
