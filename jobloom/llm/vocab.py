@@ -7,3 +7,10 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def pre_token_pattern() -> str:
+    """The pre-tokenizer of the ranked byte-level files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
