@@ -1,9 +1,9 @@
 """Byte-level BPE (operator 13): long texts encoded in overlapping chunks that are stitched where their pre-tokens agree.
 
 Texts of at most ``chunk`` characters are pre-tokenised and encoded where they lie. Longer ones become rows of chunks, each with
-the first ``overlap`` characters of the next. Every chunk is pre-tokenised on its own, from its own start, so a chunk that begins
-inside a word begins wrongly; it tells which places between pre-tokens it sees in the overlaps, and a border is stitched at the
-first place that both of its chunks see. What lies between stitches is a piece; pieces are dealt over all tasks, encoded, and the
+the first ``overlap`` characters of the next. Both ends of every chunk are pre-tokenised on their own, the first from the chunk's
+start, the last from ``overlap`` characters before its end, so they may begin inside a word and begin wrongly; they tell which
+places between pre-tokens they see where chunks overlap, and a border is stitched at the first place that both of its chunks see. What lies between stitches is a piece; pieces are dealt over all tasks, encoded, and the
 ids of a text are put together in their order. A border without such a place (a word longer than the overlap) isn't stitched: its
 chunks are one piece.
 
@@ -15,81 +15,77 @@ it, and only those are told for a chunk's end; what its last three characters co
 from __future__ import annotations
 
 import base64
-import heapq
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from jobloom.llm.packing import _BLANKS, _LATIN, _LETTERS, _NUMBERS
 from jobloom.llm.token_counts import LONGEST_REMEMBERED, forget
 from jobloom.sources.tables import materialise
 
 #: Characters of a chunk and of its overlap with the next.
 CHUNK, OVERLAP = 8192, 256
+#: Rows that a task encodes or decodes at once.
+SLICE = 128
 #: What a chunk's end could change in the pre-tokens before it.
 _UNSURE = 3
 
 
+def _latin(pattern: str) -> re.Pattern | None:
+    """The pre-tokenizer for texts of the first 256 characters, in the faster module, if its classes are the usual ones."""
+    own = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_BLANKS}{_LETTERS}{_NUMBERS}]")
+    for name, chars in ((r"\p{L}", f"[{_LETTERS}]"), (r"\p{N}", f"[{_NUMBERS}]"), (r"\s", f"[{_BLANKS}]"), (r"\S", f"[^{_BLANKS}]")):
+        own = own.replace(name, chars)
+    return None if r"\p" in own else re.compile(own)
+
+
 class BytePairs:
     """Ids of texts by a file of ranks, pre-token by pre-token; short pre-tokens are remembered, within a bound."""
 
     def __init__(self, path: str, pattern: str):
+        import tiktoken
+
         with open(path, "rb") as f:
-            self._rank = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-        self._bytes = {rank: token for token, rank in self._rank.items()}
-        self._pattern = regex.compile(pattern)
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        self._bytes = {rank: token for token, rank in ranks.items()}
+        self._merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._any, self._latin = regex.compile(pattern), _latin(pattern)
         self._known: dict[str, bytes] = {}
 
-    def places(self, text: str) -> list[tuple[int, str]]:
+    def pre_tokens(self, text: str) -> list[str]:
+        pattern = self._latin if self._latin is not None and _LATIN.fullmatch(text) else self._any
+        return pattern.findall(text)
+
+    def places(self, text: str) -> Iterator[tuple[int, str]]:
         """Where pre-tokens end, and what each is."""
-        return [(m.end(), m.group()) for m in self._pattern.finditer(text)]
-
-    def merged(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: the pair of the least rank is merged first, of equal ones the leftmost."""
-        if word in self._rank:
-            return [self._rank[word]]
-        n, rank = len(word), self._rank
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, k, k + 2) for k in range(n - 1) if (r := rank.get(word[k : k + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, k, stop = heapq.heappop(heap)
-            right = after[k]
-            if end[k] < 0 or right >= n or end[right] != stop:
-                continue  # one of its sides has been merged since
-            end[k], end[right], after[k] = stop, -1, after[right]
-            if after[k] < n:
-                before[after[k]] = k
-                if (r := rank.get(word[k : end[after[k]]])) is not None:
-                    heapq.heappush(heap, (r, k, end[after[k]]))
-            if k and (r := rank.get(word[before[k] : stop])) is not None:
-                heapq.heappush(heap, (r, before[k], stop))
-        out, k = [], 0
-        while k < n:
-            out.append(rank[word[k : end[k]]])
-            k = after[k]
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text."""
-        words, known = self._pattern.findall(text), self._known
+        words = self.pre_tokens(text)
+        return zip(itertools.accumulate(map(len, words)), words)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as little-endian integers of 32 bits."""
+        words, known = self.pre_tokens(text), self._known
         try:
-            raw = b"".join(map(known.__getitem__, words))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
             forget(known)
-            new = {w: np.asarray(self.merged(w.encode()), "<i4").tobytes() for w in set(words).difference(known)}
-            raw = b"".join([known[w] if w in known else new[w] for w in words])
+            # a pre-token alone is one pre-token, so the library only merges
+            new = {w: np.asarray(self._merges(w), "<i4").tobytes() for w in set(words).difference(known)}
+            out = b"".join([known[w] if w in known else new[w] for w in words])
             known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_REMEMBERED)
-        return np.frombuffer(raw, "<i4")
+            return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids; they needn't be whole characters."""
-        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
+        return b"".join(map(self._bytes.__getitem__, ids))
 
 
 _CODERS: dict[tuple[str, str], BytePairs] = {}
@@ -104,9 +100,10 @@ def coder(path: str, pattern: str) -> BytePairs:
 
 def border_places(own: BytePairs, text: str, body: int, overlap: int) -> tuple[list[int], list[int]]:
     """Places that a chunk sees from its start (its own head) and from the end of its body (the head of the next chunk)."""
-    seen = own.places(text)
-    head = [0, *(p for p, _ in seen if p <= overlap)]
-    tail = [p - body for p, word in seen if body <= p <= len(text) - _UNSURE and word[0] != "'" and word[-1] != "'" and not word[-1].isspace()]
+    head = [0, *(p for p, _ in own.places(text[: overlap + _UNSURE]) if p <= overlap)]
+    lead = min(body, overlap)
+    seen = own.places(text[body - lead :]) if len(text) > body else ()
+    tail = [p - lead for p, word in seen if lead <= p <= len(text) - body + lead - _UNSURE and word[0] != "'" and word[-1] != "'" and not word[-1].isspace()]
     return head, tail
 
 
@@ -146,6 +143,13 @@ def _pieces(chunks: DataFrame, path: str, pattern: str, overlap: int) -> DataFra
     return held.where("_alone").select("_id", "_run", "_piece", "_row").unionByName(many)
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same rows a few at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for k in range(0, len(batch), SLICE):
+            yield batch.slice(k, SLICE)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Every row, without its text, with ``ids`` (array of int), as the library gives them without special tokens.
 
@@ -154,11 +158,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk:
     at last the ids of a text, but never a group of texts.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = coder(path, pattern)
-        for batch in batches:
-            yield pd.Series([own.encode(t) for t in batch], dtype=object)
+        for texts in _slices(batches):
+            found = [own.encode(t) for t in texts.to_pylist()]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
     if not 0 < overlap <= chunk:
         raise ValueError("the overlap is at least one character and at most a chunk")
@@ -175,10 +181,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk:
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Every row with ``bytes``: its ids' bytes one after another; null ids have none. An id that the file lacks is an error."""
 
-    @F.pandas_udf("binary")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = coder(path, pattern)
-        for batch in batches:
-            yield pd.Series([b"" if x is None else own.decode(np.asarray(x)) for x in batch], dtype=object)
+        for part in _slices(batches):
+            yield pa.array([own.decode(x or []) for x in part.to_pylist()], pa.binary())
 
     return rows.withColumn("bytes", joined(F.col(ids)))
