@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,15 +36,21 @@ def file_system(spark: SparkSession, path: str):
     return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
-def materialise(df: DataFrame) -> DataFrame:
+_WRITTEN: set[str] = set()
+
+
+def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
-    Cuts the lineage like ``checkpoint()``, but columnar and compressed, and what is read again prunes columns. The files
-    live in the folder of this application that Spark made for its checkpoints, until ``discard`` or its end.
+    Cuts the lineage like ``checkpoint()``, but columnar and compressed, and what is read again prunes columns. Results are lazy
+    and may read such a table whenever they run, so its files stay until ``discard``, ``discard_all`` or the end of this process.
     """
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(discard_all, spark)
+    _WRITTEN.add(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -53,3 +61,16 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         fs, path = file_system(df.sparkSession, df.written_to)
         fs.delete(path, True)
+        _WRITTEN.discard(df.written_to)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that ``materialise`` has written in this process, once no result is still to be read."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = _WRITTEN.pop()
+        try:
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(there, True)
+        except (Py4JError, OSError):  # the JVM has gone before
+            _WRITTEN.clear()
