@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,11 @@ class BytePairs:
         """The bytes of ids; they needn't be whole characters."""
         return b"".join(map(self._bytes.__getitem__, ids))
 
+    def decode_all(self, ids: list[int], ends: list[int]) -> list[bytes]:
+        """The bytes of the ids between each end and the next."""
+        tokens = list(map(self._bytes.__getitem__, ids))
+        return [b"".join(tokens[a:b]) for a, b in zip(ends, ends[1:])]
+
 
 _CODERS: dict[tuple[str, str], BytePairs] = {}
 
@@ -172,7 +178,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk:
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     long = F.char_length("_text") > chunk
     short = rows.where(~long).select("_row", ids("_text").alias("ids"))
-    pieces = _pieces(materialise(_chunks(rows.where(long), "_text", chunk, overlap)), path, pattern, overlap)
+    pieces = _pieces(materialise(_chunks(rows.where(long), "_text", chunk, overlap), "zstd"), path, pattern, overlap)
     parts = pieces.select("_id", "_run", ids("_piece").alias("_ids"), "_row").groupBy("_id")
     whole = parts.agg(F.first("_row", ignorenulls=True).alias("_row"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_run", "_ids"))), lambda x: x["_ids"])).alias("ids")).drop("_id")
     return short.unionByName(whole).select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], "ids")
@@ -185,6 +191,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = coder(path, pattern)
         for part in _slices(batches):
-            yield pa.array([own.decode(x or []) for x in part.to_pylist()], pa.binary())
+            ends = np.cumsum([0, *pc.fill_null(part.value_lengths(), 0).to_pylist()]).tolist()
+            yield pa.array(own.decode_all(part.flatten().to_numpy().tolist(), ends), pa.binary())
 
     return rows.withColumn("bytes", joined(F.col(ids)))
