@@ -193,6 +193,54 @@ def test_the_cluster_decides_where_tags_do_not(monkeypatch):
     assert html_text.main_text(page_with_open_questions(PARAGRAPHS)) != open_
 
 
+LONG = ["The first paragraph of this page is long enough to be told from what stands around it, by far.", "It goes on with a second one, which says as much as the first did and a little more than that."]
+BODY = f"<h1>Title</h1><p>{LONG[0]}</p><p>{LONG[1]}</p>"
+COMMENT = "<article><p>I agree with all of it, and this is a rather long comment that goes on for some time indeed.</p></article>"
+
+
+@pytest.mark.parametrize("frame", ["<article class='{}'>{}</article>", "<div class='{}'><div class='inner'>{}</div></div>", "<section class='{}'>{}</section>"])
+@pytest.mark.parametrize("name", ["post no-comments", "comments-closed", "comments-open", "category-newsletter", "tag-cookies", "has-sidebar", "layout no-sidebar", "post sponsored", "widget", "main-menu-open"])
+def test_a_frame_of_the_article_is_no_furniture(frame, name):
+    page = f"<body><nav><a>x</a></nav>{frame.format(name, BODY)}<footer>f</footer></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *LONG])
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p>{LONG[0]}</p><pre><code><span class='hljs-comment'># adds one</span>\nx <span class='comment'>y</span></code></pre></article>", [LONG[0], "# adds one x y"]),
+        (f"<article><div>{LONG[0]}</div><div>Yes.</div><div>Short end of it.</div><section>Bare.</section><address>12 Road</address><p>The <output>5</output> and <label>name</label> here.</p></article>", [LONG[0], "Yes.", "Short end of it.", "Bare.", "12 Road", "The 5 and name here."]),
+        (f"<article><p>{LONG[0]}</p><h2>Sources</h2><ul><li><a href=x>Smith</a></li><li><a>A study of all things, 2010</a></li></ul></article>", [LONG[0], "Sources", "Smith", "A study of all things, 2010"]),
+        (f"<main><article><h1>T</h1><p>{LONG[0]}</p></article><section id='comments'><h2>Comments</h2>{COMMENT * 5}</section></main>", ["T", LONG[0]]),
+        (f"<article><h1>T</h1><p>{LONG[0]}</p><div class='comments-area'>{COMMENT * 5}</div></article>", ["T", LONG[0]]),
+        (f"<article><h1>T</h1><p>{LONG[0]}</p></article><ol class='comment-list'><li>{COMMENT}</li></ol>", ["T", LONG[0]]),
+        (f"<form id='page'><div>{BODY}</div><input type=hidden></form>", ["Title", *LONG]),
+        (f"<article>{BODY}<form><label>Mail</label><input><p>Subscribe to us</p></form></article>", ["Title", *LONG]),
+        (f"<div class='wrap'><div class='content'>{BODY}</div><div class='sidebar'><h3>Popular</h3><p>{LONG[0]}</p></div></div>", ["Title", *LONG]),
+        (f"<article><p class='notice'>We use cookies</p>{BODY}<aside><p>{LONG[0]}</p></aside></article>", ["Title", *LONG]),
+        (f"<div><div class='text'>{BODY}<p>{LONG[0]}</p></div><div><article><h3>Card</h3></article><article><h3>Other</h3></article></div></div>", ["Title", *LONG, LONG[0]]),
+    ],
+)
+def test_furniture_by_its_content(html, text):
+    assert html_text.main_text(html) == "\n".join(text)
+
+
+def test_the_cluster_decides_on_frames_within_articles(monkeypatch):
+    page = f"<body><article class='card'><p>Teaser.</p></article><div class='page-widget'>{BODY}</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *LONG])
+    monkeypatch.setattr(html_text, "content_lines", lambda ratios, *_: np.array([1] + [0] * (len(ratios) - 1)))
+    assert html_text.main_text(page) != "\n".join(["Title", *LONG])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x" + "</div>" * 50_000, "".join(f"<b><p>text {k}" for k in range(50_000)), "<ul><li>" * 30_000 + "x", "<table><tr><td>" * 20_000 + "x"])
+def test_deep_and_unclosed_pages_take_seconds(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
 def plain_cluster(ratios, sigma, strength):
     """Each ratio as the Gaussian mean of those up to two sigma away, one by one."""
     radius = max(1, math.ceil(2 * sigma))
