@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.functions import scalars
-from jobloom.jobs.fold_queries import _CONFLATED, _CREATED, _RUN_LAST, _RUN_UPDATES
 from jobloom.jobs.metric_queries import _ACT
 from jobloom.jobs.registry import query
 from jobloom.operators import events as e
@@ -17,7 +16,6 @@ from jobloom.sources import job_tables
 from jobloom.sources import model as m
 from jobloom.sources.model import NOW
 from jobloom.sources.tables import shared_folder
-from jobloom.streaming import ingest
 
 LIFETIME = 100_000_000
 _GONE = f", gone AS (SELECT job_id FROM job WHERE state IN (4, 5, 6, 7, 9) AND last_transition_time < {NOW - LIFETIME})"
@@ -260,11 +258,6 @@ def s4(spark, d):
     return e.finished_runs(job, log)
 
 
-@query("s6_event_store", "SELECT queue, jobset, seq, kind, CASE WHEN kind = 'CancelledJob' THEN '' ELSE reason END AS reason FROM job_event")
-def s6(spark, d):
-    return e.to_event_store(m.job_event(spark, d)).select("queue", "jobset", "seq", "kind", "reason")
-
-
 @query("s7_quantities", "SELECT job_id, CAST(cpu AS BIGINT) AS cpu, memory FROM job")
 def s7(spark, d):
     job = m.job(spark, d, False)
@@ -337,26 +330,6 @@ def s3(spark, d):
     return _short(rows.select("job_id", "state", "queue", "latest_run_id", "job_run_state", "finished", "node", F.decode("job_spec", "UTF-8").alias("spec"), "error"))
 
 
-def _feed(spark, d, files: int) -> str:
-    """The log as so many files that follow each other."""
-    log, folder = m.job_event(spark, d), shared_folder(spark, "feed")
-    ends = log.agg(F.min("seq").alias("a"), (F.max("seq") + 1).alias("b")).first()
-    for k in range(files):
-        part = log.where((F.col("seq") >= ends.a + (ends.b - ends.a) * k // files) & (F.col("seq") < ends.a + (ends.b - ends.a) * (k + 1) // files))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
-def _ingested(spark, d, files: int = 5):
-    tables, feed = shared_folder(spark, "tables"), _feed(spark, d, files)
-    stream = ingest.stream_batches(spark, feed, m.job_event(spark, d).schema, 1)
-    ingest.run_ingest_stream(stream, tables, shared_folder(spark, "offsets"), available_now=True).awaitTermination()
-    store = ingest.FoldStore(tables)
-    if store.last_batch(spark) != files - 1:
-        raise ValueError("a file is a batch")
-    return store.tables(spark)
-
-
 @query("s1_read_event_log", "SELECT queue, jobset, seq, kind, CASE WHEN seq % 4 = 0 THEN 1706800000 ELSE created END AS created FROM job_event")
 def s1_read(spark, d):
     """Messages of a few events each, written as files and read as the log."""
@@ -373,13 +346,3 @@ def s6_store(spark, d):
     path = shared_folder(spark, "store")
     e.write_event_store(m.job_event(spark, d).select("queue", "jobset", "seq", "kind", "reason", F.array(F.lit("g")).alias("groups")), path)
     return spark.read.parquet(path).select("queue", "jobset", "seq", "kind", "reason")
-
-
-@query("w1_w2_ingest_stream", _CONFLATED + _CREATED + " SELECT cre.job_id, owner, coalesce(conf.priority, cre.priority) AS priority, coalesce(conf.state, 1) AS state, coalesce(conf.last_transition_time, submitted) AS last_transition_time, latest_run_id FROM cre LEFT JOIN conf ON cre.job_id = conf.job_id")
-def w2(spark, d):
-    return _short(_ingested(spark, d)["job"].select("job_id", "owner", "priority", "state", "last_transition_time", "latest_run_id"))
-
-
-@query("w1_w2_ingest_runs", _RUN_UPDATES + f", rc AS (SELECT run_id, {_RUN_LAST} FROM rupd GROUP BY run_id), lea AS (SELECT run_id, job_id, cluster, node, pool, created AS leased FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM job_event WHERE kind = 'JobRunLeased') t WHERE rn = 1) SELECT lea.run_id, lea.job_id, cluster, coalesce(rc.node, lea.node) AS node, leased, pending, started, finished, coalesce(rc.job_run_state, 11) AS job_run_state, exit_code, error FROM lea LEFT JOIN rc ON lea.run_id = rc.run_id")
-def w2_runs(spark, d):
-    return _short(_ingested(spark, d)["job_run"].select("run_id", "job_id", "cluster", "node", "leased", "pending", "started", "finished", "job_run_state", "exit_code", "error"))

@@ -9,7 +9,6 @@ each other in log order. ``fold_log`` with given tables updates known keys only,
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -416,34 +415,121 @@ def _walk(sizes: Iterable[int], most: int, part: int = 0, filled: int = 0) -> tu
     return parts, part, filled
 
 
-def _cuts_from(sizes: np.ndarray, most: int) -> tuple[list[int], list[int], list[int]]:
-    """For each place at which the first cut can fall: bytes up to it, cuts after it, and bytes of the last part."""
-    ends, m = np.cumsum(sizes), len(sizes)
-    some = np.append(np.flatnonzero(sizes > 0), m)
-    known: dict[int, tuple[int, int]] = {}
-    last = min(int(np.searchsorted(ends, most, side="right")), m - 1)
-    for j in range(last + 1):
-        way = []
-        while j not in known:
-            base = int(ends[j] - sizes[j])
-            after = max(int(np.searchsorted(ends, base + most, side="right")), int(some[np.searchsorted(some, j)]) + 1)
-            if after >= m:
-                known[j] = 0, int(ends[-1]) - base
+#: Rows of a cut function: where a fill makes the first cut (``end``), none filled yet, no cut at all.
+_CUT, _EMPTY, _THROUGH = 0, 1, 2
+_FUNCTION = ("end", "kind", "cuts", "fill")
+
+
+class _CutFunction:
+    """What a stretch of events makes of the part that it is handed, by how much of that is filled.
+
+    From an empty part: ``empty`` (cuts, fill after). From a fill f the first cut falls at the first of ``ends`` above most - f, which
+    gives ``values`` (cuts, fill after); above none of them everything still fits, and f grows by ``total``. A ``reset`` one gives
+    ``empty`` whatever it is handed, with a part number of its own instead of cuts. Starts soon run into the same cuts, so ends with
+    equal values are one.
+    """
+
+    def __init__(self, empty: tuple[int, int], ends: np.ndarray, values: np.ndarray, total: int, reset: bool = False):
+        if len(ends):
+            first = np.append(True, ends[1:] != ends[:-1])  # no fill lies between equal ends
+            ends, values = ends[first], values[first]
+            last = np.append((values[1:] != values[:-1]).any(axis=1), True)
+            ends, values = ends[last], values[last]
+        self.empty, self.ends, self.values, self.total, self.reset = empty, ends, values, total, reset
+
+    @classmethod
+    def of_sizes(cls, sizes: np.ndarray, most: int) -> _CutFunction:
+        """The function of events of these sizes."""
+        ends, m = np.cumsum(sizes), len(sizes)
+        some = np.append(np.flatnonzero(sizes > 0), m)
+        after, fill = np.zeros(m, np.int64), np.zeros(m, np.int64)  # cuts and fill from a part that begins at each event
+        base = ends - sizes
+        jump = np.maximum(np.searchsorted(ends, base + most, side="right"), some[np.searchsorted(some, np.arange(m))] + 1)
+        for j in range(m - 1, -1, -1):
+            if (k := jump[j]) >= m:
+                fill[j] = ends[-1] - base[j]
             else:
-                way.append(j)
-                j = after
-        for k in reversed(way):
-            known[k] = known[j][0] + 1, known[j][1]
-            j = k
-    return ends[: last + 1].tolist(), [known[j][0] for j in range(last + 1)], [known[j][1] for j in range(last + 1)]
+                after[j], fill[j] = after[k] + 1, fill[k]
+        n = min(int(np.searchsorted(ends, most, side="right")) + 1, m)  # later events can't be where the first cut falls
+        return cls((int(after[0]), int(fill[0])), ends[:n], np.stack([after[:n] + 1, fill[:n]], 1), int(ends[-1]))
+
+    def of(self, fills: np.ndarray, most: int) -> np.ndarray:
+        """(cuts, fill after) for each fill."""
+        if self.reset:
+            return np.tile(self.empty, (len(fills), 1)).reshape(-1, 2)
+        j = np.searchsorted(self.ends, most - fills, side="right")
+        cut = np.vstack([self.values, [[0, 0]]])[j]
+        cut[j == len(self.ends), 1] = (fills + self.total)[j == len(self.ends)]
+        cut[fills == 0] = self.empty
+        return cut
+
+    def then(self, other: _CutFunction, most: int) -> _CutFunction:
+        """This stretch and the one after it as one."""
+        if other.reset:
+            return other
+        mine = np.vstack([[self.empty], self.values]).astype(np.int64)
+        mine = np.stack([mine[:, 0], mine[:, 1]], 1)
+        theirs = other.of(mine[:, 1], most)
+        both = np.stack([mine[:, 0] + theirs[:, 0], theirs[:, 1]], 1)
+        empty = int(both[0, 0]), int(both[0, 1])
+        if self.reset:
+            return _CutFunction(empty, self.ends[:0], both[:0], 0, True)
+        later = other.ends + self.total
+        n = min(int(np.searchsorted(later, most, side="right")) + 1, len(later))
+        return _CutFunction(empty, np.append(self.ends, later[:n]), np.vstack([both[1:], other.values[:n]]), self.total + other.total)
+
+    def rows(self) -> pd.DataFrame:
+        parts = [(0, _EMPTY, *self.empty)] if self.reset else [(0, _EMPTY, *self.empty), (0, _THROUGH, 0, self.total)]
+        out = pd.DataFrame(parts, columns=list(_FUNCTION))
+        if not self.reset and len(self.ends):
+            out = pd.concat([out, pd.DataFrame({"end": self.ends, "kind": _CUT, "cuts": self.values[:, 0], "fill": self.values[:, 1]})])
+        return out.astype({"end": "int64", "kind": "int32", "cuts": "int64", "fill": "int64"}).assign(reset=self.reset)
+
+    @classmethod
+    def of_rows(cls, rows: pd.DataFrame) -> _CutFunction:
+        cut = rows[rows["kind"] == _CUT].sort_values("end")
+        empty, through = rows[rows["kind"] == _EMPTY].iloc[0], rows[rows["kind"] == _THROUGH]
+        return cls((int(empty["cuts"]), int(empty["fill"])), cut["end"].to_numpy(np.int64), cut[["cuts", "fill"]].to_numpy(np.int64).reshape(-1, 2), int(through["fill"].iloc[0]) if len(through) else 0, bool(empty["reset"]))
+
+
+_FUNCTION_ROWS = "node long, end long, kind int, cuts long, fill long, reset boolean"
+
+
+def _states_before(functions: DataFrame, most: int) -> DataFrame:
+    """Rows (node, part, filled): what each stretch is handed by those before it, by a parallel prefix over their functions.
+
+    Neighbours are composed to functions of twice the stretch until one is left, and on the way back the second of each pair gets
+    what the first makes of the state before both. Every level is a table of half as many functions; the driver knows their number.
+    """
+    def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = [_CutFunction.of_rows(g) for _, g in rows.groupby("node")]
+        return reduce(lambda a, b: a.then(b, most), ordered).rows().assign(node=key[0])[["node", *_FUNCTION, "reset"]]
+
+    n = functions.agg(F.max("node")).first()[0] or 0
+    levels = [functions]
+    while n > 1:
+        n //= 2
+        parents = levels[-1].withColumn("parent", F.floor(F.col("node") / 2)).groupBy("parent").applyInPandas(pair, _FUNCTION_ROWS)
+        levels.append(materialise(parents))
+    states = functions.sparkSession.createDataFrame([(0, 0, 0)], "node long, part long, filled long")
+    for level in reversed(levels if n else []):
+        first = states.withColumn("node", 2 * F.col("node"))
+        fits = F.col("reset") | F.when(F.col("filled") == 0, F.col("kind") == _EMPTY).otherwise((F.col("kind") == _THROUGH) | ((F.col("kind") == _CUT) & (F.col("end") > most - F.col("filled"))))
+        met = level.join(first, "node").where(fits & ~(F.col("reset") & (F.col("kind") != _EMPTY)))
+        # the first end above; where there is none everything fits
+        best = met.groupBy("node", "part", "filled").agg(F.min_by(F.struct("cuts", "fill", "kind", "reset"), F.struct("kind", "end")).alias("b"))
+        second = best.select(F.col("node") + 1, F.when(F.col("b.reset"), F.col("b.cuts")).otherwise(F.col("part") + F.col("b.cuts")), F.when(F.col("b.kind") == _THROUGH, F.col("filled") + F.col("b.fill")).otherwise(F.col("b.fill")))
+        states = materialise(first.select("node", "part", "filled").union(second))
+    return states
 
 
 def limit_by_bytes(events: DataFrame, most: int, key: Sequence[str], order: str = "seq", size: str = "bytes") -> DataFrame:
     """Events with the part of their sequence that they fall into: parts are filled greedily up to ``most`` bytes.
 
-    An event larger than that is a part of its own. The greedy cut depends on all cuts before it, so a sequence, however
-    long, is walked in ranges: each range first tells what it makes of any fill that it may be handed, which depends only
-    on where its first cut falls; the driver passes the fill along these tables; and each range is walked from its own.
+    An event larger than that is a part of its own. The greedy cut depends on all cuts before it, so a sequence, however long, is
+    walked in ranges. Each range first tells what it makes of any fill that it may be handed, as rows of a table; a parallel prefix
+    over these functions tells what it is handed indeed; and each range is walked from there. Nothing but the number of ranges
+    comes to the driver.
     """
     named = events.withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
     placed = materialise(named.repartitionByRange(*key, order).sortWithinPartitions(*key, order).withColumn("_range", F.spark_partition_id()))
@@ -456,17 +542,18 @@ def limit_by_bytes(events: DataFrame, most: int, key: Sequence[str], order: str
                 yield from (g for _, g in batch.groupby(change.cumsum(), sort=False))
 
     def tell(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        def told() -> pd.DataFrame:
-            ends, cuts, fills = _cuts_from(np.concatenate(first), most)
-            _, part, filled = _walk(np.concatenate(last).tolist(), most) if last else ([], 0, 0)
-            return pd.DataFrame([{"range": place, "first": names[0], "last": names[1], "total": int(sum(x.sum() for x in first)), "ends": ends, "cuts": cuts, "fills": fills, "part": part, "filled": filled}])
+        """The function of each range's first sequence, and of its last one, if that is another, from its start."""
+        def told() -> Iterable[pd.DataFrame]:
+            sizes = (first, last) if last else (first,)
+            for k, stretch in enumerate(sizes):
+                yield _CutFunction.of_sizes(np.concatenate(stretch), most).rows().assign(range=place, first=names[0], last=names[1], own=k == 1)[["range", "first", "last", "own", *_FUNCTION]]
 
         place, names, first, last = None, ["", ""], [], []
         for piece in pieces(batches):
             r, k, sizes = int(piece["_range"].iloc[0]), piece["_key"].iloc[0], piece[size].to_numpy(np.int64)
             if r != place:
                 if place is not None:
-                    yield told()
+                    yield from told()
                 place, names, first, last = r, [k, k], [sizes], []
             elif k == names[0]:
                 first.append(sizes)
@@ -474,29 +561,26 @@ def limit_by_bytes(events: DataFrame, most: int, key: Sequence[str], order: str
                 last = [*last, sizes] if k == names[1] else [sizes]
                 names[1] = k
         if place is not None:
-            yield told()
-
-    table = ranged.select("_range", "_key", *key, order, size).mapInPandas(tell, "range int, first string, last string, total long, ends array<long>, cuts array<long>, fills array<long>, part long, filled long")
-    start, name, part, filled = {}, None, 0, 0
-    for r in sorted(table.collect(), key=lambda r: r["range"]):  # one row per range
-        if r["first"] != name:
-            part, filled = 0, 0
-        start[r["range"]] = part, filled
-        j = bisect.bisect_right(r["ends"], most - filled) if filled else 0
-        if filled and j == len(r["ends"]):
-            filled += r["total"]
-        else:
-            part, filled = part + r["cuts"][j] + (1 if filled else 0), r["fills"][j]
-        if r["last"] != r["first"]:
-            part, filled = r["part"], r["filled"]
-        name = r["last"]
+            yield from told()
+
+    table = materialise(ranged.select("_range", "_key", *key, order, size).mapInPandas(tell, "range int, first string, last string, own boolean, end long, kind int, cuts long, fill long"))
+    # one row per range: its place among those that hold rows, and whether its first sequence goes on from the one before
+    ends = table.groupBy("range").agg(F.min("first").alias("first"), F.min("last").alias("last"))
+    by_range = Window.orderBy("range")
+    ends = ends.select("range", (F.row_number().over(by_range) - 1).cast("long").alias("node"), F.coalesce(F.lag("last").over(by_range) == F.col("first"), F.lit(False)).alias("goes_on"), (F.col("first") != F.col("last")).alias("ends"))
+    ends = materialise(ends)
+    rows = table.join(F.broadcast(ends), "range")
+    # where a sequence begins the state is that after it alone, whatever came before
+    reset = F.col("ends") | ~F.col("goes_on")
+    functions = rows.where(F.col("own") == F.col("ends")).where(~reset | (F.col("kind") == _EMPTY)).select("node", "end", "kind", "cuts", "fill", reset.alias("reset"))
+    before = _states_before(materialise(functions), most).join(ends, "node").where("goes_on").select(F.col("range").alias("_range"), F.col("part").alias("_part"), F.col("filled").alias("_filled"))
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         at, part, filled = None, 0, 0
         for piece in pieces(batches):
             r, k = int(piece["_range"].iloc[0]), piece["_key"].iloc[0]
             if at is None or at[0] != r:
-                part, filled = start[r]
+                part, filled = int(piece["_part"].iloc[0]), int(piece["_filled"].iloc[0])
             elif at[1] != k:
                 part, filled = 0, 0
             at = r, k
@@ -504,4 +588,5 @@ def limit_by_bytes(events: DataFrame, most: int, key: Sequence[str], order: str
             yield piece.assign(part=parts)[[f.name for f in schema]]
 
     schema = events.withColumn("part", F.lit(0).cast("long")).schema
-    return ranged.mapInPandas(walk, schema)
+    started = placed.join(F.broadcast(before), "_range", "left").withColumns({"_part": F.coalesce("_part", F.lit(0).cast("long")), "_filled": F.coalesce("_filled", F.lit(0).cast("long"))})
+    return started.repartition("_range").sortWithinPartitions("_range", *key, order).mapInPandas(walk, schema)

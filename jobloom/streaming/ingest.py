@@ -2,97 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from jobloom.operators.fold import PREEMPT_OVERRIDES, REDUCED, reduce_log, tables_of
-from jobloom.sources.tables import file_system
-
-
-class FoldStore:
-    """The reduced log below a path: a base and the parts that came after it, and a list of these for each batch.
-
-    A batch adds its own reduced rows and reads nothing of what is stored, so that its work follows its size. Parts are
-    merged into the base once they have more rows than it, so that a row is rewritten a few times in all. The list of a
-    batch is written last and in one step; a batch that is replayed finds its list and does nothing, or its folders
-    without a list and writes them anew. Folders that the last two lists don't name are deleted.
-    """
-
-    def __init__(self, path: str | os.PathLike):
-        self.path = os.fspath(path)
-
-    def _list_of(self, spark: SparkSession, batch: int) -> dict | None:
-        fs, there = file_system(spark, f"{self.path}/_batches/{batch}.json")
-        return json.loads(spark.read.option("wholetext", True).text(there.toString()).first()[0]) if fs.exists(there) else None
-
-    def last_batch(self, spark: SparkSession) -> int:
-        """The number of the last batch that is stored whole, or -1."""
-        fs, there = file_system(spark, f"{self.path}/_batches")
-        names = [f.getPath().getName() for f in fs.listStatus(there)] if fs.exists(there) else []
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=-1)
-
-    def _commit(self, spark: SparkSession, batch: int, content: dict) -> None:
-        fs, there = file_system(spark, f"{self.path}/_batches/{batch}.json")
-        _, draft = file_system(spark, f"{self.path}/_batches/.{batch}.draft")
-        out = fs.create(draft, True)
-        out.write(json.dumps(content).encode())
-        out.close()
-        fs.rename(draft, there)
-
-    def _write(self, df: DataFrame, folder: str) -> int:
-        """Write a folder; the number of its rows, from the files' footers."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{folder}").count()
-
-    def add(self, events: DataFrame, batch: int) -> None:
-        """Store one micro-batch of flat events."""
-        spark = events.sparkSession
-        if self._list_of(spark, batch) is not None:
-            return
-        before = self._list_of(spark, batch - 1) or {name: {"base": None, "base_rows": 0, "parts": [], "part_rows": 0} for name in REDUCED}
-        after = {}
-        events.persist()
-        for name, rows in reduce_log(events).items():
-            if before[name]["base"] is None:
-                after[name] = {"base": f"{name}/base-{batch}", "base_rows": self._write(rows, f"{name}/base-{batch}"), "parts": [], "part_rows": 0}
-                continue
-            state = before[name] | {"parts": [*before[name]["parts"], f"{name}/part-{batch}"]}
-            state["part_rows"] = before[name]["part_rows"] + self._write(rows, state["parts"][-1])
-            if state["part_rows"] > state["base_rows"]:
-                n = self._write(REDUCED[name](self._read(spark, state)), f"{name}/base-{batch}")
-                state = {"base": f"{name}/base-{batch}", "base_rows": n, "parts": [], "part_rows": 0}
-            after[name] = state
-        events.unpersist()
-        self._commit(spark, batch, after)
-        self._clean(spark, batch, before, after)
-
-    def _folders(self, content: dict) -> set[str]:
-        return {f for state in content.values() for f in [state["base"], *state["parts"]] if f}
-
-    def _clean(self, spark: SparkSession, batch: int, before: dict, after: dict) -> None:
-        """A reader of the list before this one may still be at work: what only older lists name goes, and the lists too."""
-        older = self._list_of(spark, batch - 2)
-        merged = {f"{name}/part-{batch}" for name, state in after.items() if state["base"] == f"{name}/base-{batch}"}
-        gone = merged | ((self._folders(older) - self._folders(before) - self._folders(after)) if older else set())
-        for folder in [*gone, *([f"_batches/{batch - 2}.json"] if older else [])]:
-            fs, there = file_system(spark, f"{self.path}/{folder}")
-            fs.delete(there, True)
-
-    def _read(self, spark: SparkSession, state: dict) -> DataFrame:
-        return spark.read.parquet(*[f"{self.path}/{f}" for f in [state["base"], *state["parts"]] if f])
-
-    def tables(self, spark: SparkSession, preempt_overrides: Sequence[int] = PREEMPT_OVERRIDES) -> dict[str, DataFrame]:
-        """job, job_run and job_error as of the last batch."""
-        content = self._list_of(spark, self.last_batch(spark))
-        if content is None:
-            raise ValueError(f"no batch is stored below {self.path}")
-        return tables_of({name: self._read(spark, state) for name, state in content.items()}, preempt_overrides)
+from jobloom.streaming.store import JobStore
 
 
 def stream_batches(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -102,12 +17,12 @@ def stream_batches(spark: SparkSession, path: str, schema: T.StructType, max_fil
 
 
 def run_ingest_stream(events: DataFrame, tables: str, checkpoint: str, available_now: bool = False, interval: str = "10 seconds") -> StreamingQuery:
-    """Start folding a stream of flat events into a store below ``tables`` (W2); offsets commit after a batch is stored.
+    """Start merging a stream of flat events into the tables below ``tables`` (W2); offsets commit after a batch is stored.
 
     A batch starts when the one before has ended and ``interval`` has passed, or for all that is there with
     ``available_now``.
     """
-    store = FoldStore(tables)
+    store = JobStore(tables)
     writer = events.writeStream.foreachBatch(lambda df, batch: store.add(df, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 

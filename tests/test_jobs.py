@@ -77,24 +77,6 @@ def test_reduced_parts_do_not_depend_on_cuts(spark, seed):
         assert shown(fold.tables_of(joined)) == whole
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    import glob
-
-    events = mixed_log(spark, 4)
-    for a, b in ((0, 20), (20, 30), (30, 70), (70, 90)):
-        events.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = ingest.stream_batches(spark, str(tmp_path / "in"), events.schema, 1)
-    query = ingest.run_ingest_stream(stream, str(tmp_path / "tables"), str(tmp_path / "offsets"), available_now=True)
-    assert query.awaitTermination(300)
-    store = ingest.FoldStore(str(tmp_path / "tables"))
-    assert store.last_batch(spark) == 3
-    got = shown(store.tables(spark))
-    assert got == shown(fold.tables_of(fold.reduce_log(events)))
-    store.add(events.where("seq < 5"), 3)  # a replayed batch finds its list
-    assert shown(store.tables(spark)) == got
-    assert len(glob.glob(str(tmp_path / "tables" / "_batches" / "*.json"))) == 2  # older lists go
-
-
 def test_job_tables_round_trip(spark, tmp_path):
     jobs = spark.createDataFrame([("a", 3, 5), ("b", 4, 6)], "job_id string, state int, priority long")
     runs = spark.createDataFrame([("r", "a", None), ("s", "b", 9)], "run_id string, job_id string, finished long")
@@ -221,6 +203,27 @@ def test_no_group_is_gathered(spark, sf_dir, name):
     assert "FlatMapGroupsInPandas" not in plan and "collect_list" not in plan
 
 
+def test_cut_functions_compose():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(300):
+        most = rng.choice([0, 3, 10, 40])
+        stretches = [np.array([rng.choice([0, 0, 1, 2, 5, 12, 50]) for _ in range(rng.randrange(1, 12))]) for _ in range(3)]
+        whole = stretches[0]
+        function = fold._CutFunction.of_sizes(whole, most)
+        for more in stretches[1:]:
+            whole = np.concatenate([whole, more])
+            function = function.then(fold._CutFunction.of_sizes(more, most), most)
+            function = fold._CutFunction.of_rows(function.rows().sample(frac=1, random_state=1))
+        fills = np.arange(0, 60)
+        for f, got in zip(fills, function.of(fills, most)):
+            _, part, filled = fold._walk(whole.tolist(), most, 0, int(f))
+            assert (part, filled) == tuple(got)
+
+
 @pytest.mark.parametrize("most", [0, 5, 20, 10_000])
 def test_bytes_are_cut_greedily_across_ranges(spark, most):
     import random
