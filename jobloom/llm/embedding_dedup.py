@@ -130,8 +130,7 @@ def near_duplicates(
         info = info.withColumns({"n": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
     info = info.select("k", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     keyed = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).withColumns(keys).drop("v")
-    named = keyed.join(info, ["k", "k2"], "left")
-    component = F.when(F.col("ok"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id"))
-    return named.select(
-        "vec_id", F.when(F.col("ok"), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
-    )
+    # rows that link with nothing go around the join: all null vectors have one key
+    linked = keyed.where("ok").join(info, ["k", "k2"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    alone = keyed.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -255,6 +255,10 @@ def _links_of(rows: pd.DataFrame, errors: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
 
+#: Keys that the rows of one very common fingerprint are dealt over.
+SALTS = 64
+
+
 def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable over links.
 
@@ -271,7 +275,10 @@ def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4, seed: in
     named = links.join(ends[0], "a").join(ends[1], "b")
     member = connected_components(named, "node_a", "node_b").select(F.col("node.fp").alias("fp"), F.col("component.least").alias("component_id"), F.lit(True).alias("linked"))
     every = distinct.join(member, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("node.least")).alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # all empty texts have the fingerprint 0: its rows are dealt over so many keys
+    salted = prints.withColumn("salt", F.when(F.col("fp") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
+    every = every.withColumn("salt", F.explode(F.when(F.col("fp") == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).withColumn("salt", F.col("salt").cast("long"))
+    return salted.join(every, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:

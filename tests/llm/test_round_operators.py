@@ -239,3 +239,31 @@ def test_byte_pairs_odd_rows(spark, library):
     assert sorted((len(r.ids), r.doc_id or 0) for r in rows) == sorted((len(library.encode_ordinary(t or "")), i or 0) for i, t, *_ in ODD)
     assert byte_pairs.decode(byte_pairs.encode(docs.where("false"), RANKS, PATTERN), RANKS, PATTERN).count() == 0
     assert byte_pairs.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"), RANKS, PATTERN).collect()[0].bytes == b""
+
+
+def largest_task(spark, df):
+    """Rows of the largest partition that a result's last join has written."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_rows_that_share_a_key_for_nothing_are_spread(spark):
+    from jobloom.llm import embedding_dedup, simhash
+
+    rng = random.Random(2)
+    vectors = [(k, None if k % 10 else [rng.gauss(0, 1) for _ in range(4)]) for k in range(2000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(8)
+    out = embedding_dedup.near_duplicates(df)
+    assert out.count() == 2000 and out.where("vec_id % 10 <> 0 and (n_links <> 0 or component_id <> vec_id or not kept)").count() == 0
+    assert largest_task(spark, out) < 900
+    docs = spark.createDataFrame([(k, "" if k % 10 else f"some words of text {k} and {k * k}") for k in range(2000)], "doc_id long, text string").repartition(8)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {c: spark.conf.get(c) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        out = simhash.near_duplicates(docs)
+        assert out.where("doc_id % 10 <> 0 and (fingerprint <> '0000000000000000' or component_id <> 1)").count() == 0
+        assert out.count() == 2000 and largest_task(spark, out) < 900
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
