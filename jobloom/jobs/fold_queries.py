@@ -157,11 +157,22 @@ def i24(spark, d):
     return f.find_duplicates(subs, stored)
 
 
-@query("i25_compact_sequences", ", o AS (SELECT *, CASE WHEN lag(g) OVER w = g THEN 0 ELSE 1 END AS ch FROM (SELECT *, seq // 300 AS g FROM job_event) x WINDOW w AS (PARTITION BY queue, jobset ORDER BY seq)), i AS (SELECT *, sum(ch) OVER (PARTITION BY queue, jobset ORDER BY seq) AS isl FROM o) SELECT queue, jobset, min(seq) AS seq, count(*) AS events, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM i GROUP BY queue, jobset, isl")
+def _hot_sequences(spark, d):
+    """A message per event; one job set holds a third of them."""
+    seq = F.col("seq")
+    return m.job_event(spark, d).select(
+        F.when(seq % 3 == 0, "queue-0").otherwise(F.col("queue")).alias("queue"), F.when(seq % 3 == 0, "hot").otherwise(F.col("jobset")).alias("jobset"), "seq", m.text("u", F.floor(seq / 300)).alias("user"),
+        F.array(F.lit("g")).alias("groups"), F.array(seq.cast("string")).alias("events"),
+    )
+
+
+_HOT = ", h AS (SELECT CASE WHEN seq % 3 = 0 THEN 'queue-0' ELSE queue END AS queue, CASE WHEN seq % 3 = 0 THEN 'hot' ELSE jobset END AS jobset, seq, seq // 300 AS g FROM job_event)"
+
+
+@query("i25_compact_sequences", _HOT + ", o AS (SELECT *, CASE WHEN lag(g) OVER w = g THEN 0 ELSE 1 END AS ch, (row_number() OVER w - 1) // 40 AS piece FROM h WINDOW w AS (PARTITION BY queue, jobset ORDER BY seq)), i AS (SELECT *, sum(ch) OVER (PARTITION BY queue, jobset ORDER BY seq) AS isl FROM o) SELECT queue, jobset, CAST(isl AS BIGINT) AS island, 'u' || min(g) AS \"user\", min(seq) AS seq, max(ch) = 0 AS continues, count(*) AS events, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM i GROUP BY queue, jobset, isl, piece")
 def i25(spark, d):
-    seqs = m.job_event(spark, d).select("queue", "jobset", "seq", m.text("u", F.floor(F.col("seq") / 300)).alias("user"), F.array(F.lit("g")).alias("groups"), F.array(F.col("seq").cast("string")).alias("events"))
-    out = f.compact_sequences(seqs)
-    return out.select("queue", "jobset", "seq", F.size("events").cast("long").alias("events"), F.array_join("events", ",").alias("seqs"))
+    out = f.compact_sequences(_hot_sequences(spark, d), 40)
+    return out.select("queue", "jobset", "island", "user", "seq", "continues", F.size("events").cast("long").alias("events"), F.array_join("events", ",").alias("seqs"))
 
 
 @query("i26_limit_by_count", ", o AS (SELECT queue, jobset, seq, (row_number() OVER (PARTITION BY queue, jobset ORDER BY seq) - 1) // 8 AS part FROM job_event) SELECT queue, jobset, CAST(part AS INTEGER) AS part, count(*) AS events, min(seq) AS first_seq FROM o GROUP BY queue, jobset, part")
@@ -176,6 +187,19 @@ UNION ALL SELECT o.queue, o.jobset, o.seq, o.bytes, o.rn, CASE WHEN g.filled > 0
 SELECT queue, jobset, seq, bytes, part FROM g"""
 
 
+_GREEDY_ONE = """, o AS (SELECT seq, bytes, row_number() OVER (ORDER BY seq) AS rn FROM job_event),
+g AS (SELECT seq, bytes, rn, CAST(0 AS BIGINT) AS part, bytes AS filled FROM o WHERE rn = 1
+UNION ALL SELECT o.seq, o.bytes, o.rn, CASE WHEN g.filled > 0 AND g.filled + o.bytes > 500 THEN g.part + 1 ELSE g.part END, CASE WHEN g.filled > 0 AND g.filled + o.bytes > 500 THEN o.bytes ELSE g.filled + o.bytes END FROM g JOIN o ON o.rn = g.rn + 1)
+SELECT part, count(*) AS events, CAST(sum(bytes) AS BIGINT) AS bytes, min(seq) AS first_seq FROM g GROUP BY part"""
+
+
+@query("i26_limit_one_sequence", _GREEDY_ONE, recursive=True)
+def i26_one(spark, d):
+    """One sequence that holds the whole log."""
+    parts = f.limit_by_bytes(m.job_event(spark, d).select(F.lit("all").alias("jobset"), "seq", "bytes"), 500, ["jobset"])
+    return parts.groupBy("part").agg(F.count("*").alias("events"), F.sum("bytes").alias("bytes"), F.min("seq").alias("first_seq"))
+
+
 @query("i26_limit_by_bytes", _GREEDY, recursive=True)
 def i26_bytes(spark, d):
     return f.limit_by_bytes(m.job_event(spark, d).select("queue", "jobset", "seq", "bytes"), 64, ["queue", "jobset"])

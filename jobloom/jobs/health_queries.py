@@ -230,6 +230,11 @@ def i18_queued(spark, d):
     return found.groupBy("queue", "job_set").agg(F.count("*").alias("jobs"))
 
 
+@query("i18_by_job_set", ", f AS (SELECT queue, job_set, job_id, (row_number() OVER (PARTITION BY queue, job_set ORDER BY job_id) - 1) // 20 AS request FROM sjob WHERE queued) SELECT queue, job_set, CAST(request AS INTEGER) AS request, string_agg(job_id, ',' ORDER BY job_id) AS job_ids FROM f GROUP BY queue, job_set, request")
+def i18_sets(spark, d):
+    return sel.by_job_set(sel.select_active_jobs(*_jr(spark, d), states=["queued"]), 20).withColumn("job_ids", F.array_join("job_ids", ","))
+
+
 @query("i19_changes_since", "SELECT job_id, serial FROM sjob WHERE serial > 100 ORDER BY serial LIMIT 500")
 def i19(spark, d):
     return sel.changes_since(m.scheduler_jobs(spark, d), 100, 500).select("job_id", "serial")
@@ -315,7 +320,7 @@ def p7(spark, d):
 def s1(spark, d):
     log = m.job_event(spark, d)
     event = F.struct(F.when(F.col("seq") % 4 != 0, F.timestamp_seconds("created")).alias("created"), "kind", "job_id", "run_id", F.col("seq").cast("string").alias("reason"), "priority")
-    seqs = log.groupBy("queue", "jobset", "user").agg(F.min("seq").alias("seq"), F.collect_list(event).alias("events")).withColumn("publish_time", F.timestamp_seconds(F.lit(1_706_800_000)))
+    seqs = log.groupBy("queue", "jobset", "user", F.floor(F.col("seq") / 50).alias("message")).agg(F.min("seq").alias("seq"), F.collect_list(event).alias("events")).withColumn("publish_time", F.timestamp_seconds(F.lit(1_706_800_000)))
     return e.explode_events(e.fill_created(seqs)).select("queue", "jobset", F.col("reason").cast("long").alias("seq"), "kind", F.unix_timestamp("created").alias("created"))
 
 
@@ -344,5 +349,13 @@ def s1_read(spark, d):
 @query("s6_event_store", "SELECT queue, jobset, seq, kind, CASE WHEN kind = 'CancelledJob' THEN '' ELSE reason END AS reason FROM job_event")
 def s6_store(spark, d):
     path = shared_folder(spark, "store")
-    e.write_event_store(m.job_event(spark, d).select("queue", "jobset", "seq", "kind", "reason", F.array(F.lit("g")).alias("groups")), path)
-    return spark.read.parquet(path).select("queue", "jobset", "seq", "kind", "reason")
+    e.write_event_store(m.job_event(spark, d).select("queue", "jobset", "seq", "kind", "reason", F.array(F.lit("g")).alias("groups")), path, 25)
+    return e.read_event_store(spark, path).select("queue", "jobset", "seq", "kind", "reason")
+
+
+@query("s6_compacted_pieces", ", h AS (SELECT CASE WHEN seq % 3 = 0 THEN 'queue-0' ELSE queue END AS queue, CASE WHEN seq % 3 = 0 THEN 'hot' ELSE jobset END AS jobset, seq, kind FROM job_event), p AS (SELECT *, (row_number() OVER (PARTITION BY queue, jobset ORDER BY seq) - 1) // 25 AS piece FROM h) SELECT queue, jobset, min(seq) AS seq, max(seq) AS last, count(*) AS events, string_agg(kind, ',' ORDER BY seq) AS kinds FROM p GROUP BY queue, jobset, piece")
+def s6_pieces(spark, d):
+    """A job set that holds a third of the log is in as many rows as it has pieces."""
+    third = F.col("seq") % 3 == 0
+    log = m.job_event(spark, d).select(F.when(third, "queue-0").otherwise(F.col("queue")).alias("queue"), F.when(third, "hot").otherwise(F.col("jobset")).alias("jobset"), "seq", "kind", "reason")
+    return e.compacted(log, 25).select("queue", "jobset", "seq", "last", F.size("events").cast("long").alias("events"), F.array_join(F.transform("events", lambda x: x["kind"]), ",").alias("kinds"))

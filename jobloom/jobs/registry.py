@@ -12,7 +12,7 @@ from jobloom.sources.model import VIEWS
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("search_queries", "fold_queries", "metric_queries", "fairshare_queries", "health_queries", "store_queries")
+_MODULES = ("search_queries", "fold_queries", "metric_queries", "fairshare_queries", "health_queries", "store_queries", "stream_queries")
 
 
 def query(name: str, sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.jobs.fold_queries import _CONFLATED, _CREATED, _RUN_LAST, _RUN_UPDATES
+from jobloom.jobs.health_queries import _GONE, LIFETIME
 from jobloom.jobs.registry import query
+from jobloom.operators import maintain
 from jobloom.sources import model as m
+from jobloom.sources.model import NOW
 from jobloom.sources.tables import shared_folder
 from jobloom.streaming import ingest
 from jobloom.streaming.store import JobStore
@@ -83,3 +86,50 @@ _SIDES = ", ".join([f"was.{c} AS before_{c}" for c in _SHOWN] + [f"is_.{c} AS af
 def i19_feed(spark, d):
     feed = ingested(spark, d).changes(spark, "job", AFTER, UPTO)
     return _numbers(feed.select("job_id", "change", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("before", "after") for c in _SHOWN]))
+
+
+#: Days in a folder of these small tables.
+PERIOD = 120
+_PRUNED: dict[tuple[str, str], str] = {}
+
+
+def _pruned(spark, d) -> str:
+    """All four tables by day, pruned once for all queries of a session."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _PRUNED:
+        path, jobs = shared_folder(spark, "daily"), m.job(spark, d, False)
+        specs = jobs.select("job_id", F.concat(F.lit("spec of "), "job_id").alias("job_spec"))
+        errors = jobs.where("state = 5").select("job_id", F.concat(F.lit("error of "), "job_id").alias("error"))
+        maintain.write_daily({"job": jobs.select("job_id", "state", "submitted", "last_transition_time"), "job_run": m.job_run(spark, d).select("run_id", "job_id"), "job_spec": specs, "job_error": errors}, path, days=PERIOD)
+        report = maintain.prune_jobs_daily(spark, path, NOW, LIFETIME)
+        report.write.parquet(f"{path}-report")
+        _PRUNED[at] = path
+    return _PRUNED[at]
+
+
+def _kept(name: str):
+    return lambda spark, d: maintain.read_daily(spark, _pruned(spark, d), name)
+
+
+@query("p1_daily_jobs", _GONE + " SELECT job_id, state FROM job WHERE job_id NOT IN (SELECT job_id FROM gone)")
+def p1_jobs(spark, d):
+    return _numbers(_kept("job")(spark, d).select("job_id", "state"))
+
+
+query("p1_daily_runs", _GONE + " SELECT run_id, job_id FROM job_run WHERE job_id NOT IN (SELECT job_id FROM gone)")(_kept("job_run"))
+query("p1_daily_specs", _GONE + " SELECT job_id, 'spec of ' || job_id AS job_spec FROM job WHERE job_id NOT IN (SELECT job_id FROM gone)")(_kept("job_spec"))
+query("p1_daily_errors", _GONE + " SELECT job_id, 'error of ' || job_id AS error FROM job WHERE state = 5 AND job_id NOT IN (SELECT job_id FROM gone)")(_kept("job_error"))
+
+
+@query("p1_daily_report", _GONE + " SELECT CAST(submitted // 86400 // 120 * 120 AS BIGINT) AS day, count(*) AS jobs, count(gone.job_id) AS gone FROM job LEFT JOIN gone ON gone.job_id = job.job_id GROUP BY 1 HAVING count(gone.job_id) > 0")
+def p1_report(spark, d):
+    return spark.read.parquet(f"{_pruned(spark, d)}-report").select(F.unix_date("day").cast("long").alias("day"), "jobs", "gone")
+
+
+@query("p5_daily_scheduler_runs", f"SELECT srun.run_id FROM srun JOIN sjob ON sjob.job_id = srun.job_id WHERE NOT (submitted + 1000 < {NOW - LIFETIME} AND (sjob.succeeded OR sjob.failed OR sjob.cancelled))")
+def p5_runs(spark, d):
+    path, jobs = shared_folder(spark, "daily"), m.scheduler_jobs(spark, d).withColumn("last_modified", F.col("submitted") + 1000)
+    maintain.write_daily({"jobs": jobs.select("job_id", "submitted", "last_modified", "succeeded", "failed", "cancelled"), "runs": m.scheduler_runs(spark, d).select("run_id", "job_id")}, path, parent="jobs", days=PERIOD)
+    ended = F.col("succeeded") | F.col("failed") | F.col("cancelled")
+    maintain.prune_daily(spark, path, ended & (F.col("last_modified") < NOW - LIFETIME), NOW - LIFETIME, parent="jobs")
+    return maintain.read_daily(spark, path, "runs").select("run_id")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobloom.functions.ordering import with_running_sum
+
 # fixed values: longest column values
 LIMITS = {"queue": 512, "user": 512, "jobset": 1024, "priority_class": 63, "cluster": 512, "node": 512}
 
@@ -48,8 +50,32 @@ def to_event_store(events: DataFrame) -> DataFrame:
     return events.withColumn("reason", F.when(F.col("kind").isin("CancelJob", "CancelJobSet", "CancelledJob"), "").otherwise(F.col("reason"))).drop("groups")
 
 
-def write_event_store(events: DataFrame, path: str) -> None:
-    to_event_store(events).repartition("queue", "jobset").sortWithinPartitions("queue", "jobset", "seq").write.partitionBy("queue").parquet(path)
+def compacted(events: DataFrame, most: int = 10_000) -> DataFrame:
+    """The event store's rows: a job set's events in pieces of ``most``, in log order.
+
+    Rows (queue, jobset, seq, last, events): the places of the first and the last event, and the events as structs. Places within a
+    job set come from running counts over ranges, so a job set of any share of the log is spread over as many tasks as it has pieces.
+    """
+    rest = [c for c in events.columns if c not in ("queue", "jobset")]
+    counted = with_running_sum(events.withColumn("_one", F.lit(1).cast("long")), "_one", "seq", running="_n", within=("queue", "jobset"))
+    whole = F.array_sort(F.collect_list(F.struct("seq", *[c for c in rest if c != "seq"])))
+    pieces = counted.groupBy("queue", "jobset", F.floor((F.col("_n") - 1) / most).alias("_piece")).agg(F.min("seq").alias("seq"), F.max("seq").alias("last"), whole.alias("events"))
+    return pieces.drop("_piece")
+
+
+def write_event_store(events: DataFrame, path: str, most: int = 10_000) -> None:
+    """Compacted pieces below ``path``, those of a job set next to each other and in order."""
+    compacted(to_event_store(events), most).repartitionByRange("queue", "jobset", "seq").sortWithinPartitions("queue", "jobset", "seq").write.partitionBy("queue").parquet(path)
+
+
+def read_event_store(spark: SparkSession, path: str, queue: str | None = None, jobset: str | None = None, after: int | None = None) -> DataFrame:
+    """The stored events, of all or one job set, after a place in the log; pieces that end before it aren't opened."""
+    rows = spark.read.parquet(path)
+    for c, value in (("queue", queue), ("jobset", jobset)):
+        rows = rows if value is None else rows.where(F.col(c) == value)
+    rows = rows if after is None else rows.where(F.col("last") > after)
+    out = rows.select("queue", "jobset", F.explode("events").alias("_e")).select("queue", "jobset", "_e.*")
+    return out if after is None else out.where(F.col("seq") > after)
 
 
 def to_api_events(events: DataFrame) -> DataFrame:

@@ -362,8 +362,8 @@ def find_duplicates(submissions: DataFrame, dedup: DataFrame) -> DataFrame:
     return rows.select("job_id", original.alias("original_job_id"), (original != F.col("job_id")).alias("is_duplicate"))
 
 
-def sequence_islands(seqs: DataFrame) -> DataFrame:
-    """``seqs`` with ``island``, which counts the changes of user or groups within a job set up to each row.
+def _with_islands(seqs: DataFrame, value: str | None = None, running: str = "") -> DataFrame:
+    """``seqs`` with ``island``, the running sum of ``_change``, and that of another column.
 
     Job sets may be of any length: the rows are dealt into ranges of the order, and a range only has to know the last row
     before it.
@@ -377,17 +377,26 @@ def sequence_islands(seqs: DataFrame) -> DataFrame:
     own = Window.partitionBy("_range").orderBy("_id")
     here, before = F.struct(*keys, *group), F.coalesce(F.lag(F.struct(*keys, *group)).over(own), F.col("_last"))
     rows = placed.join(F.broadcast(lasts), "_range").withColumn("_change", F.when(here.eqNullSafe(before), 0).otherwise(1))
-    return with_running_sum(rows.drop("_id", "_range", "_last"), "_change", "seq", running="island", within=("queue", "jobset")).drop("_change")
+    return with_running_sum(rows.drop("_id", "_range", "_last"), {"_change": "island"} | ({value: running} if value else {}), "seq", within=("queue", "jobset"))
+
+
+def sequence_islands(seqs: DataFrame) -> DataFrame:
+    """``seqs`` with ``island``, which counts the changes of user or groups within a job set up to each row."""
+    return _with_islands(seqs).drop("_change")
 
 
-def compact_sequences(seqs: DataFrame) -> DataFrame:
+def compact_sequences(seqs: DataFrame, most: int = 10_000) -> DataFrame:
     """Adjacent sequences of a job set with equal queue, user and groups become one, in order.
 
-    One row holds all events of a run of such sequences: meant for the messages of a batch. ``sequence_islands`` tells the
-    runs of a whole log without gathering any.
+    A run of such sequences is written as pieces of about ``most`` events, so that no row and no task holds a whole run: a piece ends
+    with the sequence that takes its job set's count over a multiple of ``most``, and one that ``continues`` goes on from the piece
+    before it. ``island`` is the run's number within its job set.
     """
-    rows = sequence_islands(seqs)
-    return rows.groupBy("queue", "jobset", "island").agg(F.min_by("user", "seq").alias("user"), F.min("seq").alias("seq"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "events"))), lambda s: s["events"])).alias("events")).drop("island")
+    counted = _with_islands(seqs.withColumn("_n", F.size("events").cast("long")), "_n", "_upto")
+    piece = F.floor((F.col("_upto") - F.col("_n")) / most)
+    events = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "events"))), lambda s: s["events"]))
+    pieces = counted.groupBy("queue", "jobset", "island", piece.alias("_piece")).agg(F.min_by("user", "seq").alias("user"), F.min_by("groups", "seq").alias("groups"), F.min("seq").alias("seq"), (F.max("_change") == 0).alias("continues"), events.alias("events"))
+    return pieces.drop("_piece")
 
 
 def limit_by_count(seqs: DataFrame, most: int) -> DataFrame:

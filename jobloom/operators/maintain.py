@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.sources.model import ACTIVE_STATES, TERMINAL_STATES
+from jobloom.sources.tables import discard, file_system, materialise
 
 # fixed values: run state of an ended latest run and the job state that it means
 ZOMBIE_STATES = {3: 4, 4: 5, 12: 6, 6: 7}
 
 
+def ended_before(time: int) -> Column:
+    """Whether a job is terminal and had its last transition before a time."""
+    return F.col("state").isin(*TERMINAL_STATES) & (F.col("last_transition_time") < time)
+
+
 def prunable(job: DataFrame, now: int, lifetime: int) -> DataFrame:
     """job_id of terminal jobs whose last transition is longer ago than ``lifetime`` seconds."""
-    return job.where(F.col("state").isin(*TERMINAL_STATES) & (F.col("last_transition_time") < now - lifetime)).select("job_id")
+    return job.where(ended_before(now - lifetime)).select("job_id")
+
+
+def prune_jobs_daily(spark: SparkSession, path: str, now: int, lifetime: int) -> DataFrame:
+    """The same over tables of ``write_daily``, in place; a job's transitions don't come before its submission."""
+    return prune_daily(spark, path, ended_before(now - lifetime), now - lifetime)
 
 
 def prune_jobs(tables: Mapping[str, DataFrame], now: int, lifetime: int) -> dict[str, DataFrame]:
@@ -81,3 +92,60 @@ def move_terminal(job: DataFrame, updates: DataFrame) -> DataFrame:
 def write_by_submitted_day(job: DataFrame, path: str) -> None:
     """One partition per day of submission, so that retention drops folders."""
     job.withColumn("day", F.to_date(F.timestamp_seconds("submitted"))).repartitionByRange("submitted", "job_id").write.partitionBy("day").parquet(path)
+
+
+def _period(seconds: str, days: int) -> Column:
+    """The first day of the period of so many days that a time falls into."""
+    return F.date_from_unix_date((F.floor(F.col(seconds) / (86_400 * days)) * days).cast("int"))
+
+
+def write_daily(tables: Mapping[str, DataFrame], path: str, parent: str = "job", submitted: str = "submitted", days: int = 1) -> None:
+    """Tables by the day on which their job was submitted, so that retention follows folders through all of them.
+
+    The children of a job lie under its day; children of no job lie under no day, which retention leaves alone. With ``days`` a folder
+    holds as many days, for tables with few rows a day. Large days are dealt over several tasks and files.
+    """
+    day = tables[parent].select("job_id", _period(submitted, days).alias("day"))
+    for name, df in tables.items():
+        rows = df.withColumn("day", _period(submitted, days)) if name == parent else df.join(day, "job_id", "left")
+        rows.hint("rebalance", "day").sortWithinPartitions("day", "job_id").write.partitionBy("day").parquet(f"{path}/{name}")
+
+
+def read_daily(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}").drop("day")
+
+
+def prune_daily(spark: SparkSession, path: str, gone: Column, before: int, parent: str = "job") -> DataFrame:
+    """Drop the jobs for which ``gone`` holds, and their rows in all tables below ``path``, by days.
+
+    ``before`` (epoch seconds) promises that no job submitted after it can be gone, so later days aren't opened. A day whose jobs all
+    go is deleted as a folder; only days of which some go are read and written anew, each swapped as a whole. Children go before
+    their jobs, so a run that was cut off is made good by the next. Rows (day, jobs, gone) of the days that changed.
+    """
+    fs, root = file_system(spark, path)
+    names = sorted((f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory() and f.getPath().getName()[0] not in "._"), key=lambda n: n == parent)
+    old = F.col("day") <= F.to_date(F.timestamp_seconds(F.lit(before)))
+    jobs = spark.read.parquet(f"{path}/{parent}").where(old)
+    told = jobs.groupBy("day").agg(F.count("*").alias("jobs"), F.count_if(F.coalesce(gone, F.lit(False))).alias("gone")).where("gone > 0")
+    days = told.collect()  # a row per day
+    mixed = [r.day for r in days if r.gone < r.jobs]
+    if mixed:
+        ids = materialise(jobs.where(F.col("day").isin(mixed)).where(gone).select("day", "job_id"))
+        for name in names:
+            table = spark.read.parquet(f"{path}/{name}")
+            kept = materialise(table.where(F.col("day").isin(mixed)).join(ids, ["day", "job_id"], "left_anti"))
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/{name}")
+            left = {r.day for r in kept.select("day").distinct().collect()}
+            _drop_days(spark, path, name, [d for d in mixed if d not in left])
+            discard(kept)
+        discard(ids)
+    for name in names:
+        _drop_days(spark, path, name, [r.day for r in days if r.gone == r.jobs])
+    return spark.createDataFrame([(r.day, r.jobs, r.gone) for r in days], "day date, jobs long, gone long")
+
+
+def _drop_days(spark: SparkSession, path: str, name: str, days: Iterable) -> None:
+    for day in days:
+        fs, folder = file_system(spark, f"{path}/{name}/day={day.isoformat()}")
+        fs.delete(folder, True)
+    spark.catalog.refreshByPath(f"{path}/{name}")

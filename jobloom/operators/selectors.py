@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.functions.ordering import with_running_sum
+
 STATES = ("queued", "leased", "pending", "running")
 
 
@@ -31,9 +33,11 @@ def select_active_jobs(jobs: DataFrame, runs: DataFrame, executor: str | None =
     return found.unionByName(waiting.select("job_id", "queue", "job_set"))
 
 
-def by_job_set(found: DataFrame) -> DataFrame:
-    """Job ids per job set in one row each, for sets that fit one request; see the row-wise result otherwise."""
-    return found.groupBy("queue", "job_set").agg(F.sort_array(F.collect_list("job_id")).alias("job_ids"))
+def by_job_set(found: DataFrame, most: int = 10_000) -> DataFrame:
+    """Job ids per job set in requests of at most ``most`` ids each, in the order of the ids."""
+    counted = with_running_sum(found.withColumn("_one", F.lit(1).cast("long")), "_one", "job_id", running="_n", within=("queue", "job_set"))
+    request = F.floor((F.col("_n") - 1) / most)
+    return counted.groupBy("queue", "job_set", request.cast("int").alias("request")).agg(F.array_sort(F.collect_list("job_id")).alias("job_ids"))
 
 
 def changes_since(df: DataFrame, serial: int, limit: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import fold
+from jobloom.operators import fold, maintain
 from jobloom.streaming import ingest, store
 from test_jobs import mixed_log
 
@@ -134,3 +134,25 @@ def test_change_feed_is_the_difference(spark, tmp_path, seed):
     other = with_cuts(spark, events, str(tmp_path / "b"), (random.Random(seed).randrange(1, 90),), buckets=5)
     for name in store.KEYS:
         assert shown(other.read(spark, name)) == shown(kept.read(spark, name)), name
+
+
+def test_retention_leaves_later_days_alone(spark, tmp_path):
+    day = 86_400
+    jobs = [("a", 4, 0, 5), ("b", 4, 10, 20), ("c", 4, day, day + 5), ("d", 1, day, day + 5), ("e", 4, day, 9 * day), ("f", 4, 8 * day, 8 * day + 1), ("g", 4, 9 * day, 9 * day)]
+    runs = [(f"r{k}", j, k) for k, j in enumerate("aabcdefg")] + [("lost", "nobody", 9)]
+    path = str(tmp_path)
+    maintain.write_daily({"job": spark.createDataFrame(jobs, "job_id string, state int, submitted long, last_transition_time long"), "job_run": spark.createDataFrame(runs, "run_id string, job_id string, n int"), "job_error": spark.createDataFrame([("c", "x")], "job_id string, error string")}, path)
+    before = digests(path)
+    report = maintain.prune_jobs_daily(spark, path, 9 * day, 2 * day)
+    assert sorted((str(r.day), r.jobs, r.gone) for r in report.collect()) == [("1970-01-01", 2, 2), ("1970-01-02", 3, 1)]
+    after = digests(path)
+    same = {f for f in before if after.get(f) == before[f]}
+    assert {f.split("day=")[1].split("/")[0] for f in same} == {"1970-01-09", "1970-01-10", "__HIVE_DEFAULT_PARTITION__"}
+    assert sorted(r.job_id for r in maintain.read_daily(spark, path, "job").collect()) == ["d", "e", "f", "g"]
+    assert sorted(r.run_id for r in maintain.read_daily(spark, path, "job_run").collect()) == ["lost", "r4", "r5", "r6", "r7"]
+    assert maintain.read_daily(spark, path, "job_error").count() == 0 if os.listdir(f"{path}/job_error") and any("day=" in f for f in os.listdir(f"{path}/job_error")) else True
+    # only the days up to the limit are opened
+    old = spark.read.parquet(f"{path}/job").where(F.col("day") <= F.to_date(F.timestamp_seconds(F.lit(7 * day))))
+    files = old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in files
+    assert maintain.prune_jobs_daily(spark, path, 9 * day, 2 * day).count() == 0
