@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from jobloom.jobs.health_queries import _API
 from jobloom.jobs.registry import query
 from jobloom.operators import events as e
-from jobloom.operators import watch
+from jobloom.operators import sketches, watch
 from jobloom.sources import model as m
+from jobloom.sources.model import NOW
 from jobloom.sources.tables import shared_folder
 from jobloom.streaming import ingest, penalty
 
@@ -87,3 +88,19 @@ def w8_penalty(spark, d):
     ends = runs.join(m.scheduler_jobs(spark, d).select("job_id", "queue", "cpu", "memory", "gpu"), "job_id").select("job_id", "queue", "pool", F.col("running_at").alias("started"), "terminated_at", F.timestamp_seconds("terminated_at").alias("at"), "cpu", "memory", "gpu")
     entries = _collected(penalty.penalty_entries(_in_files(ends.unionByName(ends), "terminated_at", 4), CUTOFFS, "1 hour"))
     return reduce(DataFrame.unionByName, [penalty.penalty_at(entries, t).select(F.lit(t).cast("long").alias("now"), "pool", "queue", "jobs", "cpu", "memory", "gpu") for t in TIMES])
+
+
+@query("m3_sketched_durations", f"SELECT queue, count(*) AS n, CAST(sum({NOW} - submitted) AS BIGINT) AS total, min({NOW} - submitted) AS least, max({NOW} - submitted) AS most, TRUE AS ranks_hold, TRUE AS distinct_holds FROM sjob WHERE queued AND submitted // 2592000 BETWEEN 280 AND 330 GROUP BY queue")
+def m3_sketched(spark, d):
+    """Sketches of a month each, stored and merged over four years; whether their errors are within what is stated."""
+    rows = m.scheduler_jobs(spark, d).where("queued").select("queue", "priority_class", "submitted", (F.lit(NOW) - F.col("submitted")).alias("seconds"), "scheduling_key")
+    path, span = shared_folder(spark, "sketches"), (280, 330)
+    sketches.sketch(rows, ["queue", "priority_class"], "submitted", "seconds", "scheduling_key", period=2_592_000).write.parquet(path)
+    stats = sketches.merged(spark.read.parquet(path), ["queue"], *span)
+    inside = rows.where(F.floor(F.col("submitted") / 2_592_000).between(*span))
+    off = sketches.ranks(inside, stats, ["queue"], "seconds")
+    keys = inside.groupBy("queue").agg(F.count_distinct("scheduling_key").alias("keys"))
+    worst = F.greatest(*[F.col(c) for c in off.columns if c.endswith("_off")])
+    # a group of few rows can't hit a rank more finely than by one of them
+    holds = (worst <= sketches.rank_error(800) + 1 / F.col("n")).alias("ranks_hold")
+    return stats.join(off, "queue").join(keys, "queue").select("queue", "n", "total", "least", "most", holds, (F.abs(F.col("distinct") - F.col("keys")) <= F.greatest(F.lit(1.0), sketches.distinct_error(12) * F.col("keys"))).alias("distinct_holds"))

@@ -16,14 +16,16 @@ def stream_batches(spark: SparkSession, path: str, schema: T.StructType, max_fil
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def run_ingest_stream(events: DataFrame, tables: str, checkpoint: str, available_now: bool = False, interval: str = "10 seconds") -> StreamingQuery:
+def run_ingest_stream(events: DataFrame, tables: str, checkpoint: str, available_now: bool = False, interval: str = "10 seconds", max_events: int | None = None) -> StreamingQuery:
     """Start merging a stream of flat events into the tables below ``tables`` (W2); offsets commit after a batch is stored.
 
     A batch starts when the one before has ended and ``interval`` has passed, or for all that is there with
-    ``available_now``.
+    ``available_now``; with ``max_events`` what has come since is stored in batches of at most so many events, however
+    large its files are (W1).
     """
     store = JobStore(tables)
-    writer = events.writeStream.foreachBatch(lambda df, batch: store.add(df, batch)).option("checkpointLocation", checkpoint)
+    add = store.add if max_events is None else lambda df, batch: store.add_in_parts(df, batch, max_events)
+    writer = events.writeStream.foreachBatch(lambda df, batch: add(df, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobloom.functions.ordering import with_position
 from jobloom.operators.fold import JOB_COLUMNS, PREEMPT_OVERRIDES, RUN_COLUMNS, reduce_log
 from jobloom.sources.model import TERMINAL_STATES
 from jobloom.sources.tables import file_system
@@ -121,9 +122,18 @@ class JobStore:
 
     def manifest(self, spark: SparkSession, batch: int) -> dict | None:
         """What the tables consist of after a batch: {table: {schema, hot: {bucket: files}, cold: [{tier, files}]}}."""
+        content = self._content(spark, batch)
+        return content and content["tables"]
+
+    def _content(self, spark: SparkSession, batch: int) -> dict | None:
         fs, there = file_system(spark, f"{self.path}/_batches/{batch}.json")
         return json.loads(spark.read.option("wholetext", True).text(there.toString()).first()[0]) if fs.exists(there) else None
 
+    def source(self, spark: SparkSession, batch: int | None = None) -> tuple[int, int] | None:
+        """Which part of which micro-batch of a stream a batch (the last by default) was, if it was one."""
+        content = self._content(spark, self.last_batch(spark) if batch is None else batch)
+        return tuple(content["source"]) if content and content["source"] else None
+
     def last_batch(self, spark: SparkSession) -> int:
         """The number of the last batch that is stored whole, or -1."""
         fs, there = file_system(spark, f"{self.path}/_batches")
@@ -176,7 +186,23 @@ class JobStore:
 
     # a batch
 
-    def add(self, events: DataFrame, batch: int) -> None:
+    def add_in_parts(self, events: DataFrame, micro_batch: int, most: int) -> None:
+        """Merge a micro-batch of a stream in batches of at most ``most`` events, in log order.
+
+        Each batch notes which part of which micro-batch it is, so that one that is repeated after a stop goes on where it ended.
+        """
+        spark = events.sparkSession
+        done = self.source(spark) or (-1, -1)
+        if done[0] > micro_batch:
+            return
+        placed = with_position(events, "seq", position="_place")
+        n = placed.count()
+        for part in range(-(-n // most)):
+            if (micro_batch, part) > done:
+                rows = placed.where((F.col("_place") >= part * most) & (F.col("_place") < (part + 1) * most)).drop("_place")
+                self.add(rows, self.last_batch(spark) + 1, (micro_batch, part))
+
+    def add(self, events: DataFrame, batch: int, source: tuple[int, int] | None = None) -> None:
         """Merge one micro-batch of flat events. One that is stored already changes nothing."""
         spark = events.sparkSession
         if self.manifest(spark, batch) is not None:
@@ -193,7 +219,7 @@ class JobStore:
         self._merge(spark, "job", jobs, before, after, batch, touched)
         errors = reduced["job_error"].withColumnRenamed("seq", "serial").persist()
         self._merge(spark, "job_error", errors, before, after, batch)
-        self._commit(spark, batch, after)
+        self._commit(spark, batch, {"tables": after, "source": source})
         for df in (events, runs, touched, jobs, errors):
             df.unpersist()
         self._forget(spark, batch)

@@ -107,7 +107,7 @@ def test_folders_grow_with_the_logarithm(spark, tmp_path):
         before = after
         parts.append(len(after["job_error"]["cold"]))
     assert max(parts) <= fanout * (1 + math.log(batches, fanout)) < batches / 3
-    kept._commit(spark, 0, before)
+    kept._commit(spark, 0, {"tables": before, "source": None})
     got = {r.job_id: r.error for r in kept.read(spark, "job_error").collect()}
     assert len(got) == batches and all(got[f"job-{k:04d}"] == f"e{k}" for k in range(1, batches))
 
@@ -156,3 +156,27 @@ def test_retention_leaves_later_days_alone(spark, tmp_path):
     files = old._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in files
     assert maintain.prune_jobs_daily(spark, path, 9 * day, 2 * day).count() == 0
+
+
+def test_batches_by_items_go_on_after_a_stop(spark, tmp_path):
+    events = mixed_log(spark, 6).coalesce(1)
+    events.write.parquet(str(tmp_path / "in"))
+    kept, added = store.JobStore(str(tmp_path / "tables"), buckets=2), []
+
+    class Stopped(store.JobStore):
+        def add(self, rows, batch, source=None):
+            if len(added) == 2:
+                raise RuntimeError("stopped")
+            added.append(rows.count())
+            super().add(rows, batch, source)
+
+    log = spark.read.parquet(str(tmp_path / "in"))
+    n = log.count()
+    with pytest.raises(RuntimeError):
+        Stopped(str(tmp_path / "tables"), buckets=2).add_in_parts(log, 0, 40)
+    assert added == [40, 40] and kept.source(spark) == (0, 1)
+    kept.add_in_parts(log, 0, 40)
+    assert kept.last_batch(spark) == -(-n // 40) - 1 and kept.source(spark) == (0, -(-n // 40) - 1)
+    same_tables(kept.tables(spark), whole_tables(log))
+    kept.add_in_parts(log, 0, 40)  # a repeated one is there already
+    assert kept.last_batch(spark) == -(-n // 40) - 1
