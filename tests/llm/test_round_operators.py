@@ -267,3 +267,52 @@ def test_rows_that_share_a_key_for_nothing_are_spread(spark):
     finally:
         for c, v in was.items():
             spark.conf.set(c, v)
+
+
+# secrets: candidates and features, one by one
+
+
+def plain_findings(text):
+    """Candidates of a text with their start, neighbourhood and features, in plain Python."""
+    import math
+
+    from jobloom.llm import secrets
+
+    flags, text, out = re.ASCII, text or "", []
+    matches = list(re.finditer(secrets.CANDIDATE, text, flags))
+    ends = [0, *(m.end() for m in matches)]
+    starts = [*(m.start() for m in matches), len(text)]
+    for k, m in enumerate(matches):
+        found = re.match(secrets._VALUE, m.group(), flags)
+        name = found.group() if found else ""
+        value, before, after = m.group()[len(name) :], text[ends[k] : starts[k]][-48:] + name, text[ends[k + 1] : starts[k + 1]][:24]
+        n, low = len(value), value.lower()
+        share = lambda pattern, v=value, n=n: len(re.findall(pattern, v, flags)) / n
+        own = [value.count(chr(c)) for c in range(33, 127)]
+        counts = [c for c in [*own, n - sum(own)] if c]
+        seen = lambda pattern, x: float(bool(re.search(pattern, x, flags)))
+        features = {
+            "length": math.log2(max(n, 1)), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "marks": share("[^A-Za-z0-9]"), "transitions": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), "case_switches": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
+            "pairs": sum((a in "aeiouy") != (b in "aeiouy") for a, b in zip(low, low[1:]) if a in "abcdefghijklmnopqrstuvwxyz" and b in "abcdefghijklmnopqrstuvwxyz") / n, "distinct": len(counts) / n,
+            "entropy": -sum(c / n * math.log2(c / n) for c in counts), "coverage": 1 - len(re.sub(secrets.COMMON, "", low)) / n, "named": seen(f"(?i)(?:{secrets.NAMES})(?![a-z])[^\\n]{{0,12}}$", before), "assigned": seen("[:=]\\s{0,3}[\"']?$", before),
+            "quoted": float(bool(re.search("[\"'`]$", before) and re.search("^[\"'`]", after))), "in_path": float(bool(re.search(r"(?:/|\\|www\.|\w\.)$", before, flags) or re.search(r"^(?:/|\\|\.\w)", after, flags))),
+            "example_near": seen("example|placeholder|dummy", before.lower()), "format": seen(secrets.FORMATS, value), "placeholder": seen(secrets.PLACEHOLDER, low), "is_number": seen("^[0-9+=/_-]+$", value), "is_uuid": seen("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", low),
+        }
+        out.append((k, m.start() + len(name), value, before, after, features))
+    return out
+
+
+def test_candidates_and_features_are_the_plain_ones(spark, sf_dir):
+    from jobloom.llm import secrets
+
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    texts += [(10**6 + k, t) for k, t in enumerate(["", None, "api_key = 'Zk3v9Qx71pLmN0' and token: ${HOME}_1", "see www.a.b/abcDEF1234567890abcd.png", "PASSWORD=äöü€123x", "x" * 40 + "1", "-----BEGIN RSA PRIVATE KEY-----\nab+/\n-----END RSA PRIVATE KEY-----", "the token := \"a1b2c3d4e5f6\"; id 0123456789abcdef0123"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.finding): r for r in secrets.with_features(secrets.candidates(docs)).collect()}
+    want = {(doc_id, f[0]): f for doc_id, text in texts for f in plain_findings(text)}
+    assert got.keys() == want.keys() and len(want) > 40
+    for key, (_, start, value, before, after, features) in want.items():
+        r = got[key]
+        assert (r.start, r.value, r.before, r.after) == (start, value, before, after), key
+        for name, x in features.items():
+            assert abs(r[name] - x) < 1e-9, (key, name, r[name], x)
