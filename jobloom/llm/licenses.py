@@ -21,6 +21,14 @@ from pyspark.sql import functions as F
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 # fixed values: public license wordings, as templates
+_BSD_DISCLAIMER = (
+    "this software is provided by <<var;words=1-12>> as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;words=1-12>> be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or "
+    "services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+    "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility "
+    "of such damage"
+)
 TEMPLATES = {
     "mit-notice": "<<any;released|licensed|distributed|available|published>> under <<optional>>the terms of<<end>> the <<optional>>x11<<end>> mit license",
     "apache-2.0-notice": "licensed under the apache license <<optional>>version<<end>> 2 0",
@@ -50,6 +58,60 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are "
         "met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
     ),
+    "mit-full-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "<<optional>>the software<<end>> to deal in the software without restriction including without limitation the rights to use copy modify "
+        "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> "
+        "shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express "
+        "or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event "
+        "shall <<var;words=1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from "
+        "out of or in connection with the software or the use or other dealings in the software"
+    ),
+    "isc-full-text": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+        "above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;words=1-12>> disclaims all "
+        "warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;words=1-12>> "
+        "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ),
+    "bsd-2-clause-text": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are "
+        "met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution "
+        + _BSD_DISCLAIMER
+    ),
+    "bsd-3-clause-text": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are "
+        "met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution <<optional>>3<<end>> neither the name of <<var;words=1-12>> nor the "
+        "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+        + _BSD_DISCLAIMER
+    ),
+    "zlib-text": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+        "from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to "
+        "alter it and redistribute it freely subject to the following restrictions <<optional>>1<<end>> the origin of this software must not be "
+        "misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product "
+        "documentation would be appreciated but is not required <<optional>>2<<end>> altered source versions must be plainly marked as such and must not "
+        "be misrepresented as being the original software <<optional>>3<<end>> this notice may not be removed or altered from any source distribution"
+    ),
+    "unlicense-text": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute "
+        "this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+    ),
+    "apache-2.0-header": (
+        "licensed under the apache license version 2 0 the license you may not use <<any;this file|this work|this software|these files>> except in compliance with the license you "
+        "may obtain a copy of the license at <<optional>><<any;http|https>><<end>> www apache org licenses license 2 0 unless required by applicable law "
+        "or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license"
+    ),
+    "mpl-2.0-header": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you "
+        "can obtain one at <<any;http|https>> <<optional>>www<<end>> mozilla org mpl 2 0"
+    ),
 }
 
 _BLANK = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 65 <= b <= 90 else b for b in range(256))

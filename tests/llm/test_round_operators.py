@@ -316,3 +316,38 @@ def test_candidates_and_features_are_the_plain_ones(spark, sf_dir):
         assert (r.start, r.value, r.before, r.after) == (start, value, before, after), key
         for name, x in features.items():
             assert abs(r[name] - x) < 1e-9, (key, name, r[name], x)
+
+
+HOLDER = "the Regents of the University of Somewhere, and contributors"
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = f"3. Neither the name of {HOLDER} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_END = f"""THIS SOFTWARE IS PROVIDED BY {HOLDER.upper()} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {HOLDER.upper()} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+    http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (f"Some words. {BSD_2}{BSD_END} more", {"bsd-text", "bsd-2-clause-text"}),
+        (f"{BSD_2}{BSD_3}{BSD_END}", {"bsd-text", "bsd-3-clause-text"}),
+        (f"{BSD_2}{BSD_3}{BSD_END}".replace("EXEMPLARY, ", ""), {"bsd-text"}),  # a mandatory word is missing
+        (APACHE, {"apache", "apache-2.0-notice", "apache-2.0-header"}),
+        (APACHE.replace("specific language", "language"), {"apache", "apache-2.0-notice"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", {"mpl-2.0-notice", "mpl-2.0-header"}),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", {"unlicense-text"}),
+    ],
+)
+def test_whole_wordings(spark, text, labels):
+    from jobloom.llm import licenses
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    places, base = scanner.scan(licenses.words_of(text))
+    assert {n for _, _, n in places} | {n for _, n in base} == labels
+    for name, markup in licenses.TEMPLATES.items():  # the SQL's form of each template agrees
+        words = " " + " ".join(w.decode() for w in licenses.words_of(text)) + " "
+        assert bool(re.search(registry._as_regex(markup), words)) == (name in labels), name
