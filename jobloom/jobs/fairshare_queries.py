@@ -49,7 +49,7 @@ def _known(spark):
 @query("f1_dominant_cost", _ALL + _TOT + f", q AS (SELECT pool, queue, {_R3} FROM alo GROUP BY pool, queue) SELECT pool, queue, {_dom()} AS cost FROM q JOIN tot USING (pool)")
 def f1(spark, d):
     own = s.allocation(*_jr(spark, d), _known(spark)).groupBy("pool", "queue").agg(*[F.sum(c).alias(c) for c in x.RESOURCES])
-    return own.join(F.broadcast(s.pool_totals(m.nodes(spark, d))), "pool").select("pool", "queue", s.dominant_cost().alias("cost"))
+    return own.join(s.pool_totals(m.nodes(spark, d)), "pool").select("pool", "queue", s.dominant_cost().alias("cost"))
 
 
 @query("f2_demand", _DEM + " SELECT * FROM dem")
@@ -125,7 +125,7 @@ def f8(spark, d):
 @query("f9_fairness_error", _SHARES + _ALO + f", ac AS (SELECT pool, queue, {_dom()} AS actual_share FROM own JOIN tot USING (pool)) SELECT sha.pool, round(sum(greatest(0, capped_share - coalesce(actual_share, 0))), 9) AS fairness_error FROM sha LEFT JOIN ac ON ac.pool = sha.pool AND ac.queue = sha.queue GROUP BY sha.pool")
 def f9(spark, d):
     own = s.allocation(*_jr(spark, d), _known(spark)).groupBy("pool", "queue").agg(*[F.sum(c).alias(c) for c in x.RESOURCES])
-    actual = own.join(F.broadcast(s.pool_totals(m.nodes(spark, d))), "pool").select("pool", "queue", s.dominant_cost().alias("actual_share"))
+    actual = own.join(s.pool_totals(m.nodes(spark, d)), "pool").select("pool", "queue", s.dominant_cost().alias("actual_share"))
     return _places(s.fairness_error(s.fair_shares(_context(spark, d)).join(actual, ["pool", "queue"], "left").na.fill(0.0)), "fairness_error")
 
 

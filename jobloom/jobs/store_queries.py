@@ -147,3 +147,17 @@ def w1_items(spark, d):
     store = JobStore(tables)
     feeds = [store.changes(spark, "job", k - 1, k).where("change = 'inserted'").select(F.lit(k).cast("long").alias("batch")) for k in range(store.last_batch(spark) + 1)]
     return reduce(DataFrame.unionByName, feeds).groupBy("batch").agg(F.count("*").alias("jobs"))
+
+
+@query("q5_stored_latest_run", _JOBS + " SELECT job_id, state, latest_node FROM jo WHERE latest_cluster = 'cluster-2' AND latest_run_state IN (2, 3, 4)")
+def q5_stored(spark, d):
+    """Jobs by their latest run without a join: the stored job carries what the search asks for."""
+    rows = ingested(spark, d).read(spark, "job").where("latest_cluster = 'cluster-2' and latest_run_state in (2, 3, 4)")
+    return _numbers(rows.select("job_id", "state", "latest_node"))
+
+
+@query("q13_stored_group_by_pool", _JOBS + " SELECT coalesce(latest_pool, '') AS pool, count(*) AS jobs, min(submitted) AS submitted, count(*) FILTER (WHERE state IN (1, 2, 3, 8)) AS active FROM jo GROUP BY 1")
+def q13_stored(spark, d):
+    """Jobs by their latest run's pool, those without a run in the empty group."""
+    jobs = ingested(spark, d).read(spark, "job")
+    return jobs.groupBy(F.coalesce("latest_pool", F.lit("")).alias("pool")).agg(F.count("*").alias("jobs"), F.min("submitted").alias("submitted"), F.count_if(F.col("state").isin(1, 2, 3, 8)).alias("active"))

@@ -14,7 +14,7 @@ from jobloom.operators import sketches, watch
 from jobloom.sources import model as m
 from jobloom.sources.model import NOW
 from jobloom.sources.tables import shared_folder
-from jobloom.streaming import ingest, penalty
+from jobloom.streaming import dedup, ingest, penalty
 
 
 def _in_files(rows: DataFrame, order: str, files: int) -> DataFrame:
@@ -104,3 +104,18 @@ def m3_sketched(spark, d):
     # a group of few rows can't hit a rank more finely than by one of them
     holds = (worst <= sketches.rank_error(800) + 1 / F.col("n")).alias("ranks_hold")
     return stats.join(off, "queue").join(keys, "queue").select("queue", "n", "total", "least", "most", holds, (F.abs(F.col("distinct") - F.col("keys")) <= F.greatest(F.lit(1.0), sketches.distinct_error(12) * F.col("keys"))).alias("distinct_holds"))
+
+
+#: Seconds for which a deduplication id is kept: a week.
+KEPT = 604_800
+_AGAIN = f""", s AS (SELECT 'j-' || seq AS job_id, seq, created AS made, CASE WHEN seq % 10 <> 0 THEN 'c-' || (seq // 12 % 40) END AS k FROM job_event WHERE kind IN ('SubmitJob', 'JobRunLeased', 'JobSucceeded')),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS rn FROM s WHERE k IS NOT NULL),
+g AS (SELECT k, job_id, rn, job_id AS original, made AS stored FROM o WHERE rn = 1 UNION ALL SELECT o.k, o.job_id, o.rn, CASE WHEN o.made >= g.stored + {KEPT} THEN o.job_id ELSE g.original END, CASE WHEN o.made >= g.stored + {KEPT} THEN o.made ELSE g.stored END FROM g JOIN o ON o.k = g.k AND o.rn = g.rn + 1)
+SELECT k AS deduplication_id, job_id, original AS original_job_id, original <> job_id AS is_duplicate FROM g UNION ALL SELECT NULL, job_id, job_id, FALSE FROM s WHERE k IS NULL"""
+
+
+@query("i24_stream_duplicates", _AGAIN, recursive=True)
+def i24_stream(spark, d):
+    seq = F.col("seq")
+    subs = m.job_event(spark, d).where("kind in ('SubmitJob', 'JobRunLeased', 'JobSucceeded')").select(m.text("j-", seq).alias("job_id"), "seq", F.timestamp_seconds("created").alias("at"), F.when(seq % 10 != 0, m.text("c-", F.floor(seq / 12) % 40)).alias("deduplication_id"))
+    return _collected(dedup.with_originals(_in_files(subs, "seq", 3), KEPT, "40 days"))

@@ -47,7 +47,7 @@ def demand(jobs: DataFrame, runs: DataFrame, queues: DataFrame) -> DataFrame:
 
     A queued job counts in each of its pools, unless its queue is cordoned; an active one in its run's pool.
     """
-    open_ = jobs.where("queued").join(F.broadcast(queues.where("cordoned").select("queue")), "queue", "left_anti").withColumn("pool", F.explode("pools"))
+    open_ = jobs.where("queued").join(queues.where("cordoned").select("queue"), "queue", "left_anti").withColumn("pool", F.explode("pools"))
     keys = ["pool", "queue", "priority_class"]
     rows = open_.select(*keys, *RESOURCES).unionByName(active_runs(jobs, runs).select(*keys, *RESOURCES))
     return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in RESOURCES])
@@ -55,13 +55,13 @@ def demand(jobs: DataFrame, runs: DataFrame, queues: DataFrame) -> DataFrame:
 
 def allocation(jobs: DataFrame, runs: DataFrame, executors: DataFrame) -> DataFrame:
     """Requests of active jobs on known executors by pool, queue and class."""
-    rows = active_runs(jobs, runs).join(F.broadcast(executors.select("executor")), "executor", "left_semi")
+    rows = active_runs(jobs, runs).join(executors.select("executor"), "executor", "left_semi")
     return rows.groupBy("pool", "queue", "priority_class").agg(*[F.sum(c).alias(c) for c in RESOURCES])
 
 
 def away_allocation(allocated: DataFrame, away: DataFrame) -> DataFrame:
     """The part of a pool's allocation that counts for pools listing it as away pool."""
-    return allocated.withColumnRenamed("pool", "away_pool").join(F.broadcast(away), "away_pool").groupBy("pool", "queue").agg(*[F.sum(c).alias(c) for c in RESOURCES])
+    return allocated.withColumnRenamed("pool", "away_pool").join(away, "away_pool").groupBy("pool", "queue").agg(*[F.sum(c).alias(c) for c in RESOURCES])
 
 
 def queue_limits(demanded: DataFrame, totals: DataFrame, limits: DataFrame) -> DataFrame:
@@ -72,9 +72,9 @@ def queue_limits(demanded: DataFrame, totals: DataFrame, limits: DataFrame) -> D
     """
     keys = ["queue", "pool", "priority_class"]
     rule = limits.select(F.col("queue").alias("_q"), F.col("pool").alias("_p"), "priority_class", F.struct(*RESOURCES).alias("_f"), (F.when(F.col("queue").isNotNull(), 2).otherwise(0) + F.when(F.col("pool").isNotNull(), 1).otherwise(0)).alias("_rank"))
-    fits = demanded.select(*keys).distinct().join(F.broadcast(rule), "priority_class").where("(_q is null or _q = queue) and (_p is null or _p = pool)")
+    fits = demanded.select(*keys).distinct().join(rule, "priority_class").where("(_q is null or _q = queue) and (_p is null or _p = pool)")
     own = fits.groupBy(*keys).agg(*[F.max_by(F.col(f"_f.{c}"), F.when(F.col(f"_f.{c}").isNotNull(), F.col("_rank"))).alias(f"_{c}") for c in RESOURCES])
-    rows = demanded.join(F.broadcast(totals), "pool", "left").join(own, keys, "left")
+    rows = demanded.join(totals, "pool", "left").join(own, keys, "left")
     return rows.select(*demanded.columns, *[(F.col(f"total_{c}") * F.col(f"_{c}")).alias(f"limit_{c}") for c in RESOURCES])
 
 
@@ -148,7 +148,7 @@ def fairness_error(shares: DataFrame) -> DataFrame:
 def short_job_penalty(jobs: DataFrame, runs: DataFrame, cutoffs: DataFrame, now: int) -> DataFrame:
     """Resources of finished jobs whose run started less than the pool's cutoff ago, each job once."""
     done = runs.where("(succeeded or failed or cancelled) and not preempted and not preempt_requested and running_at is not null")
-    recent = done.join(F.broadcast(cutoffs), "pool").where(F.lit(now) - F.col("running_at") < F.col("cutoff")).groupBy("job_id").agg(F.max("pool").alias("pool"))
+    recent = done.join(cutoffs, "pool").where(F.lit(now) - F.col("running_at") < F.col("cutoff")).groupBy("job_id").agg(F.max("pool").alias("pool"))
     return recent.join(jobs.select("job_id", "queue", *RESOURCES), "job_id").groupBy("pool", "queue").agg(*[F.sum(c).alias(c) for c in RESOURCES])
 
 
@@ -195,7 +195,7 @@ def clearing_price(ordered: DataFrame, totals: DataFrame, cutoff: float) -> Data
     sets the price: the least bid of its gang, or its own; 0 where all fit.
     """
     rows = with_running_sum(ordered, {c: f"run_{c}" for c in RESOURCES}, "place", within=("pool",))
-    rows = rows.join(F.broadcast(totals), "pool")
+    rows = rows.join(totals, "pool")
     over = rows.where(dominant_cost(prefix="run_") > cutoff)
     first = over.groupBy("pool").agg(F.min_by(F.struct("job_id", "bid", "gang_id"), "place").alias("f")).select("pool", "f.*")
     gang = ordered.where("gang_id is not null").groupBy("pool", "gang_id").agg(F.min("bid").alias("_least"))
@@ -207,7 +207,7 @@ def resource_share(allocated: DataFrame) -> DataFrame:
     """Each queue's share of the pool's allocation per resource."""
     own = allocated.groupBy("pool", "queue").agg(*[F.sum(c).alias(c) for c in RESOURCES])
     total = own.groupBy("pool").agg(*[F.sum(c).alias(f"_{c}") for c in RESOURCES])
-    return own.join(F.broadcast(total), "pool").select("pool", "queue", *[F.when(F.col(f"_{c}") > 0, F.col(c) / F.col(f"_{c}")).otherwise(0.0).alias(f"share_{c}") for c in RESOURCES])
+    return own.join(total, "pool").select("pool", "queue", *[F.when(F.col(f"_{c}") > 0, F.col(c) / F.col(f"_{c}")).otherwise(0.0).alias(f"share_{c}") for c in RESOURCES])
 
 
 def flatten_cycle_metrics(events: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def demand_context(jobs: DataFrame, runs: DataFrame, queues: DataFrame, nodes: D
     totals = pool_totals(nodes)
     cut = constrained_demand(queue_limits(demand(jobs, runs, queues), totals, limits))
     weights = queue_weights(queues, totals, overrides)
-    rows = weights.join(cut, ["pool", "queue"], "left").na.fill(0.0, list(RESOURCES)).join(F.broadcast(totals), "pool")
+    rows = weights.join(cut, ["pool", "queue"], "left").na.fill(0.0, list(RESOURCES)).join(totals, "pool")
     return rows.select("pool", "queue", "weight", dominant_cost().alias("demand"))
 
 

@@ -17,7 +17,7 @@ def stale_executors(executors: DataFrame, now: int, timeout: int) -> DataFrame:
 
 def jobs_to_expire(jobs: DataFrame, runs: DataFrame, stale: DataFrame) -> DataFrame:
     """Active jobs on executors that stopped reporting (H1)."""
-    return active_runs(jobs, runs).join(F.broadcast(stale.select("executor")), "executor", "left_semi").select("job_id", "run_id", "executor", F.lit("internal").alias("category"), F.lit("lease expired").alias("reason"))
+    return active_runs(jobs, runs).join(stale.select("executor"), "executor", "left_semi").select("job_id", "run_id", "executor", F.lit("internal").alias("category"), F.lit("lease expired").alias("reason"))
 
 
 def lagging_executors(jobs: DataFrame, runs: DataFrame, reported: DataFrame, limit: int) -> DataFrame:
@@ -35,11 +35,11 @@ def reconcile_runs(jobs: DataFrame, runs: DataFrame, nodes: DataFrame, away: Dat
     """
     on = nodes.select("node", F.col("pool").alias("node_pool"), F.coalesce("reservation", F.lit("")).alias("reservation"))
     lent = away.select("pool", F.col("away_pool").alias("node_pool"), F.lit(True).alias("_away"))
-    rows = active_runs(jobs, runs).join(on, "node", "left").join(F.broadcast(lent), ["pool", "node_pool"], "left")
+    rows = active_runs(jobs, runs).join(on, "node", "left").join(lent, ["pool", "node_pool"], "left")
     if pools is None:
         rows = rows.withColumns({"match": F.lit(True), "no_match": F.lit(False)})
     else:
-        rows = rows.join(F.broadcast(pools), "pool")
+        rows = rows.join(pools, "pool")
     if "reservations" in jobs.columns:
         rows = rows.join(jobs.select("job_id", "reservations"), "job_id")
         matches = F.array_contains("reservations", F.col("reservation"))
@@ -96,11 +96,11 @@ def retry_decisions(failed: DataFrame, policies: DataFrame, rules: DataFrame, gl
     if "fail_fast" in failed.columns:
         rows = rows.where("not coalesce(fail_fast, false)")
     if default_policy is not None:
-        rows = rows.withColumn("policy", F.coalesce(F.when(F.col("policy") != "", F.col("policy")), F.lit(default_policy))).join(F.broadcast(policies.select("policy")), "policy", "left_semi")
+        rows = rows.withColumn("policy", F.coalesce(F.when(F.col("policy") != "", F.col("policy")), F.lit(default_policy))).join(policies.select("policy"), "policy", "left_semi")
     rows = rows.withColumn("used", F.greatest(F.col("failures") - 1, F.lit(0)))
-    fits = rows.select("run_id", "policy", "category", "subcategory").join(F.broadcast(rules), "policy").where("on_category = category and (on_subcategory is null or on_subcategory = subcategory)")
+    fits = rows.select("run_id", "policy", "category", "subcategory").join(rules, "policy").where("on_category = category and (on_subcategory is null or on_subcategory = subcategory)")
     first = fits.groupBy("run_id").agg(F.min_by("action", "ordinal").alias("rule"))
-    rows = rows.join(F.broadcast(policies), "policy", "left").join(first, "run_id", "left")
+    rows = rows.join(policies, "policy", "left").join(first, "run_id", "left")
     decision = (
         F.when(F.col("category").isNull(), "no_error").when((F.lit(global_max) == 0) | (F.col("used") >= global_max), "fail_global_limit").when(F.col("rule") == "Fail", "fail_rule")
         .when(F.col("rule").isNull() & (F.coalesce("default_action", F.lit("Fail")) == "Fail"), "fail_default").when(F.col("used") >= F.coalesce("retry_limit", F.lit(0)), "fail_policy_limit").otherwise("retry")
@@ -200,6 +200,6 @@ def processing_delay(messages: DataFrame, acked: DataFrame, now: int) -> DataFra
 
     ``messages``: partition, seq, published; ``acked``: partition, seq up to which is done.
     """
-    rows = messages.join(F.broadcast(acked.select("partition", F.col("seq").alias("_done"))), "partition", "left")
+    rows = messages.join(acked.select("partition", F.col("seq").alias("_done")), "partition", "left")
     open_ = F.when(F.col("_done").isNull() | (F.col("seq") > F.col("_done")), F.col("published"))
     return rows.groupBy("partition").agg(F.coalesce(F.greatest(F.lit(now) - F.min(open_), F.lit(0)), F.lit(0)).cast("long").alias("delay"))

@@ -136,9 +136,9 @@ def cluster_capacity(nodes: DataFrame, executors: DataFrame, away: DataFrame | N
     pool that lists its own as away pool.
     """
     settings = executors.select("executor", F.col("cordoned").alias("_cordoned"))
-    rows = nodes.join(F.broadcast(settings), "executor", "left").withColumn("schedulable", ~(F.col("unschedulable") | F.coalesce("_cordoned", F.lit(False)))).withColumn("capacity_class", F.lit("dedicated"))
+    rows = nodes.join(settings, "executor", "left").withColumn("schedulable", ~(F.col("unschedulable") | F.coalesce("_cordoned", F.lit(False)))).withColumn("capacity_class", F.lit("dedicated"))
     if away is not None:
-        shared = rows.join(F.broadcast(away.select(F.col("pool").alias("_for"), F.col("away_pool").alias("pool"))), "pool").withColumns({"pool": F.col("_for"), "capacity_class": F.lit("shared")})
+        shared = rows.join(away.select(F.col("pool").alias("_for"), F.col("away_pool").alias("pool")), "pool").withColumns({"pool": F.col("_for"), "capacity_class": F.lit("shared")})
         rows = rows.unionByName(shared.select(*rows.columns))
     keys = ["executor", "pool", "node_type", "reservation", "capacity_class"]
     sums = [F.sum(c).alias(f"total_{c}") for c in RESOURCES] + [F.sum(F.when(F.col("schedulable"), F.col(c)).otherwise(0.0)).alias(f"available_{c}") for c in RESOURCES]
@@ -339,7 +339,7 @@ def unmanaged_by_priority(pods: DataFrame, nodes: DataFrame, minimum: Mapping[st
 
 def aggregate_samples(samples: DataFrame, specs: DataFrame) -> DataFrame:
     """Samples per metric and pod by sum or mean, times a multiplier if that is positive."""
-    rows = samples.groupBy("metric", "pod").agg(F.sum("value").alias("_sum"), F.avg("value").alias("_mean")).join(F.broadcast(specs), "metric")
+    rows = samples.groupBy("metric", "pod").agg(F.sum("value").alias("_sum"), F.avg("value").alias("_mean")).join(specs, "metric")
     value = F.when(F.col("aggregation") == "sum", F.col("_sum")).otherwise(F.col("_mean"))
     return rows.select("metric", "pod", (value * F.when(F.col("multiplier") > 0, F.col("multiplier")).otherwise(1.0)).alias("value"))
 
