@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,22 +18,18 @@ from jobloom.sources.tables import shared_folder
 from jobloom.streaming import dedup, ingest, penalty
 
 
-def _in_files(rows: DataFrame, order: str, files: int) -> DataFrame:
-    """A table as a stream of files that follow each other in an order, one in a batch."""
-    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "feed")
+def _streamed(rows: DataFrame, order: str, parts: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that a stream gives to which a table comes in so many parts that follow each other in an order, one in a batch."""
+    spark, out = rows.sparkSession, shared_folder(rows.sparkSession, "out")
     ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    place = F.when(F.lit(ends.a == ends.b), 0).otherwise(F.floor((F.col(order) - F.lit(ends.a)).cast("double") * files / F.lit(max(1, (ends.b or 0) - (ends.a or 0) + 1))))
-    for k in range(files):
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(folder)
-    return ingest.stream_batches(spark, folder, rows.schema, 1)
+    place = F.when(F.lit(ends.a == ends.b), 0).otherwise(F.floor((F.col(order) - F.lit(ends.a)).cast("double") * parts / F.lit(max(1, (ends.b or 0) - (ends.a or 0) + 1))))
 
+    def start(stream: DataFrame):
+        writer = step(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", shared_folder(spark, "offsets"))
+        return writer.trigger(processingTime="0 seconds").start(out)
 
-def _collected(stream: DataFrame) -> DataFrame:
-    """All that a stream has given, from its files."""
-    spark, out = stream.sparkSession, shared_folder(stream.sparkSession, "out")
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", shared_folder(spark, "offsets"))
-    writer.trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    ingest.feed_in_turn(rows, place.cast("int"), parts, start)
+    return spark.read.schema(step(rows).schema).parquet(out)
 
 
 def _watched_api(spark, d):
@@ -67,7 +64,7 @@ def w5_jobs(spark, d):
 @query("w5_status_counts", _API + _FOLD + " SELECT queue, st AS status, count(*) AS jobs FROM fin WHERE st IS NOT NULL GROUP BY queue, st", recursive=True)
 def w5_counts(spark, d):
     """Counts by status from the changes that a stream of four batches gives."""
-    changes = _collected(watch.stream_status_changes(_in_files(_watched_api(spark, d), "seq", 4)))
+    changes = _streamed(_watched_api(spark, d), "seq", 4, watch.stream_status_changes)
     return watch.status_counts(changes, "queue")
 
 
@@ -86,7 +83,7 @@ def w8_penalty(spark, d):
     """Every end is reported twice, and counts once."""
     runs = m.scheduler_runs(spark, d).where("(succeeded or failed or cancelled) and not preempted and not preempt_requested and running_at is not null and terminated_at is not null")
     ends = runs.join(m.scheduler_jobs(spark, d).select("job_id", "queue", "cpu", "memory", "gpu"), "job_id").select("job_id", "queue", "pool", F.col("running_at").alias("started"), "terminated_at", F.timestamp_seconds("terminated_at").alias("at"), "cpu", "memory", "gpu")
-    entries = _collected(penalty.penalty_entries(_in_files(ends.unionByName(ends), "terminated_at", 4), CUTOFFS, "1 hour"))
+    entries = _streamed(ends.unionByName(ends), "terminated_at", 4, lambda stream: penalty.penalty_entries(stream, CUTOFFS, "1 hour"))
     return reduce(DataFrame.unionByName, [penalty.penalty_at(entries, t).select(F.lit(t).cast("long").alias("now"), "pool", "queue", "jobs", "cpu", "memory", "gpu") for t in TIMES])
 
 
@@ -118,4 +115,4 @@ SELECT k AS deduplication_id, job_id, original AS original_job_id, original <> j
 def i24_stream(spark, d):
     seq = F.col("seq")
     subs = m.job_event(spark, d).where("kind in ('SubmitJob', 'JobRunLeased', 'JobSucceeded')").select(m.text("j-", seq).alias("job_id"), "seq", F.timestamp_seconds("created").alias("at"), F.when(seq % 10 != 0, m.text("c-", F.floor(seq / 12) % 40)).alias("deduplication_id"))
-    return _collected(dedup.with_originals(_in_files(subs, "seq", 3), KEPT, "40 days"))
+    return _streamed(subs, "seq", 3, lambda stream: dedup.with_originals(stream, KEPT, "40 days"))

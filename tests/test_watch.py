@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.operators import sketches, watch
-from jobloom.streaming import penalty
+from jobloom.streaming import ingest, penalty
 
 API = "queue string, jobset string, job_id string, seq long, subseq int, created long, api_kind string, retryable boolean, pod int, pods int"
 
@@ -83,3 +83,24 @@ def test_sketches_merge_within_their_errors(spark):
     for r in sketches.ranks(rows, stats, ["g"], "x").collect():
         assert max(r.p50_off, r.p90_off, r.p99_off) <= sketches.rank_error(800)
     assert sketches.merged(sketches.sketch(rows.where("false"), ["g"], "at", "x", "key"), ["g"], 0, 9).count() == 0
+
+
+def test_jobs_of_one_bucket_lapse_one_by_one(spark, tmp_path):
+    """A call serves a whole bucket of jobs, each of which comes and lapses on its own; parts come in many files, one may be empty."""
+    reports = [(f"j{k}", 10 * k, 10 * k + again) for k in range(30) for again in (5, 7)]  # job, start, report
+    ends = spark.createDataFrame([(j, "queue", "p", s, at, 1.0, 2.0, 0.0) for j, s, at in reports], "job_id string, queue string, pool string, started long, seconds long, cpu double, memory double, gpu double").withColumn("at", F.timestamp_seconds("seconds")).repartition(5)
+    writer = lambda stream: penalty.penalty_entries(stream, {"p": 50}, "1 second", buckets=1).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "offsets"))
+    part = F.when(F.col("seconds") < 150, 0).otherwise(2)
+    ingest.feed_in_turn(ends, part, 3, lambda stream: writer(stream).start(str(tmp_path / "out")))
+    entries = spark.read.parquet(str(tmp_path / "out")).cache()
+    assert sorted((r.at, r.job_id) for r in entries.where("sign = 1").collect()) == sorted((10 * k + 5, f"j{k}") for k in range(30))
+    passed = 297 - 1  # the watermark
+    assert sorted((r.at, r.job_id) for r in entries.where("sign = -1").collect()) == sorted((10 * k + 50, f"j{k}") for k in range(30) if 10 * k + 50 <= passed)
+    assert [r.jobs for r in penalty.penalty_at(entries, 120).collect()] == [len([k for k in range(30) if 10 * k + 5 <= 120 < 10 * k + 50])]
+
+
+def test_a_part_is_a_batch(spark, tmp_path):
+    seen = []
+    start = lambda stream: stream.writeStream.foreachBatch(lambda df, k: seen.append((k, sorted(r.id for r in df.collect())))).option("checkpointLocation", str(tmp_path)).start()
+    ingest.feed_in_turn(spark.range(0, 40, 1, 4), F.when(F.col("id") < 9, 0).when(F.col("id") < 31, 1).otherwise(3), 4, start)
+    assert seen == [(0, list(range(9))), (1, list(range(9, 31))), (2, []), (3, list(range(31, 40)))]
