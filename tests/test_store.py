@@ -180,3 +180,40 @@ def test_batches_by_items_go_on_after_a_stop(spark, tmp_path):
     same_tables(kept.tables(spark), whole_tables(log))
     kept.add_in_parts(log, 0, 40)  # a repeated one is there already
     assert kept.last_batch(spark) == -(-n // 40) - 1
+
+
+@pytest.mark.parametrize("seed", [7])
+def test_says_are_the_reduced_log(spark, seed):
+    events = mixed_log(spark, seed).cache()
+    reduced = fold.reduce_log(events)
+    rows = lambda df, key: {r[key]: {c: v for c, v in r.asDict(True).items() if c != key} for r in df.collect()}
+    until, late = (rows(reduced["job_update"].where(c).drop("single"), "job_id") for c in ("not single", "single"))
+    parts = {"job_id": (fold.job_says(events), {"c": rows(reduced["job_create"], "job_id"), "u": until, "p": late}), "run_id": (fold.run_says(events), {"c": rows(reduced["run_create"], "run_id"), "u": rows(reduced["run_update"], "run_id")})}
+    for key, (says, want) in parts.items():
+        got = rows(says, key)
+        for name, told in want.items():
+            assert {k: r[name] for k, r in got.items() if r[name] is not None} == told, (key, name)
+
+
+def test_spans_begin_where_the_cuts_do(spark):
+    from jobloom.jobs.store_queries import _span
+
+    for a, n, spans in ((0, 100, 20), (7, 33, 20), (5, 3, 20), (0, 1001, 4)):
+        log = spark.range(a, a + n).withColumnRenamed("id", "seq")
+        got = {r.seq: r.k for r in log.select("seq", _span(log, spans).alias("k")).collect()}
+        assert all(got[s] == max(k for k in range(spans) if n * k // spans <= s - a) for s in range(a, a + n))
+    empty = spark.range(0).withColumnRenamed("id", "seq")
+    assert empty.select(_span(empty, 3)).count() == 0
+
+
+def test_a_batch_is_spread_over_tasks(spark, sf_dir, monkeypatch):
+    """No file of the feed is a whole batch, since one task would read it."""
+    from jobloom.jobs import store_queries
+    from jobloom.sources import model
+
+    seen = []
+    monkeypatch.setattr(store_queries.m, "job_event", lambda spark, d: model.table(spark, d, "events").select(F.col("event_id").alias("seq")).repartition(4))
+    monkeypatch.setattr(store_queries.JobStore, "last_batch", lambda self, spark: len(seen) - 1)
+    monkeypatch.setattr(ingest.JobStore, "add", lambda self, df, batch: seen.append(len(df.inputFiles()) or df.rdd.getNumPartitions()))
+    store_queries._ingest(spark, sf_dir, 3)
+    assert len(seen) == 3 and min(seen) > 1
