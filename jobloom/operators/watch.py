@@ -9,7 +9,8 @@ that it had, so they are kept up to date without looking at jobs that didn't cha
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEY = ("queue", "jobset", "job_id")
-#: Times are epoch seconds; pods as two arrays, status and time of the last update.
-STATE = "status string, updated long, pod_status array<string>, pod_updated array<long>"
+#: The jobs of a bucket, a place each in every array but the last two: those have all pods, ``pods`` of each job in turn. Times are epoch seconds.
+STATE = "queue array<string>, jobset array<string>, job_id array<string>, status array<string>, updated array<long>, pods array<int>, pod_status array<string>, pod_updated array<long>"
 CHANGE = "queue string, jobset string, job_id string, seq long, subseq int, before string, status string, updated long, pods long, pods_running long"
 _POD = {"pending": "pending", "running": "running", "failed": "failed", "succeeded": "succeeded"}
 _JOB = {"submitted": "submitted", "queued": "queued", "leased": "leased", "lease_returned": "queued", "lease_expired": "queued", "cancelled": "cancelled"}
@@ -65,15 +66,32 @@ class WatchedJob:
             self.status = next((s for s in ("failed", "pending", "running") if s in self.pod_status), "succeeded")
 
 
-def _fold(job: WatchedJob, key: tuple, rows: pd.DataFrame) -> Iterator[tuple]:
-    """The changes of status that a job's next events make."""
-    for kind, created, retryable, pod, pods, seq, subseq in rows[["api_kind", "created", "retryable", "pod", "pods", "seq", "subseq"]].itertuples(index=False):
+_TOLD = (*KEY, "api_kind", "created", "retryable", "pod", "pods", "seq", "subseq")
+
+
+def _fold(rows: pd.DataFrame, job_of: Callable[[tuple], WatchedJob]) -> Iterator[tuple]:
+    """The changes of status that the next events make, a job's in their order; ``job_of`` gives the state of a job."""
+    for *key, kind, created, retryable, pod, pods, seq, subseq in rows[list(_TOLD)].itertuples(index=False, name=None):
+        job = job_of(tuple(key))
         before = job.status
         job.take(kind, int(created), retryable is True or retryable == 1, int(pod), int(pods))
         if job.status != before:
             yield *key, int(seq), int(subseq), before, job.status, job.updated, len(job.pod_status), job.pod_status.count("running")
 
 
+def _jobs_of(state: tuple) -> dict[tuple, WatchedJob]:
+    """The jobs of a bucket's state."""
+    *keys, status, updated, pods, pod_status, pod_updated = state
+    ends = list(accumulate(pods, initial=0))
+    return {key: WatchedJob(s, u, pod_status[i:j], pod_updated[i:j]) for key, s, u, i, j in zip(zip(*keys), status, updated, ends, ends[1:])}
+
+
+def _state_of(jobs: dict[tuple, WatchedJob]) -> tuple:
+    all_ = list(jobs.values())
+    keys = [[key[k] for key in jobs] for k in range(len(KEY))]
+    return *keys, [j.status for j in all_], [j.updated for j in all_], [len(j.pod_status) for j in all_], [x for j in all_ for x in j.pod_status], [x for j in all_ for x in j.pod_updated]
+
+
 def _events(api: DataFrame) -> DataFrame:
     """The events that matter to a status, with a job's only pod where the log names none."""
     column = lambda c, default: F.coalesce(F.col(c) if c in api.columns else F.lit(None), F.lit(default)).cast("int").alias(c)
@@ -91,15 +109,15 @@ def status_changes(api: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, job = None, WatchedJob()
+
+        def job_of(key: tuple) -> WatchedJob:
+            nonlocal at, job
+            if key != at:
+                at, job = key, WatchedJob()
+            return job
+
         for batch in batches:
-            out = []
-            change = (batch[list(KEY)] != batch[list(KEY)].shift()).any(axis=1).cumsum()
-            for _, rows in batch.groupby(change, sort=False):
-                key = tuple(rows[list(KEY)].iloc[0])
-                if key != at:
-                    at, job = key, WatchedJob()
-                out += _fold(job, key, rows)
-            yield pd.DataFrame(out, columns=_names(CHANGE))
+            yield pd.DataFrame(list(_fold(batch, job_of)), columns=_names(CHANGE))
 
     return _events(api).repartition(*KEY).sortWithinPartitions(*order).mapInPandas(walk, CHANGE)
 
@@ -108,16 +126,25 @@ def _names(ddl: str) -> list[str]:
     return [c.split(" ")[0] for c in ddl.split(", ")]
 
 
-def stream_status_changes(api: DataFrame) -> DataFrame:
-    """The same changes of a stream, whose micro-batches follow each other in log order; the state is a few values per job."""
+def stream_status_changes(api: DataFrame, buckets: int = 256) -> DataFrame:
+    """The same changes of a stream, whose micro-batches follow each other in log order; the state is a few values per job.
+
+    Jobs are held by ``buckets`` of their key's hash, since a call for each job costs far more than its work. The number of buckets is
+    fixed when a stream is begun: so many that each holds some ten thousand jobs, and some hundred thousand events of a batch, at most.
+    """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job = WatchedJob(*state.get) if state.exists else WatchedJob()
+        jobs = _jobs_of(state.get) if state.exists else {}
+
+        def job_of(key: tuple) -> WatchedJob:
+            return jobs.get(key) or jobs.setdefault(key, WatchedJob())
+
         rows = pd.concat(list(batches)).sort_values(["seq", "subseq"])
-        out = pd.DataFrame(list(_fold(job, key, rows)), columns=_names(CHANGE))
-        state.update(job.state())
+        out = pd.DataFrame(list(_fold(rows, job_of)), columns=_names(CHANGE))
+        state.update(_state_of(jobs))
         yield out
 
-    return _events(api).groupBy(*KEY).applyInPandasWithState(step, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = _events(api).withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandasWithState(step, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def watched_jobs(changes: DataFrame) -> DataFrame:

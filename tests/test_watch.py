@@ -58,6 +58,21 @@ def test_stream_of_changes_equals_the_table(spark, tmp_path):
     assert watch.status_changes(api.where("false")).count() == 0
 
 
+def test_a_bucket_of_jobs_is_one_call(spark, tmp_path):
+    """Jobs of a bucket share a state, which comes back as it was, whatever pods they have."""
+    jobs = {("q", f"s{k % 3}", f"j{k}"): watch.WatchedJob(*(("running", k, ["running"] * k, list(range(k))) if k % 4 else (None, 0, [], []))) for k in range(9)}
+    again = watch._jobs_of(watch._state_of(jobs))
+    assert {k: j.state() for k, j in again.items()} == {k: j.state() for k, j in jobs.items()} and list(again) == list(jobs)
+    api = random_api(spark, 300, 5)
+    for k in range(2):
+        api.where(F.floor(F.col("seq") * 2 / 300) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = watch.stream_status_changes(spark.readStream.schema(api.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 1)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(200)
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1] == 1
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=repr) == sorted(map(tuple, watch.status_changes(api).collect()), key=repr)
+
+
 def test_a_penalty_counts_once_and_lapses(spark, tmp_path):
     rows = [  # job, pool, start, report
         ("a", "p", 0, 5), ("a", "p", 0, 6), ("b", "p", 0, 100), ("c", "p", 2, 9), ("d", "other", 0, 5), ("e", "q", 0, 60), ("f", "p", 190, 191), ("a", "p", 0, 192), ("g", "p", 390, 400),
