@@ -66,7 +66,10 @@ def q7(spark, d):
 
 @query("q9_q10_nested_runs", ", r AS (SELECT job_id, run_id, node, cluster, pool, exit_code, row_number() OVER (PARTITION BY job_id ORDER BY coalesce(leased, pending), run_id DESC) AS up, row_number() OVER (PARTITION BY job_id ORDER BY coalesce(leased, pending) DESC, run_id DESC) AS down FROM job_run), c AS (SELECT job_id, count(*) AS runs, string_agg(run_id, ',' ORDER BY coalesce(leased, pending), run_id) AS run_ids FROM job_run GROUP BY job_id) SELECT job.job_id, CAST(coalesce(c.runs, 0) AS BIGINT) AS n_runs, coalesce(c.run_ids, '') AS run_ids, r.node, r.cluster, r.pool, r.exit_code FROM job LEFT JOIN c ON job.job_id = c.job_id LEFT JOIN r ON job.job_id = r.job_id AND r.down = 1 WHERE job.queue = 'queue-3'")
 def q9(spark, d):
-    nested = s.with_last_run(s.nest_runs(s.filter_jobs(m.job(spark, d, False), [Filter("queue", "exact", "queue-3")]), m.job_run(spark, d)))
+    # what is nested is shuffled whole, so runs come with what is asked of them only
+    runs = m.job_run(spark, d).select("run_id", "job_id", "cluster", "node", "pool", "leased", "pending", "exit_code")
+    jobs = s.filter_jobs(m.job(spark, d, False), [Filter("queue", "exact", "queue-3")]).select("job_id")
+    nested = s.with_last_run(s.nest_runs(jobs, runs))
     return nested.select("job_id", F.size("runs").cast("long").alias("n_runs"), F.array_join(F.transform("runs", lambda r: r["run_id"]), ",").alias("run_ids"), "node", "cluster", "pool", "exit_code")
 
 

@@ -242,3 +242,10 @@ def test_bytes_are_cut_greedily_across_ranges(spark, most):
     assert {r.seq: r.part for r in out.collect()} == want and out.columns == [*df.columns, "part"]
     counts = fold.parts_by_count(df.where("jobset is not null"), 8, ["queue", "jobset"])
     assert counts.where("jobset = 'hot'").groupBy("part").count().where("count = 8").count() == sum(j == "hot" for _, j, _, _ in rows) // 8
+
+
+def test_nested_runs_carry_what_is_asked(spark, sf_dir):
+    from jobloom.jobs import registry
+
+    plan = registry.queries()["q9_q10_nested_runs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "run_id" in plan and not [c for c in ("termination_reason", "failure_category", "annotations", "memory") if c in plan]
