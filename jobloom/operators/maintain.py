@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.sources.model import ACTIVE_STATES, TERMINAL_STATES
-from jobloom.sources.tables import discard, file_system, materialise
+from jobloom.sources.tables import file_system
 
 # fixed values: run state of an ended latest run and the job state that it means
 ZOMBIE_STATES = {3: 4, 4: 5, 12: 6, 6: 7}
@@ -99,16 +99,23 @@ def _period(seconds: str, days: int) -> Column:
     return F.date_from_unix_date((F.floor(F.col(seconds) / (86_400 * days)) * days).cast("int"))
 
 
+#: Jobs in a folder, on average, from which every task writes a file of its own into it instead of rows being dealt by folders first.
+LARGE_FOLDER = 100_000
+
+
 def write_daily(tables: Mapping[str, DataFrame], path: str, parent: str = "job", submitted: str = "submitted", days: int = 1) -> None:
     """Tables by the day on which their job was submitted, so that retention follows folders through all of them.
 
     The children of a job lie under its day; children of no job lie under no day, which retention leaves alone. With ``days`` a folder
-    holds as many days, for tables with few rows a day. Large days are dealt over several tasks and files.
+    holds as many days, for tables with few rows a day. Large days are dealt over several tasks and files: where folders are large,
+    rows are dealt once, to meet their job's day by hash without a sort of either side; small folders are put together in few files.
     """
     day = tables[parent].select("job_id", _period(submitted, days).alias("day"))
+    jobs, folders = day.agg(F.count("*"), F.count_distinct("day")).first()
+    large = jobs >= LARGE_FOLDER * max(folders, 1)
     for name, df in tables.items():
-        rows = df.withColumn("day", _period(submitted, days)) if name == parent else df.join(day, "job_id", "left")
-        rows.hint("rebalance", "day").sortWithinPartitions("day", "job_id").write.partitionBy("day").parquet(f"{path}/{name}")
+        rows = df.withColumn("day", _period(submitted, days)) if name == parent else df.join(day.hint("shuffle_hash") if large else day, "job_id", "left")
+        (rows if large else rows.hint("rebalance", "day")).sortWithinPartitions("day", "job_id").write.partitionBy("day").parquet(f"{path}/{name}")
 
 
 def read_daily(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -130,20 +137,31 @@ def prune_daily(spark: SparkSession, path: str, gone: Column, before: int, paren
     days = told.collect()  # a row per day
     mixed = [r.day for r in days if r.gone < r.jobs]
     if mixed:
-        ids = materialise(jobs.where(F.col("day").isin(mixed)).where(gone).select("day", "job_id"))
+        ids = jobs.where(F.col("day").isin(mixed)).where(gone).select("day", "job_id")
+        if sum(r.jobs for r in days if r.gone < r.jobs) >= LARGE_FOLDER * len(mixed):
+            ids = ids.hint("shuffle_hash")
         for name in names:
-            table = spark.read.parquet(f"{path}/{name}")
-            kept = materialise(table.where(F.col("day").isin(mixed)).join(ids, ["day", "job_id"], "left_anti"))
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/{name}")
-            left = {r.day for r in kept.select("day").distinct().collect()}
-            _drop_days(spark, path, name, [d for d in mixed if d not in left])
-            discard(kept)
-        discard(ids)
+            table = spark.read.parquet(f"{path}/{name}").where(F.col("day").isin(mixed))
+            kept = table.where(~F.coalesce(gone, F.lit(False))) if name == parent else table.join(ids, ["day", "job_id"], "left_anti")
+            was = _day_files(spark, path, name, mixed)
+            # a dynamic overwrite swaps folders when all tasks are done, so it may read what it replaces
+            kept.sortWithinPartitions("day", "job_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/{name}")
+            now = _day_files(spark, path, name, mixed)
+            _drop_days(spark, path, name, [d for d in mixed if was[d] & now[d]])  # nothing was left to be written there
     for name in names:
         _drop_days(spark, path, name, [r.day for r in days if r.gone == r.jobs])
     return spark.createDataFrame([(r.day, r.jobs, r.gone) for r in days], "day date, jobs long, gone long")
 
 
+def _day_files(spark: SparkSession, path: str, name: str, days: Iterable) -> dict:
+    """The names of the files in each day's folder."""
+    out = {}
+    for day in days:
+        fs, folder = file_system(spark, f"{path}/{name}/day={day.isoformat()}")
+        out[day] = {f.getPath().getName() for f in fs.listStatus(folder)} if fs.exists(folder) else set()
+    return out
+
+
 def _drop_days(spark: SparkSession, path: str, name: str, days: Iterable) -> None:
     for day in days:
         fs, folder = file_system(spark, f"{path}/{name}/day={day.isoformat()}")

@@ -158,6 +158,41 @@ def test_retention_leaves_later_days_alone(spark, tmp_path):
     assert maintain.prune_jobs_daily(spark, path, 9 * day, 2 * day).count() == 0
 
 
+def moved(spark):
+    """Rows that all stages of the session have dealt and written so far."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+    return {s.stageId(): (s.shuffleWriteRecords(), s.outputRecords()) for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_large_days_are_dealt_and_written_once(spark, tmp_path, monkeypatch):
+    day, n = 86_400, 3_000
+    monkeypatch.setattr(maintain, "LARGE_FOLDER", 1, raising=False)
+    was_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    i = F.col("id")
+    jobs = spark.range(n).select(F.format_string("j%d", i).alias("job_id"), F.when(i % 2 == 0, 4).otherwise(1).alias("state"), (i % 3 * day).alias("submitted"), (i % 3 * day + 5).alias("last_transition_time"))
+    runs = spark.range(4 * n + 1).select(i.cast("string").alias("run_id"), F.format_string("j%d", F.floor(i / 4)).alias("job_id"))  # the last one's job isn't there
+    path = str(tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = moved(spark)
+        maintain.write_daily({"job": jobs, "job_run": runs}, path)
+        second = moved(spark)
+        report = maintain.prune_jobs_daily(spark, path, 9 * day, 2 * day)
+        third = moved(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was_limit)
+    new = lambda a, b, k: sum(v[k] for s, v in b.items() if s not in a)
+    assert new(first, second, 0) < 5 * n + 100 and new(first, second, 1) == 5 * n + 1
+    assert new(second, third, 0) < 4 * n + n // 2 + 100 and new(second, third, 1) == n // 2 + 2 * n
+    assert sorted((r.jobs, r.gone) for r in report.collect()) == [(n // 3, n // 6)] * 3
+    gone = maintain.prunable(jobs, 9 * day, 2 * day)
+    for name, df in (("job", jobs), ("job_run", runs)):
+        assert shown(maintain.read_daily(spark, path, name)) == shown(df.join(gone, "job_id", "left_anti")), name
+
+
 def test_batches_by_items_go_on_after_a_stop(spark, tmp_path):
     events = mixed_log(spark, 6).coalesce(1)
     events.write.parquet(str(tmp_path / "in"))
