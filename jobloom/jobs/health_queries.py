@@ -331,7 +331,8 @@ def s3(spark, d):
     job_tables.write_tables({"job": jobs, "job_run": m.job_run(spark, d), "job_spec": specs, "job_error": jobs.where("state = 5").select("job_id", F.concat(F.lit("error of "), "job_id").alias("error"))}, path)
     jobs = job_tables.read_tables(spark, path, active=False, names=("job",))["job"]
     rest = job_tables.read_tables(spark, path)
-    rows = jobs.join(rest["job_run"].select(F.col("run_id").alias("latest_run_id"), "job_run_state", "finished", "node"), "latest_run_id", "left").join(rest["job_spec"], "job_id").join(rest["job_error"], "job_id", "left")
+    # the ended jobs are the hashed side, so that the many runs aren't sorted to be met
+    rows = jobs.hint("shuffle_hash").join(rest["job_run"].select(F.col("run_id").alias("latest_run_id"), "job_run_state", "finished", "node"), "latest_run_id", "left").join(rest["job_spec"], "job_id").join(rest["job_error"], "job_id", "left")
     return _short(rows.select("job_id", "state", "queue", "latest_run_id", "job_run_state", "finished", "node", F.decode("job_spec", "UTF-8").alias("spec"), "error"))
 
 

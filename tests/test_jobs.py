@@ -88,6 +88,14 @@ def test_job_tables_round_trip(spark, tmp_path):
     assert "active=false" in "".join(ended["job"].inputFiles()) or "PartitionFilters" in ended["job"]._jdf.queryExecution().toString()
 
 
+def test_runs_are_not_sorted_to_meet_their_jobs(spark, sf_dir):
+    """The ended jobs are hashed and the runs stream by, so that a sort of all runs can't spill."""
+    from jobloom.jobs import registry
+
+    plan = registry.queries()["s3_job_tables"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [latest_run_id" in plan and "LeftOuter, BuildLeft" in plan
+
+
 def test_weighted_cost(spark):
     rows = spark.createDataFrame([(0.5, 2.0), (0.0, 0.0), (0.5, 0.0)], "cost double, weight double")
     assert [r[0] for r in rows.select(fairshare.weighted_cost("cost", "weight")).collect()] == [0.25, 0.0, float("inf")]
