@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,12 +97,38 @@ def write_by_submitted_day(job: DataFrame, path: str) -> None:
 
 
 def _period(seconds: str, days: int) -> Column:
-    """The first day of the period of so many days that a time falls into."""
-    return F.date_from_unix_date((F.floor(F.col(seconds) / (86_400 * days)) * days).cast("int"))
+    """The first day of the period of so many days that a time falls into, in days from the epoch."""
+    return (F.floor(F.col(seconds) / (86_400 * days)) * days).cast("int")
 
 
 #: Jobs in a folder, on average, from which every task writes a file of its own into it instead of rows being dealt by folders first.
 LARGE_FOLDER = 100_000
+#: Bytes of rows that a task joins and sorts in memory where folders are large, and of rows that it has for a folder at least.
+TASK_BYTES, FILE_BYTES = 64 << 20, 100 << 10
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes that a table's rows take in memory, as an aggregate."""
+    sizes = [F.octet_length(c if t.startswith(("string", "binary")) else F.to_json(c)) for c, t in df.dtypes if t.startswith(("string", "binary", "array", "map", "struct"))]
+    return F.coalesce(F.sum(reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), sizes, F.lit(32 + 16 * len(df.columns)))), F.lit(0))
+
+
+def _tasks(spark: SparkSession, size: int, folders: int) -> int:
+    """Tasks, at most ``spark.sql.shuffle.partitions``, that hold so many bytes in memory and don't write crumbs into so many folders.
+
+    A single one would not count as dealt by hash, and its rows would be dealt again.
+    """
+    return max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / max(TASK_BYTES, FILE_BYTES * folders))))
+
+
+def _meet(rows: DataFrame, other: DataFrame, size: int, on: list[str], value: Column, folders: int) -> DataFrame:
+    """Left join by hash with a table of so many bytes, over as many tasks as it takes to hold both sides in memory.
+
+    The value is computed from the other side once it is dealt: two sides that come straight from a deal would be dealt over
+    ``spark.sql.shuffle.partitions`` tasks, however small.
+    """
+    tasks = _tasks(rows.sparkSession, rows.agg(_bytes(rows)).first()[0] + size, folders)
+    return rows.join(other.repartition(tasks, *on).select(*on, value).hint("shuffle_hash"), on, "left")
 
 
 def write_daily(tables: Mapping[str, DataFrame], path: str, parent: str = "job", submitted: str = "submitted", days: int = 1) -> None:
@@ -108,13 +136,20 @@ def write_daily(tables: Mapping[str, DataFrame], path: str, parent: str = "job",
 
     The children of a job lie under its day; children of no job lie under no day, which retention leaves alone. With ``days`` a folder
     holds as many days, for tables with few rows a day. Large days are dealt over several tasks and files: where folders are large,
-    rows are dealt once, to meet their job's day by hash without a sort of either side; small folders are put together in few files.
+    rows are dealt once, to meet their job's day by hash without a sort of either side, and over so many tasks that these sort their
+    rows in memory; small folders are put together in few files. The parent's rows are dealt only if they are many for each core.
     """
-    day = tables[parent].select("job_id", _period(submitted, days).alias("day"))
-    jobs, folders = day.agg(F.count("*"), F.count_distinct("day")).first()
+    spark = tables[parent].sparkSession
+    number, date = tables[parent].select("job_id", _period(submitted, days).alias("_day")), F.date_from_unix_date("_day").alias("day")
+    jobs, folders, size, whole = tables[parent].agg(F.count("*"), F.count_distinct(_period(submitted, days)), _bytes(number), _bytes(tables[parent])).first()
     large = jobs >= LARGE_FOLDER * max(folders, 1)
     for name, df in tables.items():
-        rows = df.withColumn("day", _period(submitted, days)) if name == parent else df.join(day.hint("shuffle_hash") if large else day, "job_id", "left")
+        if name == parent:
+            rows = df.withColumn("day", F.date_from_unix_date(_period(submitted, days)))
+            if large and whole > 2 * TASK_BYTES * spark.sparkContext.defaultParallelism:
+                rows = rows.repartition(_tasks(spark, whole, folders), "job_id")
+        else:
+            rows = _meet(df, number, size, ["job_id"], date, folders) if large else df.join(number.select("job_id", date), "job_id", "left")
         (rows if large else rows.hint("rebalance", "day")).sortWithinPartitions("day", "job_id").write.partitionBy("day").parquet(f"{path}/{name}")
 
 
@@ -138,11 +173,16 @@ def prune_daily(spark: SparkSession, path: str, gone: Column, before: int, paren
     mixed = [r.day for r in days if r.gone < r.jobs]
     if mixed:
         ids = jobs.where(F.col("day").isin(mixed)).where(gone).select("day", "job_id")
-        if sum(r.jobs for r in days if r.gone < r.jobs) >= LARGE_FOLDER * len(mixed):
-            ids = ids.hint("shuffle_hash")
+        large = sum(r.jobs for r in days if r.gone < r.jobs) >= LARGE_FOLDER * len(mixed)
+        size = ids.agg(_bytes(ids)).first()[0] if large else 0
         for name in names:
             table = spark.read.parquet(f"{path}/{name}").where(F.col("day").isin(mixed))
-            kept = table.where(~F.coalesce(gone, F.lit(False))) if name == parent else table.join(ids, ["day", "job_id"], "left_anti")
+            if name == parent:
+                kept = table.where(~F.coalesce(gone, F.lit(False)))
+            elif large:
+                kept = _meet(table, ids, size, ["day", "job_id"], F.lit(True).alias("_gone"), len(mixed)).where("_gone is null").select(*table.columns)
+            else:
+                kept = table.join(ids, ["day", "job_id"], "left_anti")
             was = _day_files(spark, path, name, mixed)
             # a dynamic overwrite swaps folders when all tasks are done, so it may read what it replaces
             kept.sortWithinPartitions("day", "job_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/{name}")

@@ -193,6 +193,34 @@ def test_large_days_are_dealt_and_written_once(spark, tmp_path, monkeypatch):
         assert shown(maintain.read_daily(spark, path, name)) == shown(df.join(gone, "job_id", "left_anti")), name
 
 
+def test_tasks_of_large_days_follow_the_bytes(spark, tmp_path, monkeypatch):
+    day, n, share = 86_400, 15_000, 150_000
+    for name, value in (("LARGE_FOLDER", 1), ("TASK_BYTES", share), ("FILE_BYTES", 1)):
+        monkeypatch.setattr(maintain, name, value, raising=False)
+    i, confs = F.col("id"), {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    jobs = spark.range(n, numPartitions=2).select(F.format_string("j%d", i).alias("job_id"), F.when(i % 4 == 0, 4).otherwise(1).alias("state"), (i % 3 * day).alias("submitted"), (i % 3 * day + 5).alias("last_transition_time"))
+    runs = spark.range(4 * n, numPartitions=2).select(F.format_string("run-%020d", i).alias("run_id"), F.format_string("j%d", F.floor(i / 4)).alias("job_id"))
+    notes = spark.range(0, n, 2, 2).select(F.format_string("j%d", i).alias("job_id")).select("job_id", F.create_map(F.lit("of"), "job_id").alias("notes"))
+    path, was = str(tmp_path), {c: spark.conf.get(c) for c in confs}
+    most = lambda name: max(r[1] for r in spark.read.parquet(f"{path}/{name}").groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).count().collect())
+    for c, value in confs.items():
+        spark.conf.set(c, value)
+    try:
+        maintain.write_daily({"job": jobs, "job_run": runs, "note": notes}, path)
+        # a task has its share of jobs, and of runs (some 100 bytes each), and a small table isn't dealt over all partitions
+        assert most("job") * 100 < 1.5 * share and most("job_run") * 100 < 1.5 * share
+        assert len({f.split("part-")[1][:5] for f in digests(f"{path}/note") if "part-" in f}) < 20
+        maintain.prune_jobs_daily(spark, path, 9 * day, 2 * day)
+        assert most("job_run") * 100 < 1.5 * share
+    finally:
+        for c, value in was.items():
+            spark.conf.set(c, value)
+    gone = maintain.prunable(jobs, 9 * day, 2 * day)
+    for name, df in (("job", jobs), ("job_run", runs)):
+        assert shown(maintain.read_daily(spark, path, name)) == shown(df.join(gone, "job_id", "left_anti")), name
+    assert maintain.read_daily(spark, path, "note").count() == n // 4
+
+
 def test_batches_by_items_go_on_after_a_stop(spark, tmp_path):
     events = mixed_log(spark, 6).coalesce(1)
     events.write.parquet(str(tmp_path / "in"))
